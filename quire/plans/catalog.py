@@ -99,3 +99,68 @@ def q_validate_questions(spark, sf_dir):
 def q_snippets(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", tx.snippet("text", 600).alias("snippet"))
+
+
+# ---------------------------------------------------------------------------
+# embeddings and retrieval
+# ---------------------------------------------------------------------------
+
+from quire.functions.vectors import HashingEncoder, embed, mean_vector  # noqa: E402
+from quire.operators import retrieval as rt  # noqa: E402
+
+EMBED_DIM = 128
+RETRIEVAL_K = 20
+
+
+def q_embed_hashing(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed(d, "text", HashingEncoder(EMBED_DIM)).select("doc_id", "embedding")
+
+
+def q_knn_centroids(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    cent = mean_vector(e, "label", "embedding", "qvec")
+    hits = rt.knn(cent, e, RETRIEVAL_K, "label", "vec_id")
+    return hits.select(F.col("qid").alias("label"), F.col("iid").alias("vec_id"), "score", "rank")
+
+
+def q_knn_self(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    hits = rt.knn(e.select("vec_id", F.col("embedding").alias("qvec")), e, 5, "vec_id", "vec_id",
+                  exclude_self=True)
+    return hits.select(F.col("qid").alias("query_vec_id"), F.col("iid").alias("vec_id"), "score", "rank")
+
+
+def corpus_chunks(spark, sf_dir):
+    return q_build_chunks(spark, sf_dir)
+
+
+def q_bm25(spark, sf_dir):
+    chunks = corpus_chunks(spark, sf_dir).select("chunk_id", "chunk_text")
+    bench = table(spark, sf_dir, "benchmark")
+    hits = rt.bm25(bench, chunks, RETRIEVAL_K, "item_id", "text", "chunk_id", "chunk_text")
+    return hits.select(F.col("qid").alias("item_id"), F.col("iid").alias("chunk_id"), "score", "rank")
+
+
+def _hybrid_hits(spark, sf_dir, k):
+    chunks = corpus_chunks(spark, sf_dir).select("chunk_id", "chunk_text")
+    bench = table(spark, sf_dir, "benchmark")
+    enc = HashingEncoder(EMBED_DIM)
+    cvec = embed(chunks, "chunk_text", enc)
+    qvec = embed(bench, "text", enc, "qvec")
+    vec_hits = rt.knn(qvec, cvec, k, "item_id", "chunk_id")
+    kw_hits = rt.bm25(bench, chunks, k, "item_id", "text", "chunk_id", "chunk_text")
+    return rt.hybrid(vec_hits, kw_hits, k), chunks
+
+
+def q_hybrid(spark, sf_dir):
+    fused, _ = _hybrid_hits(spark, sf_dir, RETRIEVAL_K)
+    return fused.select(F.col("qid").alias("item_id"), F.col("iid").alias("chunk_id"), "score", "rank")
+
+
+def q_retrieve(spark, sf_dir):
+    """M4: hybrid fetch_k candidates -> attach text -> MMR top_k."""
+    fused, chunks = _hybrid_hits(spark, sf_dir, rt.fetch_k_for(rt.TOP_K))
+    cands = rt.attach(fused, chunks, cols=("chunk_text",))
+    picked = rt.mmr(cands, rt.TOP_K, rt.MMR_LAMBDA)
+    return picked.select(F.col("qid").alias("item_id"), F.col("iid").alias("chunk_id"), "score", "mmr_rank")

@@ -208,3 +208,123 @@ ORACLE = {
     "validate_questions": VALIDATE_QUESTIONS,
     "snippets": SNIPPETS,
 }
+
+
+# ---------------------------------------------------------------------------
+# embeddings and retrieval
+# ---------------------------------------------------------------------------
+
+TERMS_RE = r"[\p{L}\p{N}']+"
+EMBED_DIM = 128
+RETRIEVAL_K = 20
+
+
+def _terms(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), {_q(TERMS_RE)})"
+
+
+def hashed_embedding_cte(name: str, src: str, key: str, text: str, dim: int = EMBED_DIM) -> str:
+    """CTE ``name``(key, v DOUBLE[]) = L2-normalised hashed term counts."""
+    return f"""
+{name}_t AS (SELECT {key}, {_terms(text)} AS toks FROM {src}),
+{name}_c AS (SELECT {key}, b, count(*) AS n FROM
+      (SELECT {key}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {dim} AS b
+       FROM (SELECT {key}, unnest(toks) AS tok FROM {name}_t)) GROUP BY ALL),
+{name}_n AS (SELECT {key}, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM {name}_c GROUP BY {key}),
+{name}_g AS (SELECT t.{key}, d.d FROM {name}_t t CROSS JOIN range({dim}) d(d)),
+{name} AS (SELECT g.{key}, list(CAST(CAST(coalesce(CAST(c.n AS DOUBLE) / nn.norm, 0.0) AS FLOAT) AS DOUBLE)
+                                ORDER BY g.d) AS v
+      FROM {name}_g g LEFT JOIN {name}_c c ON c.{key} = g.{key} AND c.b = g.d
+      LEFT JOIN {name}_n nn ON nn.{key} = g.{key} GROUP BY g.{key})"""
+
+
+EMBED_HASHING = f"""
+WITH {hashed_embedding_cte('e', 'documents', 'doc_id', 'text')}
+SELECT doc_id, CAST(v AS FLOAT[]) AS embedding FROM e
+"""
+
+KNN_CENTROIDS = f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT label, unnest(generate_series(1, len(v))) AS pos, unnest(v) AS x FROM e),
+c AS (SELECT label, list(x ORDER BY pos) AS cv FROM (SELECT label, pos, avg(x) AS x FROM p GROUP BY label, pos)
+      GROUP BY label),
+s AS (SELECT c.label, e.vec_id, round(list_cosine_similarity(c.cv, e.v), 6) AS score FROM c CROSS JOIN e),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT label, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {RETRIEVAL_K}
+"""
+
+KNN_SELF = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_vec_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_vec_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+"""
+
+
+def _chunks_cte() -> str:
+    body = BUILD_CHUNKS.strip()
+    assert body.startswith("WITH ")
+    return body[len("WITH "):].replace("\nSELECT row_id, sha256", ",\nk AS (SELECT row_id, sha256", 1) + ")"
+
+
+def bm25_ctes(k: int) -> str:
+    """CTEs ending in ``kw``(item_id, chunk_id, score, rank) over chunks ``k``."""
+    return f"""
+dt AS (SELECT chunk_id, {_terms('chunk_text')} AS toks FROM k),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(avg(len(toks)) AS DOUBLE) AS avgdl FROM dt),
+post AS (SELECT chunk_id, tok AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS tok FROM dt) GROUP BY ALL),
+dl AS (SELECT chunk_id, len(toks) AS dl FROM dt),
+dft AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark)),
+qw AS (SELECT qt.item_id, qt.term,
+              ln(1.0::DOUBLE + (st.n - dft.df + 0.5::DOUBLE) / (dft.df + 0.5::DOUBLE)) AS idf
+       FROM qt JOIN dft USING (term) CROSS JOIN st),
+sc AS (SELECT qw.item_id, post.chunk_id,
+              round(sum(qw.idf * post.tf * 2.2::DOUBLE
+                        / (post.tf + 1.2::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE
+                                                    + 0.75::DOUBLE * dl.dl / st.avgdl))), 6) AS score
+       FROM qw JOIN post USING (term) JOIN dl USING (chunk_id) CROSS JOIN st GROUP BY ALL),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank
+                      FROM sc) WHERE rank <= {k})"""
+
+
+BM25 = f"""
+WITH {_chunks_cte()},
+{bm25_ctes(RETRIEVAL_K)}
+SELECT item_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM kw
+"""
+
+
+def vector_ctes(k: int) -> str:
+    """CTEs ending in ``vh``(item_id, chunk_id, score, rank)."""
+    return f"""
+{hashed_embedding_cte('ce', 'k', 'chunk_id', 'chunk_text')},
+{hashed_embedding_cte('qe', 'benchmark', 'item_id', 'text')},
+vs AS (SELECT qe.item_id, ce.chunk_id,
+              round(CASE WHEN list_dot_product(qe.v, qe.v) = 0 OR list_dot_product(ce.v, ce.v) = 0 THEN 0.0
+                         ELSE list_cosine_similarity(qe.v, ce.v) END, 6) AS score
+       FROM qe CROSS JOIN ce),
+vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank
+                      FROM vs) WHERE rank <= {k})"""
+
+
+HYBRID = f"""
+WITH {_chunks_cte()},
+{bm25_ctes(RETRIEVAL_K)},
+{vector_ctes(RETRIEVAL_K)},
+fu AS (SELECT coalesce(vh.item_id, kw.item_id) AS item_id, coalesce(vh.chunk_id, kw.chunk_id) AS chunk_id,
+              coalesce(1.0::DOUBLE / (60 + vh.rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + kw.rank), 0.0::DOUBLE)
+                AS score
+       FROM vh FULL OUTER JOIN kw ON vh.item_id = kw.item_id AND vh.chunk_id = kw.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM fu)
+SELECT item_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {RETRIEVAL_K}
+"""
+
+ORACLE.update({
+    "embed_hashing": EMBED_HASHING,
+    "knn_centroids": KNN_CENTROIDS,
+    "knn_self": KNN_SELF,
+    "bm25": BM25,
+    "hybrid": HYBRID,
+})

@@ -20,6 +20,12 @@ QUERIES = {
     "match_rules": c.q_match_rules,
     "validate_questions": c.q_validate_questions,
     "snippets": c.q_snippets,
+    "embed_hashing": c.q_embed_hashing,
+    "knn_centroids": c.q_knn_centroids,
+    "knn_self": c.q_knn_self,
+    "bm25": c.q_bm25,
+    "hybrid": c.q_hybrid,
+    "retrieve": c.q_retrieve,
 }
 
 
