@@ -39,11 +39,12 @@ def let(fn, **bindings: Column) -> Column:
     return F.element_at(F.transform(F.array(bound), fn), 1)
 
 
-def chunk_words(c, size: int = 350, overlap: int = 90) -> Column:
+def chunk_words(c, size: int = 350, overlap: int = 90, cleaned: bool = False) -> Column:
     """Fixed word windows of ``size`` words, step ``max(size-overlap, 1)``.
 
     Text of at most ``size`` words is one chunk; windows stop at the first one
     that reaches the end. Null or blank text gives an empty array.
+    ``cleaned=True`` says the input is already T1-clean (skips one pass).
     """
     if size < 1:
         raise ValueError("chunk size must be >= 1")
@@ -58,7 +59,7 @@ def chunk_words(c, size: int = 350, overlap: int = 90) -> Column:
                 .when(n <= size, F.array(b["norm"]))
                 .otherwise(windows))
 
-    norm = clean_text(c)
+    norm = F.coalesce(_c(c), F.lit("")) if cleaned else clean_text(c)
     return let(body, norm=norm, words=F.split(norm, " "))
 
 

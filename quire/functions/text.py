@@ -239,6 +239,19 @@ def labelled_text(parts: Sequence[tuple[str, Column]], head: Column | None = Non
     return F.concat_ws(" | ", arr)
 
 
+def clean_word_count(c) -> Column:
+    """Word count of a T1-clean text (single spaces, trimmed)."""
+    return F.when(_c(c) == "", F.lit(0)).otherwise(F.size(F.split(_c(c), " ")))
+
+
+def clean_alpha_ratio(c) -> Column:
+    """alpha_ratio of a T1-clean text: visible = length - spaces."""
+    n = F.length(_c(c))
+    visible = n - F.greatest(clean_word_count(c) - 1, F.lit(0))
+    alpha = F.length(F.regexp_replace(_c(c), "[^A-Za-z]", ""))
+    return F.when(visible > 0, alpha / visible).otherwise(F.lit(0.0))
+
+
 def alpha_ratio(c) -> Column:
     """P9 helper: Latin letters / visible characters, 0.0 when none visible."""
     alpha = F.length(F.regexp_replace(_c(c), "[^A-Za-z]", ""))

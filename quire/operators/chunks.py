@@ -83,18 +83,24 @@ def build_chunks(base: DataFrame, size: int = 350, overlap: int = 90, min_words:
     clean (T1) -> drop blank (P7) -> chunk (C1 or C2) -> posexplode (C4) ->
     drop blank -> gates (P8-P10) -> clean -> chunk_id (T8).
     """
-    chunker = chunk_words if strategy == "words" else chunk_sentences
+    if strategy == "words":
+        chunk = chunk_words(F.col("raw_text"), size, overlap, cleaned=True)
+    else:
+        chunk = chunk_sentences(F.col("raw_text"), size, overlap)
     cleaned = base.withColumn("raw_text", tx.clean_text("raw_text")).filter(F.col("raw_text") != "")
+    # chunks are joined from clean words, so they are T1-clean already
     exploded = cleaned.select(
         "row_id", "source_type", "source_file", "page_number",
-        F.posexplode(chunker(F.col("raw_text"), size, overlap)).alias("chunk_index", "chunk_text"),
-    ).filter(~tx.is_blank("chunk_text"))
-    gated = exploded.filter(passes_gates(F.col("chunk_text"), min_words, min_alpha))
+        F.posexplode(chunk).alias("chunk_index", "chunk_text"),
+    ).filter(F.col("chunk_text") != "")
+    t = F.col("chunk_text")
+    gated = exploded.filter((tx.clean_word_count(t) >= min_words) & (tx.clean_alpha_ratio(t) >= min_alpha)
+                            & ~tx.is_boilerplate(t))
     return gated.select(
         "row_id",
-        tx.hash_id("row_id", F.col("chunk_index").cast("int"), tx.clean_text("chunk_text")).alias("chunk_id"),
+        tx.hash_id("row_id", F.col("chunk_index").cast("int"), "chunk_text").alias("chunk_id"),
         F.col("chunk_index").cast("int").alias("chunk_index"),
-        tx.clean_text("chunk_text").alias("chunk_text"),
+        "chunk_text",
         "source_type",
         "source_file",
         F.col("page_number").cast("int").alias("page_number"),
