@@ -64,6 +64,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(fn, **bindings: Column) -> Column:
+    """Evaluate each binding once and hand them to ``fn`` as fields of one
+    lambda variable, so a large expression used in several branches is not
+    re-evaluated per use (conditional branches are not common-subexpression
+    eliminated)."""
+    bound = F.struct(*[v.alias(k) for k, v in bindings.items()])
+    return F.element_at(F.transform(F.array(bound), fn), 1)
+
+
 def strip_ws(c) -> Column:
     """Python str.strip(): drop leading/trailing Unicode whitespace."""
     return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
@@ -140,42 +149,49 @@ def extract_field(c, labels: Sequence[str], max_chars: int = 220, min_chars: int
         pat = f"(?i)\\b{lab.replace(' ', WS + '+')}\\b{WS}*[:\\-]{WS}*(.*)$"
         raw = F.regexp_extract(c, pat, 1)
         val = clean_text(F.substring(F.regexp_replace(raw, stop, ""), 1, max_chars))
-        out = F.coalesce(out, F.when(F.length(val) >= min_chars, val))
+        # try_element_at(filter(array(v), ...), 1): v is evaluated once, null if too short
+        out = F.coalesce(out, F.try_element_at(F.filter(F.array(val), lambda v: F.length(v) >= min_chars), F.lit(1)))
     return F.coalesce(out, F.lit(""))
 
 
 def structure_text(text, source_file=None, page_number=None) -> Column:
     """T5: a nine-part labelled monograph text from a noisy page (raw page
     text in, so the line filter sees real lines: D5)."""
-    filtered = clean_document_text(F.array_join(useful_lines(text), " "))
-    fields = {k: extract_field(filtered, labs) for k, labs in FIELD_LABELS.items()}
-    words = word_array(filtered)
-    first_sentence_words = word_array(F.substring_index(filtered, ".", 1))
-    ingredient = F.when(fields["ingredient"] != "", fields["ingredient"]).otherwise(
-        F.array_join(F.slice(first_sentence_words, 1, 8), " "))
-    uses = F.when(fields["uses"] != "", fields["uses"]).otherwise(
-        F.array_join(F.slice(words, 1, 40), " "))
+    src = (F.coalesce(F.nullif(_c(source_file), F.lit("")), F.lit(UNKNOWN_FILE))
+           if source_file is not None else F.lit(UNKNOWN_FILE))
+    page = (F.coalesce(_c(page_number).cast("string"), F.lit("unknown"))
+            if page_number is not None else F.lit("unknown"))
 
     def part(label: str, v: Column, default: str) -> Column:
         return F.when(v != "", F.concat(F.lit(f"{label}: "), v)).otherwise(F.lit(f"{label}: {default}"))
 
-    src = F.coalesce(F.nullif(_c(source_file), F.lit("")) if source_file is not None else None,
-                     F.lit(UNKNOWN_FILE)) if source_file is not None else F.lit(UNKNOWN_FILE)
-    page = (F.coalesce(_c(page_number).cast("string"), F.lit("unknown"))
-            if page_number is not None else F.lit("unknown"))
-    body = F.concat_ws(
-        " | ",
-        part("Ingredient", ingredient, "Unknown"),
-        part("Botanical Name", fields["botanical"], "Not specified"),
-        part("Characteristics", fields["characteristics"], "Not specified"),
-        part("Uses", uses, "Not specified"),
-        part("Kitchen Use", fields["kitchen_use"], "Not specified"),
-        part("Ayurvedic Use", fields["ayurvedic_use"], "Not specified"),
-        part("Remedies", fields["remedies"], "Not specified"),
-        F.concat(F.lit("Source File: "), src),
-        F.concat(F.lit("Page Number: "), page),
-    )
-    return F.when(filtered == "", F.lit("")).otherwise(clean_text(body))
+    def with_fields(b):
+        filtered = b["filtered"]
+        ingredient = F.when(b["ingredient"] != "", b["ingredient"]).otherwise(
+            F.array_join(F.slice(word_array(F.substring_index(filtered, ".", 1)), 1, 8), " "))
+        uses = F.when(b["uses"] != "", b["uses"]).otherwise(
+            F.array_join(F.slice(F.split(filtered, " "), 1, 40), " "))
+        body = F.concat_ws(
+            " | ",
+            part("Ingredient", ingredient, "Unknown"),
+            part("Botanical Name", b["botanical"], "Not specified"),
+            part("Characteristics", b["characteristics"], "Not specified"),
+            part("Uses", uses, "Not specified"),
+            part("Kitchen Use", b["kitchen_use"], "Not specified"),
+            part("Ayurvedic Use", b["ayurvedic_use"], "Not specified"),
+            part("Remedies", b["remedies"], "Not specified"),
+            F.concat(F.lit("Source File: "), b["src"]),
+            F.concat(F.lit("Page Number: "), b["page"]),
+        )
+        return F.when(filtered == "", F.lit("")).otherwise(clean_text(body))
+
+    def with_filtered(b):
+        f = b["filtered"]
+        fields = {k: extract_field(f, labs) for k, labs in FIELD_LABELS.items()}
+        return let(with_fields, filtered=f, src=b["src"], page=b["page"], **fields)
+
+    filtered = clean_document_text(F.array_join(useful_lines(text), " "))
+    return let(with_filtered, filtered=filtered, src=src, page=page)
 
 
 def with_source_header(text, source_file=None, page_number=None) -> Column:

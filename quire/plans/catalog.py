@@ -164,3 +164,48 @@ def q_retrieve(spark, sf_dir):
     cands = rt.attach(fused, chunks, cols=("chunk_text",))
     picked = rt.mmr(cands, rt.TOP_K, rt.MMR_LAMBDA)
     return picked.select(F.col("qid").alias("item_id"), F.col("iid").alias("chunk_id"), "score", "mmr_rank")
+
+
+# ---------------------------------------------------------------------------
+# pages and index sync
+# ---------------------------------------------------------------------------
+
+from quire.operators import index as ix  # noqa: E402
+from quire.sources import pages as pg  # noqa: E402
+
+
+def page_rows(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select(pg.url_document("url").alias("doc_url"), pg.url_page_number("url").alias("page_number"),
+                    pg.html_text("html").alias("page_text"))
+
+
+def q_page_documents(spark, sf_dir):
+    return pg.assemble_documents(page_rows(spark, sf_dir), "doc_url", "page_number", "page_text")
+
+
+def q_page_records(spark, sf_dir):
+    recs = pg.page_records(page_rows(spark, sf_dir), "raw", "doc_url", "page_number", "page_text")
+    return recs.select(F.col("doc_url").alias("source_file"), "page_number", "raw_text")
+
+
+def q_page_structured(spark, sf_dir):
+    recs = pg.page_records(page_rows(spark, sf_dir), "structured", "doc_url", "page_number", "page_text")
+    return recs.select(F.col("doc_url").alias("source_file"), "page_number", "raw_text")
+
+
+def _snapshots(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    old = d.select("doc_id", F.posexplode(chunk_words("text", 350, 90)).alias("chunk_index", "chunk_text"))
+    new = d.select("doc_id", F.posexplode(chunk_words("text", 400, 100)).alias("chunk_index", "chunk_text"))
+    return new, old
+
+
+def q_index_sync(spark, sf_dir):
+    new, old = _snapshots(spark, sf_dir)
+    return ix.diff_snapshots(new, old, ["doc_id", "chunk_index"], ["chunk_text"])
+
+
+def q_index_status(spark, sf_dir):
+    new, old = _snapshots(spark, sf_dir)
+    return ix.index_status(new, old, ["doc_id", "chunk_index"], ["chunk_text"])

@@ -54,19 +54,19 @@ def _boiler(t: str) -> str:
     return f"regexp_matches(lower({t}), {_q(BOILERPLATE_RE)})"
 
 
-def _chunk_words_cte(src: str, cols: str, size: int, overlap: int) -> str:
+def _chunk_words_cte(src: str, cols: str, size: int, overlap: int, prefix: str = "") -> str:
     """CTE body: rows of ``src`` (with cleaned text column t) exploded to
-    (cols..., chunk_index, chunk_text) by the C1 rule."""
+    (cols..., chunk_index, chunk_text) by the C1 rule, in CTE ``{prefix}c``."""
     step = max(size - overlap, 1)
     return f"""
-    w AS (SELECT {cols}, t, string_split(t, ' ') AS words FROM {src} WHERE t <> ''),
-    g AS (SELECT {cols}, t, words,
+    {prefix}w AS (SELECT {cols}, t, string_split(t, ' ') AS words FROM {src} WHERE t <> ''),
+    {prefix}g AS (SELECT {cols}, t, words,
                  unnest(generate_series(0, CASE WHEN len(words) <= {size} THEN 0
-                        ELSE CAST(ceil((len(words) - {size}) / {step}.0) AS BIGINT) END)) AS i FROM w),
-    c AS (SELECT {cols}, CAST(i AS INTEGER) AS chunk_index,
+                        ELSE CAST(ceil((len(words) - {size}) / {step}.0) AS BIGINT) END)) AS i FROM {prefix}w),
+    {prefix}c AS (SELECT {cols}, CAST(i AS INTEGER) AS chunk_index,
                  CASE WHEN len(words) <= {size} THEN t
                       ELSE array_to_string(words[i * {step} + 1 : i * {step} + {size}], ' ') END AS chunk_text
-          FROM g)"""
+          FROM {prefix}g)"""
 
 
 CLEAN_TEXT = f"SELECT doc_id, {clean('text')} AS text_clean FROM documents"
@@ -328,3 +328,79 @@ ORACLE.update({
     "bm25": BM25,
     "hybrid": HYBRID,
 })
+
+
+# ---------------------------------------------------------------------------
+# pages and index sync
+# ---------------------------------------------------------------------------
+
+from quire.sources.pages import HTML_ENTITIES  # noqa: E402
+
+
+def html_text(x: str) -> str:
+    e = f"coalesce({x}, '')"
+    e = (f"regexp_replace({e}, {_q(r'(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->')}, "
+         f"' ', 'g')")
+    e = f"regexp_replace({e}, '(?s)<[^>]*>', ' ', 'g')"
+    for ent, ch in HTML_ENTITIES:
+        e = f"replace({e}, {_q(ent)}, {_q(ch)})"
+    return clean(e)
+
+
+_PAGE_NO = r"regexp_extract(url, '[?&]page=(\d{1,9})(?:[&#]|$)', 1)"
+_PAGES = f"""
+p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS doc_url,
+             coalesce(CASE WHEN {_PAGE_NO} <> '' THEN CAST({_PAGE_NO} AS INTEGER) END, 1) AS page_number,
+             {html_text('html')} AS page_text
+      FROM pages)"""
+
+PAGE_DOCUMENTS = f"""
+WITH {_PAGES},
+k AS (SELECT doc_url, page_number, {_STRIPPED.replace('coalesce(text', 'coalesce(page_text')} AS x FROM p),
+f AS (SELECT * FROM k WHERE length(x) > 0)
+SELECT doc_url, CAST(count(*) AS INTEGER) AS page_count,
+       string_agg(x, chr(10) || chr(10) ORDER BY page_number, x) AS document_text
+FROM f GROUP BY doc_url
+"""
+
+PAGE_RECORDS = f"""
+WITH {_PAGES},
+c AS (SELECT doc_url, page_number, {clean_document('page_text')} AS cleaned FROM p),
+r AS (SELECT doc_url AS source_file, page_number,
+             CASE WHEN cleaned = '' THEN '' ELSE {clean("'Source File: ' || coalesce(nullif(doc_url, ''), 'unknown_file') || ' | Page Number: ' || CAST(page_number AS VARCHAR) || ' | ' || cleaned")} END
+               AS raw_text
+      FROM c)
+SELECT * FROM r WHERE length(trim(raw_text)) > 0
+"""
+
+_SYNC = f"""
+b AS (SELECT doc_id, {clean('text')} AS t FROM documents),
+{_chunk_words_cte('b', 'doc_id', 350, 90, 'o')},
+{_chunk_words_cte('b', 'doc_id', 400, 100, 'n')},
+ch AS (SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.chunk_index, o.chunk_index) AS chunk_index,
+              CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete'
+                   WHEN n.chunk_text <> o.chunk_text THEN 'update' ELSE 'unchanged' END AS op
+       FROM nc n FULL OUTER JOIN oc o ON n.doc_id = o.doc_id AND n.chunk_index = o.chunk_index)"""
+
+INDEX_SYNC = f"""
+WITH {_SYNC}
+SELECT doc_id, chunk_index, op FROM ch
+"""
+
+INDEX_STATUS = f"""
+WITH {_SYNC}
+SELECT CAST(sum(CASE WHEN op <> 'insert' THEN 1 ELSE 0 END) AS BIGINT) AS indexed,
+       CAST(sum(CASE WHEN op = 'insert' THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+       CAST(sum(CASE WHEN op = 'update' THEN 1 ELSE 0 END) AS BIGINT) AS stale,
+       CAST(sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) AS BIGINT) AS extra,
+       (sum(CASE WHEN op = 'insert' THEN 1 ELSE 0 END) = 0 AND sum(CASE WHEN op = 'update' THEN 1 ELSE 0 END) = 0)
+         AS ready
+FROM ch
+"""
+
+ORACLE.update({
+    "page_documents": PAGE_DOCUMENTS,
+    "page_records": PAGE_RECORDS,
+    "index_sync": INDEX_SYNC,
+    "index_status": INDEX_STATUS,
+})

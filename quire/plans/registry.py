@@ -26,6 +26,11 @@ QUERIES = {
     "bm25": c.q_bm25,
     "hybrid": c.q_hybrid,
     "retrieve": c.q_retrieve,
+    "page_documents": c.q_page_documents,
+    "page_records": c.q_page_records,
+    "page_structured": c.q_page_structured,
+    "index_sync": c.q_index_sync,
+    "index_status": c.q_index_status,
 }
 
 
