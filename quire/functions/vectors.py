@@ -49,12 +49,14 @@ class HashingEncoder:
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                out = []
-                for b in s.to_numpy():
-                    v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-                    n = np.sqrt(np.dot(v, v))
-                    out.append((v / n if n > 0 else v).astype(np.float32))
-                yield pd.Series(out)
+                lens = s.map(len).to_numpy()
+                flat = (np.concatenate([np.asarray(b, dtype=np.int64) for b in s.to_numpy()])
+                        if len(s) else np.zeros(0, dtype=np.int64))
+                rows = np.repeat(np.arange(len(s)), lens)
+                m = np.bincount(rows * dim + flat, minlength=len(s) * dim).reshape(len(s), dim).astype(np.float64)
+                n = np.sqrt(np.einsum("ij,ij->i", m, m))
+                m = np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
+                yield pd.Series(list(m.astype(np.float32)))
 
         return encode
 

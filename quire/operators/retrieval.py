@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.vectors import terms
-from quire.operators.topk import bm25_scorer, cell_top_k, cosine_scorer
+from quire.operators.topk import FILTER_COL, TYPE_COL, bm25_scorer, cell_top_k, cosine_scorer
 
 # BM25 parameters, reciprocal-rank-fusion constant, MMR
 # defaults (top_k 5, fetch_k max(20, 4 * top_k), lambda 0.5).
@@ -28,20 +28,28 @@ def fetch_k_for(top_k: int) -> int:
     return max(FETCH_K, 4 * top_k)
 
 
+def _opt(col: str | None, alias: str) -> list:
+    return [F.col(col).alias(alias)] if col else []
+
+
 def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str,
-        qvec: str = "qvec", vec: str = "embedding", exclude_self: bool = False, **kw) -> DataFrame:
-    """Exact top-k items by cosine similarity for every query vector."""
-    q = queries.select(F.col(query_id), F.col(qvec).alias("qvec"))
-    i = items.select(F.col(item_id), F.col(vec).alias("embedding"))
+        qvec: str = "qvec", vec: str = "embedding", exclude_self: bool = False,
+        query_filter: str | None = None, item_type: str | None = None, **kw) -> DataFrame:
+    """Exact top-k items by cosine similarity for every query vector.
+    With ``query_filter``/``item_type`` a pair counts only when the query's
+    filter is null or equals the item's type (P11)."""
+    q = queries.select(F.col(query_id), F.col(qvec).alias("qvec"), *_opt(query_filter, FILTER_COL))
+    i = items.select(F.col(item_id), F.col(vec).alias("embedding"), *_opt(item_type, TYPE_COL))
     return cell_top_k(i, q, cosine_scorer(k, exclude_self=exclude_self), k, item_id, query_id, **kw)
 
 
-def keyword_stats(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, float, float]:
+def keyword_stats(docs: DataFrame, doc_id: str, text: str, item_type: str | None = None
+                  ) -> tuple[DataFrame, float, float]:
     """(doc terms, number of docs, average doc length in terms).
 
     The two scalars come from one aggregate row; the term frame stays lazy.
     """
-    toks = docs.select(F.col(doc_id), terms(text).alias("toks"))
+    toks = docs.select(F.col(doc_id), terms(text).alias("toks"), *_opt(item_type, TYPE_COL))
     row = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
     return toks, float(row["n"]), float(row["avgdl"] or 0.0)
 
@@ -55,19 +63,22 @@ def document_frequency(toks: DataFrame, doc_id: str, vocab: DataFrame) -> DataFr
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str,
-         doc_id: str, doc_text: str, k1: float = BM25_K1, b: float = BM25_B, **kw) -> DataFrame:
+         doc_id: str, doc_text: str, k1: float = BM25_K1, b: float = BM25_B,
+         query_filter: str | None = None, item_type: str | None = None, **kw) -> DataFrame:
     """Exact BM25 top-k.
 
     Terms are ``[\\p{L}\\p{N}']+`` of the lower-cased text; each distinct query
     term counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
-    toks, n_docs, avgdl = keyword_stats(docs, doc_id, doc_text)
-    qterms = queries.select(F.col(query_id), F.explode(F.array_distinct(terms(query_text))).alias("term"))
+    toks, n_docs, avgdl = keyword_stats(docs, doc_id, doc_text, item_type)
+    qterms = queries.select(F.col(query_id), *_opt(query_filter, FILTER_COL),
+                            F.explode(F.array_distinct(terms(query_text))).alias("term"))
     vocab = qterms.select("term").distinct()
     df_t = document_frequency(toks, doc_id, vocab)
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # df_t has one row per query term, bounded by the query side.
-    qw = qterms.join(df_t, "term").select(query_id, "term", idf.alias("idf"))
+    qw = qterms.join(df_t, "term").select(query_id, "term", idf.alias("idf"),
+                                          *([FILTER_COL] if query_filter else []))
     return cell_top_k(toks, qw, bm25_scorer(k1, b, avgdl if avgdl > 0 else 1.0), k, doc_id, query_id, **kw)
 
 
@@ -143,14 +154,17 @@ def mmr_select(texts: list[str], scores: list[float | None], top_k: int, lam: fl
     return picked
 
 
-def mmr(cands: DataFrame, top_k: int = TOP_K, lam: float = MMR_LAMBDA, text_col: str = "chunk_text") -> DataFrame:
+def mmr(cands: DataFrame, top_k: int = TOP_K, lam: float = MMR_LAMBDA, text_col: str = "chunk_text",
+        top_k_col: str | None = None) -> DataFrame:
     """M1: re-rank each query's candidates (qid, iid, score, rank, text) and
-    keep ``top_k``; adds ``mmr_rank``. Groups are bounded by fetch_k."""
+    keep ``top_k`` (or the per-query ``top_k_col``); adds ``mmr_rank``.
+    Groups are bounded by fetch_k."""
     schema = T.StructType([f for f in cands.schema.fields] + [T.StructField("mmr_rank", T.IntegerType())])
 
     def per_query(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "iid"], kind="mergesort").reset_index(drop=True)
-        order = mmr_select(pdf[text_col].tolist(), pdf["score"].tolist(), top_k, lam)
+        kq = int(pdf[top_k_col].iloc[0]) if top_k_col and len(pdf) else top_k
+        order = mmr_select(pdf[text_col].tolist(), pdf["score"].tolist(), kq, lam)
         out = pdf.iloc[order].copy()
         out["mmr_rank"] = np.arange(1, len(order) + 1, dtype=np.int32)
         return out

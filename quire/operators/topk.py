@@ -157,6 +157,17 @@ def cell_top_k(items: DataFrame, queries: DataFrame, scorer: Scorer, k: int,
 # scorers
 # ---------------------------------------------------------------------------
 
+# Optional per-query source filter: queries may carry FILTER_COL, items
+# TYPE_COL; a pair scores only when the filter is null or equals the type.
+FILTER_COL, TYPE_COL = "_source_filter", "_source_type"
+
+
+def _allowed(filters: np.ndarray, types: np.ndarray) -> np.ndarray:
+    f = filters.astype(object)[:, None]
+    t = types.astype(object)[None, :]
+    return pd.isna(f) | (f == t)
+
+
 def _matrix(col: pd.Series) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, 0))
@@ -181,6 +192,8 @@ def cosine_scorer(k_hint: int, vec_col: str = "embedding", qvec_col: str = "qvec
         iids = items["iid"].to_numpy()
         if exclude_self:
             s = np.where(qids[:, None] == iids[None, :], -np.inf, s)
+        if FILTER_COL in queries.columns and TYPE_COL in items.columns:
+            s = np.where(_allowed(queries[FILTER_COL].to_numpy(), items[TYPE_COL].to_numpy()), s, -np.inf)
         if s.shape[1] > k_hint:
             kth = np.partition(s, -k_hint, axis=1)[:, -k_hint]
             qi, ii = np.nonzero(s >= kth[:, None])
@@ -208,7 +221,13 @@ def bm25_scorer(k1: float = 1.2, b: float = 0.75, avgdl: float = 1.0, digits: in
         tf = ex.groupby(["iid", "term"], sort=False).size().rename("tf").reset_index()
         lens = pd.Series(dl, index=items["iid"].to_numpy())
         tf["dl"] = lens.reindex(tf["iid"].to_numpy()).to_numpy()
-        m = tf.merge(queries[["qid", "term", "idf"]], on="term")
+        qcols = ["qid", "term", "idf"] + ([FILTER_COL] if FILTER_COL in queries.columns else [])
+        m = tf.merge(queries[qcols], on="term")
+        if FILTER_COL in m.columns and TYPE_COL in items.columns:
+            types = pd.Series(items[TYPE_COL].to_numpy(), index=items["iid"].to_numpy())
+            st = types.reindex(m["iid"].to_numpy()).to_numpy()
+            f = m[FILTER_COL].to_numpy()
+            m = m[pd.isna(f) | (f == st)]
         m["score"] = m["idf"] * m["tf"] * (k1 + 1.0) / (m["tf"] + k1 * (1.0 - b + b * m["dl"] / avgdl))
         out = m.groupby(["qid", "iid"], sort=False)["score"].sum().reset_index()
         out["score"] = out["score"].round(digits)

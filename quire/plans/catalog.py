@@ -132,7 +132,10 @@ def q_knn_self(spark, sf_dir):
 
 
 def corpus_chunks(spark, sf_dir):
-    return q_build_chunks(spark, sf_dir)
+    """The chunk corpus every retrieval plan searches, written once per plan
+    to the checkpoint folder so its several readers do not rebuild it."""
+    from quire.session import materialize
+    return materialize(q_build_chunks(spark, sf_dir), "chunks")
 
 
 def q_bm25(spark, sf_dir):
@@ -209,3 +212,29 @@ def q_index_sync(spark, sf_dir):
 def q_index_status(spark, sf_dir):
     new, old = _snapshots(spark, sf_dir)
     return ix.index_status(new, old, ["doc_id", "chunk_index"], ["chunk_text"])
+
+
+# ---------------------------------------------------------------------------
+# prompts and batch answers
+# ---------------------------------------------------------------------------
+
+from quire.operators import answer as an  # noqa: E402
+
+
+def q_prompts(spark, sf_dir):
+    """G1 over keyword hits: benchmark questions x top-5 BM25 chunks."""
+    chunks = corpus_chunks(spark, sf_dir)
+    bench = table(spark, sf_dir, "benchmark")
+    hits = rt.bm25(bench, chunks.select("chunk_id", "chunk_text"), rt.TOP_K, "item_id", "text",
+                   "chunk_id", "chunk_text")
+    ctx = rt.attach(hits, chunks, cols=("chunk_text", "source_file", "page_number"))
+    return an.build_prompts(bench.select("item_id", "text"), ctx, "item_id", "text").select("item_id", "prompt")
+
+
+def q_ask_batch(spark, sf_dir):
+    """Every user turn of conversations answered from the document chunks."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    qs = conv.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+    res = an.ask_batch(qs, corpus_chunks(spark, sf_dir))
+    return res.select("question_id", "answer", "language", "detected_language",
+                      F.size("sources").alias("n_sources"), "reason")

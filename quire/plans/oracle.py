@@ -404,3 +404,20 @@ ORACLE.update({
     "index_sync": INDEX_SYNC,
     "index_status": INDEX_STATUS,
 })
+
+
+from quire.operators.answer import PROMPT_TAIL  # noqa: E402
+
+PROMPTS = f"""
+WITH {_chunks_cte()},
+{bm25_ctes(5)},
+ctx AS (SELECT kw.item_id, string_agg('[Source: ' || coalesce(k.source_file, 'unknown') || ', Page: '
+                                      || coalesce(CAST(k.page_number AS VARCHAR), 'None') || '] ' || k.chunk_text,
+                                      chr(10) || chr(10) ORDER BY kw.rank) AS block
+        FROM kw JOIN k USING (chunk_id) GROUP BY kw.item_id)
+SELECT b.item_id, 'Context:' || chr(10) || CASE WHEN coalesce(ctx.block, '') = '' THEN '(no context)' ELSE ctx.block END
+       || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || {_q(PROMPT_TAIL)} AS prompt
+FROM benchmark b LEFT JOIN ctx USING (item_id)
+"""
+
+ORACLE["prompts"] = PROMPTS

@@ -31,6 +31,8 @@ QUERIES = {
     "page_structured": c.q_page_structured,
     "index_sync": c.q_index_sync,
     "index_status": c.q_index_status,
+    "prompts": c.q_prompts,
+    "ask_batch": c.q_ask_batch,
 }
 
 

@@ -50,3 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
+
+
+def materialize(df, label: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: later stages reuse it instead of recomputing its lineage,
+    and a lost executor only loses work done after this point."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
