@@ -20,6 +20,7 @@ from quire.functions.text import _c, red_flag
 from quire.functions.vectors import HashingEncoder, embed
 from quire.operators import retrieval as rt
 from quire.operators.rules import validate_questions
+from quire.session import materialize
 
 # Fixed texts.
 MEDICAL_DISCLAIMER = (
@@ -206,7 +207,9 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     vec_hits = rt.knn(qv, cvec, fetch_k, qid, "chunk_id", query_filter="source_filter", item_type="source_type")
     kw_hits = rt.bm25(clear.select(qid, "english_question", "source_filter"), ch, fetch_k, qid, "english_question",
                       "chunk_id", "chunk_text", query_filter="source_filter", item_type="source_type")
-    fused = rt.hybrid(vec_hits, kw_hits, fetch_k)
+    # the fused list is small (questions x fetch_k): write it once so the
+    # size check, the join and the MMR stage do not re-run retrieval
+    fused = materialize(rt.hybrid(vec_hits, kw_hits, fetch_k), "hits")
     cands = rt.attach(fused, ch, cols=("chunk_text", "source_file", "page_number"))
     picked = rt.mmr(cands, top_k, lam)
 

@@ -79,7 +79,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
     # df_t has one row per query term, bounded by the query side.
     qw = qterms.join(df_t, "term").select(query_id, "term", idf.alias("idf"),
                                           *([FILTER_COL] if query_filter else []))
-    return cell_top_k(toks, qw, bm25_scorer(k1, b, avgdl if avgdl > 0 else 1.0), k, doc_id, query_id, **kw)
+    return cell_top_k(toks, qw, bm25_scorer(k, k1, b, avgdl if avgdl > 0 else 1.0), k, doc_id, query_id, **kw)
 
 
 def rrf(lists: list[DataFrame], k: int, c: int = RRF_K) -> DataFrame:

@@ -71,13 +71,15 @@ def _query_blocks(qpdf: pd.DataFrame, block_rows: int) -> list[pd.DataFrame]:
     return [qpdf[codes == i].reset_index(drop=True) for i in range(n) if (codes == i).any()]
 
 
-def _score_items(ipdf: pd.DataFrame, qblocks: list[pd.DataFrame], scorer: Scorer, k: int,
+def _score_items(ipdf: pd.DataFrame, qblocks: list[pd.DataFrame], scorer, k: int,
                  batch_rows: int, best: pd.DataFrame | None) -> pd.DataFrame | None:
-    """Fold one item frame into the running per-query top-k."""
+    """Fold one item frame into the running per-query top-k. A scorer with a
+    ``prepare`` step builds its per-batch item state once for all blocks."""
     for start in range(0, len(ipdf), batch_rows):
         chunk = ipdf.iloc[start:start + batch_rows].reset_index(drop=True)
+        state = scorer.prepare(chunk, qblocks) if hasattr(scorer, "prepare") else chunk
         for qb in qblocks:
-            part = top_k_frame(scorer(chunk, qb), k)
+            part = top_k_frame(scorer(state, qb), k)
             if part.empty:
                 continue
             best = part if best is None else top_k_frame(pd.concat([best, part], ignore_index=True), k)
@@ -174,63 +176,99 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
-def cosine_scorer(k_hint: int, vec_col: str = "embedding", qvec_col: str = "qvec", digits: int = 6,
-                  exclude_self: bool = False) -> Scorer:
+def _candidates(s: np.ndarray, qids: np.ndarray, iids: np.ndarray, k: int) -> pd.DataFrame:
+    """Pairs of a (queries x items) score matrix that can be in a top-k:
+    per row every finite score >= the row's k-th best (ties kept, so the
+    id tie-break downstream stays exact)."""
+    if s.size == 0:
+        return pd.DataFrame({"qid": qids[:0], "iid": iids[:0], "score": np.zeros(0)})
+    if s.shape[1] > k:
+        kth = np.partition(s, -k, axis=1)[:, -k]
+        qi, ii = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+    else:
+        qi, ii = np.nonzero(np.isfinite(s))
+    return pd.DataFrame({"qid": qids[qi], "iid": iids[ii], "score": s[qi, ii]})
+
+
+class CosineScorer:
     """Cosine similarity, zero norm -> 0 (M2), rounded to ``digits`` so
     equal-looking scores tie and break on the item id."""
 
-    def score(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        a = _matrix(items[vec_col])
-        q = _matrix(queries[qvec_col])
-        an = np.linalg.norm(a, axis=1)
-        qn = np.linalg.norm(q, axis=1)
-        denom = np.outer(qn, an)
+    def __init__(self, k: int, vec_col: str = "embedding", qvec_col: str = "qvec", digits: int = 6,
+                 exclude_self: bool = False):
+        self.k, self.vec_col, self.qvec_col, self.digits, self.exclude_self = k, vec_col, qvec_col, digits, exclude_self
+
+    def prepare(self, items: pd.DataFrame, qblocks) -> dict:
+        a = _matrix(items[self.vec_col])
+        return {"a": a, "an": np.linalg.norm(a, axis=1) if a.size else np.zeros(len(items)),
+                "iids": items["iid"].to_numpy(),
+                "types": items[TYPE_COL].to_numpy() if TYPE_COL in items.columns else None}
+
+    def __call__(self, st: dict, queries: pd.DataFrame) -> pd.DataFrame:
+        q = _matrix(queries[self.qvec_col])
+        qids, iids = queries["qid"].to_numpy(), st["iids"]
+        if q.size == 0 or st["a"].size == 0:
+            return _candidates(np.zeros((len(qids), 0)), qids, iids, self.k)
+        denom = np.outer(np.linalg.norm(q, axis=1), st["an"])
         with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(denom == 0.0, 0.0, (q @ a.T) / denom)
-        s = np.round(s, digits)
-        qids = queries["qid"].to_numpy()
-        iids = items["iid"].to_numpy()
-        if exclude_self:
+            s = np.where(denom == 0.0, 0.0, (q @ st["a"].T) / denom)
+        s = np.round(s, self.digits)
+        if self.exclude_self:
             s = np.where(qids[:, None] == iids[None, :], -np.inf, s)
-        if FILTER_COL in queries.columns and TYPE_COL in items.columns:
-            s = np.where(_allowed(queries[FILTER_COL].to_numpy(), items[TYPE_COL].to_numpy()), s, -np.inf)
-        if s.shape[1] > k_hint:
-            kth = np.partition(s, -k_hint, axis=1)[:, -k_hint]
-            qi, ii = np.nonzero(s >= kth[:, None])
-        else:
-            qi, ii = np.nonzero(np.isfinite(s))
-        keep = np.isfinite(s[qi, ii])
-        qi, ii = qi[keep], ii[keep]
-        return pd.DataFrame({"qid": qids[qi], "iid": iids[ii], "score": s[qi, ii]})
-
-    return score
-
-
-def bm25_scorer(k1: float = 1.2, b: float = 0.75, avgdl: float = 1.0, digits: int = 6) -> Scorer:
-    """BM25 of items (iid, toks array) against query term rows (qid, term, idf)."""
-
-    def score(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        dl = items["toks"].map(len).to_numpy()
-        ex = pd.DataFrame({"iid": np.repeat(items["iid"].to_numpy(), dl),
-                           "term": np.concatenate([np.asarray(t, dtype=object) for t in items["toks"]])
-                           if len(items) else np.array([], dtype=object)})
-        vocab = set(queries["term"])
-        ex = ex[ex["term"].isin(vocab)]
-        if ex.empty:
-            return pd.DataFrame({"qid": [], "iid": [], "score": []})
-        tf = ex.groupby(["iid", "term"], sort=False).size().rename("tf").reset_index()
-        lens = pd.Series(dl, index=items["iid"].to_numpy())
-        tf["dl"] = lens.reindex(tf["iid"].to_numpy()).to_numpy()
-        qcols = ["qid", "term", "idf"] + ([FILTER_COL] if FILTER_COL in queries.columns else [])
-        m = tf.merge(queries[qcols], on="term")
-        if FILTER_COL in m.columns and TYPE_COL in items.columns:
-            types = pd.Series(items[TYPE_COL].to_numpy(), index=items["iid"].to_numpy())
-            st = types.reindex(m["iid"].to_numpy()).to_numpy()
-            f = m[FILTER_COL].to_numpy()
-            m = m[pd.isna(f) | (f == st)]
-        m["score"] = m["idf"] * m["tf"] * (k1 + 1.0) / (m["tf"] + k1 * (1.0 - b + b * m["dl"] / avgdl))
-        out = m.groupby(["qid", "iid"], sort=False)["score"].sum().reset_index()
-        out["score"] = out["score"].round(digits)
-        return out
-
-    return score
+        if FILTER_COL in queries.columns and st["types"] is not None:
+            s = np.where(_allowed(queries[FILTER_COL].to_numpy(), st["types"]), s, -np.inf)
+        return _candidates(s, qids, iids, self.k)
+
+
+def cosine_scorer(k_hint: int, vec_col: str = "embedding", qvec_col: str = "qvec", digits: int = 6,
+                  exclude_self: bool = False) -> CosineScorer:
+    return CosineScorer(k_hint, vec_col, qvec_col, digits, exclude_self)
+
+
+class BM25Scorer:
+    """BM25 of items (iid, toks array) against query term rows (qid, term,
+    idf). Per item batch the term weights are computed once over the query
+    vocabulary; each query block is then one dense matmul over its own
+    terms. Only pairs sharing a term rank."""
+
+    def __init__(self, k: int, k1: float = 1.2, b: float = 0.75, avgdl: float = 1.0, digits: int = 6):
+        self.k, self.k1, self.b, self.avgdl, self.digits = k, k1, b, avgdl, digits
+
+    def prepare(self, items: pd.DataFrame, qblocks) -> dict:
+        vocab = pd.Index(pd.unique(np.concatenate([qb["term"].to_numpy(dtype=object) for qb in qblocks])))
+        toks = items["toks"].to_numpy()
+        dl = np.fromiter((len(t) for t in toks), dtype=np.int64, count=len(toks))
+        flat = np.concatenate([np.asarray(t, dtype=object) for t in toks]) if dl.sum() else np.array([], dtype=object)
+        codes = vocab.get_indexer(flat) if len(flat) else np.zeros(0, dtype=np.int64)
+        rows = np.repeat(np.arange(len(toks)), dl)
+        keep = codes >= 0
+        key = rows[keep] * max(len(vocab), 1) + codes[keep]
+        uk, tf = np.unique(key, return_counts=True)
+        r, c = uk // max(len(vocab), 1), uk % max(len(vocab), 1)
+        tf = tf.astype(np.float64)
+        w = tf * (self.k1 + 1.0) / (tf + self.k1 * (1.0 - self.b + self.b * dl[r] / self.avgdl))
+        return {"vocab": vocab, "r": r, "c": c, "w": w, "n": len(toks), "iids": items["iid"].to_numpy(),
+                "types": items[TYPE_COL].to_numpy() if TYPE_COL in items.columns else None}
+
+    def __call__(self, st: dict, queries: pd.DataFrame) -> pd.DataFrame:
+        qcodes = st["vocab"].get_indexer(queries["term"].to_numpy(dtype=object))
+        qidx, qids = pd.factorize(queries["qid"])
+        qids = np.asarray(qids)
+        bcodes, local = np.unique(qcodes, return_inverse=True)
+        qm = np.zeros((len(qids), len(bcodes)))
+        np.add.at(qm, (qidx, local), queries["idf"].to_numpy(dtype=np.float64))
+        pos = np.searchsorted(bcodes, st["c"])
+        pos_c = np.minimum(pos, max(len(bcodes) - 1, 0))
+        hit = (len(bcodes) > 0) & (bcodes[pos_c] == st["c"]) if len(bcodes) else np.zeros(len(st["c"]), bool)
+        dm = np.zeros((st["n"], len(bcodes)))
+        dm[st["r"][hit], pos_c[hit]] = st["w"][hit]
+        raw = qm @ dm.T
+        s = np.where(raw > 0.0, np.round(raw, self.digits), -np.inf)
+        if FILTER_COL in queries.columns and st["types"] is not None:
+            filt = queries.groupby(qidx, sort=True)[FILTER_COL].first().to_numpy()
+            s = np.where(_allowed(filt, st["types"]), s, -np.inf)
+        return _candidates(s, qids, st["iids"], self.k)
+
+
+def bm25_scorer(k: int, k1: float = 1.2, b: float = 0.75, avgdl: float = 1.0, digits: int = 6) -> BM25Scorer:
+    return BM25Scorer(k, k1, b, avgdl, digits)

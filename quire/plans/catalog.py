@@ -163,8 +163,9 @@ def q_hybrid(spark, sf_dir):
 
 def q_retrieve(spark, sf_dir):
     """M4: hybrid fetch_k candidates -> attach text -> MMR top_k."""
+    from quire.session import materialize
     fused, chunks = _hybrid_hits(spark, sf_dir, rt.fetch_k_for(rt.TOP_K))
-    cands = rt.attach(fused, chunks, cols=("chunk_text",))
+    cands = rt.attach(materialize(fused, "hits"), chunks, cols=("chunk_text",))
     picked = rt.mmr(cands, rt.TOP_K, rt.MMR_LAMBDA)
     return picked.select(F.col("qid").alias("item_id"), F.col("iid").alias("chunk_id"), "score", "mmr_rank")
 
@@ -227,7 +228,8 @@ def q_prompts(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark")
     hits = rt.bm25(bench, chunks.select("chunk_id", "chunk_text"), rt.TOP_K, "item_id", "text",
                    "chunk_id", "chunk_text")
-    ctx = rt.attach(hits, chunks, cols=("chunk_text", "source_file", "page_number"))
+    from quire.session import materialize
+    ctx = rt.attach(materialize(hits, "hits"), chunks, cols=("chunk_text", "source_file", "page_number"))
     return an.build_prompts(bench.select("item_id", "text"), ctx, "item_id", "text").select("item_id", "prompt")
 
 
