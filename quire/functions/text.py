@@ -73,6 +73,14 @@ def let(fn, **bindings: Column) -> Column:
     return F.element_at(F.transform(F.array(bound), fn), 1)
 
 
+def keep_where(df, cond: Column):
+    """``df.filter(cond)`` evaluated where the rows are, never pushed below
+    an earlier repartition: the condition sits in a generator, which the
+    optimizer does not push into the scan. Use it for conditions on costly
+    text expressions computed after :func:`quire.sources.files.spread`."""
+    return df.withColumn("_keep", F.explode(F.filter(F.array(F.lit(True)), lambda _x: cond))).drop("_keep")
+
+
 def strip_ws(c) -> Column:
     """Python str.strip(): drop leading/trailing Unicode whitespace."""
     return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")

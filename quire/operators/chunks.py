@@ -87,7 +87,8 @@ def build_chunks(base: DataFrame, size: int = 350, overlap: int = 90, min_words:
         chunk = chunk_words(F.col("raw_text"), size, overlap, cleaned=True)
     else:
         chunk = chunk_sentences(F.col("raw_text"), size, overlap)
-    cleaned = base.withColumn("raw_text", tx.clean_text("raw_text")).filter(F.col("raw_text") != "")
+    # blank text yields no chunks, so no filter is needed before chunking
+    cleaned = base.withColumn("raw_text", tx.clean_text("raw_text"))
     # chunks are joined from clean words, so they are T1-clean already
     exploded = cleaned.select(
         "row_id", "source_type", "source_file", "page_number",

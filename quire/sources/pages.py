@@ -140,7 +140,7 @@ def assemble_documents(pages: DataFrame, doc_col: str = "source_file", page_col:
     sort happens inside the aggregate, not globally.
     """
     key = [F.col(page_col).alias("p")] + ([F.col(tie_col).alias("t")] if tie_col else [])
-    kept = pages.filter(~tx.is_blank(text_col))
+    kept = tx.keep_where(pages, ~tx.is_blank(text_col))
     agg = kept.groupBy(doc_col).agg(
         F.array_sort(F.collect_list(F.struct(*key, tx.strip_ws(text_col).alias("x")))).alias("_pages"),
         F.count(F.lit(1)).alias("page_count"))
@@ -161,8 +161,8 @@ def page_records(pages: DataFrame, strategy: str = "raw", doc_col: str = "source
         raw = tx.structure_text(F.col(text_col), F.col(doc_col), F.col(page_col))
     else:
         raise ValueError("strategy must be 'raw' or 'structured'")
-    return (pages.select(doc_col, page_col, raw.alias("raw_text"))
-            .filter(F.length(F.trim("raw_text")) > 0))
+    recs = pages.select(doc_col, page_col, raw.alias("raw_text"))
+    return tx.keep_where(recs, F.length(F.trim("raw_text")) > 0)
 
 
 def decode_entities(s: str) -> str:
