@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import _c, strip_ws
+from quire.functions.text import _c, let, strip_ws
 
 # Fixed values: (code, name, first code point, last code point) per script.
 SCRIPT_RANGES = [
@@ -42,16 +42,35 @@ def _range_class(lo: int, hi: int) -> str:
 
 
 def script_counts(c) -> Column:
-    """array<struct<n, neg_first, code>> with one entry per script."""
-    text = F.coalesce(_c(c), F.lit(""))
-    items = []
-    for code, _name, lo, hi in SCRIPT_RANGES:
-        cls = _range_class(lo, hi)
-        n = F.length(F.regexp_replace(text, f"[^{cls}]", ""))
-        # characters before the first one of this script
-        first = F.length(F.regexp_extract(text, f"^[^{cls}]*", 0))
-        items.append(F.struct(n.alias("n"), (-first).alias("neg_first"), F.lit(code).alias("code")))
-    return F.array(*items)
+    """array<struct<n, neg_first, code>> with one entry per script.
+
+    One regex pass keeps only Indic/Arabic characters (usually none), then
+    each kept character maps to its script index; counts and first
+    positions come from that short array.
+    """
+    keep = "".join(_range_class(lo, hi) for _c2, _n, lo, hi in SCRIPT_RANGES)
+    kept = F.regexp_replace(F.coalesce(_c(c), F.lit("")), f"[^{keep}]", "")
+
+    def script_index(ch):
+        cp = F.ascii(ch)
+        idx = F.lit(-1)
+        for i, (_code, _name, lo, hi) in enumerate(SCRIPT_RANGES):
+            idx = F.when((cp >= lo) & (cp <= hi), F.lit(i)).otherwise(idx)
+        return idx
+
+    def equals(i):
+        return lambda x: x == i
+
+    def body(b):
+        ids = b["ids"]
+        return F.array(*[
+            F.struct(F.size(F.filter(ids, equals(i))).alias("n"),
+                     (-F.array_position(ids, i)).cast("int").alias("neg_first"),
+                     F.lit(code).alias("code"))
+            for i, (code, _name, _lo, _hi) in enumerate(SCRIPT_RANGES)])
+
+    ids = F.transform(F.filter(F.split(kept, ""), lambda ch: ch != ""), script_index)
+    return let(body, ids=ids)
 
 
 def detect_language(c) -> Column:
