@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.vectors import terms
-from quire.operators.topk import FILTER_COL, TYPE_COL, bm25_scorer, cell_top_k, cosine_scorer
+from quire.operators.topk import (FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k,
+                                  cosine_scorer, keyed_partial_top_k)
 
 # BM25 parameters, reciprocal-rank-fusion constant, MMR
 # defaults (top_k 5, fetch_k max(20, 4 * top_k), lambda 0.5).
@@ -43,6 +44,63 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: st
     return cell_top_k(i, q, cosine_scorer(k, exclude_self=exclude_self), k, item_id, query_id, **kw)
 
 
+def lsh_signature(dim: int, tables: int, bits: int, seed: int):
+    """Random-hyperplane (SimHash) bucket per table: a pandas UDF
+    array<float> -> array<int> of length ``tables``. The planes are a
+    bounded (tables x bits x dim) constant drawn from ``seed``."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    weights = (1 << np.arange(bits)).astype(np.int64)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def sig(vs: pd.Series) -> pd.Series:
+        m = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else np.zeros((0, dim))
+        proj = np.einsum("tbd,nd->ntb", planes, m) > 0.0
+        return pd.Series(list((proj.astype(np.int64) * weights).sum(axis=2).astype(np.int32)))
+
+    return sig
+
+
+def knn_lsh(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str,
+            qvec: str = "qvec", vec: str = "embedding", tables: int = 16, bits: int = 4, seed: int = 17,
+            max_cell: int = 20_000, exclude_self: bool = False) -> DataFrame:
+    """Approximate top-k by cosine. Items and queries are bucketed by
+    SimHash signatures in ``tables`` tables; candidates are the items sharing
+    a bucket with the query, scored exactly. A bucket holding more than
+    ``max_cell`` items is split into salted cells (the query side is
+    replicated to each), so a hot bucket never lands in one task. The
+    bucket-size table has at most ``tables * 2**bits`` rows."""
+    from quire.session import materialize
+
+    spark = items.sparkSession
+    dim = len(items.select(vec).first()[0])
+    sig = lsh_signature(dim, tables, bits, seed)
+    width = 1 << bits
+
+    def keyed(df, id_col, v, alias):
+        return (df.select(F.col(id_col).alias(alias), F.col(v).alias("_v"), F.posexplode(sig(F.col(v))).alias("_t", "_b"))
+                .withColumn("_key", F.col("_t") * width + F.col("_b")).drop("_t", "_b"))
+
+    ik = materialize(keyed(items, item_id, vec, "iid").withColumnRenamed("_v", "embedding"), "lsh_index")
+    qk = keyed(queries, query_id, qvec, "qid").withColumnRenamed("_v", "qvec")
+    sizes = [(r["_key"], max(1, -(-r["n"] // max_cell))) for r in
+             ik.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).collect()]
+    salts = F.broadcast(spark.createDataFrame(sizes, "_key int, _s long"))
+    ik = ik.join(salts, "_key").withColumn("_salt", F.pmod(F.xxhash64("iid"), F.col("_s")).cast("int"))
+    qk = qk.join(salts, "_key").withColumn("_salt", F.explode(F.sequence(F.lit(0), (F.col("_s") - 1).cast("int"))))
+    schema = _out_schema(queries.schema[query_id].dataType, items.schema[item_id].dataType)
+    partial = keyed_partial_top_k(ik.drop("_s"), qk.drop("_s"), ["_key", "_salt"],
+                                  cosine_scorer(k, exclude_self=exclude_self), k, schema)
+    best = partial.groupBy("qid", "iid").agg(F.max("score").alias("score"))
+    return _merge(best, k)
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of exact top-k (qid, iid) pairs the approximate list found."""
+    hit = exact.select("qid", "iid").join(approx.select("qid", "iid", F.lit(1).alias("_h")), ["qid", "iid"], "left")
+    return hit.agg(F.countDistinct("qid").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"),
+                   (F.sum(F.coalesce("_h", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
+
+
 def keyword_stats(docs: DataFrame, doc_id: str, text: str, item_type: str | None = None
                   ) -> tuple[DataFrame, float, float]:
     """(doc terms, number of docs, average doc length in terms).

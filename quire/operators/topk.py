@@ -140,6 +140,17 @@ def cell_top_k(items: DataFrame, queries: DataFrame, scorer: Scorer, k: int,
     i_rep = (items.withColumn("_cb", F.pmod(F.xxhash64("iid"), F.lit(cb)).cast("int"))
              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
 
+    return _merge(keyed_partial_top_k(i_rep, q_rep, ["_qb", "_cb"], scorer, k, schema,
+                                      query_block_rows, batch_rows), k)
+
+
+def keyed_partial_top_k(items: DataFrame, queries: DataFrame, keys: list[str], scorer, k: int,
+                        schema: T.StructType, query_block_rows: int = 2048,
+                        batch_rows: int = 2048) -> DataFrame:
+    """Cogroup items and queries on ``keys``; each group emits at most k
+    rows per query (qid, iid, score). Callers size the key space so that
+    every group is bounded."""
+
     def per_cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         best = None
         if not ipdf.empty and not qpdf.empty:
@@ -149,10 +160,7 @@ def cell_top_k(items: DataFrame, queries: DataFrame, scorer: Scorer, k: int,
                                  "score": pd.Series([], dtype="float64")})
         return best[["qid", "iid", "score"]]
 
-    partial = (i_rep.groupBy("_qb", "_cb")
-               .cogroup(q_rep.groupBy("_qb", "_cb"))
-               .applyInPandas(per_cell, schema))
-    return _merge(partial, k)
+    return (items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(per_cell, schema))
 
 
 # ---------------------------------------------------------------------------

@@ -240,3 +240,41 @@ def q_ask_batch(spark, sf_dir):
     res = an.ask_batch(qs, corpus_chunks(spark, sf_dir))
     return res.select("question_id", "answer", "language", "detected_language",
                       F.size("sources").alias("n_sources"), "reason")
+
+
+# ---------------------------------------------------------------------------
+# streaming sync
+# ---------------------------------------------------------------------------
+
+def q_stream_sync(spark, sf_dir):
+    """Index built from the 350/90 chunking, then the 400/100 chunking
+    arrives as files and is upserted batch by batch (stream == batch)."""
+    import uuid
+
+    from quire.session import checkpoint_dir
+    from quire.streaming.sync import stream_sync, write_bucketed
+    new, old = _snapshots(spark, sf_dir)
+    root = f"{checkpoint_dir(spark)}/stream_sync/{uuid.uuid4().hex}"
+    key, values = ["doc_id", "chunk_index"], ["chunk_text"]
+    write_bucketed(old, f"{root}/target", key, 8)
+    new.repartition(4, "doc_id").write.parquet(f"{root}/incoming")
+    schema = spark.read.parquet(f"{root}/incoming").schema
+    return stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values, buckets=8,
+                       max_files_per_trigger=2)
+
+
+def q_knn_lsh(spark, sf_dir):
+    """Approximate 5 nearest neighbours of every embedding."""
+    e = table(spark, sf_dir, "embeddings")
+    hits = rt.knn_lsh(e.select("vec_id", F.col("embedding").alias("qvec")), e, 5, "vec_id", "vec_id",
+                      exclude_self=True)
+    return hits.select(F.col("qid").alias("query_vec_id"), F.col("iid").alias("vec_id"), "score", "rank")
+
+
+def q_lsh_recall(spark, sf_dir):
+    """J2 recall@5 against the exact J1 neighbours."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.select("vec_id", F.col("embedding").alias("qvec"))
+    approx = rt.knn_lsh(q, e, 5, "vec_id", "vec_id", exclude_self=True)
+    exact = rt.knn(q, e, 5, "vec_id", "vec_id", exclude_self=True)
+    return rt.recall_at_k(approx, exact)

@@ -421,3 +421,16 @@ FROM benchmark b LEFT JOIN ctx USING (item_id)
 """
 
 ORACLE["prompts"] = PROMPTS
+
+
+STREAM_SYNC = f"""
+WITH b AS (SELECT doc_id, {clean('text')} AS t FROM documents),
+{_chunk_words_cte('b', 'doc_id', 350, 90, 'o')},
+{_chunk_words_cte('b', 'doc_id', 400, 100, 'n')}
+SELECT doc_id, chunk_index, chunk_text FROM nc
+UNION ALL
+SELECT doc_id, chunk_index, chunk_text FROM oc
+WHERE NOT EXISTS (SELECT 1 FROM nc WHERE nc.doc_id = oc.doc_id AND nc.chunk_index = oc.chunk_index)
+"""
+
+ORACLE["stream_sync"] = STREAM_SYNC

@@ -33,11 +33,25 @@ QUERIES = {
     "index_status": c.q_index_status,
     "prompts": c.q_prompts,
     "ask_batch": c.q_ask_batch,
+    "stream_sync": c.q_stream_sync,
+    "knn_lsh": c.q_knn_lsh,
+    "lsh_recall": c.q_lsh_recall,
 }
 
 
+def _shipped(fn):
+    def run(spark, sf_dir):
+        from quire.session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries():
-    return dict(QUERIES)
+    return {name: _shipped(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql():

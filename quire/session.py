@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +63,19 @@ def materialize(df, label: str):
     path = f"{checkpoint_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable in every Python worker (the ``--py-files``
+    step): zip the package once per SparkContext and ``addPyFile`` it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="quire-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "quire"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    sc._quire_shipped = True

@@ -68,3 +68,15 @@ def test_mmr_operator_keeps_subset(spark):
     out = rt.mmr(cands, 3).collect()
     assert len(out) == 3 and len({r["iid"] for r in out}) == 3
     assert sorted(r["mmr_rank"] for r in out) == [1, 2, 3]
+
+
+def test_lsh_recall_and_shape(spark):
+    e = table(spark, SF_SMALL, "embeddings")
+    q = e.select("vec_id", F.col("embedding").alias("qvec"))
+    approx = rt.knn_lsh(q, e, 5, "vec_id", "vec_id", exclude_self=True, max_cell=50)
+    exact = rt.knn(q, e, 5, "vec_id", "vec_id", exclude_self=True)
+    r = rt.recall_at_k(approx, exact).first()
+    assert r["n_queries"] == e.count() and r["recall"] > 0.5
+    # every approximate score is the exact cosine of that pair
+    bad = approx.join(exact, ["qid", "iid"]).filter(approx.score != exact.score).count()
+    assert bad == 0
