@@ -152,3 +152,59 @@ def staging_to_processed(staging: DataFrame) -> DataFrame:
         m["file_name"].alias("source_file"),
         F.lit(None).cast("int").alias("page_number"),
     )
+
+
+# ---------------------------------------------------------------------------
+# CSV records -> labelled base records
+# ---------------------------------------------------------------------------
+
+# Header synonyms per role (first present wins) and the label
+# each role gets in the record text, in output order.
+ROLE_SYNONYMS = {
+    "condition": ["condition", "disease", "ailment", "problem"],
+    "diet": ["diet", "diet_recommendation", "food", "ahara"],
+    "yoga": ["yoga", "asana", "exercise", "lifestyle"],
+    "medical": ["medical", "medicine", "treatment", "remedy"],
+    "prevention": ["prevention", "preventive", "care", "tips"],
+    "prognosis": ["prognosis", "outlook", "recovery"],
+}
+ROLE_LABELS = {"condition": "Condition", "diet": "Diet", "yoga": "Yoga", "medical": "Medical",
+               "prevention": "Prevention", "prognosis": "Prognosis"}
+
+
+def resolve_columns(columns: list[str], synonyms: dict[str, list[str]] = ROLE_SYNONYMS) -> dict[str, str | None]:
+    """Role -> the actual column of the first synonym present among the
+    headers (compared trimmed and lower-cased), or None. Schema-time only."""
+    lookup = {c.strip().lower(): c for c in columns}
+    return {role: next((lookup[s] for s in cands if s in lookup), None) for role, cands in synonyms.items()}
+
+
+def role_column(col: str | None) -> Column:
+    """The column as string, or a typed null for a missing role."""
+    return F.col(col).cast("string") if col else F.lit(None).cast("string")
+
+
+def csv_records(df: DataFrame, source_file_col: str = "source_file", synonyms=ROLE_SYNONYMS,
+                labels=ROLE_LABELS, source_type: str = "csv", key: str | None = None) -> DataFrame:
+    """P5: CSV rows -> base records with ``Source: csv | Role: value | ... |
+    Source File: f`` text; blank roles are left out."""
+    roles = resolve_columns(df.columns, synonyms)
+    text = tx.labelled_text([(labels[r], role_column(roles[r])) for r in synonyms],
+                            head=F.lit(f"Source: {source_type}"),
+                            tail=F.concat(F.lit("Source File: "),
+                                          F.coalesce(F.col(source_file_col), F.lit(tx.UNKNOWN_FILE))))
+    return to_base_records(df.withColumn("_text", text), "_text", source_type, source_file=source_file_col,
+                           key=key)
+
+
+def source_kind(file_col) -> Column:
+    """P12: 'csv' / 'pdf' from a file name (prefix or extension) for chunk
+    tables that lack source_type."""
+    f = F.lower(_c(file_col))
+    return (F.when(f.startswith("csv") | f.endswith(".csv"), F.lit("csv"))
+            .when(f.startswith("pdf") | f.endswith(".pdf"), F.lit("pdf")))
+
+
+def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """O2: a stable preview - ordered, then limited (TakeOrderedAndProject)."""
+    return df.orderBy(*order).limit(n)

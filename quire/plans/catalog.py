@@ -278,3 +278,47 @@ def q_lsh_recall(spark, sf_dir):
     approx = rt.knn_lsh(q, e, 5, "vec_id", "vec_id", exclude_self=True)
     exact = rt.knn(q, e, 5, "vec_id", "vec_id", exclude_self=True)
     return rt.recall_at_k(approx, exact)
+
+
+# ---------------------------------------------------------------------------
+# records, reports, checks
+# ---------------------------------------------------------------------------
+
+CUSTOMER_ROLES = {"name": ["name", "c_name"], "segment": ["mktsegment", "c_mktsegment"],
+                  "balance": ["acctbal", "c_acctbal"], "missing": ["no_such_column"]}
+CUSTOMER_LABELS = {"name": "Name", "segment": "Segment", "balance": "Balance", "missing": "Missing"}
+
+
+def q_labelled_records(spark, sf_dir):
+    """Customer rows as labelled records through role synonyms."""
+    cust = table(spark, sf_dir, "customer").withColumn("source_file", F.lit("customer.csv"))
+    recs = ch.csv_records(cust, "source_file", CUSTOMER_ROLES, CUSTOMER_LABELS, key="c_custkey")
+    return recs.select("row_id", "raw_text", "source_type", "source_file")
+
+
+def q_source_counts_sql(spark, sf_dir):
+    """A3/O1: chunks per source file as SQL text over a temp view."""
+    import uuid
+    name = f"chunks_{uuid.uuid4().hex[:8]}"
+    q_build_chunks(spark, sf_dir).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT source_file, COUNT(*) AS n_rows, CAST(AVG(LENGTH(chunk_text)) AS DOUBLE) AS avg_len "
+                     f"FROM {name} GROUP BY source_file ORDER BY source_file")
+
+
+def q_embedding_check(spark, sf_dir):
+    """Vectors with the wrong dimension or null/NaN elements."""
+    from quire.functions.vectors import check_dim
+    e = table(spark, sf_dir, "embeddings")
+    good, bad = check_dim(e, 64)
+    return good.select("vec_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("vec_id", "reason"))
+
+
+def q_staging_to_processed(spark, sf_dir):
+    """S9 fallback / C5: staging chunks (JSON metadata) -> central schema."""
+    return ch.staging_to_processed(q_staging_chunks(spark, sf_dir))
+
+
+def q_preview(spark, sf_dir):
+    """O2: stable 20-row preview of the chunk table."""
+    return ch.preview(q_build_chunks(spark, sf_dir).select("chunk_id", "chunk_index", "source_file"), 20,
+                      ["chunk_id"])

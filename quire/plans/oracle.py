@@ -434,3 +434,57 @@ WHERE NOT EXISTS (SELECT 1 FROM nc WHERE nc.doc_id = oc.doc_id AND nc.chunk_inde
 """
 
 ORACLE["stream_sync"] = STREAM_SYNC
+
+
+
+def _part(label: str, x: str) -> str:
+    v = clean(x)
+    return f"CASE WHEN trim({v}) <> '' THEN '{label}: ' || {v} END"
+
+
+LABELLED_RECORDS = f"""
+WITH r AS (SELECT c_custkey, concat_ws(' | ', 'Source: csv', {_part('Name', 'c_name')},
+                                      {_part('Segment', 'c_mktsegment')},
+                                      {_part('Balance', 'CAST(c_acctbal AS VARCHAR)')},
+                                      'Source File: customer.csv') AS raw_text
+           FROM customer)
+SELECT sha256(concat_ws('||', 'csv', 'customer.csv', '', CAST(c_custkey AS VARCHAR), raw_text)) AS row_id,
+       raw_text, 'csv' AS source_type, 'customer.csv' AS source_file
+FROM r
+"""
+
+SOURCE_COUNTS_SQL = f"""
+WITH k AS ({BUILD_CHUNKS})
+SELECT source_file, count(*) AS n_rows, CAST(avg(length(chunk_text)) AS DOUBLE) AS avg_len
+FROM k GROUP BY source_file
+"""
+
+EMBEDDING_CHECK = """
+SELECT vec_id, CASE WHEN embedding IS NULL THEN 'null vector'
+                    WHEN len(embedding) <> 64 THEN 'dimension ' || CAST(len(embedding) AS VARCHAR) || ' != 64'
+                    WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 THEN 'null or NaN element'
+               END AS reason
+FROM embeddings
+"""
+
+STAGING_TO_PROCESSED = f"""
+WITH s AS ({STAGING_CHUNKS})
+SELECT sha256(concat_ws('||', source_type, json_extract_string(metadata, '$.file_name'))) AS row_id,
+       id AS chunk_id, CAST(json_extract(metadata, '$.chunk_index') AS INTEGER) AS chunk_index,
+       text_chunk AS chunk_text, source_type, json_extract_string(metadata, '$.file_name') AS source_file,
+       CAST(NULL AS INTEGER) AS page_number
+FROM s
+"""
+
+PREVIEW = f"""
+WITH k AS ({BUILD_CHUNKS})
+SELECT chunk_id, chunk_index, source_file FROM k ORDER BY chunk_id LIMIT 20
+"""
+
+ORACLE.update({
+    "labelled_records": LABELLED_RECORDS,
+    "source_counts_sql": SOURCE_COUNTS_SQL,
+    "embedding_check": EMBEDDING_CHECK,
+    "staging_to_processed": STAGING_TO_PROCESSED,
+    "preview": PREVIEW,
+})

@@ -36,6 +36,11 @@ QUERIES = {
     "stream_sync": c.q_stream_sync,
     "knn_lsh": c.q_knn_lsh,
     "lsh_recall": c.q_lsh_recall,
+    "labelled_records": c.q_labelled_records,
+    "source_counts_sql": c.q_source_counts_sql,
+    "embedding_check": c.q_embedding_check,
+    "staging_to_processed": c.q_staging_to_processed,
+    "preview": c.q_preview,
 }
 
 
