@@ -197,6 +197,8 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
                           "_q_for_tr", "detected_name", "english_name", "english_question", translate)
     ok = ok.withColumn("flagged", F.col("_flag1") | ((F.col("detected_language") != ENGLISH[0]) &
                                                      red_flag("english_question")))
+    # questions-sized tables that feed several branches are written once
+    ok = materialize(ok.drop("_q_for_tr"), "questions")
     clear = ok.filter(~F.col("flagged"))
 
     # M4: hybrid retrieval with the per-question source filter, then MMR
@@ -211,7 +213,7 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     # size check, the join and the MMR stage do not re-run retrieval
     fused = materialize(rt.hybrid(vec_hits, kw_hits, fetch_k), "hits")
     cands = rt.attach(fused, ch, cols=("chunk_text", "source_file", "page_number"))
-    picked = rt.mmr(cands, top_k, lam)
+    picked = materialize(rt.mmr(cands, top_k, lam), "picked")
 
     # Prompt and answer for questions with context
     prompts = build_prompts(clear.select(qid, "english_question"), picked, qid, "english_question", "mmr_rank")
@@ -227,7 +229,8 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     no_ctx = with_ctx.filter(~has_ctx).withColumn("english_answer", F.lit(NO_CONTEXT_MESSAGE))
     flagged = ok.filter(F.col("flagged")).withColumn("english_answer", F.lit(RED_FLAG_MESSAGE)) \
         .withColumn("sources", F.array().cast(T.ArrayType(SOURCE_TYPE))).withColumn("prompt", F.lit(None).cast("string"))
-    answered = gen.unionByName(no_ctx, allowMissingColumns=True).unionByName(flagged, allowMissingColumns=True)
+    answered = materialize(gen.unionByName(no_ctx, allowMissingColumns=True)
+                           .unionByName(flagged, allowMissingColumns=True), "answered")
 
     # L5 back to the target language (G3: a failed translation keeps English)
     final = translate_column(answered, "english_answer", "english_name", "target_name", "answer", translate)

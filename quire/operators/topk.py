@@ -262,15 +262,25 @@ class BM25Scorer:
         qcodes = st["vocab"].get_indexer(queries["term"].to_numpy(dtype=object))
         qidx, qids = pd.factorize(queries["qid"])
         qids = np.asarray(qids)
-        bcodes, local = np.unique(qcodes, return_inverse=True)
-        qm = np.zeros((len(qids), len(bcodes)))
-        np.add.at(qm, (qidx, local), queries["idf"].to_numpy(dtype=np.float64))
-        pos = np.searchsorted(bcodes, st["c"])
-        pos_c = np.minimum(pos, max(len(bcodes) - 1, 0))
-        hit = (len(bcodes) > 0) & (bcodes[pos_c] == st["c"]) if len(bcodes) else np.zeros(len(st["c"]), bool)
-        dm = np.zeros((st["n"], len(bcodes)))
-        dm[st["r"][hit], pos_c[hit]] = st["w"][hit]
-        raw = qm @ dm.T
+        idf = queries["idf"].to_numpy(dtype=np.float64)
+        n_docs, n_q = st["n"], len(qids)
+        # doc-term entries whose term occurs in this query block
+        in_block = np.zeros(max(len(st["vocab"]), 1), dtype=bool)
+        in_block[qcodes[qcodes >= 0]] = True
+        sel = np.nonzero(in_block[st["c"]])[0] if len(st["c"]) else np.zeros(0, dtype=np.int64)
+        # expand each entry to the query rows holding its term (sparse join)
+        order = np.argsort(qcodes, kind="stable")
+        sorted_codes = qcodes[order]
+        lo = np.searchsorted(sorted_codes, st["c"][sel], "left")
+        hi = np.searchsorted(sorted_codes, st["c"][sel], "right")
+        cnt = hi - lo
+        total = int(cnt.sum())
+        ent = np.repeat(sel, cnt)
+        offs = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+        qrow = order[np.repeat(lo, cnt) + offs]
+        contrib = idf[qrow] * st["w"][ent]
+        flat = qidx[qrow].astype(np.int64) * n_docs + st["r"][ent]
+        raw = np.bincount(flat, weights=contrib, minlength=n_q * n_docs).reshape(n_q, n_docs)
         s = np.where(raw > 0.0, np.round(raw, self.digits), -np.inf)
         if FILTER_COL in queries.columns and st["types"] is not None:
             filt = queries.groupby(qidx, sort=True)[FILTER_COL].first().to_numpy()
