@@ -488,3 +488,53 @@ ORACLE.update({
     "staging_to_processed": STAGING_TO_PROCESSED,
     "preview": PREVIEW,
 })
+
+
+# ---------------------------------------------------------------------------
+# C2 sentence chunks: units by inserted separators, a list_reduce fold over
+# unit word counts that carries word ranges, then one slice per chunk
+# ---------------------------------------------------------------------------
+
+def chunk_sentences_sql(size: int = 350, overlap: int = 70) -> str:
+    step = size - overlap
+    ws = WS
+    rng = "STRUCT(s BIGINT, e BIGINT)[]"
+    zero = f"{{'out': CAST([] AS {rng}), 'bs': CAST(0 AS BIGINT), 'bw': CAST(0 AS BIGINT), 'pos': CAST(0 AS BIGINT), 'wc': CAST(0 AS BIGINT)}}"
+    flushed = "CASE WHEN acc.bw > 0 THEN list_append(acc.out, {'s': acc.bs, 'e': acc.pos}) ELSE acc.out END"
+    windows = (f"list_transform(range(0, CAST(ceil((x.wc - {size}) / {step}.0) AS BIGINT) + 1), "
+               f"lambda j: {{'s': acc.pos + j * {step}, 'e': least(acc.pos + j * {step} + {size}, acc.pos + x.wc)}})")
+    fold = f"""list_reduce(
+        list_transform(wc, lambda c: {{'out': CAST([] AS {rng}), 'bs': CAST(0 AS BIGINT), 'bw': CAST(0 AS BIGINT),
+                                       'pos': CAST(0 AS BIGINT), 'wc': CAST(c AS BIGINT)}}),
+        lambda acc, x: CASE
+          WHEN x.wc > {size} THEN {{'out': list_concat({flushed}, {windows}), 'bs': acc.pos + x.wc,
+                                    'bw': CAST(0 AS BIGINT), 'pos': acc.pos + x.wc, 'wc': CAST(0 AS BIGINT)}}
+          WHEN acc.bw + x.wc <= {size} THEN {{'out': acc.out, 'bs': CASE WHEN acc.bw = 0 THEN acc.pos ELSE acc.bs END,
+                                    'bw': acc.bw + x.wc, 'pos': acc.pos + x.wc, 'wc': CAST(0 AS BIGINT)}}
+          ELSE {{'out': {flushed}, 'bs': acc.pos, 'bw': x.wc, 'pos': acc.pos + x.wc, 'wc': CAST(0 AS BIGINT)}}
+        END,
+        {zero})"""
+    units = (f"flatten(list_transform(regexp_split_to_array(coalesce(text, ''), {_q(chr(92) + 'n' + ws + '*' + chr(92) + 'n')}), "
+             f"lambda p: string_split(regexp_replace(p, {_q('([.?!])' + ws + '+([A-Z0-9' + chr(34) + chr(39) + '(])')}, "
+             f"'\\1' || chr(1) || '\\2', 'g'), chr(1))))")
+    counts = (f"list_filter(list_transform({units}, lambda s: len(list_filter(regexp_split_to_array(s, {_q(ws + '+')}), "
+              f"lambda z: z <> ''))), lambda k: k > 0)")
+    return f"""
+WITH d AS (SELECT doc_id, text, {clean('text')} AS t FROM documents),
+w AS (SELECT doc_id, text, t, string_split(t, ' ') AS words FROM d WHERE t <> ''),
+short AS (SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, t AS chunk_text FROM w WHERE len(words) <= {size}),
+u AS (SELECT doc_id, words, {counts} AS wc FROM w WHERE len(words) > {size}),
+f AS (SELECT doc_id, words, {fold} AS st FROM u),
+r AS (SELECT doc_id, words, CASE WHEN st.bw > 0 THEN list_append(st.out, {{'s': st.bs, 'e': st.pos}}) ELSE st.out END AS rg
+      FROM f),
+g AS (SELECT doc_id, words, rg, unnest(generate_series(1, len(rg))) AS i FROM r),
+longc AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index,
+                 array_to_string(CASE WHEN i = 1 OR {overlap} = 0 THEN words[rg[i].s + 1 : rg[i].e]
+                      ELSE list_concat(words[greatest(rg[i - 1].s, rg[i - 1].e - {overlap}) + 1 : rg[i - 1].e],
+                                       words[rg[i].s + 1 : rg[i].e]) END, ' ') AS chunk_text
+          FROM g)
+SELECT * FROM short UNION ALL SELECT * FROM longc
+"""
+
+
+ORACLE["chunk_sentences"] = chunk_sentences_sql(350, 70)
