@@ -538,3 +538,52 @@ SELECT * FROM short UNION ALL SELECT * FROM longc
 
 
 ORACLE["chunk_sentences"] = chunk_sentences_sql(350, 70)
+
+
+# ---------------------------------------------------------------------------
+# M4 retrieve: hybrid top-20 candidates re-ranked by MMR (lambda 0.5, top 5).
+# Bag-of-words cosines form a per-question matrix; a list_reduce appends the
+# first index of the best marginal score k times.
+# ---------------------------------------------------------------------------
+
+def retrieve_sql(top_k: int = 5, lam: float = 0.5) -> str:
+    hybrid_body = HYBRID.strip()[len("WITH "):]
+    hybrid_ctes = hybrid_body[:hybrid_body.rindex("\nSELECT item_id, chunk_id, score")]
+    ws = _q(WS + "+")
+    vals = (f"list_transform(range(1, rl.n + 1), lambda i: CASE WHEN list_contains(picked, i) THEN CAST('-inf' AS DOUBLE) "
+            f"ELSE {lam} * rl.rel[i] - (1.0 - {lam}) * coalesce(list_max(list_transform(picked, lambda j: mt.sim[i][j])), 0.0) END)")
+    return f"""
+WITH {hybrid_ctes},
+cand AS (SELECT r.item_id, r.chunk_id, r.score, r.rank, k.chunk_text FROM r JOIN k USING (chunk_id)
+         WHERE r.rank <= {RETRIEVAL_K}),
+bw_tok AS (SELECT item_id, rank, unnest(list_filter(regexp_split_to_array(lower(chunk_text), {ws}), lambda z: z <> '')) AS w
+        FROM cand),
+tc AS (SELECT item_id, rank, w, CAST(count(*) AS DOUBLE) AS n FROM bw_tok GROUP BY ALL),
+nrm AS (SELECT item_id, rank, sqrt(sum(n * n)) AS norm FROM tc GROUP BY ALL),
+bw_dot AS (SELECT a.item_id, a.rank AS i, b.rank AS j, sum(a.n * b.n) AS d
+       FROM tc a JOIN tc b ON a.item_id = b.item_id AND a.w = b.w GROUP BY ALL),
+pairs AS (SELECT c1.item_id, c1.rank AS i, c2.rank AS j,
+                 CASE WHEN coalesce(n1.norm, 0) * coalesce(n2.norm, 0) = 0 THEN 0.0
+                      ELSE coalesce(bw_dot.d, 0.0) / (n1.norm * n2.norm) END AS sim
+          FROM cand c1 JOIN cand c2 ON c1.item_id = c2.item_id
+          LEFT JOIN bw_dot ON bw_dot.item_id = c1.item_id AND bw_dot.i = c1.rank AND bw_dot.j = c2.rank
+          LEFT JOIN nrm n1 ON n1.item_id = c1.item_id AND n1.rank = c1.rank
+          LEFT JOIN nrm n2 ON n2.item_id = c2.item_id AND n2.rank = c2.rank),
+sm AS (SELECT item_id, i, list(sim ORDER BY j) AS srow FROM pairs GROUP BY item_id, i),
+mt AS (SELECT item_id, list(srow ORDER BY i) AS sim FROM sm GROUP BY item_id),
+rl AS (SELECT item_id, count(*) AS n, list(coalesce(score, 0.0) ORDER BY rank) AS sc FROM cand GROUP BY item_id),
+rl2 AS (SELECT item_id, n, CASE WHEN list_max(sc) > 0 THEN list_transform(sc, lambda x: x / list_max(sc)) ELSE sc END AS rel
+        FROM rl),
+sel AS (SELECT rl.item_id,
+               CASE WHEN rl.n <= {top_k} THEN CAST(range(1, rl.n + 1) AS BIGINT[])
+                    ELSE list_reduce(list_transform(range({top_k}), lambda z: CAST([] AS BIGINT[])),
+                                     lambda picked, z: list_append(picked, list_position({vals}, list_max({vals}))),
+                                     CAST([] AS BIGINT[])) END AS picked
+        FROM rl2 rl JOIN mt USING (item_id)),
+o AS (SELECT item_id, picked, unnest(generate_series(1, len(picked))) AS mmr_rank FROM sel)
+SELECT o.item_id, c.chunk_id, c.score, CAST(o.mmr_rank AS INTEGER) AS mmr_rank
+FROM o JOIN cand c ON c.item_id = o.item_id AND c.rank = o.picked[o.mmr_rank]
+"""
+
+
+ORACLE["retrieve"] = retrieve_sql()
