@@ -587,3 +587,68 @@ FROM o JOIN cand c ON c.item_id = o.item_id AND c.rank = o.picked[o.mmr_rank]
 
 
 ORACLE["retrieve"] = retrieve_sql()
+
+
+# ---------------------------------------------------------------------------
+# T5 structured page text (staged CTEs: useful lines -> T2 -> fields -> parts)
+# ---------------------------------------------------------------------------
+
+from quire.functions.text import FIELD_LABELS, LINE_BREAK, NOISE_KEYWORDS, WS_CHARS  # noqa: E402
+from quire.functions.text import _all_labels_alt  # noqa: E402
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+
+
+def _noise(ln: str) -> str:
+    low = _strip(f"lower({ln})")
+    kws = " OR ".join(f"contains({low}, {_q(k)})" for k in NOISE_KEYWORDS)
+    digits = f"regexp_matches({low}, {_q(chr(94) + '[' + chr(92) + '[' + chr(92) + ']' + chr(92) + '(' + chr(92) + ')' + chr(92) + 'p{Nd},' + chr(92) + '.' + WS_CHARS + chr(92) + '-:;]+$')})"
+    return f"({low} = '' OR {kws} OR {digits})"
+
+
+def _field(x: str, labels) -> str:
+    stop = f"(?i){WS}+\\b(?:{_all_labels_alt()})\\b{WS}*[:\\-].*$"
+    picks = []
+    for lab in labels:
+        pat = f"(?i)\\b{lab.replace(' ', WS + '+')}\\b{WS}*[:\\-]{WS}*(.*)$"
+        val = clean(f"substr(regexp_replace(regexp_extract({x}, {_q(pat)}, 1), {_q(stop)}, ''), 1, 220)")
+        picks.append(f"CASE WHEN length({val}) >= 5 THEN {val} END")
+    return f"coalesce({', '.join(picks)}, '')"
+
+
+def _words(x: str) -> str:
+    return f"CASE WHEN {clean(x)} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({clean(x)}, ' ') END"
+
+
+def _tpart(label: str, v: str, default: str) -> str:
+    return f"CASE WHEN {v} <> '' THEN '{label}: ' || {v} ELSE '{label}: {default}' END"
+
+
+PAGE_STRUCTURED = f"""
+WITH {_PAGES},
+ul AS (SELECT doc_url, page_number,
+              list_filter(list_transform(regexp_split_to_array(coalesce(page_text, ''), {_q(LINE_BREAK)}),
+                                         lambda x: {_strip('x')}), lambda ln: NOT {_noise('ln')}) AS lines
+       FROM p),
+fl AS (SELECT doc_url, page_number, {clean_document("array_to_string(lines, ' ')")} AS filtered FROM ul),
+fd AS (SELECT doc_url, page_number, filtered,
+              {', '.join(f"{_field('filtered', labs)} AS f_{k}" for k, labs in FIELD_LABELS.items())}
+       FROM fl),
+tx AS (SELECT doc_url AS source_file, page_number,
+              CASE WHEN filtered = '' THEN '' ELSE {clean("concat_ws(' | ', " + ", ".join([
+                  _tpart('Ingredient', "CASE WHEN f_ingredient <> '' THEN f_ingredient ELSE array_to_string((" + _words("split_part(filtered, '.', 1)") + ")[1:8], ' ') END", 'Unknown'),
+                  _tpart('Botanical Name', 'f_botanical', 'Not specified'),
+                  _tpart('Characteristics', 'f_characteristics', 'Not specified'),
+                  _tpart('Uses', "CASE WHEN f_uses <> '' THEN f_uses ELSE array_to_string(string_split(filtered, ' ')[1:40], ' ') END", 'Not specified'),
+                  _tpart('Kitchen Use', 'f_kitchen_use', 'Not specified'),
+                  _tpart('Ayurvedic Use', 'f_ayurvedic_use', 'Not specified'),
+                  _tpart('Remedies', 'f_remedies', 'Not specified'),
+                  "'Source File: ' || coalesce(nullif(doc_url, ''), 'unknown_file')",
+                  "'Page Number: ' || coalesce(CAST(page_number AS VARCHAR), 'unknown')"]) + ")")} END AS raw_text
+       FROM fd)
+SELECT * FROM tx WHERE length(trim(raw_text)) > 0
+"""
+
+ORACLE["page_structured"] = PAGE_STRUCTURED
