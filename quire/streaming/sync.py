@@ -59,7 +59,7 @@ def upsert(batch: DataFrame, target_path: str, key: list[str], values: list[str]
 
 
 def stream_sync(spark: SparkSession, source_path: str, target_path: str, schema: T.StructType,
-                key: list[str], values: list[str], buckets: int = 16, checkpoint: str | None = None,
+                key: list[str], values: list[str], buckets: int = 64, checkpoint: str | None = None,
                 max_files_per_trigger: int | None = None, deleted_col: str | None = None) -> DataFrame:
     """Process every file now in ``source_path`` into ``target_path`` and
     return the target table (key + values)."""
