@@ -61,6 +61,21 @@ def _estimate_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def _bounded_collect(df: DataFrame, max_rows: int, max_bytes: int, sample_rows: int = 1024):
+    """The whole of ``df`` as pandas if it fits ``max_rows`` and ``max_bytes``,
+    else None. A first bounded sample measures the row width, so at most
+    about ``max_bytes`` ever reach the driver, whatever the size of ``df``."""
+    sample = df.limit(sample_rows).toArrow()
+    if sample.num_rows < sample_rows:
+        return sample.to_pandas() if sample.nbytes <= max_bytes else None
+    row_bytes = max(sample.nbytes / max(sample.num_rows, 1), 1.0)
+    cap = int(min(max_rows, max_bytes // row_bytes))
+    if cap < sample_rows:
+        return None
+    tbl = df.limit(cap + 1).toArrow()
+    return tbl.to_pandas() if tbl.num_rows <= cap else None
+
+
 def _query_blocks(qpdf: pd.DataFrame, block_rows: int) -> list[pd.DataFrame]:
     """Split a query frame into blocks of about ``block_rows`` rows, keeping
     every row of one query id in one block."""
@@ -107,17 +122,14 @@ def cell_top_k(items: DataFrame, queries: DataFrame, scorer: Scorer, k: int,
     queries = queries.withColumnRenamed(query_id, "qid")
 
     n_q = None
-    if mode == "auto":
-        mode = "grid"
-        if _estimate_bytes(queries) <= broadcast_bytes:
-            n_q = queries.limit(broadcast_rows + 1).count()
-            if n_q <= broadcast_rows:
-                mode = "broadcast"
+    qpdf = None
+    if mode in ("auto", "broadcast"):
+        qpdf = _bounded_collect(queries, broadcast_rows, broadcast_bytes)
+        if qpdf is None and mode == "broadcast":
+            raise ValueError("query side exceeds the broadcast bound; use mode='grid'")
+        mode = "broadcast" if qpdf is not None else "grid"
 
     if mode == "broadcast":
-        qpdf = queries.toPandas()
-        if len(qpdf) > broadcast_rows:
-            raise ValueError("query side exceeds the broadcast bound; use mode='grid'")
         bq = spark.sparkContext.broadcast(_query_blocks(qpdf, query_block_rows))
 
         def per_partition(batches):
