@@ -319,3 +319,23 @@ def q_preview(spark, sf_dir):
     """O2: stable 20-row preview of the chunk table."""
     return ch.preview(q_build_chunks(spark, sf_dir).select("chunk_id", "chunk_index", "source_file"), 20,
                       ["chunk_id"])
+
+
+
+def q_extract_pages(spark, sf_dir):
+    """The per-file extractor chain (Python plug-ins inside tasks) over
+    every page's bytes; failures would be rows with ``error`` set."""
+    p = table(spark, sf_dir, "pages").select(F.col("url").alias("source_file"),
+                                             F.col("html").cast("binary").alias("content"))
+    pages = pg.extract_pages(p, [("html", pg.html_extractor), ("text", pg.text_extractor)])
+    return pages.select("source_file", "page_number", F.length("page_text").alias("n_chars"), "extractor", "error")
+
+
+def q_translation_messages(spark, sf_dir):
+    """L4: chat messages that ask a model to put each user turn into Telugu
+    (from the detected language)."""
+    from quire.functions.language import translate_messages
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    src = language_name(detect_language("text"))
+    msgs = translate_messages(F.col("text"), src, F.lit("Telugu"))
+    return c.select("conv_id", "turn", F.to_json(msgs).alias("messages"))

@@ -652,3 +652,19 @@ SELECT * FROM tx WHERE length(trim(raw_text)) > 0
 """
 
 ORACLE["page_structured"] = PAGE_STRUCTURED
+
+
+from quire.functions.language import TRANSLATE_SYSTEM  # noqa: E402
+
+_SYS_HEAD, _rest = TRANSLATE_SYSTEM.split("{src}")
+_SYS_MID, _SYS_TAIL = _rest.split("{dst}")
+TRANSLATION_MESSAGES = f"""
+WITH l AS ({DETECT_LANGUAGE.strip()})
+SELECT c.conv_id, c.turn,
+       to_json([{{'role': 'system', 'content': {_q(_SYS_HEAD)} || lang_name || {_q(_SYS_MID)} || 'Telugu' || {_q(_SYS_TAIL)}}},
+                {{'role': 'user', 'content': c.text}}]) AS messages
+FROM conversations c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn
+WHERE c.role = 'user'
+"""
+
+ORACLE["translation_messages"] = TRANSLATION_MESSAGES

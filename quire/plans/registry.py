@@ -41,6 +41,8 @@ QUERIES = {
     "embedding_check": c.q_embedding_check,
     "staging_to_processed": c.q_staging_to_processed,
     "preview": c.q_preview,
+    "extract_pages": c.q_extract_pages,
+    "translation_messages": c.q_translation_messages,
 }
 
 
