@@ -82,3 +82,35 @@ def test_write_snapshot_refuses_empty(spark, tmp_path):
     with pytest.raises(ValueError):
         fs.write_snapshot(empty, "t_empty", path=str(tmp_path / "t"))
     assert os.path.exists(tmp_path)
+
+
+def test_build_corpus_from_files(spark, tmp_path):
+    from quire.plans.corpus import build_corpus
+    words = " ".join(f"word{i}" for i in range(30))
+    (tmp_path / "herbs.csv").write_text(f"condition,diet,extra\ncold,\"ginger tea, honey and {words}\",x\n")
+    (tmp_path / "book.html").write_text(f"<html><body><p>Turmeric milk at night. {words}</p></body></html>")
+    (tmp_path / "notes.txt").write_text(f"page one {words}\fpage two {words}")
+    chunks, failed = build_corpus(spark, str(tmp_path), size=20, overlap=5)
+    rows = chunks.collect()
+    by_type = {}
+    for r in rows:
+        by_type.setdefault(r["source_type"], set()).add(r["source_file"])
+    assert by_type == {"csv": {"herbs.csv"}, "html": {"book.html"}, "txt": {"notes.txt"}}
+    assert any(r["chunk_text"].startswith("Source: csv | Condition: cold | Diet: ginger tea") for r in rows)
+    assert {r["page_number"] for r in rows if r["source_file"] == "notes.txt"} == {1, 2}
+    assert len({r["chunk_id"] for r in rows}) == len(rows) and failed.count() == 0
+    again = {r["chunk_id"] for r in build_corpus(spark, str(tmp_path), size=20, overlap=5)[0].collect()}
+    assert again == {r["chunk_id"] for r in rows}
+
+
+def test_catalog_helpers(spark, tmp_path):
+    fs.ensure_namespace(spark, "quire_test")
+    df = spark.createDataFrame([(1, "a")], "a int, b string")
+    fs.write_snapshot(df, "quire_test.snap", path=str(tmp_path / "snap"))
+    got = fs.load_checked(spark, "quire_test.snap", ["a", "b"])
+    assert got.count() == 1
+    with pytest.raises(ValueError, match="lacks columns"):
+        fs.load_checked(spark, "quire_test.snap", ["a", "zzz"])
+    fb = fs.table_or_fallback(spark, "quire_test.absent", lambda: df.limit(0))
+    assert fb.count() == 0
+    assert fs.table_or_fallback(spark, "quire_test.snap", lambda: None).count() == 1
