@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from quire.functions.language import ENGLISH, detect_language, language_name, resolve_language, translate_messages
 from quire.functions.text import _c, red_flag
-from quire.functions.vectors import HashingEncoder, embed
+from quire.functions.vectors import HashingEncoder, check_dim, embed
 from quire.operators import retrieval as rt
 from quire.operators.rules import validate_questions
 from quire.session import materialize
@@ -204,7 +204,12 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     # M4: hybrid retrieval with the per-question source filter, then MMR
     fetch_k = rt.fetch_k_for(top_k)
     ch = chunks.select("chunk_id", "chunk_text", "source_file", "page_number", "source_type")
-    cvec = embed(ch.select("chunk_id", "chunk_text", "source_type"), "chunk_text", encoder)
+    if "embedding" in chunks.columns:
+        # an embedded chunk table (E1 run once at build time) is used as is;
+        # rows whose vector does not fit the encoder are left out
+        cvec, _rejected = check_dim(chunks.select("chunk_id", "source_type", "embedding"), encoder.dim)
+    else:
+        cvec = embed(ch.select("chunk_id", "chunk_text", "source_type"), "chunk_text", encoder)
     qv = embed(clear.select(qid, "english_question", "source_filter"), "english_question", encoder, "qvec")
     vec_hits = rt.knn(qv, cvec, fetch_k, qid, "chunk_id", query_filter="source_filter", item_type="source_type")
     kw_hits = rt.bm25(clear.select(qid, "english_question", "source_filter"), ch, fetch_k, qid, "english_question",

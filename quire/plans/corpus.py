@@ -43,3 +43,13 @@ def build_corpus(spark: SparkSession, path: str, size: int = 350, overlap: int =
                                         page_number="page_number"))
     base = ch.union_all(parts) if parts else ch.empty_base(spark)
     return ch.build_chunks(base, size, overlap), failed
+
+
+def embed_chunks(chunks: DataFrame, encoder=None) -> DataFrame:
+    """E1-E3 at build time: the chunk table plus an ``embedding`` column
+    checked for its dimension, ready to be written once and searched many
+    times (``ask_batch`` uses it as is)."""
+    from quire.functions.vectors import HashingEncoder, check_dim, embed
+    encoder = encoder or HashingEncoder()
+    good, _bad = check_dim(embed(chunks, "chunk_text", encoder), encoder.dim)
+    return good

@@ -69,3 +69,12 @@ def test_stream_equals_batch_and_rerun_is_noop(spark, tmp_path):
     assert sorted(tuple(r) for r in got.select(*key, *vals).collect()) == expect
     again = stream_sync(spark, f"{root}/in", f"{root}/target", schema, key, vals, buckets=4, checkpoint=ck)
     assert sorted(tuple(r) for r in again.select(*key, *vals).collect()) == expect
+
+
+def test_ask_batch_uses_stored_embeddings(spark):
+    from quire.plans.corpus import embed_chunks
+    chunks = embed_chunks(_chunks(spark))
+    qs = spark.createDataFrame([("q1", "How to improve sleep quality?")], "question_id string, question string")
+    a = an.ask_batch(qs, chunks).first()
+    b = an.ask_batch(qs, _chunks(spark)).first()
+    assert a["answer"] == b["answer"] and a["sources"] == b["sources"]
