@@ -264,15 +264,17 @@ def labelled_text(parts: Sequence[tuple[str, Column]], head: Column | None = Non
 
 
 def clean_word_count(c) -> Column:
-    """Word count of a T1-clean text (single spaces, trimmed)."""
-    return F.when(_c(c) == "", F.lit(0)).otherwise(F.size(F.split(_c(c), " ")))
+    """Word count of a T1-clean text (single spaces, trimmed): spaces + 1,
+    without building a word array."""
+    x = _c(c)
+    return F.when(x == "", F.lit(0)).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
 
 
 def clean_alpha_ratio(c) -> Column:
-    """alpha_ratio of a T1-clean text: visible = length - spaces."""
-    n = F.length(_c(c))
-    visible = n - F.greatest(clean_word_count(c) - 1, F.lit(0))
-    alpha = F.length(F.regexp_replace(_c(c), "[^A-Za-z]", ""))
+    """alpha_ratio of a T1-clean text: visible characters = non-space ones."""
+    x = _c(c)
+    visible = F.length(F.replace(x, F.lit(" "), F.lit("")))
+    alpha = F.length(F.regexp_replace(x, "[^A-Za-z]+", ""))
     return F.when(visible > 0, alpha / visible).otherwise(F.lit(0.0))
 
 
@@ -284,8 +286,9 @@ def alpha_ratio(c) -> Column:
 
 
 def is_boilerplate(c) -> Column:
-    """P10: a heading-only text such as ``References``."""
-    return F.lower(_c(c)).rlike(BOILERPLATE_RE)
+    """P10: a heading-only text such as ``References`` (matched without
+    case instead of lower-casing every text first)."""
+    return _c(c).rlike("(?i)" + BOILERPLATE_RE)
 
 
 def is_blank(c) -> Column:
