@@ -78,3 +78,22 @@ def test_ask_batch_uses_stored_embeddings(spark):
     a = an.ask_batch(qs, chunks).first()
     b = an.ask_batch(qs, _chunks(spark)).first()
     assert a["answer"] == b["answer"] and a["sources"] == b["sources"]
+
+
+def test_translation_failure_keeps_source_text(spark):
+    df = spark.createDataFrame([("hello", "English", "Telugu"), ("same", "English", "English"), ("", "Hindi", "English")],
+                               "t string, s string, d string")
+
+    def broken(text, src, dst):
+        raise RuntimeError("model down")
+
+    got = {r["t"]: r["out"] for r in an.translate_column(df, "t", "s", "d", "out", broken).collect()}
+    assert got == {"hello": "hello", "same": "same", "": ""}
+
+
+def test_score_names_and_source_kind(spark):
+    from quire.operators.chunks import source_kind
+    from quire.operators.retrieval import normalise_score
+    df = spark.createDataFrame([(None, 0.5, "a.PDF"), (0.9, None, "csv:herbs")], "score double, _score double, f string")
+    out = normalise_score(df).select("score", source_kind("f").alias("k")).collect()
+    assert [tuple(r) for r in out] == [(0.5, "pdf"), (0.9, "csv")]
