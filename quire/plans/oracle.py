@@ -125,8 +125,8 @@ ROW_TO_TEXT = f"SELECT s_suppkey, {_SUPPLIER_TEXT} AS record_text FROM supplier"
 STAGING_CHUNKS = f"""
 WITH r AS (SELECT {_SUPPLIER_TEXT} AS t FROM supplier)
 SELECT sha256(concat_ws('||', 'supplier.csv', '0', t)) AS id, t AS text_chunk, 'csv' AS source_type,
-       to_json({{'file_name': 'supplier.csv', 'record_type': 'csv_row', 'chunk_index': CAST(0 AS INTEGER)}})
-         AS metadata
+       CAST(to_json({{'file_name': 'supplier.csv', 'record_type': 'csv_row', 'chunk_index': CAST(0 AS INTEGER)}})
+            AS VARCHAR) AS metadata
 FROM r WHERE t <> ''
 """
 
@@ -661,8 +661,8 @@ _SYS_MID, _SYS_TAIL = _rest.split("{dst}")
 TRANSLATION_MESSAGES = f"""
 WITH l AS ({DETECT_LANGUAGE.strip()})
 SELECT c.conv_id, c.turn,
-       to_json([{{'role': 'system', 'content': {_q(_SYS_HEAD)} || lang_name || {_q(_SYS_MID)} || 'Telugu' || {_q(_SYS_TAIL)}}},
-                {{'role': 'user', 'content': c.text}}]) AS messages
+       CAST(to_json([{{'role': 'system', 'content': {_q(_SYS_HEAD)} || lang_name || {_q(_SYS_MID)} || 'Telugu' || {_q(_SYS_TAIL)}}},
+                     {{'role': 'user', 'content': c.text}}]) AS VARCHAR) AS messages
 FROM conversations c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn
 WHERE c.role = 'user'
 """
