@@ -19,15 +19,19 @@ def _estimate_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None,
-           small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Hash-partition ``df`` by ``keys`` when its scan has fewer splits than
-    the cluster has cores and it is not tiny; otherwise return it unchanged.
-
-    Hash partitioning on the row key is deterministic, so a retried task sees
-    the same rows (unlike an unsorted round-robin).
+           small_bytes: int = SMALL_INPUT_BYTES, few_splits: int = 64) -> DataFrame:
+    """Hash-partition ``df`` by ``keys`` when its scan has only a few splits
+    (fewer than the cores and than ``few_splits``: an unsplittable file, a
+    single row group) and it is not tiny; otherwise return it unchanged.
+
+    A big input that is already split hundreds of ways is never reshuffled
+    just because the cluster has even more cores. Hash partitioning on the
+    row key is deterministic, so a retried task sees the same rows (unlike
+    an unsorted round-robin).
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want or _estimate_bytes(df) < small_bytes:
+    parts = df.rdd.getNumPartitions()
+    if parts >= min(want, few_splits) or _estimate_bytes(df) < small_bytes:
         return df
     cols = [c for c in (keys or []) if c in df.columns] or df.columns[:1]
     return df.repartition(want, *cols)
