@@ -101,23 +101,33 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
                    (F.sum(F.coalesce("_h", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
 
 
-def keyword_stats(docs: DataFrame, doc_id: str, text: str, item_type: str | None = None
-                  ) -> tuple[DataFrame, float, float]:
-    """(doc terms, number of docs, average doc length in terms).
+def keyword_terms(docs: DataFrame, doc_id: str, text: str, item_type: str | None = None) -> DataFrame:
+    """Terms of every document (the BM25 item side)."""
+    return docs.select(F.col(doc_id), terms(text).alias("toks"), *_opt(item_type, TYPE_COL))
 
-    The two scalars come from one aggregate row; the term frame stays lazy.
-    """
-    toks = docs.select(F.col(doc_id), terms(text).alias("toks"), *_opt(item_type, TYPE_COL))
-    row = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-    return toks, float(row["n"]), float(row["avgdl"] or 0.0)
 
+def term_statistics(toks: DataFrame, vocab: DataFrame) -> tuple[DataFrame, float, float]:
+    """A7 in one pass over the corpus: (document frequency of each vocab term,
+    number of documents, average document length).
+
+    Every document adds one row per distinct vocab term plus one row under the
+    empty term (which the term pattern never produces) carrying its length;
+    a partially aggregated ``groupBy(term)`` then yields df and the corpus
+    totals together. The result has at most |vocab| + 1 rows.
+    """
+    from quire.session import materialize
 
-def document_frequency(toks: DataFrame, doc_id: str, vocab: DataFrame) -> DataFrame:
-    """Documents per term, only for the terms in ``vocab`` (a semi join
-    before the aggregate; partial aggregation makes hot terms cheap)."""
-    t = toks.select(F.col(doc_id), F.explode(F.array_distinct("toks")).alias("term"))
-    t = t.join(vocab, "term", "left_semi")
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    spark = toks.sparkSession
+    per_doc = toks.select(F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit("")))).alias("term"),
+                          F.size("toks").alias("dl"))
+    wanted = vocab.select("term").unionByName(spark.range(1).select(F.lit("").alias("term")))
+    agg = (per_doc.join(wanted, "term", "left_semi")
+           .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("sum_dl")))
+    agg = materialize(agg, "term_stats")
+    total = agg.filter(F.col("term") == "").first()
+    n_docs = float(total["df"]) if total else 0.0
+    avgdl = float(total["sum_dl"]) / n_docs if total and n_docs else 0.0
+    return agg.filter(F.col("term") != "").select("term", "df"), n_docs, avgdl
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str,
@@ -126,13 +136,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
     """Exact BM25 top-k.
 
     Terms are ``[\\p{L}\\p{N}']+`` of the lower-cased text; each distinct query
-    term counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+    term counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). The corpus is
+    tokenised twice: once for the term statistics, once while scoring.
     """
-    toks, n_docs, avgdl = keyword_stats(docs, doc_id, doc_text, item_type)
+    toks = keyword_terms(docs, doc_id, doc_text, item_type)
     qterms = queries.select(F.col(query_id), *_opt(query_filter, FILTER_COL),
                             F.explode(F.array_distinct(terms(query_text))).alias("term"))
-    vocab = qterms.select("term").distinct()
-    df_t = document_frequency(toks, doc_id, vocab)
+    df_t, n_docs, avgdl = term_statistics(toks, qterms.select("term").distinct())
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # df_t has one row per query term, bounded by the query side.
     qw = qterms.join(df_t, "term").select(query_id, "term", idf.alias("idf"),
