@@ -53,14 +53,6 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _estimate_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for a plan (upper bound for file scans)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return 1 << 62
-
-
 def _bounded_collect(df: DataFrame, max_rows: int, max_bytes: int, sample_rows: int = 1024):
     """The whole of ``df`` as pandas if it fits ``max_rows`` and ``max_bytes``,
     else None. A first bounded sample measures the row width, so at most

@@ -8,8 +8,6 @@ native path (``html_text``) so the common case stays in the JVM.
 
 from __future__ import annotations
 
-import html as _html
-import re
 from html.parser import HTMLParser
 from typing import Callable, Iterable, Iterator
 
@@ -171,5 +169,3 @@ def decode_entities(s: str) -> str:
         s = s.replace(ent, ch)
     return s
 
-
-_ = (_html, re)  # kept for extractor plug-ins that need them
