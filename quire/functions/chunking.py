@@ -111,7 +111,8 @@ def chunk_ranges(c, size: int = 350, overlap: int = 70) -> Column:
 
 def chunk_sentences(c, size: int = 350, overlap: int = 70) -> Column:
     """Sentence-aware chunks of at most ``size`` words, each chunk after
-    the first prefixed with the last ``overlap`` words of the previous one.
+    the first prefixed with the last ``overlap`` words of the previous one
+    (W3: the previous range is read by index inside ``transform``).
 
     Text of at most ``size`` words is one chunk. Over-long sentences are
     windowed and then tail-overlapped as well (D7).

@@ -74,7 +74,7 @@ def script_counts(c) -> Column:
 
 
 def detect_language(c) -> Column:
-    """L1: code of the script with most characters; ties -> the script seen
+    """Code of the script with most characters; ties -> the script seen
     first; no Indic/Arabic character (Latin is not counted) -> 'en'."""
     best = F.array_max(script_counts(c))
     return F.when(best["n"] > 0, best["code"]).otherwise(F.lit(ENGLISH[0]))

@@ -26,6 +26,7 @@ TOP_K, FETCH_K, MMR_LAMBDA = 5, 20, 0.5
 
 
 def fetch_k_for(top_k: int) -> int:
+    """O3: candidates fetched per question before re-ranking."""
     return max(FETCH_K, 4 * top_k)
 
 
@@ -224,7 +225,7 @@ def mmr_select(texts: list[str], scores: list[float | None], top_k: int, lam: fl
 
 def mmr(cands: DataFrame, top_k: int = TOP_K, lam: float = MMR_LAMBDA, text_col: str = "chunk_text",
         top_k_col: str | None = None) -> DataFrame:
-    """M1: re-rank each query's candidates (qid, iid, score, rank, text) and
+    """Re-rank each query's candidates (qid, iid, score, rank, text) and
     keep ``top_k`` (or the per-query ``top_k_col``); adds ``mmr_rank``.
     Groups are bounded by fetch_k."""
     schema = T.StructType([f for f in cands.schema.fields] + [T.StructField("mmr_rank", T.IntegerType())])

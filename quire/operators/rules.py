@@ -21,7 +21,7 @@ DEFAULT_RULE = ("General imbalance", ["Vata"], "Improve sleep, reduce stress, an
 
 
 def match_rules(df: DataFrame, text_col: str = "text", rules=RULES, default=DEFAULT_RULE) -> DataFrame:
-    """The rule with most whole-token keyword hits; first rule on ties;
+    """The rule with most whole-token keyword hits; first rule on ties;
     the default row (confidence 0.0) when no keyword hits.
 
     The rule list is a bounded literal, so each rule compiles to an array

@@ -131,7 +131,7 @@ def extract_pages(files: DataFrame, extractors: Iterable[tuple[str, Extractor]],
 
 def assemble_documents(pages: DataFrame, doc_col: str = "source_file", page_col: str = "page_number",
                        text_col: str = "page_text", tie_col: str | None = None) -> DataFrame:
-    """Non-blank pages of each document, trimmed, in page order,
+    """Non-blank pages of each document, trimmed, in page order,
     joined by a blank line; ``page_count`` = pages kept.
 
     The group is one document's pages (bounded by the document), and the
