@@ -63,13 +63,15 @@ def lsh_signature(dim: int, tables: int, bits: int, seed: int):
 
 def knn_lsh(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str,
             qvec: str = "qvec", vec: str = "embedding", tables: int = 16, bits: int = 4, seed: int = 17,
-            max_cell: int = 20_000, exclude_self: bool = False) -> DataFrame:
+            max_cell: int = 20_000, exclude_self: bool = False, probe_flips: bool = False) -> DataFrame:
     """Approximate top-k by cosine. Items and queries are bucketed by
     SimHash signatures in ``tables`` tables; candidates are the items sharing
     a bucket with the query, scored exactly. A bucket holding more than
     ``max_cell`` items is split into salted cells (the query side is
     replicated to each), so a hot bucket never lands in one task. The
-    bucket-size table has at most ``tables * 2**bits`` rows."""
+    bucket-size table has at most ``tables * 2**bits`` rows. With
+    ``probe_flips`` a query also probes the ``bits`` buckets one bit-flip
+    away in each table (multi-probe): only the query side grows."""
     from quire.session import materialize
 
     spark = items.sparkSession
@@ -83,6 +85,12 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id
 
     ik = materialize(keyed(items, item_id, vec, "iid").withColumnRenamed("_v", "embedding"), "lsh_index")
     qk = keyed(queries, query_id, qvec, "qid").withColumnRenamed("_v", "qvec")
+    if probe_flips:
+        flips = F.array(F.lit(0), *[F.lit(1 << j) for j in range(bits)])
+        qk = (qk.withColumn("_flip", F.explode(flips))
+              .withColumn("_key", (F.col("_key") - F.pmod(F.col("_key"), F.lit(width)))
+                          + F.col("_key").bitwiseXOR(F.col("_flip")) % width)
+              .drop("_flip"))
     sizes = [(r["_key"], max(1, -(-r["n"] // max_cell))) for r in
              ik.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).collect()]
     salts = F.broadcast(spark.createDataFrame(sizes, "_key int, _s long"))

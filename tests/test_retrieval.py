@@ -80,3 +80,7 @@ def test_lsh_recall_and_shape(spark):
     # every approximate score is the exact cosine of that pair
     bad = approx.join(exact, ["qid", "iid"]).filter(approx.score != exact.score).count()
     assert bad == 0
+    probed = rt.knn_lsh(q, e, 5, "vec_id", "vec_id", exclude_self=True, max_cell=50, tables=4, bits=6,
+                        probe_flips=True)
+    plain = rt.knn_lsh(q, e, 5, "vec_id", "vec_id", exclude_self=True, max_cell=50, tables=4, bits=6)
+    assert rt.recall_at_k(probed, exact).first()["recall"] >= rt.recall_at_k(plain, exact).first()["recall"]
