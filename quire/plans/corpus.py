@@ -53,3 +53,13 @@ def embed_chunks(chunks: DataFrame, encoder=None) -> DataFrame:
     encoder = encoder or HashingEncoder()
     good, _bad = check_dim(embed(chunks, "chunk_text", encoder), encoder.dim)
     return good
+
+
+def write_corpus(chunks: DataFrame, path: str) -> DataFrame:
+    """S10 for the chunk table: Parquet partitioned by ``source_type`` so a
+    source filter (P11) prunes whole directories at the scan; returns the
+    table read back."""
+    if chunks.isEmpty():
+        raise ValueError("refusing to write an empty chunk table")
+    chunks.write.mode("overwrite").partitionBy("source_type").parquet(path)
+    return chunks.sparkSession.read.parquet(path)

@@ -30,3 +30,12 @@ def test_filter_and_pruning_reach_scan(spark):
     p = _plan(df)
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in p
     assert "ReadSchema: struct<role:string,text:string>" in p
+
+
+def test_source_filter_prunes_partitions(spark, tmp_path):
+    from quire.plans.corpus import write_corpus
+    df = spark.createDataFrame([("a", "x y", "csv"), ("b", "z w", "pdf")], "chunk_id string, chunk_text string, source_type string")
+    t = write_corpus(df, str(tmp_path / "corpus"))
+    p = _plan(t.filter(F.col("source_type") == "pdf").select("chunk_id"))
+    assert "PartitionFilters: [isnotnull(source_type" in p and "(source_type" in p
+    assert [r[0] for r in t.filter(F.col("source_type") == "pdf").select("chunk_id").collect()] == ["b"]
