@@ -37,7 +37,7 @@ def match_rules(df: DataFrame, text_col: str = "text", rules=RULES, default=DEFA
             F.size(hits).alias("n"), F.lit(-i).alias("neg_order"),
             F.lit(disease).alias("disease"), F.array(*[F.lit(d) for d in dosha]).alias("dosha"),
             F.lit(advice).alias("advice"), hits.alias("matched_keywords"),
-            F.round(F.size(hits) / F.lit(max(len(kws), 1)), 2).alias("confidence"),
+            F.bround(F.size(hits) / F.lit(max(len(kws), 1)), 2).alias("confidence"),  # D19: half-even
         ))
     best = F.array_max(F.array(*cand))
     hit = best["n"] > 0

@@ -172,7 +172,7 @@ SELECT conv_id, turn,
        CASE WHEN len(hits) > 0 THEN disease ELSE {_q(DEFAULT_RULE[0])} END AS disease,
        CASE WHEN len(hits) > 0 THEN dosha ELSE [{', '.join(_q(d) for d in DEFAULT_RULE[1])}] END AS dosha,
        CASE WHEN len(hits) > 0 THEN hits ELSE CAST([] AS VARCHAR[]) END AS matched_keywords,
-       CASE WHEN len(hits) > 0 THEN round(len(hits) / nk, 2) ELSE 0.0 END AS confidence
+       CASE WHEN len(hits) > 0 THEN round_even(len(hits) / nk, 2) ELSE 0.0 END AS confidence
 FROM b WHERE rn = 1
 """
 

@@ -37,3 +37,9 @@ def test_validate_questions(spark):
                                "q string, k int, f string")
     out = validate_questions(df, "q", "k", "f").select("is_valid").collect()
     assert [r[0] for r in out] == [False, False, False, True]
+
+
+def test_confidence_rounds_half_even(spark):
+    rules = [("Eight", ["a", "b", "c", "d", "e", "f", "g", "h"], ["Vata"], "x")]
+    df = spark.createDataFrame([(1, "a")], "i int, text string")
+    assert match_rules(df, rules=rules).first()["confidence"] == 0.12
