@@ -102,11 +102,12 @@ def word_count(c) -> Column:
     return F.size(word_array(c))
 
 
-def clean_document_text(c) -> Column:
+def clean_document_text(c, ascii_only: bool = True) -> Column:
     """Eight ordered rewrites for noisy extracted page text.
 
     URLs, (12) and [1, 2] citations, "3) " numbering, non-ASCII runs, a symbol
     repeated 3+ times -> one, runs of _-=: -> space, whitespace collapse.
+    ``ascii_only=False`` keeps non-ASCII text (D18); the default drops it.
     """
     x = F.coalesce(_c(c), F.lit(""))
     x = F.regexp_replace(x, f"(?i)https?://{NON_WS}+|www\\.{NON_WS}+", " ")
@@ -114,8 +115,11 @@ def clean_document_text(c) -> Column:
     x = F.regexp_replace(
         x, f"\\[{WS}*\\p{{Nd}}{{1,4}}(?:{WS}*,{WS}*\\p{{Nd}}{{1,4}})*{WS}*\\]", " ")
     x = F.regexp_replace(x, f"(?:(?<={WS})|^)\\p{{Nd}}+\\){WS}*", " ")
-    x = F.regexp_replace(x, r"[^\x00-\x7F]+", " ")
-    x = F.regexp_replace(x, r"([^A-Za-z0-9_\x09-\x0D\x1C-\x20])\1{2,}", "$1")
+    if ascii_only:
+        x = F.regexp_replace(x, r"[^\x00-\x7F]+", " ")
+        x = F.regexp_replace(x, r"([^A-Za-z0-9_\x09-\x0D\x1C-\x20])\1{2,}", "$1")
+    else:
+        x = F.regexp_replace(x, f"(?U)([^\\w{WS_CHARS}])\\1{{2,}}", "$1")
     x = F.regexp_replace(x, r"[_\-=:]{3,}", " ")
     return F.trim(F.regexp_replace(x, f"{WS}+", " "))
 
