@@ -126,6 +126,10 @@ def translate_column(df: DataFrame, text: str, src_name: str, dst_name: str, out
     """``out`` = translate(text) when text is non-blank and the languages
     differ, else the text itself (blank -> ''). Only rows that need the model
     are sent to it; a failed translation keeps the source text."""
+    keep_text = F.when(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0, F.col(text)).otherwise(F.lit(""))
+    if translate is identity_translate:
+        # no model plugged in: nothing leaves the JVM
+        return df.withColumn(out, keep_text)
     need = (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0) & \
         (F.lower(F.col(src_name)) != F.lower(F.col(dst_name)))
     marked = df.withColumn("_need", need)
@@ -143,8 +147,7 @@ def translate_column(df: DataFrame, text: str, src_name: str, dst_name: str, out
             yield b
 
     via_model = marked.filter(F.col("_need")).mapInPandas(run, schema)
-    passthrough = marked.filter(~F.col("_need")).withColumn(
-        out, F.when(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0, F.col(text)).otherwise(F.lit("")))
+    passthrough = marked.filter(~F.col("_need")).withColumn(out, keep_text)
     return via_model.unionByName(passthrough).drop("_need")
 
 
