@@ -24,16 +24,13 @@ ENGLISH = ("en", "English")
 LANGUAGE_NAMES = {code: name for code, name, _, _ in SCRIPT_RANGES}
 LANGUAGE_NAMES[ENGLISH[0]] = ENGLISH[1]
 
-# Translation instruction (fixed text).
+# Default wording of the translation instruction (our own); {src} and {dst}
+# are the language names.
 TRANSLATE_SYSTEM = (
-    "You are a precise translator. Translate the user's message from "
-    "{src} to {dst}. "
-    "Preserve named entities, numbers, Sanskrit and Latin scientific "
-    "terms (for example: Vata, Pitta, Kapha, Ashwagandha, "
-    "Withania somnifera, Triphala), and any bracketed citations such "
-    "as [source_file, page] EXACTLY as written. Return ONLY the "
-    "translation, with no preamble, no quotation marks, and no "
-    "explanations."
+    "Translate the user's text from {src} into {dst}. Keep names, numbers, "
+    "Sanskrit and Latin plant or body-type terms, and bracketed citations like "
+    "[source_file, page] exactly as they are. Output the translation alone, "
+    "without quotes, notes or preamble."
 )
 
 
@@ -108,9 +105,9 @@ def languages_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, name string, first_cp int, last_cp int")
 
 
-def translate_messages(text, src_name, dst_name) -> Column:
+def translate_messages(text, src_name, dst_name, instruction: str = TRANSLATE_SYSTEM) -> Column:
     """L4: [system, user] chat messages asking for a translation."""
-    system = F.format_string(TRANSLATE_SYSTEM.replace("{src}", "%s").replace("{dst}", "%s"),
+    system = F.format_string(instruction.replace("%", "%%").replace("{src}", "%s").replace("{dst}", "%s"),
                              _c(src_name), _c(dst_name))
     return F.array(
         F.struct(F.lit("system").alias("role"), system.alias("content")),

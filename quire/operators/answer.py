@@ -22,31 +22,30 @@ from quire.operators import retrieval as rt
 from quire.operators.rules import validate_questions
 from quire.session import materialize
 
-# Fixed texts.
+# Default wording of the fixed texts (our own; each is an argument of
+# ``ask_batch``). The prompt layout around them - "Context:", the
+# "[Source: f, Page: n] text" entries, "Question:" - is a fixed format.
 MEDICAL_DISCLAIMER = (
-    "This response summarizes traditional Ayurvedic guidance from the indexed "
-    "sources. It is not medical advice. Consult a qualified practitioner for "
-    "personal health decisions."
+    "This answer is drawn from the indexed texts on traditional practice and is "
+    "general information only, not medical advice; please see a qualified "
+    "practitioner before making health decisions."
 )
 SYSTEM_PROMPT = (
-    "You are an Ayurveda knowledge assistant. Answer the user's question "
-    "using ONLY the provided context. Cite sources inline as "
-    "[source_file, page]. If the context is insufficient or off-topic, say "
-    "so explicitly instead of guessing. Do not provide diagnoses, dosages, "
-    "or treatment recommendations as medical advice; frame suggestions as "
-    "traditional Ayurvedic guidance and recommend consulting a qualified "
-    "practitioner for personal health decisions."
+    "Answer from the context passages only and cite each claim as "
+    "[source_file, page]. When the passages do not cover the question, say "
+    "that plainly rather than guessing. Present remedies as traditional "
+    "guidance, never as a diagnosis, prescription or dosage, and suggest "
+    "consulting a qualified practitioner for personal decisions."
 )
 RED_FLAG_MESSAGE = (
-    "Your question mentions symptoms that may require urgent medical "
-    "attention. Please contact local emergency services or a qualified "
-    "clinician immediately. This assistant cannot provide acute care "
-    "guidance."
+    "Some of the symptoms you describe can be an emergency. Please contact "
+    "emergency services or a doctor right away; this assistant cannot help "
+    "with urgent care."
 )
-NO_CONTEXT_MESSAGE = "I could not find relevant context in the knowledge base for that question."
+NO_CONTEXT_MESSAGE = "The indexed sources contain nothing relevant to this question."
 NO_CONTEXT_BLOCK = "(no context)"
-PROMPT_TAIL = ("Answer concisely (3-6 sentences), grounded strictly in the context, "
-               "with inline citations of the form [source_file, page].")
+PROMPT_TAIL = ("Reply in three to six sentences, use only the context above, and cite "
+               "sources inline as [source_file, page].")
 
 SOURCE_TYPE = T.StructType([
     T.StructField("chunk_text", T.StringType()), T.StructField("source_file", T.StringType()),
@@ -65,16 +64,16 @@ def context_entry(source_file, page_number, chunk_text) -> Column:
                     F.coalesce(_c(chunk_text), F.lit("")))
 
 
-def user_prompt(question, context_block) -> Column:
+def user_prompt(question, context_block, tail: str = PROMPT_TAIL) -> Column:
     """G1: the user message around a context block ('(no context)' if blank)."""
     block = F.when(F.coalesce(_c(context_block), F.lit("")) == "", F.lit(NO_CONTEXT_BLOCK)).otherwise(
         _c(context_block))
     return F.concat(F.lit("Context:\n"), block, F.lit("\n\nQuestion: "), _c(question), F.lit("\n\n"),
-                    F.lit(PROMPT_TAIL))
+                    F.lit(tail))
 
 
 def build_prompts(questions: DataFrame, hits: DataFrame, qid: str, question: str,
-                  rank_col: str = "rank") -> DataFrame:
+                  rank_col: str = "rank", tail: str = PROMPT_TAIL) -> DataFrame:
     """G1: one prompt per question from its ranked hits (qid, rank,
     chunk_text, source_file, page_number); questions without hits get
     '(no context)'. The collect per question is bounded by top_k."""
@@ -84,7 +83,7 @@ def build_prompts(questions: DataFrame, hits: DataFrame, qid: str, question: str
                  .alias("_ctx")))
     block = F.array_join(F.transform("_ctx", lambda s: s["e"]), "\n\n")
     return (questions.join(per_q, qid, "left")
-            .withColumn("prompt", user_prompt(question, F.coalesce(block, F.lit(""))))
+            .withColumn("prompt", user_prompt(question, F.coalesce(block, F.lit("")), tail))
             .drop("_ctx"))
 
 
@@ -151,13 +150,14 @@ def translate_column(df: DataFrame, text: str, src_name: str, dst_name: str, out
     return via_model.unionByName(passthrough).drop("_need")
 
 
-def generate_column(df: DataFrame, prompt: str, out: str, generate: Generate = extractive_generate) -> DataFrame:
+def generate_column(df: DataFrame, prompt: str, out: str, generate: Generate = extractive_generate,
+                    system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
     """``out`` = generate(system prompt, user prompt) in Arrow batches."""
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[out] = [generate(SYSTEM_PROMPT, p) for p in b[prompt]]
+            b[out] = [generate(system_prompt, p) for p in b[prompt]]
             yield b
 
     return df.mapInPandas(run, schema)
@@ -170,12 +170,16 @@ def generate_column(df: DataFrame, prompt: str, out: str, generate: Generate = e
 def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id", question: str = "question",
               top_k: int = rt.TOP_K, language: str | None = None, source_filter: str | None = None,
               encoder=None, translate: Translate = identity_translate,
-              generate: Generate = extractive_generate, lam: float = rt.MMR_LAMBDA) -> DataFrame:
+              generate: Generate = extractive_generate, lam: float = rt.MMR_LAMBDA,
+              texts: dict | None = None) -> DataFrame:
     """Answer every question of ``questions`` against ``chunks`` (central
     schema). Returns one row per question: qid, answer, language,
     detected_language, disclaimer, sources (array of struct, MMR order),
-    reason (null unless the question was rejected)."""
+    reason (null unless the question was rejected). ``texts`` overrides the
+    fixed wording: disclaimer, system_prompt, red_flag, no_context, prompt_tail."""
     encoder = encoder or HashingEncoder()
+    tx_ = {"disclaimer": MEDICAL_DISCLAIMER, "system_prompt": SYSTEM_PROMPT, "red_flag": RED_FLAG_MESSAGE,
+           "no_context": NO_CONTEXT_MESSAGE, "prompt_tail": PROMPT_TAIL, **(texts or {})}
     cols = [F.col(qid), F.col(question).alias("question")]
     cols.append(F.col(language).alias("language_req") if language else F.lit(None).cast("string").alias("language_req"))
     cols.append(F.col(source_filter).alias("source_filter") if source_filter
@@ -224,7 +228,8 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     picked = materialize(rt.mmr(cands, top_k, lam), "picked")
 
     # Prompt and answer for questions with context
-    prompts = build_prompts(clear.select(qid, "english_question"), picked, qid, "english_question", "mmr_rank")
+    prompts = build_prompts(clear.select(qid, "english_question"), picked, qid, "english_question", "mmr_rank",
+                            tx_["prompt_tail"])
     sources = (picked.groupBy(F.col("qid").alias(qid))
                .agg(F.array_sort(F.collect_list(F.struct(
                    F.col("mmr_rank").alias("r"),
@@ -233,9 +238,9 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
                .select(qid, F.transform("_src", lambda x: x["s"]).alias("sources")))
     with_ctx = clear.join(sources, qid, "left").join(prompts.select(qid, "prompt"), qid, "left")
     has_ctx = F.coalesce(F.size("sources"), F.lit(0)) > 0
-    gen = generate_column(with_ctx.filter(has_ctx), "prompt", "english_answer", generate)
-    no_ctx = with_ctx.filter(~has_ctx).withColumn("english_answer", F.lit(NO_CONTEXT_MESSAGE))
-    flagged = ok.filter(F.col("flagged")).withColumn("english_answer", F.lit(RED_FLAG_MESSAGE)) \
+    gen = generate_column(with_ctx.filter(has_ctx), "prompt", "english_answer", generate, tx_["system_prompt"])
+    no_ctx = with_ctx.filter(~has_ctx).withColumn("english_answer", F.lit(tx_["no_context"]))
+    flagged = ok.filter(F.col("flagged")).withColumn("english_answer", F.lit(tx_["red_flag"])) \
         .withColumn("sources", F.array().cast(T.ArrayType(SOURCE_TYPE))).withColumn("prompt", F.lit(None).cast("string"))
     answered = materialize(gen.unionByName(no_ctx, allowMissingColumns=True)
                            .unionByName(flagged, allowMissingColumns=True), "answered")
@@ -243,7 +248,7 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     # L5 back to the target language (G3: a failed translation keeps English)
     final = translate_column(answered, "english_answer", "english_name", "target_name", "answer", translate)
     out = final.select(
-        qid, "answer", "language", "detected_language", F.lit(MEDICAL_DISCLAIMER).alias("disclaimer"),
+        qid, "answer", "language", "detected_language", F.lit(tx_["disclaimer"]).alias("disclaimer"),
         F.coalesce(F.col("sources"), F.array().cast(T.ArrayType(SOURCE_TYPE))).alias("sources"),
         F.lit(None).cast("string").alias("reason"))
     rej = rejected.select(
