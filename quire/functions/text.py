@@ -124,38 +124,39 @@ def clean_document_text(c, ascii_only: bool = True) -> Column:
     return F.trim(F.regexp_replace(x, f"{WS}+", " "))
 
 
-def _is_noise_line(line: Column) -> Column:
+def _is_noise_line(line: Column, keywords=NOISE_KEYWORDS) -> Column:
     low = strip_ws(F.lower(line))
     has_kw = F.lit(False)
-    for k in NOISE_KEYWORDS:
+    for k in keywords:
         has_kw = has_kw | low.contains(k)
     digits_only = low.rlike(f"^[\\[\\]\\(\\)\\p{{Nd}},\\.{WS_CHARS}\\-:;]+$")
     return (low == "") | has_kw | digits_only
 
 
-def useful_lines(c) -> Column:
+def useful_lines(c, keywords=NOISE_KEYWORDS) -> Column:
     """The stripped lines of a text that are not noise (array<string>)."""
     lines = F.transform(F.split(F.coalesce(_c(c), F.lit("")), LINE_BREAK), strip_ws)
-    return F.filter(lines, lambda ln: ~_is_noise_line(ln))
+    return F.filter(lines, lambda ln: ~_is_noise_line(ln, keywords))
 
 
-def drop_noise_lines(c, sep: str = "\n") -> Column:
+def drop_noise_lines(c, sep: str = "\n", keywords=NOISE_KEYWORDS) -> Column:
     """Text without blank, keyword or digits-and-punctuation-only lines."""
-    return F.array_join(useful_lines(c), sep)
+    return F.array_join(useful_lines(c, keywords), sep)
 
 
-def _all_labels_alt() -> str:
-    labels = sorted({lab for labs in FIELD_LABELS.values() for lab in labs}, key=len, reverse=True)
+def _all_labels_alt(field_labels=FIELD_LABELS) -> str:
+    labels = sorted({lab for labs in field_labels.values() for lab in labs}, key=len, reverse=True)
     return "|".join(lab.replace(" ", r"\s+") for lab in labels)
 
 
-def extract_field(c, labels: Sequence[str], max_chars: int = 220, min_chars: int = 5) -> Column:
+def extract_field(c, labels: Sequence[str], max_chars: int = 220, min_chars: int = 5,
+                  field_labels=FIELD_LABELS) -> Column:
     """T4: value after the first label found (in list order) of ``labels``.
 
     The value runs to the next *known* label or the end of text (D3, D4), is
     cut to ``max_chars`` and must have ``min_chars`` characters; else ''.
     """
-    stop = f"(?i){WS}+\\b(?:{_all_labels_alt()})\\b{WS}*[:\\-].*$"
+    stop = f"(?i){WS}+\\b(?:{_all_labels_alt(field_labels)})\\b{WS}*[:\\-].*$"
     out = F.lit(None).cast("string")
     for lab in labels:
         pat = f"(?i)\\b{lab.replace(' ', WS + '+')}\\b{WS}*[:\\-]{WS}*(.*)$"
@@ -166,7 +167,8 @@ def extract_field(c, labels: Sequence[str], max_chars: int = 220, min_chars: int
     return F.coalesce(out, F.lit(""))
 
 
-def structure_text(text, source_file=None, page_number=None) -> Column:
+def structure_text(text, source_file=None, page_number=None, field_labels=FIELD_LABELS,
+                   noise_keywords=NOISE_KEYWORDS) -> Column:
     """T5: a nine-part labelled monograph text from a noisy page (raw page
     text in, so the line filter sees real lines: D5)."""
     src = (F.coalesce(F.nullif(_c(source_file), F.lit("")), F.lit(UNKNOWN_FILE))
@@ -199,10 +201,10 @@ def structure_text(text, source_file=None, page_number=None) -> Column:
 
     def with_filtered(b):
         f = b["filtered"]
-        fields = {k: extract_field(f, labs) for k, labs in FIELD_LABELS.items()}
+        fields = {k: extract_field(f, field_labels[k], field_labels=field_labels) for k in FIELD_LABELS}
         return let(with_fields, filtered=f, src=b["src"], page=b["page"], **fields)
 
-    filtered = clean_document_text(F.array_join(useful_lines(text), " "))
+    filtered = clean_document_text(F.array_join(useful_lines(text, noise_keywords), " "))
     return let(with_filtered, filtered=filtered, src=src, page=page)
 
 
@@ -300,6 +302,7 @@ def is_blank(c) -> Column:
     return _c(c).isNull() | (F.length(strip_ws(_c(c))) == 0)
 
 
-def red_flag(c) -> Column:
-    """True when the text names an urgent symptom."""
-    return F.coalesce(_c(c), F.lit("")).rlike("(?iU)" + "|".join(RED_FLAG_PATTERNS))
+def red_flag(c, patterns=RED_FLAG_PATTERNS) -> Column:
+    """True when the text names an urgent symptom (any pattern, case
+    ignored)."""
+    return F.coalesce(_c(c), F.lit("")).rlike("(?iU)" + "|".join(patterns))
