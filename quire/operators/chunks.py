@@ -84,11 +84,12 @@ def build_chunks(base: DataFrame, size: int = 350, overlap: int = 90, min_words:
     drop blank -> gates (P8-P10) -> clean -> chunk_id (T8).
     """
     if strategy == "words":
-        chunk = chunk_words(F.col("raw_text"), size, overlap, cleaned=True)
+        chunk = chunk_words(F.col("_clean"), size, overlap, cleaned=True)
     else:
+        # the sentence chunker sees the raw text, so blank-line paragraphs
+        # still separate units (D6); its chunks come out clean
         chunk = chunk_sentences(F.col("raw_text"), size, overlap)
-    # blank text yields no chunks, so no filter is needed before chunking
-    cleaned = base.withColumn("raw_text", tx.clean_text("raw_text"))
+    cleaned = base.withColumn("_clean", tx.clean_text("raw_text"))
     # chunks are joined from clean words, so they are T1-clean already
     exploded = cleaned.select(
         "row_id", "source_type", "source_file", "page_number",
