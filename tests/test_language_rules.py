@@ -21,7 +21,7 @@ def test_resolve_language(spark):
     assert one_col(df.select(resolve_language("t"))) == ["te", "te", "te", "en", "en", "en"]
 
 
-def test_match_rules_fixtures(spark):
+def test_rule_matcher_fixtures(spark):
     rows = ["cough and throat pain", "fatigue, frequent urination, thirst", "high bp and stress headaches",
             "sugarcane", "cough sugar", ""]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, text string")
