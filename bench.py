@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "build_chunks", "chunk_sentences", "quality_gates", "clean_document_text", "detect_language",
     "match_rules", "embed_hashing", "knn_centroids", "knn_self", "bm25", "hybrid", "retrieve",
-    "page_documents", "page_structured", "index_sync", "ask_batch",
+    "page_documents", "page_records", "page_structured", "index_sync", "stream_sync", "knn_lsh", "ask_batch",
 ]
 
 
