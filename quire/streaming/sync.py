@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,18 +45,23 @@ def upsert(batch: DataFrame, target_path: str, key: list[str], values: list[str]
               .agg(F.max_by(F.struct(*payload), row_hash(payload)).alias("_v"))
               .select(*key, "_v.*")
               .withColumn(BUCKET, bucket_of(key, buckets)))
-    latest = materialize(latest, "batch")
-    # touched buckets: at most ``buckets`` values
-    touched = [r[0] for r in latest.select(BUCKET).distinct().collect()]
-    if not touched:
-        return
-    old = spark.read.parquet(target_path).filter(F.col(BUCKET).isin(touched))
-    keep = old.join(latest.select(*key), key, "left_anti")
-    fresh = latest.filter(~F.col(deleted_col)) if deleted_col else latest
-    merged = keep.unionByName(fresh.select(*key, *values, BUCKET))
-    staged = materialize(merged, "upsert")  # never overwrite a path the same plan reads
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BUCKET).parquet(target_path))
+    # read twice (touched buckets, merge): keep it for the batch; a lost block
+    # is recomputed from the batch's source files, which do not change
+    latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # touched buckets: at most ``buckets`` values
+        touched = [r[0] for r in latest.select(BUCKET).distinct().collect()]
+        if not touched:
+            return
+        old = spark.read.parquet(target_path).filter(F.col(BUCKET).isin(touched))
+        keep = old.join(latest.select(*key), key, "left_anti")
+        fresh = latest.filter(~F.col(deleted_col)) if deleted_col else latest
+        merged = keep.unionByName(fresh.select(*key, *values, BUCKET))
+        staged = materialize(merged, "upsert")  # never overwrite a path the same plan reads
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(BUCKET).parquet(target_path))
+    finally:
+        latest.unpersist()
 
 
 def stream_sync(spark: SparkSession, source_path: str, target_path: str, schema: T.StructType,
