@@ -80,8 +80,10 @@ def build_chunks(base: DataFrame, size: int = 350, overlap: int = 90, min_words:
                  min_alpha: float = 0.2, strategy: str = "words") -> DataFrame:
     """Base records -> processed chunks (central schema, section 1.3).
 
-    clean (T1) -> drop blank (P7) -> chunk (C1 or C2) -> posexplode (C4) ->
-    drop blank -> gates (P8-P10) -> clean -> chunk_id (T8).
+    clean (T1) -> chunk (C1 on the clean text, or C2 on the raw text) ->
+    posexplode (C4) -> drop blank (P7) -> gates (P8-P10) -> chunk_id (T8).
+    Blank text yields no chunks; chunks are joined from clean words, so they
+    are already T1-clean. No shuffle anywhere.
     """
     if strategy == "words":
         chunk = chunk_words(F.col("_clean"), size, overlap, cleaned=True)
@@ -90,7 +92,6 @@ def build_chunks(base: DataFrame, size: int = 350, overlap: int = 90, min_words:
         # still separate units (D6); its chunks come out clean
         chunk = chunk_sentences(F.col("raw_text"), size, overlap)
     cleaned = base.withColumn("_clean", tx.clean_text("raw_text"))
-    # chunks are joined from clean words, so they are T1-clean already
     exploded = cleaned.select(
         "row_id", "source_type", "source_file", "page_number",
         F.posexplode(chunk).alias("chunk_index", "chunk_text"),
