@@ -3,14 +3,15 @@
 Each task scores one block of queries against one block of items in numpy
 and emits at most k rows per query; a ``row_number() <= k`` window (planned
 with WindowGroupLimit, so it limits before the shuffle too) merges the
-partial lists. Items are assigned to blocks by a hash of their id, so no
-block is hot whatever the key distribution.
+partial lists. In the grid, items are assigned to blocks by a hash of their
+id, so no block is hot whatever the key distribution.
 
 Two ways to meet queries with item blocks:
 
-* ``broadcast`` - the query side is shipped to every task once, after a
-  checked bound on its rows and bytes; items are scored where they are read
-  (``mapInPandas``), so the corpus is never shuffled.
+* ``broadcast`` - the query side is shipped to every task once, after its
+  rows and bytes are measured on a bounded sample and found within the
+  bound; items are scored where they are read (``mapInPandas``), so the
+  corpus is never shuffled.
 * ``grid`` - queries are hash-split into QB blocks and items into CB blocks;
   each (qb, cb) cell is a cogroup group. Items are replicated QB times and
   queries CB times. Used when the query side is beyond the broadcast bound.
