@@ -42,9 +42,19 @@ def test_source_filter_applies_per_query(spark):
     items = spark.createDataFrame([(1, "ginger tea", "csv"), (2, "ginger root", "pdf"), (3, "tea leaves", "pdf")],
                                   "chunk_id int, chunk_text string, source_type string")
     qs = spark.createDataFrame([(10, "ginger tea", "pdf"), (11, "ginger tea", None)], "qid int, q string, f string")
-    hits = rt.bm25(qs, items, 3, "qid", "q", "chunk_id", "chunk_text", query_filter="f", item_type="source_type")
-    got = {(r["qid"], r["iid"]) for r in hits.collect()}
-    assert got == {(10, 2), (10, 3), (11, 1), (11, 2), (11, 3)}
+    for mode in ("broadcast", "grid"):
+        hits = rt.bm25(qs, items, 3, "qid", "q", "chunk_id", "chunk_text", query_filter="f",
+                       item_type="source_type", mode=mode, item_blocks=2)
+        got = {(r["qid"], r["iid"]) for r in hits.collect()}
+        assert got == {(10, 2), (10, 3), (11, 1), (11, 2), (11, 3)}, mode
+    from quire.functions.vectors import HashingEncoder, embed
+    enc = HashingEncoder(16)
+    iv = embed(items, "chunk_text", enc)
+    qv = embed(qs, "q", enc, "qvec")
+    for mode in ("broadcast", "grid"):
+        vh = rt.knn(qv, iv, 3, "qid", "chunk_id", query_filter="f", item_type="source_type", mode=mode,
+                    item_blocks=2)
+        assert {r["iid"] for r in vh.filter("qid = 10").collect()} <= {2, 3}, mode
 
 
 def test_rrf(spark):
