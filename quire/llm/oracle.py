@@ -35,6 +35,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN v USING (source)
 """
 
+OP2 = r"""
+WITH RECURSIVE
+w AS (SELECT row_number() OVER () AS r, doc_id,
+        [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+sh AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS s
+       FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM sh GROUP BY ALL),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM sh a JOIN sh b USING (s) WHERE a.r <> b.r GROUP BY ALL),
+link AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+reach(a, b) AS (SELECT r, r FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(t.doc_id) AS component_id
+FROM w JOIN reach ON reach.a = w.r JOIN w t ON t.r = reach.b LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
+"""
+
 # words of op8
 _W8 = r"[x FOR x IN regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
       r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']"
@@ -82,4 +97,4 @@ SELECT doc_id, digest, license_id, coalesce(n, 0)::BIGINT AS n_license_lines, co
 FROM d LEFT JOIN known USING (digest) LEFT JOIN m USING (r)
 """
 
-ORACLE = {"op1_host_quality": OP1, "op8_decontaminate": OP8, "op9_license_scan": OP9}
+ORACLE = {"op1_host_quality": OP1, "op2_ngram_jaccard": OP2, "op8_decontaminate": OP8, "op9_license_scan": OP9}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import decontaminate as dec
-from quire.llm import licenses, quality
+from quire.llm import jaccard, licenses, quality
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
 
@@ -12,6 +12,10 @@ def op1_host_quality(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard.ngram_jaccard(read(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return dec.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -20,4 +24,4 @@ def op9_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op8_decontaminate, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op8_decontaminate, op9_license_scan)}
