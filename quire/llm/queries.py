@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from quire.llm import decontaminate as dec
 from quire.llm import jaccard, licenses, quality
+from quire.llm import sentencepiece_bpe as spb
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer's vocabulary file lies on this machine."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def op1_host_quality(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"))
 
@@ -16,6 +23,10 @@ def op2_ngram_jaccard(spark, sf_dir):
     return jaccard.ngram_jaccard(read(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark, sf_dir, model: str | None = None):
+    return spb.sentencepiece_tokens(read(spark, sf_dir, "documents"), model or tokenizer_path())
+
+
 def op8_decontaminate(spark, sf_dir):
     return dec.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -24,4 +35,4 @@ def op9_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op8_decontaminate, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op6_sentencepiece, op8_decontaminate, op9_license_scan)}
