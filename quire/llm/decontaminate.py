@@ -58,6 +58,41 @@ def _shingle(w: Column, i: Column, k: int) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
+    keyed = _keyed(docs, doc_id, text)
+    per_doc = contaminated(keyed, items, item_id, item_text, width)
+    out = keyed.select("doc_id", "key", F.size("w").cast("long").alias("n_words"))
+    same = out["doc_id"].eqNullSafe(per_doc["doc_id"]) & (out["key"] == per_doc["key"])
+    none = F.array().cast("array<string>")
+    return out.join(per_doc, same, "left").select(
+        out["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(F.coalesce("ids", none)).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.coalesce("ids", none)), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                      item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, with their own columns.
+    Only the ids of the others are joined to the texts: Spark broadcasts them while
+    they are below its threshold and shuffles beyond it."""
+    bad = contaminated(_keyed(docs, doc_id, text), items, item_id, item_text, width).select("doc_id", "key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(doc_id).alias("doc_id"), _key(text).alias("key"))
+    same = rows["doc_id"].eqNullSafe(bad["doc_id"]) & (rows["key"] == bad["key"])
+    return rows.join(bad, same, "left_anti").select("row.*")
+
+
+def _key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Words per row; a row is known by its id and the hash of its text."""
+    return docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), words(F.col(text)).alias("w"))
+
+
+def contaminated(keyed: DataFrame, items: DataFrame, item_id: str, item_text: str, width: int) -> DataFrame:
+    """doc_id, key, n_hit, ids (of items, as sorted strings) of rows with a window."""
     windows = write_once(windows_of(items, item_id, item_text, width), "decontaminate-windows")
     distinct = windows.select("words", "size").distinct().withColumn(
         "window", F.xxhash64(F.lit("w"), F.concat_ws(" ", "words")))
@@ -71,8 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     lookup = grams.select("shingle", "k").distinct()
     n, ks = lookup.agg(F.count(F.lit(1)), F.collect_set("k")).first()  # one row; k is 1, 2 or 3
 
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    keyed = tokens.select("doc_id", F.xxhash64("w").alias("key"), F.size("w").cast("long").alias("n_words"), "w")
+    keyed = keyed.withColumn("n_words", F.size("w").cast("long"))
     hits = write_once(_positions(keyed, lookup, n, sorted(ks), width), "decontaminate-positions")
 
     rarity = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("found"))
@@ -98,16 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     n_hit = spans.withColumn("new", covered).groupBy("doc_id", "key").agg(F.sum("new").cast("long").alias("n_hit"))
     of_item = (found.select("doc_id", "key", "words").distinct().join(windows, "words")
                .groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids")))
-    per_doc = write_once(n_hit.join(of_item, ["doc_id", "key"]), "decontaminate-documents")
-
-    out = keyed.select("doc_id", "key", "n_words")
-    same = out["doc_id"].eqNullSafe(per_doc["doc_id"]) & (out["key"] == per_doc["key"])
-    none = F.array().cast("array<string>")
-    return out.join(per_doc, same, "left").select(
-        out["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(F.coalesce("ids", none)).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.coalesce("ids", none)), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return write_once(n_hit.join(of_item, ["doc_id", "key"]), "decontaminate-documents")
 
 
 def _positions(keyed: DataFrame, lookup: DataFrame, n: int, ks: list[int], width: int) -> DataFrame:

@@ -151,6 +151,25 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, pct: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id. Rows that
+    repeat an id are reduced to one; rows without an id stay.
+
+    Only the ids that go are joined to the texts: Spark broadcasts them while they
+    are below its threshold and shuffles beyond it."""
+    result = write_once(ngram_jaccard(docs, doc_id, text, k, pct), "jaccard-result")
+    gone = write_once(result.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(),
+                      "jaccard-gone")
+    twice = write_once(result.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice"))
+                       .agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("twice"), "jaccard-twice")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"))
+    kept = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    once = kept.join(twice, F.col("id") == F.col("twice"), "left_anti")
+    again = kept.join(twice, F.col("id") == F.col("twice"), "left_semi")
+    first = again.groupBy("id").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return once.select("row.*").unionByName(first.select("row.*"))
+
+
 def _links(source: DataFrame, classes: DataFrame, kind: str, k: int, pct: int) -> DataFrame:
     """Verified links (a, b) that give the same components as all links."""
     # sets of under 1 / (1 / pct - 1) shingles link with equal sets only

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import decontaminate as dec
-from quire.llm import jaccard, licenses, quality
+from quire.llm import jaccard, licenses, quality, secrets
 from quire.llm import sentencepiece_bpe as spb
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
@@ -23,6 +23,10 @@ def op2_ngram_jaccard(spark, sf_dir):
     return jaccard.ngram_jaccard(read(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secrets.secret_scan(read(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark, sf_dir, model: str | None = None):
     return spb.sentencepiece_tokens(read(spark, sf_dir, "documents"), model or tokenizer_path())
 
@@ -35,4 +39,4 @@ def op9_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op6_sentencepiece, op8_decontaminate, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op4_secret_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan)}
