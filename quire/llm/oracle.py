@@ -97,4 +97,19 @@ SELECT doc_id, digest, license_id, coalesce(n, 0)::BIGINT AS n_license_lines, co
 FROM d LEFT JOIN known USING (digest) LEFT JOIN m USING (r)
 """
 
-ORACLE = {"op1_host_quality": OP1, "op2_ngram_jaccard": OP2, "op8_decontaminate": OP8, "op9_license_scan": OP9}
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+win AS (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+        FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+cov AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM rep)),
+word AS (SELECT r, doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN cov USING (r, p) GROUP BY r),
+gone AS (SELECT r, count(*) AS n FROM cov GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
+
+ORACLE = {"op1_host_quality": OP1, "op2_ngram_jaccard": OP2, "op8_decontaminate": OP8, "op9_license_scan": OP9,
+          "op10_remove_repeats": OP10}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import decontaminate as dec
-from quire.llm import jaccard, licenses, quality, secrets
+from quire.llm import jaccard, licenses, quality, repeats, secrets
 from quire.llm import sentencepiece_bpe as spb
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
@@ -39,4 +39,9 @@ def op9_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op4_secret_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan)}
+def op10_remove_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op4_secret_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan,
+                                  op10_remove_repeats)}
