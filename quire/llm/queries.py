@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import decontaminate as dec
-from quire.llm import jaccard, licenses, quality, repeats, secrets
+from quire.llm import html, jaccard, licenses, quality, repeats, secrets
 from quire.llm import sentencepiece_bpe as spb
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
@@ -23,6 +23,10 @@ def op2_ngram_jaccard(spark, sf_dir):
     return jaccard.ngram_jaccard(read(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark, sf_dir):
+    return html.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_remove_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op4_secret_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan,
+QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op3_main_text, op4_secret_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan,
                                   op10_remove_repeats)}
