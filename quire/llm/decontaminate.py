@@ -39,8 +39,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def words(text: Column) -> Column:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text, A-Z lower-cased."""
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    t = F.trim(F.regexp_replace(t, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.array_remove(F.split(t, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
 def windows_of(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
