@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import decontaminate as dec
-from quire.llm import html, jaccard, licenses, quality, repeats, secrets
+from quire.llm import html, jaccard, licenses, pii, quality, repeats, secrets
 from quire.llm import sentencepiece_bpe as spb
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
@@ -31,6 +31,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op5_pii_scan(spark, sf_dir):
+    return pii.pii_scan(read(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark, sf_dir, model: str | None = None):
     return spb.sentencepiece_tokens(read(spark, sf_dir, "documents"), model or tokenizer_path())
 
@@ -47,5 +51,5 @@ def op10_remove_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op3_main_text, op4_secret_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan,
+QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op3_main_text, op4_secret_scan, op5_pii_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan,
                                   op10_remove_repeats)}
