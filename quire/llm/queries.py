@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import decontaminate as dec
-from quire.llm import html, jaccard, licenses, pii, quality, repeats, secrets
+from quire.llm import jaccard, licenses, main_text, mixing, pii, quality, repeats, secret_scan
 from quire.llm import sentencepiece_bpe as spb
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
@@ -24,11 +24,11 @@ def op2_ngram_jaccard(spark, sf_dir):
 
 
 def op3_main_text(spark, sf_dir):
-    return html.extract_main_text(read(spark, sf_dir, "pages"))
+    return main_text.extract_main_text(read(spark, sf_dir, "pages"))
 
 
 def op4_secret_scan(spark, sf_dir):
-    return secrets.secret_scan(read(spark, sf_dir, "documents"))
+    return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
 
 
 def op5_pii_scan(spark, sf_dir):
@@ -39,6 +39,10 @@ def op6_sentencepiece(spark, sf_dir, model: str | None = None):
     return spb.sentencepiece_tokens(read(spark, sf_dir, "documents"), model or tokenizer_path())
 
 
+def op7_lm_score(spark, sf_dir):
+    return mixing.lm_score(read(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return dec.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -51,5 +55,6 @@ def op10_remove_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_quality, op2_ngram_jaccard, op3_main_text, op4_secret_scan, op5_pii_scan, op6_sentencepiece, op8_decontaminate, op9_license_scan,
-                                  op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (
+    op1_host_quality, op2_ngram_jaccard, op3_main_text, op4_secret_scan, op5_pii_scan, op6_sentencepiece, op7_lm_score,
+    op8_decontaminate, op9_license_scan, op10_remove_repeats)}
