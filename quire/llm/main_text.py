@@ -174,8 +174,9 @@ def blocks(page: str) -> list[Block]:
                                 stack[-1][0] in (name, "p", "dt", "dd", "td", "th", "tr"):
                             pop()
                     mark = _marks(name, attributes, regions > 0)
-                    if mark and last_close(name) < at:
-                        mark = 0 if name not in OUT else mark    # never closed: marks nothing but itself
+                    if mark and name not in OUT and name not in SIBLINGS and name not in TEXT_ONLY \
+                            and last_close(name) < at:
+                        mark = 0    # never closed: it would mark the rest of the page
                     stack.append((name, mark, name in REGION))
                     open_[name] += 1
                     marks[mark] += 1
