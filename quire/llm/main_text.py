@@ -43,6 +43,7 @@ el los las y es una que con por para no su al lo como más del se o
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
                    |<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>
                    |<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S | re.X)
+OPENED = re.compile(r"<(?=[!?/a-zA-Z])")     # of a tag that the page's end cuts off
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed",
@@ -141,7 +142,8 @@ def blocks(page: str) -> list[Block]:
         marks[mark] -= 1
         regions -= region
 
-    m = TAG.search(page, at)
+    last = page.rfind(">") + 1     # no tag ends beyond; keeps the search linear
+    m = TAG.search(page, at, last)
     while m:
         if m.start() > at:
             parts.append((page[at:m.start()], links > 0))
@@ -181,8 +183,8 @@ def blocks(page: str) -> list[Block]:
                     open_[name] += 1
                     marks[mark] += 1
                     regions += name in REGION
-        m = TAG.search(page, at)
-    parts.append((page[at:], links > 0))
+        m = TAG.search(page, at, last)
+    parts.append((OPENED.split(page[at:], maxsplit=1)[0], links > 0))
     flush()
     return out
 
@@ -220,7 +222,8 @@ def labels(page: list[Block]) -> list[bool]:
     decided = [i for i in near if first[i] != OPEN]
     keep = [x == GOOD for x in first]
     if not any(first[i] == GOOD for i in near):
-        return [i in set(near) and (b.linked == 0 or b.link_density() <= LINKS) for i, b in enumerate(page)]
+        inside = set(near)
+        return [i in inside and b.link_density() <= LINKS for i, b in enumerate(page)]
     before, k = None, 0
     for i in near:
         if first[i] != OPEN:
