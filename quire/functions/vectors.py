@@ -76,7 +76,8 @@ def check_dim(df: DataFrame, dim: int, col: str = "embedding") -> tuple[DataFram
     reason = (F.when(v.isNull(), F.lit("null vector"))
               .when(F.size(v) != dim, F.concat(F.lit("dimension "), F.size(v).cast("string"),
                                                F.lit(f" != {dim}")))
-              .when(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit("null or NaN element")))
+              .when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))),
+                    F.lit("null or non-finite element")))
     tagged = df.withColumn("reason", reason)
     return (tagged.filter(F.col("reason").isNull()).drop("reason"),
             tagged.filter(F.col("reason").isNotNull()))

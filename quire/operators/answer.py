@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.language import ENGLISH, detect_language, language_name, resolve_language, translate_messages
+from quire.functions.language import ENGLISH, detect_language, language_name, resolve_language
 from quire.functions.text import _c, red_flag
 from quire.functions.vectors import HashingEncoder, check_dim, embed
 from quire.operators import retrieval as rt
-from quire.operators.rules import validate_questions
+from quire.operators.rules import MAX_TOP_K, validate_questions
 from quire.session import materialize
 
 # Default wording of the fixed texts (our own; each is an argument of
@@ -91,58 +91,58 @@ def build_prompts(questions: DataFrame, hits: DataFrame, qid: str, question: str
 # model plug-ins (G2, L5): Arrow-batched, Python only here
 # ---------------------------------------------------------------------------
 
-Translate = Callable[[str, str, str], str]          # (text, source name, target name) -> text
-Generate = Callable[[str, str], str]                # (system prompt, user prompt) -> answer
-
-
-def identity_translate(text: str, src: str, dst: str) -> str:
-    """Pass-through translator (the plug-in point for a real model)."""
-    return text
-
-
-def extractive_generate(system: str, prompt: str) -> str:
-    """Deterministic built-in generator: the first sentence of each context
-    entry, with its citation. A real model plugs in with the same signature."""
-    if "Context:\n" not in prompt:
-        return ""
-    block = prompt.split("Context:\n", 1)[1].split("\n\nQuestion: ", 1)[0]
-    if block == NO_CONTEXT_BLOCK:
-        return NO_CONTEXT_MESSAGE
-    out = []
-    for entry in block.split("\n\n"):
-        if not entry.startswith("[Source: ") or "] " not in entry:
-            continue
-        head, text = entry.split("] ", 1)
-        cite = head[len("[Source: "):].replace(", Page: ", ", ")
-        first = text.split(". ")[0].strip()
-        if first:
-            out.append(f"{first.rstrip('.')}. [{cite}]")
-    return " ".join(out) or NO_CONTEXT_MESSAGE
+# A plug-in gets whole batches: lists of equal length in, a list of that length out.
+Translate = Callable[[list[str], list[str], list[str]], list[str]]   # (texts, source names, target names)
+Generate = Callable[[str, list[str]], list[str]]                     # (system prompt, user prompts)
+
+
+def _by_batch(call, *columns: list) -> tuple[list, list]:
+    """(results, errors) of a plug-in over a batch. If the batch fails it is called row
+    by row, so a failure affects its own row only."""
+    if not columns[0]:
+        return [], []
+    try:
+        out = list(call(*columns))
+        if len(out) != len(columns[0]):
+            raise ValueError(f"plug-in returned {len(out)} results for {len(columns[0])} rows")
+        return out, [None] * len(out)
+    except Exception as whole:  # noqa: BLE001 - kept in the row
+        if len(columns[0]) == 1:
+            return [None], [f"{type(whole).__name__}: {whole}"]
+    rows = [_by_batch(call, *([c[i]] for c in columns)) for i in range(len(columns[0]))]
+    return [r[0][0] for r in rows], [r[1][0] for r in rows]
+
+
+def extractive_answer(sources, no_context: str = NO_CONTEXT_MESSAGE) -> Column:
+    """Built-in generator, in the JVM: the first sentence of each source (an array of
+    structs with chunk_text, source_file, page_number) with its citation."""
+    def cited(s):
+        first = F.regexp_replace(F.trim(F.element_at(F.split(F.coalesce(s.chunk_text, F.lit("")), r"\. "), 1)), r"\.+$", "")
+        return F.when(first != "", F.concat(
+            first, F.lit(". ["), F.coalesce(s.source_file, F.lit("unknown")), F.lit(", "),
+            F.coalesce(s.page_number.cast("string"), F.lit("None")), F.lit("]")))
+
+    text = F.array_join(F.filter(F.transform(_c(sources), cited), lambda x: x.isNotNull()), " ")
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(no_context)).otherwise(text)
 
 
 def translate_column(df: DataFrame, text: str, src_name: str, dst_name: str, out: str,
-                     translate: Translate = identity_translate) -> DataFrame:
-    """``out`` = translate(text) when text is non-blank and the languages
-    differ, else the text itself (blank -> ''). Only rows that need the model
-    are sent to it; a failed translation keeps the source text."""
+                     translate: Translate | None = None) -> DataFrame:
+    """``out`` = translate(text) when text is non-blank and the languages differ, else
+    the text itself (blank -> ''). Only rows that need the model are sent to it; a failed
+    translation keeps the source text. Without a model nothing leaves the JVM."""
     keep_text = F.when(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0, F.col(text)).otherwise(F.lit(""))
-    if translate is identity_translate:
-        # no model plugged in: nothing leaves the JVM
+    if translate is None:
         return df.withColumn(out, keep_text)
-    need = (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0) & \
-        (F.lower(F.col(src_name)) != F.lower(F.col(dst_name)))
+    need = F.coalesce((F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
+                      & (F.lower(F.col(src_name)) != F.lower(F.col(dst_name))), F.lit(False))
     marked = df.withColumn("_need", need)
     schema = T.StructType(marked.schema.fields + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            res = []
-            for t, s, d in zip(b[text], b[src_name], b[dst_name]):
-                try:
-                    res.append(translate(t, s, d).strip())
-                except Exception:  # noqa: BLE001 - G3 fallback: keep the source text
-                    res.append(t)
-            b[out] = res
+            got, errors = _by_batch(translate, *(b[c].tolist() for c in (text, src_name, dst_name)))
+            b[out] = [t if e or g is None else g.strip() for t, g, e in zip(b[text], got, errors)]
             yield b
 
     via_model = marked.filter(F.col("_need")).mapInPandas(run, schema)
@@ -150,14 +150,15 @@ def translate_column(df: DataFrame, text: str, src_name: str, dst_name: str, out
     return via_model.unionByName(passthrough).drop("_need")
 
 
-def generate_column(df: DataFrame, prompt: str, out: str, generate: Generate = extractive_generate,
+def generate_column(df: DataFrame, prompt: str, out: str, generate: Generate, error: str,
                     system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
-    """``out`` = generate(system prompt, user prompt) in Arrow batches."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
+    """``out`` = generate(system prompt, user prompts) in Arrow batches; a row whose
+    generation fails has a null ``out`` and the failure in ``error``."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()), T.StructField(error, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[out] = [generate(system_prompt, p) for p in b[prompt]]
+            b[out], b[error] = _by_batch(lambda p: generate(system_prompt, p), b[prompt].tolist())
             yield b
 
     return df.mapInPandas(run, schema)
@@ -168,15 +169,21 @@ def generate_column(df: DataFrame, prompt: str, out: str, generate: Generate = e
 # ---------------------------------------------------------------------------
 
 def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id", question: str = "question",
-              top_k: int = rt.TOP_K, language: str | None = None, source_filter: str | None = None,
-              encoder=None, translate: Translate = identity_translate,
-              generate: Generate = extractive_generate, lam: float = rt.MMR_LAMBDA,
-              texts: dict | None = None) -> DataFrame:
+              top_k: int | str = rt.TOP_K, language: str | None = None, source_filter: str | None = None,
+              encoder=None, translate: Translate | None = None, generate: Generate | None = None,
+              lam: float = rt.MMR_LAMBDA, texts: dict | None = None,
+              on_rejected: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Answer every question of ``questions`` against ``chunks`` (central
-    schema). Returns one row per question: qid, answer, language,
-    detected_language, disclaimer, sources (array of struct, MMR order),
-    reason (null unless the question was rejected). ``texts`` overrides the
-    fixed wording: disclaimer, system_prompt, red_flag, no_context, prompt_tail."""
+    schema). Returns one row per row of ``questions`` (ids may repeat): qid, answer,
+    language, detected_language, disclaimer, sources (array of struct, MMR order),
+    reason (null unless the question was rejected or its generation failed).
+
+    ``top_k`` is a number or the name of a column of numbers (1-20). ``texts``
+    overrides the fixed wording: disclaimer, system_prompt, red_flag, no_context,
+    prompt_tail. Without ``translate`` texts stay as they are; without ``generate``
+    the answer is extractive; both defaults stay in the JVM. ``on_rejected`` is
+    given the chunks whose stored vector is unusable (they are still found by
+    keywords)."""
     encoder = encoder or HashingEncoder()
     tx_ = {"disclaimer": MEDICAL_DISCLAIMER, "system_prompt": SYSTEM_PROMPT, "red_flag": RED_FLAG_MESSAGE,
            "no_context": NO_CONTEXT_MESSAGE, "prompt_tail": PROMPT_TAIL, **(texts or {})}
@@ -184,7 +191,10 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     cols.append(F.col(language).alias("language_req") if language else F.lit(None).cast("string").alias("language_req"))
     cols.append(F.col(source_filter).alias("source_filter") if source_filter
                 else F.lit(None).cast("string").alias("source_filter"))
-    q = validate_questions(questions.select(*cols), "question", source_filter="source_filter")
+    cols.append((F.col(top_k) if isinstance(top_k, str) else F.lit(top_k)).cast("int").alias("top_k"))
+    # a row is its own key from here on: written once, so the number is fixed
+    numbered = materialize(questions.select(*cols).withColumn("_row", F.monotonically_increasing_id()), "asked")
+    q = validate_questions(numbered, "question", top_k="top_k", source_filter="source_filter")
     rejected = q.filter(~F.col("is_valid"))
 
     detected = detect_language("question")
@@ -209,55 +219,65 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     clear = ok.filter(~F.col("flagged"))
 
     # M4: hybrid retrieval with the per-question source filter, then MMR
-    fetch_k = rt.fetch_k_for(top_k)
+    depth = F.greatest(F.lit(rt.FETCH_K), 4 * F.col("top_k"))   # O3, per question
+    fetch_k = rt.fetch_k_for(MAX_TOP_K if isinstance(top_k, str) else top_k)
     ch = chunks.select("chunk_id", "chunk_text", "source_file", "page_number", "source_type")
     if "embedding" in chunks.columns:
         # an embedded chunk table (E1 run once at build time) is used as is;
         # rows whose vector does not fit the encoder are left out
-        cvec, _rejected = check_dim(chunks.select("chunk_id", "source_type", "embedding"), encoder.dim)
+        cvec, unusable = check_dim(chunks.select("chunk_id", "source_type", "embedding"), encoder.dim)
+        if on_rejected is not None:
+            on_rejected(unusable)
     else:
         cvec = embed(ch.select("chunk_id", "chunk_text", "source_type"), "chunk_text", encoder)
-    qv = embed(clear.select(qid, "english_question", "source_filter"), "english_question", encoder, "qvec")
-    vec_hits = rt.knn(qv, cvec, fetch_k, qid, "chunk_id", query_filter="source_filter", item_type="source_type")
-    kw_hits = rt.bm25(clear.select(qid, "english_question", "source_filter"), ch, fetch_k, qid, "english_question",
+    asked = clear.select("_row", "english_question", "source_filter")
+    # a question without a term has no direction: no vector hits
+    qv = embed(asked, "english_question", encoder, "qvec").where(F.exists("qvec", lambda x: x != 0))
+    vec_hits = rt.knn(qv, cvec, fetch_k, "_row", "chunk_id", query_filter="source_filter", item_type="source_type")
+    kw_hits = rt.bm25(asked, ch, fetch_k, "_row", "english_question",
                       "chunk_id", "chunk_text", query_filter="source_filter", item_type="source_type")
+    depths = clear.select(F.col("_row").alias("qid"), "top_k", depth.alias("_depth"))
+    vec_hits, kw_hits = (h.join(depths, "qid").where("rank <= _depth").drop("_depth", "top_k") for h in (vec_hits, kw_hits))
     # the fused list is small (questions x fetch_k): write it once so the
     # size check, the join and the MMR stage do not re-run retrieval
-    fused = materialize(rt.hybrid(vec_hits, kw_hits, fetch_k), "hits")
+    fused = rt.hybrid(vec_hits, kw_hits, fetch_k).join(depths, "qid").where("rank <= _depth").drop("_depth")
+    fused = materialize(fused, "hits")
     cands = rt.attach(fused, ch, cols=("chunk_text", "source_file", "page_number"))
-    picked = materialize(rt.mmr(cands, top_k, lam), "picked")
+    picked = materialize(rt.mmr(cands, lam=lam, top_k_col="top_k"), "picked")
 
     # Prompt and answer for questions with context
-    prompts = build_prompts(clear.select(qid, "english_question"), picked, qid, "english_question", "mmr_rank",
+    prompts = build_prompts(clear.select("_row", "english_question"), picked, "_row", "english_question", "mmr_rank",
                             tx_["prompt_tail"])
-    sources = (picked.groupBy(F.col("qid").alias(qid))
+    sources = (picked.groupBy(F.col("qid").alias("_row"))
                .agg(F.array_sort(F.collect_list(F.struct(
                    F.col("mmr_rank").alias("r"),
                    F.struct("chunk_text", "source_file", F.col("page_number").cast("int").alias("page_number"),
                             F.col("score").cast("double").alias("score")).alias("s")))).alias("_src"))
-               .select(qid, F.transform("_src", lambda x: x["s"]).alias("sources")))
-    with_ctx = clear.join(sources, qid, "left").join(prompts.select(qid, "prompt"), qid, "left")
+               .select("_row", F.transform("_src", lambda x: x["s"]).alias("sources")))
+    with_ctx = clear.join(sources, "_row", "left").join(prompts.select("_row", "prompt"), "_row", "left")
     has_ctx = F.coalesce(F.size("sources"), F.lit(0)) > 0
-    gen = generate_column(with_ctx.filter(has_ctx), "prompt", "english_answer", generate, tx_["system_prompt"])
+    found = with_ctx.filter(has_ctx)
+    if generate is None:
+        gen = found.withColumn("english_answer", extractive_answer("sources", tx_["no_context"]))
+    else:
+        gen = generate_column(found, "prompt", "english_answer", generate, "failure", tx_["system_prompt"])
     no_ctx = with_ctx.filter(~has_ctx).withColumn("english_answer", F.lit(tx_["no_context"]))
     flagged = ok.filter(F.col("flagged")).withColumn("english_answer", F.lit(tx_["red_flag"])) \
         .withColumn("sources", F.array().cast(T.ArrayType(SOURCE_TYPE))).withColumn("prompt", F.lit(None).cast("string"))
     answered = materialize(gen.unionByName(no_ctx, allowMissingColumns=True)
                            .unionByName(flagged, allowMissingColumns=True), "answered")
+    if "failure" not in answered.columns:
+        answered = answered.withColumn("failure", F.lit(None).cast("string"))
 
     # L5 back to the target language (G3: a failed translation keeps English)
     final = translate_column(answered, "english_answer", "english_name", "target_name", "answer", translate)
+    failed = F.col("failure").isNotNull()
     out = final.select(
-        qid, "answer", "language", "detected_language", F.lit(tx_["disclaimer"]).alias("disclaimer"),
+        qid, F.when(~failed, F.col("answer")).alias("answer"), "language", "detected_language", F.lit(tx_["disclaimer"]).alias("disclaimer"),
         F.coalesce(F.col("sources"), F.array().cast(T.ArrayType(SOURCE_TYPE))).alias("sources"),
-        F.lit(None).cast("string").alias("reason"))
+        F.when(failed, F.concat(F.lit("generation failed: "), F.col("failure"))).alias("reason"))
     rej = rejected.select(
         qid, F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("language"),
         F.lit(None).cast("string").alias("detected_language"), F.lit(None).cast("string").alias("disclaimer"),
         F.array().cast(T.ArrayType(SOURCE_TYPE)).alias("sources"), "reason")
     return out.unionByName(rej)
-
-
-def translation_messages(df: DataFrame, text: str, src_name: str, dst_name: str) -> DataFrame:
-    """L4 as a column: the chat messages a translator model would receive."""
-    return df.withColumn("messages", translate_messages(text, src_name, dst_name))

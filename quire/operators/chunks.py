@@ -146,7 +146,7 @@ def staging_to_processed(staging: DataFrame) -> DataFrame:
     """S9 fallback: staging chunks -> central schema by parsing ``metadata``."""
     m = F.from_json("metadata", STAGING_META_DDL)
     return staging.select(
-        tx.hash_id(F.col("source_type"), m["file_name"]).alias("row_id"),
+        tx.hash_id(F.col("source_type"), m["file_name"], m["chunk_index"], F.col("text_chunk")).alias("row_id"),
         F.col("id").alias("chunk_id"),
         m["chunk_index"].alias("chunk_index"),
         F.col("text_chunk").alias("chunk_text"),

@@ -6,14 +6,13 @@ Queries and chunks are DataFrames; every search returns rows
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.text import word_array
 from quire.functions.vectors import terms
 from quire.operators.topk import (FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k,
                                   cosine_scorer, keyed_partial_top_k)
@@ -189,64 +188,60 @@ def hybrid(vec_hits: DataFrame | None, kw_hits: DataFrame | None, k: int) -> Dat
 # MMR re-rank (M1): per query, at most fetch_k candidates -> bounded group
 # ---------------------------------------------------------------------------
 
-def mmr_select(texts: list[str], scores: list[float | None], top_k: int, lam: float) -> list[int]:
-    """Positions chosen by maximal marginal relevance, in pick order.
-
-    Relevance = score / max(score) when max > 0 (null -> 0); redundancy =
-    max cosine of bag-of-words counts against the picked ones; ties keep
-    the earlier candidate. Fewer than top_k+1 candidates -> input order.
-    """
-    n = len(texts)
-    if n <= top_k:
-        return list(range(n))
-    docs = [str(t or "").lower().split() for t in texts]
-    vocab: dict[str, int] = {}
-    for d in docs:
-        for w in d:
-            vocab.setdefault(w, len(vocab))
-    if not vocab:
-        return list(range(top_k))
-    m = np.zeros((n, len(vocab)))
-    for i, d in enumerate(docs):
-        for w in d:
-            m[i, vocab[w]] += 1.0
-    norms = np.linalg.norm(m, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sim = (m @ m.T) / np.outer(norms, norms)
-    sim = np.where(np.outer(norms, norms) == 0.0, 0.0, sim)
-    rel = np.array([float(s) if s is not None and not (isinstance(s, float) and math.isnan(s)) else 0.0
-                    for s in scores])
-    if rel.max() > 0:
-        rel = rel / rel.max()
-    picked: list[int] = []
-    penalty = np.zeros(n)
-    left = np.ones(n, dtype=bool)
-    while len(picked) < top_k and left.any():
-        val = lam * rel - (1.0 - lam) * penalty
-        val = np.where(left, val, -np.inf)
-        j = int(np.argmax(val))  # first index among equal values
-        picked.append(j)
-        left[j] = False
-        penalty = np.maximum(penalty, sim[:, j]) if len(picked) > 0 else penalty
-    return picked
-
-
 def mmr(cands: DataFrame, top_k: int = TOP_K, lam: float = MMR_LAMBDA, text_col: str = "chunk_text",
         top_k_col: str | None = None) -> DataFrame:
-    """Re-rank each query's candidates (qid, iid, score, rank, text) and
-    keep ``top_k`` (or the per-query ``top_k_col``); adds ``mmr_rank``.
-    Groups are bounded by fetch_k."""
-    schema = T.StructType([f for f in cands.schema.fields] + [T.StructField("mmr_rank", T.IntegerType())])
-
-    def per_query(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "iid"], kind="mergesort").reset_index(drop=True)
-        kq = int(pdf[top_k_col].iloc[0]) if top_k_col and len(pdf) else top_k
-        order = mmr_select(pdf[text_col].tolist(), pdf["score"].tolist(), kq, lam)
-        out = pdf.iloc[order].copy()
-        out["mmr_rank"] = np.arange(1, len(order) + 1, dtype=np.int32)
-        return out
-
-    return cands.groupBy("qid").applyInPandas(per_query, schema)
+    """Of each query's candidates (qid, iid, score, rank, text) the ``top_k`` (or
+    the per-query ``top_k_col``) of largest marginal relevance; adds ``mmr_rank``.
+
+    Relevance is score / largest score where that is positive (null -> 0); redundancy
+    is the largest bag-of-words cosine with a candidate already taken; equal values
+    keep the earlier candidate. With no more than top_k candidates the order stays.
+
+    All in the JVM: word counts join on (query, word) into cosines of candidate pairs,
+    and a fold over 1..top_k picks. A query has at most fetch_k candidates.
+    """
+    w = Window.partitionBy("qid").orderBy("rank", "iid")
+    at = cands.withColumn("_i", F.row_number().over(w) - 1)
+    words = at.select("qid", "_i", F.explode(word_array(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("_w"))
+    counts = words.groupBy("qid", "_i", "_w").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    other = counts.select("qid", F.col("_i").alias("_j"), "_w", F.col("_n").alias("_m"))
+    dots = counts.join(other, ["qid", "_w"]).where("_i <= _j").groupBy("qid", "_i", "_j").agg(
+        F.sum(F.col("_n") * F.col("_m")).alias("_d"))
+    pairs = dots.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.struct(F.col("_i").alias("i"), F.col("_j").alias("j")), F.col("_d")))).alias("_dots"))
+    k = F.max(top_k_col) if top_k_col else F.lit(top_k)
+    score = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0))
+    groups = at.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_i", score.alias("s")))).alias("_s"),
+                                   k.cast("int").alias("_k"))
+    groups = groups.join(pairs, "qid", "left").withColumn("_r", F.transform("_s", lambda x: x.s))
+    best = F.array_max("_r")
+    groups = groups.withColumn("_r", F.transform("_r", lambda x: F.when(best > 0, x / best).otherwise(x)))
+
+    def dot(i, j):
+        key = F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+        return F.coalesce(F.try_element_at(F.col("_dots"), key), F.lit(0.0))
+
+    def cosine(i, j):
+        norm = F.sqrt(dot(i, i)) * F.sqrt(dot(j, j))
+        return F.when(norm == 0, F.lit(0.0)).otherwise(dot(i, j) / norm)
+
+    def value(i, taken):
+        worst = F.coalesce(F.array_max(F.transform(taken, lambda j: cosine(i, j))), F.lit(0.0))
+        return lam * F.get("_r", i) - (1.0 - lam) * worst
+
+    n = F.size("_r")
+    places = F.sequence(F.lit(0), n - 1)
+
+    def pick(taken, _step):
+        open_ = F.filter(places, lambda i: ~F.array_contains(taken, i))
+        top = F.array_max(F.transform(open_, lambda i: F.struct(value(i, taken).alias("v"), (-i).alias("at"))))
+        return F.concat(taken, F.array(-top.at))
+
+    taken = F.when(n <= F.col("_k"), places).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.col("_k")), F.array().cast("array<int>"), pick))
+    order = groups.select("qid", F.posexplode(taken).alias("_at", "_i"))
+    return (at.join(order, ["qid", "_i"]).withColumn("mmr_rank", (F.col("_at") + 1).cast("int"))
+            .select(*cands.columns, "mmr_rank"))
 
 
 # ---------------------------------------------------------------------------

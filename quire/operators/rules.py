@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import _c, tokens
+from quire.functions.text import _c, is_blank, tokens
 
 # The symptom rules (disease, keywords, dosha, advice) in
 # priority order, and the default answer when nothing matches.
@@ -64,13 +64,14 @@ SOURCE_FILTERS = ["csv", "pdf"]
 def validate_questions(df: DataFrame, question="question", top_k=None, source_filter=None) -> DataFrame:
     """Adds ``reason`` (null when valid) and ``is_valid``.
 
-    question 3-2000 characters, top_k 1-20, source_filter in {csv, pdf, null}.
+    question 3-2000 characters and not blank, top_k 1-20, source_filter in {csv, pdf, null}.
     """
     q = _c(question)
     checks = [
         (q.isNull(), "question is required"),
         (F.length(q) < MIN_QUESTION_CHARS, f"question shorter than {MIN_QUESTION_CHARS} characters"),
         (F.length(q) > MAX_QUESTION_CHARS, f"question longer than {MAX_QUESTION_CHARS} characters"),
+        (is_blank(q), "question is blank"),
     ]
     if top_k is not None:
         k = _c(top_k)

@@ -195,6 +195,8 @@ def _candidates(s: np.ndarray, qids: np.ndarray, iids: np.ndarray, k: int) -> pd
     id tie-break downstream stays exact)."""
     if s.size == 0:
         return pd.DataFrame({"qid": qids[:0], "iid": iids[:0], "score": np.zeros(0)})
+    # a non-finite score (bad vector) must not count as one of the k best
+    s = np.where(np.isfinite(s), s, -np.inf)
     if s.shape[1] > k:
         kth = np.partition(s, -k, axis=1)[:, -k]
         qi, ii = np.nonzero((s >= kth[:, None]) & np.isfinite(s))

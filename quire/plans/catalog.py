@@ -84,7 +84,8 @@ def q_red_flags(spark, sf_dir):
 
 def q_match_rules(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    return match_rules(c, "text").select("conv_id", "turn", "disease", "dosha", "matched_keywords", "confidence")
+    return match_rules(c, "text").select("conv_id", "turn", "disease", "dosha", "advice", "matched_keywords",
+                                         "confidence")
 
 
 def q_validate_questions(spark, sf_dir):
@@ -175,10 +176,10 @@ from quire.operators import index as ix  # noqa: E402
 from quire.sources import pages as pg  # noqa: E402
 
 
-def page_rows(spark, sf_dir):
+def page_rows(spark, sf_dir, text=pg.html_text):
     p = table(spark, sf_dir, "pages")
     return p.select(pg.url_document("url").alias("doc_url"), pg.url_page_number("url").alias("page_number"),
-                    pg.html_text("html").alias("page_text"))
+                    text("html").alias("page_text"))
 
 
 def q_page_documents(spark, sf_dir):
@@ -191,7 +192,7 @@ def q_page_records(spark, sf_dir):
 
 
 def q_page_structured(spark, sf_dir):
-    recs = pg.page_records(page_rows(spark, sf_dir), "structured", "doc_url", "page_number", "page_text")
+    recs = pg.page_records(page_rows(spark, sf_dir, pg.html_lines), "structured", "doc_url", "page_number", "page_text")
     return recs.select(F.col("doc_url").alias("source_file"), "page_number", "raw_text")
 
 
@@ -235,8 +236,9 @@ def q_ask_batch(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     qs = conv.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
     res = an.ask_batch(qs, corpus_chunks(spark, sf_dir))
-    return res.select("question_id", "answer", "language", "detected_language",
-                      F.size("sources").alias("n_sources"), "reason")
+    cited = F.transform("sources", lambda s: F.concat_ws("|", s.source_file, s.page_number.cast("string"), s.chunk_text))
+    return res.select("question_id", "answer", "language", "detected_language", "disclaimer",
+                      cited.alias("sources"), "reason")
 
 
 # ---------------------------------------------------------------------------
@@ -244,8 +246,8 @@ def q_ask_batch(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def q_stream_sync(spark, sf_dir):
-    """Index built from the 350/90 chunking, then the 400/100 chunking
-    arrives as files and is upserted batch by batch (stream == batch)."""
+    """Index built from the 350/90 chunking; then the 400/100 chunking arrives as
+    files, with a delete for each old key it lacks, and is applied batch by batch."""
     import uuid
 
     from quire.session import checkpoint_dir
@@ -254,10 +256,13 @@ def q_stream_sync(spark, sf_dir):
     root = f"{checkpoint_dir(spark)}/stream_sync/{uuid.uuid4().hex}"
     key, values = ["doc_id", "chunk_index"], ["chunk_text"]
     write_bucketed(old, f"{root}/target", key, 8)
-    new.repartition(4, "doc_id").write.parquet(f"{root}/incoming")
+    gone = old.join(new, key, "left_anti").select(*key, F.lit(None).cast("string").alias("chunk_text"),
+                                                  F.lit(True).alias("deleted"))
+    arriving = new.withColumn("deleted", F.lit(False)).unionByName(gone)
+    arriving.repartition(4, "doc_id").write.parquet(f"{root}/incoming")
     schema = spark.read.parquet(f"{root}/incoming").schema
-    return stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values, buckets=8,
-                       max_files_per_trigger=2)
+    return stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values,
+                       f"{root}/progress", buckets=8, max_files_per_trigger=2, deleted_col="deleted")
 
 
 def q_knn_lsh(spark, sf_dir):

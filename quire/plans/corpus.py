@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.operators import chunks as ch
 from quire.sources import files as fs
 from quire.sources import pages as pg
+from quire.session import materialize
 
 # Extractor chain per file kind; a PDF parser plugs in under "pdf".
 DEFAULT_EXTRACTORS = {"html": [("html", pg.html_extractor)], "txt": [("text", pg.text_extractor)], "pdf": []}
@@ -30,13 +31,12 @@ def build_corpus(spark: SparkSession, path: str, size: int = 350, overlap: int =
     if csv_paths:
         parts.append(ch.csv_records(fs.read_csv(spark, csv_paths), "source_file", key="source_path"))
     failed = spark.createDataFrame([], "source_file string, error string")
-    raw = None
+    kinds = {r["kind"] for r in files.select("kind").distinct().collect()}   # a handful
     for kind, chain in extractors.items():
-        kind_files = files.filter(F.col("kind") == kind).select("path")
-        if kind_files.isEmpty():
+        if kind not in kinds:
             continue
-        raw = raw if raw is not None else fs.read_binary(spark, path)
-        pages = pg.extract_pages(raw.join(kind_files, "path", "left_semi"), chain)
+        # pages are read by records and failures: extract once, write once
+        pages = materialize(pg.extract_pages(fs.read_binary(spark, path, kind), chain), f"pages-{kind}")
         failed = failed.unionByName(pages.filter(F.col("error").isNotNull()).select("source_file", "error"))
         recs = pg.page_records(pages.filter(F.col("error").isNull()), strategy)
         parts.append(ch.to_base_records(recs, "raw_text", kind, source_file="source_file",
@@ -45,14 +45,13 @@ def build_corpus(spark: SparkSession, path: str, size: int = 350, overlap: int =
     return ch.build_chunks(base, size, overlap), failed
 
 
-def embed_chunks(chunks: DataFrame, encoder=None) -> DataFrame:
-    """E1-E3 at build time: the chunk table plus an ``embedding`` column
-    checked for its dimension, ready to be written once and searched many
-    times (``ask_batch`` uses it as is)."""
+def embed_chunks(chunks: DataFrame, encoder=None) -> tuple[DataFrame, DataFrame]:
+    """E1-E3 at build time: (chunks with a checked ``embedding``, rejected rows with
+    a ``reason``). The first is ready to be written once and searched many times
+    (``ask_batch`` uses it as is)."""
     from quire.functions.vectors import HashingEncoder, check_dim, embed
     encoder = encoder or HashingEncoder()
-    good, _bad = check_dim(embed(chunks, "chunk_text", encoder), encoder.dim)
-    return good
+    return check_dim(embed(chunks, "chunk_text", encoder), encoder.dim)
 
 
 def write_corpus(chunks: DataFrame, path: str) -> DataFrame:

@@ -155,32 +155,35 @@ FROM conversations
 
 def _rules_values() -> str:
     rows = []
-    for i, (disease, kws, dosha, _advice) in enumerate(RULES):
-        rows.append(f"({i}, {_q(disease)}, [{', '.join(_q(k) for k in kws)}], [{', '.join(_q(d) for d in dosha)}])")
+    for i, (disease, kws, dosha, advice) in enumerate(RULES):
+        rows.append(f"({i}, {_q(disease)}, [{', '.join(_q(k) for k in kws)}], [{', '.join(_q(d) for d in dosha)}], "
+                    f"{_q(advice)})")
     return ", ".join(rows)
 
 
 MATCH_RULES = f"""
 WITH q AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS toks
            FROM conversations WHERE role = 'user'),
-r AS (SELECT * FROM (VALUES {_rules_values()}) AS r(ord, disease, kws, dosha)),
-s AS (SELECT q.conv_id, q.turn, r.ord, r.disease, r.dosha, len(r.kws) AS nk,
+r AS (SELECT * FROM (VALUES {_rules_values()}) AS r(ord, disease, kws, dosha, advice)),
+s AS (SELECT q.conv_id, q.turn, r.ord, r.disease, r.dosha, r.advice, len(r.kws) AS nk,
              list_filter(r.kws, lambda k: list_contains(q.toks, k)) AS hits
       FROM q CROSS JOIN r),
 b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(hits) DESC, ord) AS rn FROM s)
 SELECT conv_id, turn,
        CASE WHEN len(hits) > 0 THEN disease ELSE {_q(DEFAULT_RULE[0])} END AS disease,
        CASE WHEN len(hits) > 0 THEN dosha ELSE [{', '.join(_q(d) for d in DEFAULT_RULE[1])}] END AS dosha,
+       CASE WHEN len(hits) > 0 THEN advice ELSE {_q(DEFAULT_RULE[2])} END AS advice,
        CASE WHEN len(hits) > 0 THEN hits ELSE CAST([] AS VARCHAR[]) END AS matched_keywords,
        CASE WHEN len(hits) > 0 THEN round_even(len(hits) / nk, 2) ELSE 0.0 END AS confidence
 FROM b WHERE rn = 1
 """
 
-VALIDATE_QUESTIONS = """
+VALIDATE_QUESTIONS = r"""
 WITH v AS (SELECT conv_id, turn,
                   CASE WHEN text IS NULL THEN 'question is required'
                        WHEN length(text) < 3 THEN 'question shorter than 3 characters'
-                       WHEN length(text) > 2000 THEN 'question longer than 2000 characters' END AS reason
+                       WHEN length(text) > 2000 THEN 'question longer than 2000 characters'
+                       WHEN regexp_full_match(text, '[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*') THEN 'question is blank' END AS reason
            FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, reason IS NULL AS is_valid, reason FROM v
 """
@@ -334,17 +337,24 @@ ORACLE.update({
 # pages and index sync
 # ---------------------------------------------------------------------------
 
-from quire.sources.pages import HTML_ENTITIES  # noqa: E402
+_LINE_TAGS = ("address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|"
+              "li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul")
 
 
-def html_text(x: str) -> str:
+def html_lines(x: str) -> str:
     e = f"coalesce({x}, '')"
     e = (f"regexp_replace({e}, {_q(r'(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->')}, "
          f"' ', 'g')")
+    e = f"regexp_replace({e}, '(?is)</?(?:{_LINE_TAGS})\\b[^>]*>', chr(10), 'g')"
     e = f"regexp_replace({e}, '(?s)<[^>]*>', ' ', 'g')"
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+                    ("&amp;", "&")):
         e = f"replace({e}, {_q(ent)}, {_q(ch)})"
-    return clean(e)
+    return e
+
+
+def html_text(x: str) -> str:
+    return clean(html_lines(x))
 
 
 _PAGE_NO = r"regexp_extract(url, '[?&]page=(\d{1,9})(?:[&#]|$)', 1)"
@@ -353,6 +363,7 @@ p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS doc_url,
              coalesce(CASE WHEN {_PAGE_NO} <> '' THEN CAST({_PAGE_NO} AS INTEGER) END, 1) AS page_number,
              {html_text('html')} AS page_text
       FROM pages)"""
+_PAGE_LINES = _PAGES.replace(html_text('html'), html_lines('html'))
 
 PAGE_DOCUMENTS = f"""
 WITH {_PAGES},
@@ -425,12 +436,8 @@ ORACLE["prompts"] = PROMPTS
 
 STREAM_SYNC = f"""
 WITH b AS (SELECT doc_id, {clean('text')} AS t FROM documents),
-{_chunk_words_cte('b', 'doc_id', 350, 90, 'o')},
 {_chunk_words_cte('b', 'doc_id', 400, 100, 'n')}
 SELECT doc_id, chunk_index, chunk_text FROM nc
-UNION ALL
-SELECT doc_id, chunk_index, chunk_text FROM oc
-WHERE NOT EXISTS (SELECT 1 FROM nc WHERE nc.doc_id = oc.doc_id AND nc.chunk_index = oc.chunk_index)
 """
 
 ORACLE["stream_sync"] = STREAM_SYNC
@@ -462,14 +469,15 @@ FROM k GROUP BY source_file
 EMBEDDING_CHECK = """
 SELECT vec_id, CASE WHEN embedding IS NULL THEN 'null vector'
                     WHEN len(embedding) <> 64 THEN 'dimension ' || CAST(len(embedding) AS VARCHAR) || ' != 64'
-                    WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 THEN 'null or NaN element'
+                    WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'null or non-finite element'
                END AS reason
 FROM embeddings
 """
 
 STAGING_TO_PROCESSED = f"""
 WITH s AS ({STAGING_CHUNKS})
-SELECT sha256(concat_ws('||', source_type, json_extract_string(metadata, '$.file_name'))) AS row_id,
+SELECT sha256(concat_ws('||', source_type, json_extract_string(metadata, '$.file_name'),
+                        json_extract_string(metadata, '$.chunk_index'), text_chunk)) AS row_id,
        id AS chunk_id, CAST(json_extract(metadata, '$.chunk_index') AS INTEGER) AS chunk_index,
        text_chunk AS chunk_text, source_type, json_extract_string(metadata, '$.file_name') AS source_file,
        CAST(NULL AS INTEGER) AS page_number
@@ -627,7 +635,7 @@ def _tpart(label: str, v: str, default: str) -> str:
 
 
 PAGE_STRUCTURED = f"""
-WITH {_PAGES},
+WITH {_PAGE_LINES},
 ul AS (SELECT doc_url, page_number,
               list_filter(list_transform(regexp_split_to_array(coalesce(page_text, ''), {_q(LINE_BREAK)}),
                                          lambda x: {_strip('x')}), lambda ln: NOT {_noise('ln')}) AS lines

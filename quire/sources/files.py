@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,17 +92,16 @@ def require_files(spark: SparkSession, path: str, kind: str | None = None) -> Da
     return files
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    """First line of a file through the Hadoop file system (reads one line,
-    not the file)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-    try:
-        return reader.readLine() or ""
-    finally:
-        reader.close()
+def header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths by header line, read in executors: the first line of each file's first
+    split; one small row per file reaches the driver, as in the listing."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.orderBy("path").toLocalIterator():
+        groups.setdefault(r["header"].strip().lstrip("\ufeff"), []).append(unquote(r["path"]))
+    return groups
 
 
 def read_csv(spark: SparkSession, paths: list[str], **options) -> DataFrame:
@@ -113,20 +113,23 @@ def read_csv(spark: SparkSession, paths: list[str], **options) -> DataFrame:
         raise MissingInput("no CSV files given")
     opts = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8", "inferSchema": "false"}
     opts.update(options)
-    groups: dict[str, list[str]] = {}
-    for p in paths:
-        groups.setdefault(_first_line(spark, p).strip().lstrip("\ufeff"), []).append(p)
     frames = []
-    for files in groups.values():
+    for files in header_groups(spark, paths).values():
         df = spark.read.options(**opts).csv(files)
         frames.append(df.withColumn("source_path", F.col("_metadata.file_path")))
     out = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return out.withColumn("source_file", base_name("source_path"))
 
 
-def read_binary(spark: SparkSession, paths) -> DataFrame:
-    """(path, source_file, content) for all files in one distributed scan."""
-    return (spark.read.format("binaryFile").load(paths)
+def read_binary(spark: SparkSession, paths, kind: str | None = None) -> DataFrame:
+    """(path, source_file, content) for all files below the paths, nested ones
+    too, in one distributed scan. With ``kind`` only files of that extension (any
+    case) are opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if kind:
+        any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in kind)
+        reader = reader.option("pathGlobFilter", f"*.{any_case}")
+    return (reader.load(paths)
             .select("path", base_name("path").alias("source_file"), "content"))
 
 

@@ -11,15 +11,13 @@ failure writes the same buckets again: the upsert is idempotent.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.index import row_hash
-from quire.session import checkpoint_dir, materialize
+from quire.session import materialize
 
 BUCKET = "_bucket"
 
@@ -34,15 +32,25 @@ def write_bucketed(df: DataFrame, path: str, key: list[str], buckets: int, mode:
        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
 
 
+def _path(spark: SparkSession, path: str):
+    """(Hadoop file system, path): the target may be in any store Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def upsert(batch: DataFrame, target_path: str, key: list[str], values: list[str], buckets: int,
-           deleted_col: str | None = None) -> None:
-    """Upsert one batch into the bucketed target (J6 restricted to the
-    batch's keys). Within a batch, one row per key wins deterministically
-    (largest content hash); rows with ``deleted_col`` true remove the key."""
+           deleted_col: str | None = None, order_col: str | None = None) -> None:
+    """Upsert one batch into the bucketed target (J6 restricted to the batch's keys).
+
+    Of several rows of one key in a batch the one with the largest ``order_col``
+    wins; equal or missing order falls back to the largest content hash. Rows with
+    ``deleted_col`` true remove the key; a bucket whose last key goes is removed
+    as a folder, as an overwrite of partitions can't empty one."""
     spark = batch.sparkSession
     payload = values + ([deleted_col] if deleted_col else [])
+    order = F.struct(*([F.col(order_col)] if order_col else []), row_hash(payload))
     latest = (batch.groupBy(*key)
-              .agg(F.max_by(F.struct(*payload), row_hash(payload)).alias("_v"))
+              .agg(F.max_by(F.struct(*payload), order).alias("_v"))
               .select(*key, "_v.*")
               .withColumn(BUCKET, bucket_of(key, buckets)))
     # read twice (touched buckets, merge): keep it for the batch; a lost block
@@ -53,36 +61,39 @@ def upsert(batch: DataFrame, target_path: str, key: list[str], values: list[str]
         touched = [r[0] for r in latest.select(BUCKET).distinct().collect()]
         if not touched:
             return
-        old = spark.read.parquet(target_path).filter(F.col(BUCKET).isin(touched))
+        schema = T.StructType([batch.schema[c] for c in key + values] + [T.StructField(BUCKET, T.IntegerType())])
+        old = spark.read.schema(schema).parquet(target_path).filter(F.col(BUCKET).isin(touched))
         keep = old.join(latest.select(*key), key, "left_anti")
         fresh = latest.filter(~F.col(deleted_col)) if deleted_col else latest
         merged = keep.unionByName(fresh.select(*key, *values, BUCKET))
         staged = materialize(merged, "upsert")  # never overwrite a path the same plan reads
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(target_path))
+        left = {r[0] for r in staged.select(BUCKET).distinct().collect()}
+        fs, _ = _path(spark, target_path)
+        for b in set(touched) - left:
+            fs.delete(_path(spark, f"{target_path}/{BUCKET}={b}")[1], True)
     finally:
         latest.unpersist()
 
 
 def stream_sync(spark: SparkSession, source_path: str, target_path: str, schema: T.StructType,
-                key: list[str], values: list[str], buckets: int = 64, checkpoint: str | None = None,
-                max_files_per_trigger: int | None = None, deleted_col: str | None = None) -> DataFrame:
-    """Process every file now in ``source_path`` into ``target_path`` and
-    return the target table (key + values)."""
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/stream/{uuid.uuid4().hex}"
-    try:
-        spark.read.parquet(target_path).limit(0).collect()
-    except Exception:  # noqa: BLE001 - no target yet: start empty
-        empty = spark.createDataFrame([], T.StructType([schema[c] for c in key + values]))
-        write_bucketed(empty, target_path, key, buckets)
+                key: list[str], values: list[str], checkpoint: str, buckets: int = 64,
+                max_files_per_trigger: int | None = None, deleted_col: str | None = None,
+                order_col: str | None = None) -> DataFrame:
+    """Process every file now in ``source_path`` into ``target_path`` (created if it
+    is not there) and return the target table (key + values). ``checkpoint`` names
+    the folder that a re-run resumes from."""
+    fs, folder = _path(spark, target_path)
+    fs.mkdirs(folder)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_path)
     q = (stream.writeStream
-         .foreachBatch(lambda df, _epoch: upsert(df, target_path, key, values, buckets, deleted_col))
-         .option("checkpointLocation", ckpt)
+         .foreachBatch(lambda df, _epoch: upsert(df, target_path, key, values, buckets, deleted_col, order_col))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
-    return spark.read.parquet(target_path).drop(BUCKET)
+    return spark.read.schema(T.StructType([schema[c] for c in key + values])).parquet(target_path).select(*key, *values)

@@ -26,10 +26,8 @@ def test_ask_batch_paths(spark):
         ("q6", "How to improve sleep quality?", "Telugu", None),
     ], "question_id string, question string, language string, source_filter string")
 
-    def fake_translate(text, src, dst):
-        if src == "Hindi":
-            return "How to get good sleep?"
-        return f"[{dst}] {text}"
+    def fake_translate(texts, src, dst):
+        return ["How to get good sleep?" if s == "Hindi" else f"[{d}] {t}" for t, s, d in zip(texts, src, dst)]
 
     out = {r["question_id"]: r for r in an.ask_batch(qs, _chunks(spark), language="language",
                                                         source_filter="source_filter",
@@ -63,17 +61,18 @@ def test_stream_equals_batch_and_rerun_is_noop(spark, tmp_path):
     new.repartition(3).write.parquet(f"{root}/in")
     schema = spark.read.parquet(f"{root}/in").schema
     ck = f"{root}/ckpt"
-    got = stream_sync(spark, f"{root}/in", f"{root}/target", schema, key, vals, buckets=4, checkpoint=ck,
+    got = stream_sync(spark, f"{root}/in", f"{root}/target", schema, key, vals, ck, buckets=4,
                       max_files_per_trigger=1)
     expect = [(1, 0, "a"), (1, 1, "B"), (2, 0, "c"), (3, 0, "d")]
     assert sorted(tuple(r) for r in got.select(*key, *vals).collect()) == expect
-    again = stream_sync(spark, f"{root}/in", f"{root}/target", schema, key, vals, buckets=4, checkpoint=ck)
+    again = stream_sync(spark, f"{root}/in", f"{root}/target", schema, key, vals, ck, buckets=4)
     assert sorted(tuple(r) for r in again.select(*key, *vals).collect()) == expect
 
 
 def test_ask_batch_uses_stored_embeddings(spark):
     from quire.plans.corpus import embed_chunks
-    chunks = embed_chunks(_chunks(spark))
+    chunks, rejected = embed_chunks(_chunks(spark))
+    assert rejected.count() == 0
     qs = spark.createDataFrame([("q1", "How to improve sleep quality?")], "question_id string, question string")
     a = an.ask_batch(qs, chunks).first()
     b = an.ask_batch(qs, _chunks(spark)).first()
@@ -84,7 +83,7 @@ def test_translation_failure_keeps_source_text(spark):
     df = spark.createDataFrame([("hello", "English", "Telugu"), ("same", "English", "English"), ("", "Hindi", "English")],
                                "t string, s string, d string")
 
-    def broken(text, src, dst):
+    def broken(texts, src, dst):
         raise RuntimeError("model down")
 
     got = {r["t"]: r["out"] for r in an.translate_column(df, "t", "s", "d", "out", broken).collect()}
@@ -97,3 +96,57 @@ def test_score_names_and_source_kind(spark):
     df = spark.createDataFrame([(None, 0.5, "a.PDF"), (0.9, None, "csv:herbs")], "score double, _score double, f string")
     out = normalise_score(df).select("score", source_kind("f").alias("k")).collect()
     assert [tuple(r) for r in out] == [(0.5, "pdf"), (0.9, "csv")]
+
+
+def test_stream_sync_from_nothing_deletes_and_order(spark):
+    root = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    ddl = "k int, v string, seq int, deleted boolean"
+    first = spark.createDataFrame([(1, "a", 1, False), (2, "b", 1, False), (2, "z", 0, False)], ddl)
+    first.write.parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+
+    def run():
+        df = stream_sync(spark, f"{root}/in", f"{root}/target", schema, ["k"], ["v"], f"{root}/ckpt", buckets=2,
+                         deleted_col="deleted", order_col="seq")
+        return sorted(tuple(r) for r in df.collect())
+
+    assert run() == [(1, "a"), (2, "b")]        # no target before
+    spark.createDataFrame([(1, "a", 2, True), (2, "c", 3, False), (2, "b", 2, True)], ddl).write.mode("append").parquet(f"{root}/in")
+    assert run() == [(2, "c")]                  # the delete empties a bucket
+    spark.createDataFrame([(2, "", 4, True)], ddl).write.mode("append").parquet(f"{root}/in")
+    assert run() == []
+
+
+def test_repeated_ids_blank_questions_and_per_question_top_k(spark):
+    qs = spark.createDataFrame([("d", "ginger tea for a throat", 1), ("d", "restful sleep with milk", 2), ("b", "      ", 5),
+                                ("p", "???!!!", 5), ("k", "ginger tea", 21)], "question_id string, question string, k int")
+    rows = an.ask_batch(qs, _chunks(spark), top_k="k").collect()
+    assert len(rows) == 5
+    assert sorted(len(r["sources"]) for r in rows if r["question_id"] == "d") == [1, 2]
+    by = {r["question_id"]: r for r in rows if r["question_id"] != "d"}
+    assert by["b"]["reason"] == "question is blank" and by["k"]["reason"].startswith("top_k outside")
+    assert by["p"]["sources"] == [] and by["p"]["answer"] == an.NO_CONTEXT_MESSAGE
+
+
+def test_generation_gets_batches_and_fails_by_row(spark):
+    def generate(system, prompts):
+        if any("milk" in p.rsplit("Question:", 1)[1] for p in prompts):
+            raise RuntimeError("model down")
+        return ["fine"] * len(prompts)
+
+    qs = spark.createDataFrame([("a", "ginger tea for a throat"), ("b", "warm milk at night"), ("c", "stress and sleep")],
+                               "question_id string, question string").coalesce(1)
+    got = {r["question_id"]: (r["answer"], r["reason"]) for r in an.ask_batch(qs, _chunks(spark), generate=generate).collect()}
+    assert got["a"] == got["c"] == ("fine", None)
+    assert got["b"][0] is None and "model down" in got["b"][1]
+
+
+def test_rejected_vectors_are_reported(spark):
+    from quire.plans.corpus import embed_chunks
+    chunks, _ = embed_chunks(_chunks(spark))
+    broken = chunks.withColumn("embedding", F.when(F.col("chunk_id") == "c1", F.array(F.lit(float("inf")).cast("float")))
+                               .otherwise(F.col("embedding")))
+    seen = []
+    qs = spark.createDataFrame([("q", "sore throat with honey")], "question_id string, question string")
+    r = an.ask_batch(qs, broken, on_rejected=lambda df: seen.extend(df.collect())).first()
+    assert [x["chunk_id"] for x in seen] == ["c1"] and any("honey" in s["chunk_text"] for s in r["sources"])

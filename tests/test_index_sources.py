@@ -114,3 +114,28 @@ def test_catalog_helpers(spark, tmp_path):
     fb = fs.table_or_fallback(spark, "quire_test.absent", lambda: df.limit(0))
     assert fb.count() == 0
     assert fs.table_or_fallback(spark, "quire_test.snap", lambda: None).count() == 1
+
+
+def test_build_corpus_reads_nested_files(spark, tmp_path):
+    from quire.plans.corpus import build_corpus
+    words = " ".join(f"word{i}" for i in range(30))
+    sub = tmp_path / "sub dir" / "deep"
+    sub.mkdir(parents=True)
+    (tmp_path / "top.html").write_text(f"<p>Top {words}</p>")
+    (sub / "nested.HTML").write_text(f"<p>Nested {words}</p>")
+    (sub / "n.csv").write_text(f"diet,condition\n\"tea {words}\",cold\n")
+    (tmp_path / "m.csv").write_text(f"condition,diet\nfever,\"soup {words}\"\n")
+    (sub / "bad.pdf").write_bytes(b"%PDF")
+    chunks, failed = build_corpus(spark, str(tmp_path), size=400, overlap=5)
+    got = {r["source_file"] for r in chunks.collect()} | {r["source_file"] for r in failed.collect()}
+    assert got == {"top.html", "nested.HTML", "n.csv", "m.csv", "bad.pdf"}
+
+
+def test_line_filter_sees_lines_of_html(spark):
+    df = spark.createDataFrame([("<html><p>Ginger: warm root for cold days</p><p>www.example.com</p><ul><li>doi 10.1</ul></html>",)],
+                               "h string")
+    lines = [x.strip() for x in df.select(pg.html_lines("h")).first()[0].split("\n") if x.strip()]
+    assert lines == ["Ginger: warm root for cold days", "www.example.com", "doi 10.1"]
+    pages = df.select(pg.html_lines("h").alias("page_text"), F.lit("f").alias("source_file"), F.lit(1).alias("page_number"))
+    assert "warm root" in pg.page_records(pages, "structured").first()["raw_text"]
+    assert pg.html_extractor(b"<p>a b</p><p>c</p>", "f") == ["a b\nc"]

@@ -64,12 +64,30 @@ def test_rrf(spark):
     assert [r[0] for r in out] == ["b", "a", "c"]
 
 
-def test_mmr_select_rules():
-    assert rt.mmr_select(["a", "b"], [0.1, 0.2], 5, 0.5) == [0, 1]
-    assert rt.mmr_select(["", "", ""], [1, 2, 3], 2, 0.5) == [0, 1]
-    assert rt.mmr_select(["x y", "x y", "z w"], [0.9, 0.9, 0.5], 2, 0.5) == [0, 2]
-    assert rt.mmr_select(["a", "b", "c"], [None, None, 1.0], 1, 0.5) == [2]
-    assert rt.mmr_select(["a", "b", "c"], [-1.0, -3.0, -2.0], 1, 0.5) == [0]
+def test_mmr_rules(spark):
+    cases = [(["a", "b"], [0.1, 0.2], 5, [0, 1]), (["", "", ""], [3.0, 2.0, 1.0], 2, [0, 1]),
+             (["x y", "x y", "z w"], [0.9, 0.9, 0.5], 2, [0, 2]), (["a", "b", "c"], [None, None, 1.0], 1, [2]),
+             (["a", "b", "c"], [-1.0, -3.0, -2.0], 1, [0]), ([None, "A a b", "a a B", "c"], [0.1, 0.9, 0.8, 0.2], 3, [1, 2, 3])]
+    rows = [(q, i, s, i + 1, t, k) for q, (texts, scores, k, _) in enumerate(cases)
+            for i, (t, s) in enumerate(zip(texts, scores))]
+    cands = spark.createDataFrame(rows, "qid int, iid int, score double, rank int, chunk_text string, k int")
+    got = {}
+    for r in rt.mmr(cands, top_k_col="k").orderBy("qid", "mmr_rank").collect():
+        got.setdefault(r["qid"], []).append(r["iid"])
+    # 0.5 * 0.2/0.9 against 0.5 * 0.8/0.9 - 0.5 * cos: the unlike one comes second in the last case
+    cases[-1] = (*cases[-1][:3], [1, 3, 0])
+    assert got == {q: c[3] for q, c in enumerate(cases)}
+
+
+def test_knn_ignores_unusable_vectors(spark):
+    good = [(i, [1.0, i / 10, 0.0]) for i in range(30)]
+    bad = [(100, [float("inf"), 0.0, 0.0]), (101, [float("nan")] * 3), (102, [float("-inf"), 1.0, 0.0])] + [
+        (103 + i, [float("nan"), 1.0, 1.0]) for i in range(6)]
+    items = spark.createDataFrame(good + bad, "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.5, 0.1])], "qid int, qvec array<double>")
+    for mode in ("broadcast", "grid"):
+        hits = rt.knn(q, items, 5, "qid", "vec_id", mode=mode, item_blocks=2).collect()
+        assert len(hits) == 5 and all(h["iid"] < 100 for h in hits), mode
 
 
 def test_mmr_operator_keeps_subset(spark):
