@@ -197,8 +197,8 @@ def _links(source: DataFrame, classes: DataFrame, kind: str, k: int, pct: int) -
 
 
 def _rare_first(sets: DataFrame, pct: int) -> DataFrame:
-    """(h, v, n, pos): prefix shingles that two sets or more have. Shingles of one
-    set alone come first in its order, so only their number is needed."""
+    """(h, v, n, own, pos): prefix shingles that two sets or more have. Shingles of one
+    set alone come first in its order, so only their number, ``own``, is needed."""
     tokens = sets.select("v", "n", F.explode("shingles").alias("h"))
     df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = tokens.join(df, "h").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
@@ -207,19 +207,28 @@ def _rare_first(sets: DataFrame, pct: int) -> DataFrame:
     mine = mine.withColumn("own", own).withColumn("size", size.cast("int")).where("own < size")
     mine = mine.select("v", "n", "own", F.posexplode(F.slice("s", F.lit(1), F.least(
         F.col("size") - F.col("own"), F.size("s").cast("long")).cast("int"))).alias("at", "x"))
-    return mine.select(F.col("x.h").alias("h"), "v", "n", (F.col("own") + F.col("at")).alias("pos"))
+    return mine.select(F.col("x.h").alias("h"), "v", "n", "own", (F.col("own") + F.col("at")).alias("pos"))
+
+
+def _meet(pct: int) -> Column:
+    """Length and positional filters of two rows (n, own, pos) and (m, own2, at) that
+    share a shingle.
+
+    Of two linked sets, the first common shingle has no more than n - o before it in
+    either order, o being their least overlap; and what can be common is at most the
+    shared shingles before this one, this one, and those after it."""
+    n, m, pos, at, own, own2 = (F.col(c) for c in ("n", "m", "pos", "at", "own", "own2"))
+    o = _overlap(n, m, pct)
+    bound = F.least(pos - own, at - own2) + 1 + F.least(n - pos - 1, m - at - 1)
+    return _long(n, m, pct) & (pos <= n - o) & (at <= m - o) & (bound >= o)
 
 
 def _hub_pairs(prefix: DataFrame, pct: int) -> DataFrame:
     """One pair per document: with the hub under which most of its prefix lies."""
-    hubs = prefix.groupBy("h").agg(F.min(F.struct("pos", "v", "n")).alias("hub"), F.count(F.lit(1)).alias("c"))
+    hubs = prefix.groupBy("h").agg(F.min(F.struct("pos", "v", "n", "own")).alias("hub"), F.count(F.lit(1)).alias("c"))
     hubs = hubs.where("c > 1").select("h", F.col("hub.v").alias("b"), F.col("hub.n").alias("m"),
-                                      F.col("hub.pos").alias("at"))
-    n, m, pos, at = (F.col(c) for c in ("n", "m", "pos", "at"))
-    # at most the earlier ones, this one and the later ones can be common
-    bound = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
-    met = prefix.join(hubs, "h").where((F.col("v") != F.col("b")) & _long(n, m, pct)
-                                       & (bound >= _overlap(n, m, pct)))
+                                      F.col("hub.own").alias("own2"), F.col("hub.pos").alias("at"))
+    met = prefix.join(hubs, "h").where((F.col("v") != F.col("b")) & _meet(pct))
     met = met.groupBy("v", "n", "b", "m").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("v").agg(F.max(F.struct("c", "b", "n", "m")).alias("x"))
     return best.select(F.col("v").alias("a"), F.col("x.b").alias("b"))
@@ -231,15 +240,14 @@ def _cross_pairs(prefix: DataFrame, comp: DataFrame, sets: DataFrame, pct: int)
     p = prefix.join(comp, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
     mixed = p.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
     p = write_once(p.join(mixed, "h", "left_semi"), "jaccard-mixed")
-    a = p.select("h", F.col("v").alias("a"), F.col("n"), F.col("pos"), F.col("c").alias("ca"))
-    b = p.select("h", F.col("v").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("c").alias("cb"))
+    a = p.select("h", F.col("v").alias("a"), "n", "own", "pos", F.col("c").alias("ca"))
+    b = p.select("h", F.col("v").alias("b"), F.col("n").alias("m"), F.col("own").alias("own2"),
+                 F.col("pos").alias("at"), F.col("c").alias("cb"))
     n, m, pos, at = (F.col(c) for c in ("n", "m", "pos", "at"))
-    bound = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
-    met = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _long(n, m, pct)
-                               & (bound >= _overlap(n, m, pct)))
+    met = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _meet(pct))
     met = met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("pos"),
                                               F.max("at").alias("at"))
-    # up to the last common prefix shingle exactly c are common
+    # up to the last shingle they met by exactly c are common
     met = met.where(F.col("c") + F.least(n - pos - 1, m - at - 1) >= _overlap(n, m, pct))
     parts = sets.select("v", "parts")
     met = met.join(parts.withColumnsRenamed({"v": "a", "parts": "pa"}), "a").join(
