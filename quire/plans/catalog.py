@@ -13,9 +13,22 @@ from quire.functions.language import detect_language, language_name
 from quire.operators import chunks as ch
 from quire.operators.rules import match_rules, validate_questions
 from quire.operators.stats import length_stats
+from quire.plans import fixtures as fx
 from quire.plans.tables import table
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given turns and the literal ones."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return c.unionByName(spark.createDataFrame(fx.CONVERSATIONS, c.schema))
+
+
+def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages and the literal ones."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return p.unionByName(spark.createDataFrame(fx.PAGES, p.schema))
+
+
 def documents_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> base records: one 'text' record per document, file = source."""
     docs = table(spark, sf_dir, "documents")
@@ -47,7 +60,8 @@ def q_build_chunks(spark, sf_dir):
 
 
 def q_quality_gates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.clean_text("text").alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = d.unionByName(spark.createDataFrame(fx.DOCUMENTS, d.schema)).select("doc_id", tx.clean_text("text").alias("t"))
     t = F.col("t")
     # the text is clean, so the cheap clean-text forms of the gates apply
     g = d.select("doc_id", tx.clean_word_count(t).alias("word_count"), tx.clean_alpha_ratio(t).alias("alpha_ratio"),
@@ -72,24 +86,24 @@ def q_staging_chunks(spark, sf_dir):
 
 
 def q_detect_language(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = conversations(spark, sf_dir)
     code = detect_language("text")
     return c.select("conv_id", "turn", code.alias("lang_code"), language_name(code).alias("lang_name"))
 
 
 def q_red_flags(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = conversations(spark, sf_dir)
     return c.select("conv_id", "turn", tx.red_flag("text").alias("flagged"))
 
 
 def q_match_rules(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    c = conversations(spark, sf_dir).filter(F.col("role") == "user").select("conv_id", "turn", "text")
     return match_rules(c, "text").select("conv_id", "turn", "disease", "dosha", "advice", "matched_keywords",
                                          "confidence")
 
 
 def q_validate_questions(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    c = conversations(spark, sf_dir).filter(F.col("role") == "user")
     return validate_questions(c.select("conv_id", "turn", F.col("text").alias("question")), "question") \
         .select("conv_id", "turn", "is_valid", "reason")
 
@@ -177,7 +191,7 @@ from quire.sources import pages as pg  # noqa: E402
 
 
 def page_rows(spark, sf_dir, text=pg.html_text):
-    p = table(spark, sf_dir, "pages")
+    p = pages_table(spark, sf_dir)
     return p.select(pg.url_document("url").alias("doc_url"), pg.url_page_number("url").alias("page_number"),
                     text("html").alias("page_text"))
 
@@ -233,7 +247,7 @@ def q_prompts(spark, sf_dir):
 
 def q_ask_batch(spark, sf_dir):
     """Every user turn of conversations answered from the document chunks."""
-    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv = conversations(spark, sf_dir).filter(F.col("role") == "user")
     qs = conv.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
     res = an.ask_batch(qs, corpus_chunks(spark, sf_dir))
     cited = F.transform("sources", lambda s: F.concat_ws("|", s.source_file, s.page_number.cast("string"), s.chunk_text))
@@ -310,8 +324,14 @@ def q_source_counts_sql(spark, sf_dir):
 def q_embedding_check(spark, sf_dir):
     """Vectors with the wrong dimension or null/NaN elements."""
     from quire.functions.vectors import check_dim
-    e = table(spark, sf_dir, "embeddings")
-    good, bad = check_dim(e, 64)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    full = lambda x: F.array_repeat(F.lit(x).cast("float"), 64)
+    kind = F.col("kind")
+    faults = spark.createDataFrame(fx.VECTORS, "vec_id long, kind string").select(
+        "vec_id", F.when(kind == "short", F.array_repeat(F.lit(1.0).cast("float"), 3))
+        .when(kind == "inf", full(float("inf"))).when(kind == "-inf", full(float("-inf")))
+        .when(kind == "nan", full(float("nan"))).when(kind == "hole", full(None)).alias("embedding"))
+    good, bad = check_dim(e.unionByName(faults), 64)
     return good.select("vec_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("vec_id", "reason"))
 
 
@@ -340,7 +360,77 @@ def q_translation_messages(spark, sf_dir):
     """L4: chat messages that ask a model to put each user turn into Telugu
     (from the detected language)."""
     from quire.functions.language import translate_messages
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    c = conversations(spark, sf_dir).filter(F.col("role") == "user")
     src = language_name(detect_language("text"))
     msgs = translate_messages(F.col("text"), src, F.lit("Telugu"))
-    return c.select("conv_id", "turn", F.to_json(msgs).alias("messages"))
+    return c.select("conv_id", "turn", F.to_json(msgs, {"ignoreNullFields": "false"}).alias("messages"))
+
+
+# ---------------------------------------------------------------------------
+# lookups, labels, several pages per document, the build from files
+# ---------------------------------------------------------------------------
+
+def q_language_lookup(spark, sf_dir):
+    """L2/L3: every language code of the documents and the literal ones, resolved."""
+    from quire.functions.language import resolve_language
+    d = table(spark, sf_dir, "documents").select("lang").distinct()
+    d = d.unionByName(spark.createDataFrame([(x,) for x in fx.LANGUAGES], "lang string"))
+    return d.withColumn("code", resolve_language("lang")).withColumn("name", language_name("code"))
+
+
+def q_citations(spark, sf_dir):
+    """Labels with all parts, without a page, without a score."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    page = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 50).cast("int"))
+    score = F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") / 8.0)
+    return d.select("doc_id", tx.citation_label("source", page, score).alias("label"))
+
+
+def q_score_names(spark, sf_dir):
+    """M3: the first score column present in a row, under one name."""
+    d = table(spark, sf_dir, "documents")
+    d = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("n_chars").cast("double")).alias("_score"),
+                 (F.col("n_chars") / 2.0).alias("similarity_score"))
+    return rt.normalise_score(d)
+
+
+def q_site_documents(spark, sf_dir):
+    """S7/O5/A6 with several pages per document: the pages of one path language of a
+    host in page order."""
+    p = pages_table(spark, sf_dir)
+    site = F.regexp_extract("url", r"^https?://([^/?#]+/[^/?#]*)", 1)
+    rows = p.select(site.alias("site"), F.col("page_id").alias("page_number"), pg.html_text("html").alias("page_text"))
+    return pg.assemble_documents(rows, "site", "page_number", "page_text")
+
+
+PAGES_PER_FILE = 100
+
+
+def q_file_build(spark, sf_dir):
+    """The build from files (S1-S5, S8, P1, P3-P5, P12, U1-U4, A5): customers as CSV files
+    with two header orders, in nested folders, and documents as text files of several
+    pages, written below the checkpoint folder and then discovered, read, chunked."""
+    import uuid
+
+    from quire.plans.corpus import build_corpus
+    from quire.session import checkpoint_dir, materialize
+    root = f"{checkpoint_dir(spark)}/file_build/{uuid.uuid4().hex}"
+    cust = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_name").alias("Disease"), F.col("c_mktsegment").alias("food"),
+        F.col("c_acctbal").cast("string").alias("remedy"))
+    even = F.col("c_custkey") % 2 == 0
+    csv = {"header": "true", "escape": '"'}
+    cust.where(even).select("Disease", "food", "remedy").write.options(**csv).csv(f"{root}/csv")
+    cust.where(~even).select("remedy", "Disease", "food").write.options(**csv).csv(f"{root}/csv/more/deep")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = docs.groupBy(F.floor(F.col("doc_id") / PAGES_PER_FILE).alias("file")).agg(      # PAGES_PER_FILE rows a group
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("pages"))
+    text = F.array_join(F.transform("pages", lambda p: p.text), "\f").alias("value")
+    files.select("file", text).write.partitionBy("file").option("lineSep", "\f").text(f"{root}/pages")
+    chunks, failed = build_corpus(spark, root)
+    named = F.regexp_replace("chunk_text", r"Source File: [^ |]+", "Source File: F")
+    named = F.regexp_replace(named, r"^Source File: F \| Page", "Page")
+    out = chunks.select("source_type", "page_number", "chunk_index", named.alias("chunk_text"))
+    return materialize(out.unionByName(failed.select(
+        F.lit("failed").alias("source_type"), F.lit(None).cast("int").alias("page_number"),
+        F.lit(None).cast("int").alias("chunk_index"), F.col("error").alias("chunk_text"))), "file_build")

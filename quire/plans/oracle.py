@@ -7,6 +7,7 @@ repeated-symbol step runs once per ASCII symbol.
 
 from __future__ import annotations
 
+from quire.plans import fixtures as fx
 from quire.functions.language import LANGUAGE_NAMES, SCRIPT_RANGES
 from quire.functions.text import BOILERPLATE_RE, NON_WS, RED_FLAG_PATTERNS, WS
 from quire.operators.rules import DEFAULT_RULE, RULES
@@ -69,6 +70,13 @@ def _chunk_words_cte(src: str, cols: str, size: int, overlap: int, prefix: str =
           FROM {prefix}g)"""
 
 
+CONV = (f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL "
+        f"SELECT * FROM (VALUES {fx.sql_values(fx.CONVERSATIONS)}) v(conv_id, turn, role, text))")
+PAGES_ALL = (f"(SELECT page_id, url, html FROM pages UNION ALL "
+             f"SELECT * FROM (VALUES {fx.sql_values(fx.PAGES)}) v(page_id, url, html))")
+DOCS_ALL = (f"(SELECT doc_id, text FROM documents UNION ALL "
+            f"SELECT * FROM (VALUES {fx.sql_values(fx.DOCUMENTS)}) v(doc_id, text))")
+
 CLEAN_TEXT = f"SELECT doc_id, {clean('text')} AS text_clean FROM documents"
 
 CLEAN_DOCUMENT_TEXT = f"SELECT doc_id, {clean_document('text')} AS text_clean FROM documents"
@@ -98,7 +106,7 @@ FROM f
 """
 
 QUALITY_GATES = f"""
-WITH d AS (SELECT doc_id, {clean('text')} AS t FROM documents)
+WITH d AS (SELECT doc_id, {clean('text')} AS t FROM {DOCS_ALL} AS documents)
 SELECT doc_id, {_word_count('t')} AS word_count, {_alpha_ratio('t')} AS alpha_ratio,
        {_boiler('t')} AS is_boilerplate,
        ({_word_count('t')} >= 10 AND {_alpha_ratio('t')} >= 0.2 AND NOT {_boiler('t')}) AS passes
@@ -142,14 +150,14 @@ _NAME_CASE = "CASE " + " ".join(f"WHEN lang_code = '{c}' THEN '{n}'" for c, n in
 
 DETECT_LANGUAGE = f"""
 WITH s AS (SELECT conv_id, turn, list_max([{', '.join(_script_struct(c, lo, hi) for c, _n, lo, hi in SCRIPT_RANGES)}])
-                  AS best FROM conversations),
+                  AS best FROM {CONV} AS conversations),
 l AS (SELECT conv_id, turn, CASE WHEN best.n > 0 THEN best.code ELSE 'en' END AS lang_code FROM s)
 SELECT conv_id, turn, lang_code, {_NAME_CASE} AS lang_name FROM l
 """
 
 RED_FLAGS = f"""
 SELECT conv_id, turn, regexp_matches(coalesce(text, ''), {_q('(?i)' + '|'.join(RED_FLAG_PATTERNS))}) AS flagged
-FROM conversations
+FROM {CONV} AS conversations
 """
 
 
@@ -163,7 +171,7 @@ def _rules_values() -> str:
 
 MATCH_RULES = f"""
 WITH q AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS toks
-           FROM conversations WHERE role = 'user'),
+           FROM {CONV} AS conversations WHERE role = 'user'),
 r AS (SELECT * FROM (VALUES {_rules_values()}) AS r(ord, disease, kws, dosha, advice)),
 s AS (SELECT q.conv_id, q.turn, r.ord, r.disease, r.dosha, r.advice, len(r.kws) AS nk,
              list_filter(r.kws, lambda k: list_contains(q.toks, k)) AS hits
@@ -178,13 +186,13 @@ SELECT conv_id, turn,
 FROM b WHERE rn = 1
 """
 
-VALIDATE_QUESTIONS = r"""
+VALIDATE_QUESTIONS = rf"""
 WITH v AS (SELECT conv_id, turn,
                   CASE WHEN text IS NULL THEN 'question is required'
                        WHEN length(text) < 3 THEN 'question shorter than 3 characters'
                        WHEN length(text) > 2000 THEN 'question longer than 2000 characters'
-                       WHEN regexp_full_match(text, '[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*') THEN 'question is blank' END AS reason
-           FROM conversations WHERE role = 'user')
+                       WHEN regexp_full_match(text, '[\t-\r\x1c-\x1f \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]*') THEN 'question is blank' END AS reason
+           FROM {CONV} AS conversations WHERE role = 'user')
 SELECT conv_id, turn, reason IS NULL AS is_valid, reason FROM v
 """
 
@@ -307,7 +315,7 @@ def vector_ctes(k: int) -> str:
 vs AS (SELECT qe.item_id, ce.chunk_id,
               round(CASE WHEN list_dot_product(qe.v, qe.v) = 0 OR list_dot_product(ce.v, ce.v) = 0 THEN 0.0
                          ELSE list_cosine_similarity(qe.v, ce.v) END, 6) AS score
-       FROM qe CROSS JOIN ce),
+       FROM qe CROSS JOIN ce WHERE list_dot_product(qe.v, qe.v) > 0),
 vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank
                       FROM vs) WHERE rank <= {k})"""
 
@@ -362,7 +370,7 @@ _PAGES = f"""
 p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS doc_url,
              coalesce(CASE WHEN {_PAGE_NO} <> '' THEN CAST({_PAGE_NO} AS INTEGER) END, 1) AS page_number,
              {html_text('html')} AS page_text
-      FROM pages)"""
+      FROM {PAGES_ALL} AS pages)"""
 _PAGE_LINES = _PAGES.replace(html_text('html'), html_lines('html'))
 
 PAGE_DOCUMENTS = f"""
@@ -467,6 +475,11 @@ FROM k GROUP BY source_file
 """
 
 EMBEDDING_CHECK = """
+WITH embeddings AS (
+  SELECT vec_id, embedding FROM embeddings UNION ALL
+  SELECT * FROM (VALUES (-1, CAST(NULL AS FLOAT[])), (-2, CAST([1, 1, 1] AS FLOAT[])),
+    (-3, list_transform(range(64), lambda i: CAST('inf' AS FLOAT))), (-6, list_transform(range(64), lambda i: CAST('-inf' AS FLOAT))),
+    (-4, list_transform(range(64), lambda i: CAST('nan' AS FLOAT))), (-5, list_transform(range(64), lambda i: CAST(NULL AS FLOAT)))))
 SELECT vec_id, CASE WHEN embedding IS NULL THEN 'null vector'
                     WHEN len(embedding) <> 64 THEN 'dimension ' || CAST(len(embedding) AS VARCHAR) || ' != 64'
                     WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'null or non-finite element'
@@ -671,8 +684,102 @@ WITH l AS ({DETECT_LANGUAGE.strip()})
 SELECT c.conv_id, c.turn,
        CAST(to_json([{{'role': 'system', 'content': {_q(_SYS_HEAD)} || lang_name || {_q(_SYS_MID)} || 'Telugu' || {_q(_SYS_TAIL)}}},
                      {{'role': 'user', 'content': c.text}}]) AS VARCHAR) AS messages
-FROM conversations c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn
+FROM {CONV} c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn
 WHERE c.role = 'user'
 """
 
 ORACLE["translation_messages"] = TRANSLATION_MESSAGES
+
+
+# ---------------------------------------------------------------------------
+# lookups, labels, several pages per document, the build from files
+# ---------------------------------------------------------------------------
+
+LANGUAGE_LOOKUP = f"""
+WITH d AS (SELECT DISTINCT lang FROM documents),
+a AS (SELECT lang FROM d UNION ALL SELECT * FROM (VALUES {fx.sql_values([(x,) for x in fx.LANGUAGES])}) v(lang)),
+n AS (SELECT * FROM (VALUES ('hi', 'Hindi'), ('bn', 'Bengali'), ('pa', 'Punjabi'), ('gu', 'Gujarati'), ('or', 'Odia'),
+      ('ta', 'Tamil'), ('te', 'Telugu'), ('kn', 'Kannada'), ('ml', 'Malayalam'), ('ur', 'Urdu'), ('en', 'English')) v(code, name)),
+r AS (SELECT a.lang, coalesce(n.code, 'en') AS code
+      FROM a LEFT JOIN n ON lower(trim(a.lang)) = n.code OR lower(trim(a.lang)) = lower(n.name))
+SELECT lang, code, name FROM r JOIN n USING (code)
+"""
+
+CITATIONS = """
+SELECT doc_id, concat_ws(' · ', coalesce(source, 'unknown'),
+                         CASE WHEN doc_id % 3 <> 0 THEN 'p.' || CAST(doc_id % 50 AS VARCHAR) END,
+                         CASE WHEN doc_id % 5 <> 0 THEN 'score ' || printf('%.3f', n_chars / 8.0::DOUBLE) END) AS label
+FROM documents
+"""
+
+SCORE_NAMES = """
+SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS DOUBLE) END, n_chars / 2.0::DOUBLE) AS score FROM documents
+"""
+
+SITE_DOCUMENTS = f"""
+WITH p AS (SELECT regexp_extract(url, '^https?://([^/?#]+/[^/?#]*)', 1) AS site, page_id, {html_text('html')} AS page_text
+           FROM {PAGES_ALL} AS pages)
+SELECT site, CAST(count(*) AS INTEGER) AS page_count,
+       string_agg(page_text, chr(10) || chr(10) ORDER BY page_id, page_text) AS document_text
+FROM p WHERE page_text <> '' GROUP BY site
+"""
+
+# The file's name is one word, so chunk bounds don't depend on it; it is then left out.
+_FILE_TEXT = clean(f"'Source File: F | Page Number: ' || CAST(doc_id % 100 + 1 AS VARCHAR) || ' | ' || cleaned")
+FILE_BUILD = f"""
+WITH d AS (SELECT doc_id, {clean_document('text')} AS cleaned FROM documents),
+r AS (SELECT 'txt' AS source_type, CAST(doc_id % 100 + 1 AS INTEGER) AS page_number,
+             CASE WHEN cleaned = '' THEN '' ELSE {_FILE_TEXT} END AS t, doc_id AS k FROM d
+      UNION ALL
+      SELECT 'csv', NULL, 'Source: csv | Condition: ' || c_name || ' | Diet: ' || c_mktsegment || ' | Medical: '
+             || CAST(c_acctbal AS VARCHAR) || ' | Source File: F', -c_custkey FROM customer),
+{_chunk_words_cte('r', 'source_type, page_number, k', 350, 90)}
+SELECT source_type, page_number, chunk_index, regexp_replace(chunk_text, '^Source File: F \\| Page', 'Page') AS chunk_text FROM c
+WHERE {_word_count('chunk_text')} >= 10 AND {_alpha_ratio('chunk_text')} >= 0.2 AND NOT {_boiler('chunk_text')}
+"""
+
+ORACLE.update({"language_lookup": LANGUAGE_LOOKUP, "citations": CITATIONS, "score_names": SCORE_NAMES,
+               "site_documents": SITE_DOCUMENTS, "file_build": FILE_BUILD})
+
+
+# ---------------------------------------------------------------------------
+# The batch of questions, with the default (identity, extractive) models
+# ---------------------------------------------------------------------------
+
+_DISCLAIMER = ("This answer is drawn from the indexed texts on traditional practice and is general information only, not "
+               "medical advice; please see a qualified practitioner before making health decisions.")
+_URGENT = ("Some of the symptoms you describe can be an emergency. Please contact emergency services or a doctor right away; "
+           "this assistant cannot help with urgent care.")
+_NOTHING = "The indexed sources contain nothing relevant to this question."
+
+
+def ask_batch_sql() -> str:
+    body = retrieve_sql().strip()[len("WITH "):]
+    at = body.rindex("\nSELECT o.item_id")
+    first = "regexp_replace(trim(string_split(k.chunk_text, '. ')[1]), '\\.+$', '')"
+    return f"""
+WITH valid AS ({VALIDATE_QUESTIONS.strip()}),
+lang AS ({DETECT_LANGUAGE.strip()}),
+flag AS ({RED_FLAGS.strip()}),
+askq AS (SELECT concat_ws('-', c.conv_id, c.turn) AS item_id, c.text, v.reason, l.lang_code, f.flagged
+         FROM {CONV} c JOIN valid v USING (conv_id, turn) JOIN lang l USING (conv_id, turn) JOIN flag f USING (conv_id, turn)),
+benchmark AS (SELECT item_id, text FROM askq WHERE reason IS NULL AND NOT flagged),
+{body[:at]},
+pk AS ({body[at:].strip()}),
+src AS (SELECT pk.item_id,
+               list(concat_ws('|', k.source_file, CAST(k.page_number AS VARCHAR), k.chunk_text) ORDER BY mmr_rank) AS sources,
+               string_agg(CASE WHEN {first} <> '' THEN {first} || '. [' || coalesce(k.source_file, 'unknown') || ', '
+                          || coalesce(CAST(k.page_number AS VARCHAR), 'None') || ']' END, ' ' ORDER BY mmr_rank) AS answer
+        FROM pk JOIN k USING (chunk_id) GROUP BY pk.item_id)
+SELECT a.item_id AS question_id,
+       CASE WHEN a.reason IS NOT NULL THEN NULL WHEN a.flagged THEN {_q(_URGENT)}
+            ELSE coalesce(nullif(src.answer, ''), {_q(_NOTHING)}) END AS answer,
+       CASE WHEN a.reason IS NULL THEN a.lang_code END AS language,
+       CASE WHEN a.reason IS NULL THEN a.lang_code END AS detected_language,
+       CASE WHEN a.reason IS NULL THEN {_q(_DISCLAIMER)} END AS disclaimer,
+       coalesce(src.sources, CAST([] AS VARCHAR[])) AS sources, a.reason
+FROM askq a LEFT JOIN src USING (item_id)
+"""
+
+
+ORACLE["ask_batch"] = ask_batch_sql()

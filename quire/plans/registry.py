@@ -43,6 +43,11 @@ QUERIES = {
     "preview": c.q_preview,
     "extract_pages": c.q_extract_pages,
     "translation_messages": c.q_translation_messages,
+    "language_lookup": c.q_language_lookup,
+    "citations": c.q_citations,
+    "score_names": c.q_score_names,
+    "site_documents": c.q_site_documents,
+    "file_build": c.q_file_build,
 }
 
 
