@@ -6,16 +6,16 @@ Queries and chunks are DataFrames; every search returns rows
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions.text import word_array
 from quire.functions.vectors import terms
-from quire.operators.topk import (FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k,
-                                  cosine_scorer, keyed_partial_top_k)
+from quire.operators.topk import FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k, cosine_scorer
 
 # BM25 parameters, reciprocal-rank-fusion constant, MMR
 # defaults (top_k 5, fetch_k max(20, 4 * top_k), lambda 0.5).
@@ -44,62 +44,88 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: st
     return cell_top_k(i, q, cosine_scorer(k, exclude_self=exclude_self), k, item_id, query_id, **kw)
 
 
-def lsh_signature(dim: int, tables: int, bits: int, seed: int):
-    """Random-hyperplane (SimHash) bucket per table: a pandas UDF
-    array<float> -> array<int> of length ``tables``. The planes are a
-    bounded (tables x bits x dim) constant drawn from ``seed``."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    weights = (1 << np.arange(bits)).astype(np.int64)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def sig(vs: pd.Series) -> pd.Series:
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else np.zeros((0, dim))
-        proj = np.einsum("tbd,nd->ntb", planes, m) > 0.0
-        return pd.Series(list((proj.astype(np.int64) * weights).sum(axis=2).astype(np.int32)))
-
-    return sig
-
-
-def knn_lsh(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str,
-            qvec: str = "qvec", vec: str = "embedding", tables: int = 16, bits: int = 4, seed: int = 17,
-            max_cell: int = 20_000, exclude_self: bool = False, probe_flips: bool = False) -> DataFrame:
-    """Approximate top-k by cosine. Items and queries are bucketed by
-    SimHash signatures in ``tables`` tables; candidates are the items sharing
-    a bucket with the query, scored exactly. A bucket holding more than
-    ``max_cell`` items is split into salted cells (the query side is
-    replicated to each), so a hot bucket never lands in one task. The
-    bucket-size table has at most ``tables * 2**bits`` rows. With
-    ``probe_flips`` a query also probes the ``bits`` buckets one bit-flip
-    away in each table (multi-probe): only the query side grows."""
-    from quire.session import materialize
+def lsh_planes(dim: int, tables: int, bits: int) -> np.ndarray:
+    """(tables, bits, dim) hyperplanes of +1 and -1: the sign at each place is + where the
+    first hex digit of md5("table,bit,place") is below 8. A fixed size, and any engine
+    with md5 draws the same planes."""
+    def sign(t, b, p):
+        return 1.0 if hashlib.md5(f"{t},{b},{p}".encode()).hexdigest()[0] < "8" else -1.0
+    return np.array([[[sign(t, b, p) for p in range(dim)] for b in range(bits)] for t in range(tables)])
+
+
+def lsh_bits(n_items: int, target_bucket: int) -> int:
+    """Bits a table so that an even bucket holds about ``target_bucket`` items."""
+    return max(1, math.floor(math.log2(max(n_items, 1) / target_bucket) + 0.5))
+
+
+def _lists(col) -> np.ndarray:
+    """An Arrow list column of equal lengths as a matrix of doubles."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+def lsh_buckets(df: DataFrame, id_col: str, vec: str, alias: str, planes: np.ndarray, probe_flips: bool) -> DataFrame:
+    """(table, bucket, id) rows; with ``probe_flips`` also the buckets one bit away."""
+    import pyarrow as pa
+    tables, bits, _ = planes.shape
+    flips = np.array([0, *(1 << np.arange(bits))] if probe_flips else [0], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            side = np.einsum("tbd,nd->ntb", planes, _lists(batch.column(1))) > 0.0
+            bucket = (side @ (1 << np.arange(bits)).astype(np.int64))[:, :, None] ^ flips
+            rows = np.repeat(np.arange(batch.num_rows), tables * len(flips))
+            table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), len(flips)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(table), pa.array(bucket.ravel()), batch.column(0).take(pa.array(rows))],
+                                             ["t", "b", alias])
+
+    kind = dict(df.dtypes)[id_col]
+    ok = df.where(F.size(vec) == planes.shape[2]).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    return ok.mapInArrow(run, f"t int, b long, {alias} {kind}")
+
 
-    spark = items.sparkSession
+def lsh_pairs(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, qvec: str = "qvec",
+              vec: str = "embedding", tables: int = 24, target_bucket: int = 8, exclude_self: bool = False,
+              probe_flips: bool = True) -> DataFrame:
+    """J2 candidates: distinct (qid, iid) that share a bucket in some table. Only bucket
+    numbers and ids are joined, never vectors; a hot bucket is a skewed join key, which
+    adaptive execution splits."""
     dim = len(items.select(vec).first()[0])
-    sig = lsh_signature(dim, tables, bits, seed)
-    width = 1 << bits
-
-    def keyed(df, id_col, v, alias):
-        return (df.select(F.col(id_col).alias(alias), F.col(v).alias("_v"), F.posexplode(sig(F.col(v))).alias("_t", "_b"))
-                .withColumn("_key", F.col("_t") * width + F.col("_b")).drop("_t", "_b"))
-
-    ik = materialize(keyed(items, item_id, vec, "iid").withColumnRenamed("_v", "embedding"), "lsh_index")
-    qk = keyed(queries, query_id, qvec, "qid").withColumnRenamed("_v", "qvec")
-    if probe_flips:
-        flips = F.array(F.lit(0), *[F.lit(1 << j) for j in range(bits)])
-        qk = (qk.withColumn("_flip", F.explode(flips))
-              .withColumn("_key", (F.col("_key") - F.pmod(F.col("_key"), F.lit(width)))
-                          + F.col("_key").bitwiseXOR(F.col("_flip")) % width)
-              .drop("_flip"))
-    sizes = [(r["_key"], max(1, -(-r["n"] // max_cell))) for r in
-             ik.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).collect()]
-    salts = F.broadcast(spark.createDataFrame(sizes, "_key int, _s long"))
-    ik = ik.join(salts, "_key").withColumn("_salt", F.pmod(F.xxhash64("iid"), F.col("_s")).cast("int"))
-    qk = qk.join(salts, "_key").withColumn("_salt", F.explode(F.sequence(F.lit(0), (F.col("_s") - 1).cast("int"))))
-    schema = _out_schema(queries.schema[query_id].dataType, items.schema[item_id].dataType)
-    partial = keyed_partial_top_k(ik.drop("_s"), qk.drop("_s"), ["_key", "_salt"],
-                                  cosine_scorer(k, exclude_self=exclude_self), k, schema)
-    best = partial.groupBy("qid", "iid").agg(F.max("score").alias("score"))
-    return _merge(best, k)
+    planes = lsh_planes(dim, tables, lsh_bits(items.count(), target_bucket))
+    index = lsh_buckets(items, item_id, vec, "iid", planes, False)
+    probes = lsh_buckets(queries, query_id, qvec, "qid", planes, probe_flips)
+    pairs = probes.join(index, ["t", "b"]).select("qid", "iid")
+    return (pairs.where("qid <> iid") if exclude_self else pairs).distinct()
+
+
+def score_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame, query_id: str, item_id: str,
+                qvec: str = "qvec", vec: str = "embedding", digits: int = 6) -> DataFrame:
+    """Exact cosine of each pair, once: (qid, iid, score). Non-finite scores are left out."""
+    import pyarrow as pa
+
+    q = queries.select(F.col(query_id).alias("qid"), F.col(qvec).alias("q"))
+    i = items.select(F.col(item_id).alias("iid"), F.col(vec).alias("v"))
+    rows = pairs.join(q, "qid").join(i, "iid").select("qid", "iid", "q", "v")
+
+    def run(batches):
+        for batch in batches:
+            a, b = _lists(batch.column(2)), _lists(batch.column(3))
+            norm = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where(norm == 0, 0.0, np.einsum("nd,nd->n", a, b) / norm)
+            keep = pa.array(np.isfinite(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep),
+                                              pa.array(np.round(s, digits)).filter(keep)], ["qid", "iid", "score"])
+
+    return rows.mapInArrow(run, _out_schema(queries.schema[query_id].dataType, items.schema[item_id].dataType))
+
+
+def knn_lsh(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, qvec: str = "qvec",
+            vec: str = "embedding", **how) -> DataFrame:
+    """Approximate top-k by cosine: candidates of :func:`lsh_pairs` (``how`` goes
+    there), each scored exactly once."""
+    pairs = lsh_pairs(queries, items, query_id, item_id, qvec, vec, **how)
+    return _merge(score_pairs(pairs, queries, items, query_id, item_id, qvec, vec), k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -288,12 +288,17 @@ def q_knn_lsh(spark, sf_dir):
 
 
 def q_lsh_recall(spark, sf_dir):
-    """J2 recall@5 against the exact J1 neighbours."""
+    """J2 recall@5 against the exact J1 neighbours, and the pairs scored for it."""
+    from quire.session import materialize
     e = table(spark, sf_dir, "embeddings")
     q = e.select("vec_id", F.col("embedding").alias("qvec"))
-    approx = rt.knn_lsh(q, e, 5, "vec_id", "vec_id", exclude_self=True)
+    pairs = materialize(rt.lsh_pairs(q, e, "vec_id", "vec_id", exclude_self=True), "lsh_pairs")
+    approx = rt._merge(rt.score_pairs(pairs, q, e, "vec_id", "vec_id"), 5)
     exact = rt.knn(q, e, 5, "vec_id", "vec_id", exclude_self=True)
-    return rt.recall_at_k(approx, exact)
+    n = e.agg(F.count(F.lit(1)).alias("n")).scalar()
+    pairs_scored = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return rt.recall_at_k(approx, exact).withColumn("pairs_scored", pairs_scored).withColumn(
+        "share_of_all_pairs", F.round(pairs_scored / (n * (n - 1)), 6))
 
 
 # ---------------------------------------------------------------------------

@@ -783,3 +783,37 @@ FROM askq a LEFT JOIN src USING (item_id)
 
 
 ORACLE["ask_batch"] = ask_batch_sql()
+
+
+# ---------------------------------------------------------------------------
+# Planes from md5 signs, 24 tables, about 8 items a bucket, one-bit probes
+# ---------------------------------------------------------------------------
+
+_LSH = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nb AS (SELECT count(*) AS n, greatest(1, CAST(floor(log2(count(*) / 8.0) + 0.5) AS INTEGER)) AS bits FROM e),
+pl AS (SELECT t, b, list(CASE WHEN substr(md5(t || ',' || b || ',' || p), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
+                         ORDER BY p) AS plane
+       FROM range(24) t(t), (SELECT unnest(range((SELECT bits FROM nb))) AS b), range(64) p(p) GROUP BY t, b),
+bk AS (SELECT vec_id, t, CAST(sum(CASE WHEN list_dot_product(v, plane) > 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS BIGINT) AS b
+       FROM e, pl GROUP BY vec_id, t),
+pr AS (SELECT vec_id, t, b FROM bk UNION ALL
+       SELECT vec_id, t, xor(bk.b, CAST(1 << CAST(f AS INTEGER) AS BIGINT)) AS b FROM bk, (SELECT unnest(range((SELECT bits FROM nb))) AS f)),
+pairs AS (SELECT DISTINCT pr.vec_id AS query_vec_id, bk.vec_id FROM pr JOIN bk USING (t, b) WHERE pr.vec_id <> bk.vec_id),
+s AS (SELECT query_vec_id, p.vec_id, round(list_cosine_similarity(x.v, y.v), 6) AS score
+      FROM pairs p JOIN e x ON x.vec_id = p.query_vec_id JOIN e y ON y.vec_id = p.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY score DESC, vec_id) AS rank FROM s),
+lsh AS (SELECT query_vec_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5)"""
+
+KNN_LSH = f"WITH {_LSH} SELECT * FROM lsh"
+LSH_RECALL = f"""
+WITH {_LSH},
+exact AS ({KNN_SELF.strip()})
+SELECT count(DISTINCT e.query_vec_id) AS n_queries, count(*) AS n_exact,
+       sum(CASE WHEN l.vec_id IS NULL THEN 0 ELSE 1 END) / count(*) AS recall,
+       (SELECT count(*) FROM pairs) AS pairs_scored,
+       round((SELECT count(*) FROM pairs) / ((SELECT n FROM nb) * ((SELECT n FROM nb) - 1)), 6) AS share_of_all_pairs
+FROM exact e LEFT JOIN lsh l USING (query_vec_id, vec_id)
+"""
+
+ORACLE.update({"knn_lsh": KNN_LSH, "lsh_recall": LSH_RECALL})
