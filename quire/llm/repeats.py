@@ -31,9 +31,11 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ from quire.session import ship_package
 
 WIDTH, PHRASE = 35, 8
 MAX_BITS = 1 << 26      # bitmap of 8 MB at most
-NUMBERS = np.uint64((1 << 31) - 1)
+SIGNS = 4               # characters of a word number
 
 
 def _phrases(block: W.Block, width: int, phrase: int):
@@ -119,20 +121,23 @@ def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def locate(hashes: np.ndarray, grams: np.ndarray, wanted: np.ndarray, phrase: int) -> np.ndarray:
     """Places of every occurrence in the block of the phrases at ``wanted``: an
-    Aho-Corasick automaton over word numbers, checked by the phrase hash."""
+    Aho-Corasick automaton over word numbers, checked by the phrase hash.
+
+    A word is written as ``SIGNS`` characters of 256 kinds (32 bits of its hash), as a
+    node's edges are searched one by one; matches that begin inside a word are left."""
     import ahocorasick
-    numbers = (hashes & NUMBERS).astype(np.int64).tolist()
-    shard = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    signs = hashes.astype("<u4").view(np.uint8).astype("<u4") + np.uint32(0x100)
+    text = signs.tobytes().decode("utf-32-le")
+    shard = ahocorasick.Automaton()
     _, one = np.unique(grams[wanted], return_index=True)
     for at in wanted[one].tolist():
-        key = tuple(numbers[at:at + phrase])
-        shard.add_word(key, (*shard.get(key, ()), grams[at]))
+        shard.add_word(text[at * SIGNS:(at + phrase) * SIGNS], at)
     shard.make_automaton()
-    found = [(stop - phrase + 1, g) for stop, gs in shard.iter(tuple(numbers)) for g in gs]
-    if not found:
-        return np.zeros(0, np.int64)
-    places = np.array([f[0] for f in found], np.int64)
-    return places[grams[places] == np.array([f[1] for f in found], np.uint64)]
+    found = np.fromiter(itertools.chain.from_iterable(shard.iter(text)), np.int64).reshape(-1, 2)
+    start = found[:, 0] + 1 - phrase * SIGNS
+    keep = start % SIGNS == 0
+    places, known = start[keep] // SIGNS, found[keep, 1]
+    return places[grams[places] == grams[known]]
 
 
 def segments(width: int, phrase: int, bits: np.ndarray, payload: bool):
@@ -183,27 +188,28 @@ def remove_covered(width: int):
             for block in W.word_blocks(batch.column(1)):
                 n = len(block.starts)
                 delta = np.zeros(n + width + 1, np.int64)
-                for j in range(block.n_texts):
-                    f, m = firsts[block.first + j], masks[block.first + j]
-                    if f.is_valid and len(f):
-                        f, m = f.values.to_numpy(), m.values.to_numpy()
-                        for bit in range(64):
-                            at = f[(m >> bit) & 1 == 1] + bit + block.bounds[j]
-                            np.add.at(delta, at, 1)
-                            np.add.at(delta, at + width, -1)
+                here = firsts.slice(block.first, block.n_texts)
+                first = here.flatten().to_numpy(zero_copy_only=False)
+                mask = masks.slice(block.first, block.n_texts).flatten().to_numpy(zero_copy_only=False)
+                first = first + np.repeat(block.bounds[:-1], pc.fill_null(pc.list_value_length(here), 0).to_numpy())
+                for bit in range(int(mask.max()).bit_length() if len(mask) else 0):
+                    at = first[(mask >> bit) & 1 == 1] + bit
+                    delta += np.bincount(at, minlength=len(delta)) - np.bincount(at + width, minlength=len(delta))
                 gone = np.cumsum(delta)[:n] > 0
-                raw = block.data.tobytes()
-                removed, digest = [], []
-                for j in range(block.n_texts):
-                    a, b = block.bounds[j], block.bounds[j + 1]
-                    own = gone[a:b]
-                    keep = np.flatnonzero(~own) + a
-                    removed.append(int(own.sum()))
-                    digest.append(hashlib.sha256(b" ".join(
-                        [raw[s:e] for s, e in zip(block.starts[keep].tolist(), block.ends[keep].tolist())])).hexdigest())
+                removed = np.diff(np.append(0, np.cumsum(gone))[block.bounds])
+                # kept words joined by one space: their bytes, each with a space behind
+                starts, ends = block.starts[~gone], block.ends[~gone]
+                size = ends - starts + 1
+                stops = np.cumsum(size)
+                at = np.repeat(starts - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)
+                raw = np.append(block.data, np.uint8(0x20))[at]
+                raw[stops - 1] = 0x20
+                raw = memoryview(raw)
+                cuts = np.append(0, stops)[np.append(0, np.cumsum(~gone))[block.bounds]].tolist()
+                digest = [hashlib.sha256(raw[a:max(a, b - 1)]).hexdigest() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.n_texts),
-                     pa.array(np.diff(block.bounds).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest)],
+                     pa.array(np.diff(block.bounds).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digest)],
                     ["doc_id", "n_words", "n_removed", "kept_sha256"])
     return run
 
