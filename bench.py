@@ -27,7 +27,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     from quire.plans.registry import queries
-    from quire.session import local_session
+    from quire.session import drop_tables, local_session
 
     spark = local_session(cpus)
     qs = queries()
@@ -37,6 +37,7 @@ def main() -> None:
         t0 = time.time()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        drop_tables(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import word_array
 from quire.functions.vectors import terms
-from quire.operators.topk import FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k, cosine_scorer
+from quire.operators.topk import FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k, cosine_scorer, measured_size
 
 # BM25 parameters, reciprocal-rank-fusion constant, MMR
 # defaults (top_k 5, fetch_k max(20, 4 * top_k), lambda 0.5).
@@ -140,48 +141,45 @@ def keyword_terms(docs: DataFrame, doc_id: str, text: str, item_type: str | None
     return docs.select(F.col(doc_id), terms(text).alias("toks"), *_opt(item_type, TYPE_COL))
 
 
-def term_statistics(toks: DataFrame, vocab: DataFrame) -> tuple[DataFrame, float, float]:
-    """A7 in one pass over the corpus: (document frequency of each vocab term,
-    number of documents, average document length).
+class KeywordIndex(NamedTuple):
+    """Terms of every document, document frequency of every term, and the corpus totals."""
 
-    Every document adds one row per distinct vocab term plus one row under the
-    empty term (which the term pattern never produces) carrying its length;
-    a partially aggregated ``groupBy(term)`` then yields df and the corpus
-    totals together. The result has at most |vocab| + 1 rows.
-    """
+    toks: DataFrame
+    df: DataFrame
+    n_docs: float
+    avgdl: float
+
+
+def keyword_index(docs: DataFrame, doc_id: str, text: str, item_type: str | None = None) -> KeywordIndex:
+    """Tokenise the corpus once and keep it. Document frequencies are counted on the
+    map side first, so what is shuffled is each task's vocabulary, never the exploded
+    corpus, and a term in every document is one row per task; the number of documents
+    and their average length are an ordinary aggregate."""
     from quire.session import materialize
 
-    spark = toks.sparkSession
-    per_doc = toks.select(F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit("")))).alias("term"),
-                          F.size("toks").alias("dl"))
-    wanted = vocab.select("term").unionByName(spark.range(1).select(F.lit("").alias("term")))
-    agg = (per_doc.join(wanted, "term", "left_semi")
-           .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("sum_dl")))
-    agg = materialize(agg, "term_stats")
-    total = agg.filter(F.col("term") == "").first()
-    n_docs = float(total["df"]) if total else 0.0
-    avgdl = float(total["sum_dl"]) / n_docs if total and n_docs else 0.0
-    return agg.filter(F.col("term") != "").select("term", "df"), n_docs, avgdl
+    toks = materialize(keyword_terms(docs, doc_id, text, item_type), "terms")
+    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, total = toks.agg(F.count(F.lit(1)), F.sum(F.size("toks"))).first()
+    return KeywordIndex(toks, materialize(df, "term-frequencies"), float(n), float(total or 0) / n if n else 0.0)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str,
+def bm25(queries: DataFrame, docs: DataFrame | KeywordIndex, k: int, query_id: str, query_text: str,
          doc_id: str, doc_text: str, k1: float = BM25_K1, b: float = BM25_B,
          query_filter: str | None = None, item_type: str | None = None, **kw) -> DataFrame:
     """Exact BM25 top-k.
 
-    Terms are ``[\\p{L}\\p{N}']+`` of the lower-cased text; each distinct query
-    term counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). The corpus is
-    tokenised twice: once for the term statistics, once while scoring.
+    Terms are ``[\\p{L}\\p{N}']+`` of the lower-cased text; each distinct query term
+    counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``docs`` is the corpus, or
+    its :func:`keyword_index`, which many batches can share.
     """
-    toks = keyword_terms(docs, doc_id, doc_text, item_type)
+    index = docs if isinstance(docs, KeywordIndex) else keyword_index(docs, doc_id, doc_text, item_type)
     qterms = queries.select(F.col(query_id), *_opt(query_filter, FILTER_COL),
                             F.explode(F.array_distinct(terms(query_text))).alias("term"))
-    df_t, n_docs, avgdl = term_statistics(toks, qterms.select("term").distinct())
-    idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # df_t has one row per query term, bounded by the query side.
-    qw = qterms.join(df_t, "term").select(query_id, "term", idf.alias("idf"),
-                                          *([FILTER_COL] if query_filter else []))
-    return cell_top_k(toks, qw, bm25_scorer(k, k1, b, avgdl if avgdl > 0 else 1.0), k, doc_id, query_id, **kw)
+    idf = F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    qw = qterms.join(index.df, "term").select(query_id, "term", idf.alias("idf"),
+                                              *([FILTER_COL] if query_filter else []))
+    return cell_top_k(index.toks, qw, bm25_scorer(k, k1, b, index.avgdl if index.avgdl > 0 else 1.0), k, doc_id,
+                      query_id, **kw)
 
 
 def rrf(lists: list[DataFrame], k: int, c: int = RRF_K) -> DataFrame:
@@ -274,19 +272,18 @@ def mmr(cands: DataFrame, top_k: int = TOP_K, lam: float = MMR_LAMBDA, text_col:
 # attach chunk fields to hits (J7) and normalise score names (M3)
 # ---------------------------------------------------------------------------
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows (checked with a
-    limited count), else ``df`` unchanged for a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_bytes: int) -> DataFrame:
+    """``broadcast(df)`` when all of it, measured first, has at most ``max_bytes``; else
+    ``df`` unchanged for a shuffle join."""
+    return F.broadcast(df) if measured_size(df)[1] <= max_bytes else df
 
 
 def attach(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id",
-           cols=("chunk_text", "source_file", "page_number"), max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Hits (qid, iid, ...) + chunk fields. The hit list is small
-    (queries x k): broadcast it after a size check so the chunk table is
-    streamed, not shuffled."""
-    h = bounded_broadcast(hits, max_broadcast_rows)
+           cols=("chunk_text", "source_file", "page_number"), max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Hits (qid, iid, ...) + chunk fields. The hit list (queries x k) is broadcast
+    within a measured bound, so the chunk table is streamed; beyond it both sides are
+    shuffled on the chunk id."""
+    h = bounded_broadcast(hits, max_broadcast_bytes)
     c = chunks.select(F.col(chunk_id).alias("iid"), *cols)
     return c.join(h, "iid")
 

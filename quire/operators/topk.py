@@ -8,13 +8,15 @@ id, so no block is hot whatever the key distribution.
 
 Two ways to meet queries with item blocks:
 
-* ``broadcast`` - the query side is shipped to every task once, after its
-  rows and bytes are measured on a bounded sample and found within the
-  bound; items are scored where they are read (``mapInPandas``), so the
+* ``broadcast`` - the query side is shipped to every task once, after the
+  rows and bytes of all of it are measured and found within the bound; items are scored where they are read (``mapInPandas``), so the
   corpus is never shuffled.
 * ``grid`` - queries are hash-split into QB blocks and items into CB blocks;
-  each (qb, cb) cell is a cogroup group. Items are replicated QB times and
-  queries CB times. Used when the query side is beyond the broadcast bound.
+  each (qb, cb) cell is a cogroup group of at most about ``GRID_ITEMS`` items.
+  Items are replicated QB times and queries CB times.
+
+``mode`` names the way: ``broadcast`` (an error beyond the bound), ``grid``, or
+``auto`` (broadcast within the bound, else grid). Both give the same rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 DEFAULT_BROADCAST_ROWS = 200_000
 DEFAULT_BROADCAST_BYTES = 256 << 20
+GRID_ITEMS = 20_000     # items in a grid cell
 
 
 def top_k_frame(scored: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -54,19 +57,19 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _bounded_collect(df: DataFrame, max_rows: int, max_bytes: int, sample_rows: int = 1024):
-    """The whole of ``df`` as pandas if it fits ``max_rows`` and ``max_bytes``,
-    else None. A first bounded sample measures the row width, so at most
-    about ``max_bytes`` ever reach the driver, whatever the size of ``df``."""
-    sample = df.limit(sample_rows).toArrow()
-    if sample.num_rows < sample_rows:
-        return sample.to_pandas() if sample.nbytes <= max_bytes else None
-    row_bytes = max(sample.nbytes / max(sample.num_rows, 1), 1.0)
-    cap = int(min(max_rows, max_bytes // row_bytes))
-    if cap < sample_rows:
-        return None
-    tbl = df.limit(cap + 1).toArrow()
-    return tbl.to_pandas() if tbl.num_rows <= cap else None
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of the whole of ``df``, by one aggregate: the JSON length of every
+    row, which is above its binary size for numbers and about it for text."""
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n, total
+
+
+def _bounded_collect(df: DataFrame, max_rows: int, max_bytes: int):
+    """The whole of ``df`` as pandas if all its rows and bytes, measured first, fit the
+    bounds; else None and nothing reaches the driver."""
+    n, total = measured_size(df)
+    return df.toArrow().to_pandas() if n <= max_rows and total <= max_bytes else None
 
 
 def _query_blocks(qpdf: pd.DataFrame, block_rows: int) -> list[pd.DataFrame]:
@@ -80,17 +83,17 @@ def _query_blocks(qpdf: pd.DataFrame, block_rows: int) -> list[pd.DataFrame]:
 
 
 def _score_items(ipdf: pd.DataFrame, qblocks: list[pd.DataFrame], scorer, k: int,
-                 batch_rows: int, best: pd.DataFrame | None) -> pd.DataFrame | None:
-    """Fold one item frame into the running per-query top-k. A scorer with a
-    ``prepare`` step builds its per-batch item state once for all blocks."""
+                 batch_rows: int, best: dict[int, pd.DataFrame]) -> dict[int, pd.DataFrame]:
+    """Fold one item frame into the running top-k of each query block. A scorer with
+    a ``prepare`` step builds its per-batch item state once for all blocks."""
     for start in range(0, len(ipdf), batch_rows):
         chunk = ipdf.iloc[start:start + batch_rows].reset_index(drop=True)
         state = scorer.prepare(chunk, qblocks) if hasattr(scorer, "prepare") else chunk
-        for qb in qblocks:
+        for n, qb in enumerate(qblocks):
             part = top_k_frame(scorer(state, qb), k)
             if part.empty:
                 continue
-            best = part if best is None else top_k_frame(pd.concat([best, part], ignore_index=True), k)
+            best[n] = top_k_frame(pd.concat([best[n], part], ignore_index=True), k) if n in best else part
     return best
 
 
@@ -114,7 +117,6 @@ def cell_top_k(items: DataFrame, queries: DataFrame, scorer: Scorer, k: int,
     items = items.withColumnRenamed(item_id, "iid")
     queries = queries.withColumnRenamed(query_id, "qid")
 
-    n_q = None
     qpdf = None
     if mode in ("auto", "broadcast"):
         qpdf = _bounded_collect(queries, broadcast_rows, broadcast_bytes)
@@ -127,19 +129,17 @@ def cell_top_k(items: DataFrame, queries: DataFrame, scorer: Scorer, k: int,
 
         def per_partition(batches):
             qblocks = bq.value
-            best = None
+            best: dict[int, pd.DataFrame] = {}
             for b in batches:
                 best = _score_items(b, qblocks, scorer, k, batch_rows, best)
-            if best is not None and not best.empty:
-                yield best[["qid", "iid", "score"]]
+            for found in best.values():
+                yield found[["qid", "iid", "score"]]
 
         return _merge(items.mapInPandas(per_partition, schema), k)
 
     # grid: hash-split both sides into blocks and cogroup cell by cell
-    if n_q is None:
-        n_q = queries.count()
-    qb = max(1, math.ceil(n_q / max(query_block_rows * 8, 1)))
-    cb = item_blocks or max(1, items.rdd.getNumPartitions())
+    qb = max(1, math.ceil(queries.count() / max(query_block_rows * 8, 1)))
+    cb = item_blocks or max(1, math.ceil(items.count() / GRID_ITEMS))
     q_rep = (queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
              .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
     i_rep = (items.withColumn("_cb", F.pmod(F.xxhash64("iid"), F.lit(cb)).cast("int"))
@@ -157,13 +157,13 @@ def keyed_partial_top_k(items: DataFrame, queries: DataFrame, keys: list[str], s
     every group is bounded."""
 
     def per_cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        best = None
+        best: dict[int, pd.DataFrame] = {}
         if not ipdf.empty and not qpdf.empty:
-            best = _score_items(ipdf, _query_blocks(qpdf, query_block_rows), scorer, k, batch_rows, None)
-        if best is None or best.empty:
+            best = _score_items(ipdf, _query_blocks(qpdf, query_block_rows), scorer, k, batch_rows, best)
+        if not best:
             return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
                                  "score": pd.Series([], dtype="float64")})
-        return best[["qid", "iid", "score"]]
+        return pd.concat(list(best.values()), ignore_index=True)[["qid", "iid", "score"]]
 
     return (items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(per_cell, schema))
 

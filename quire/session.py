@@ -62,9 +62,24 @@ def materialize(df, label: str):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
 
 
+_written: list[str] = []
+
+
+def drop_tables(spark) -> int:
+    """Remove the tables that :func:`materialize` wrote since the last call. Frames that
+    read them can't be used any more, so call it when a query's result is stored."""
+    fs, n = None, 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        n += fs.delete(path, True)
+    return n
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``quire`` importable in every Python worker (the ``--py-files``
     step): zip the package once per SparkContext and ``addPyFile`` it."""
