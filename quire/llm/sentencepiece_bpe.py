@@ -264,7 +264,7 @@ def token_digests(model: Model):
         c = coder(model)
         ends = [np.array([i], "<u4").tobytes() for i in (model.begin, model.end)]
         for batch in batches:
-            for first, data, offsets in W.string_blocks(batch.column(1)):
+            for first, data, offsets in W.string_blocks(batch.column(1), 2 * W.BLOCK_BYTES):
                 if len(data):
                     ids, at = c.encode_block(data, offsets)
                     raw, raw_ends = c.decode_bytes(ids)

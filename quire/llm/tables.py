@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from quire.session import checkpoint_dir, materialize, ship_package
 
-__all__ = ["checkpoint_dir", "materialize", "read", "write_once"]
+__all__ = ["bounded_sample", "checkpoint_dir", "materialize", "read", "write_once"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +20,18 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     lineage; survives lost executors)."""
     ship_package(df.sparkSession)
     return materialize(df, label)
+
+
+def bounded_sample(rows: DataFrame, n: int) -> list[Row]:
+    """At most ``n`` distinct rows, those of the smallest hash, in a fixed order.
+
+    The rows are counted first and filtered by a hash bound that about ``n`` of them
+    pass, so what reaches the driver does not grow with the rows or with the tasks (a
+    sorted limit would send ``n`` rows from each task)."""
+    total = rows.count()
+    key = F.xxhash64(*rows.columns)
+    if total > 1.2 * n:     # some rows may be equal
+        rows = rows.where(key < F.lit(int(-(1 << 63) + 1.2 * n / total * (1 << 64))))
+    got = rows.distinct().withColumn("_key", key).collect()
+    got.sort(key=lambda r: (r["_key"], [str(x) for x in r]))
+    return got[:n]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 # Separator bytes of the word pattern [^\x20\x09-\x0D]+ ; every byte of a
 # multi-byte character is a word byte.
@@ -64,8 +64,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of ``values[s:e]`` (uint64) for each pair of starts and ends."""
     up, down = _power_tables(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:len(values)], out=sums[1:])
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.multiply(values, up[:len(values)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
