@@ -355,10 +355,11 @@ def q_preview(spark, sf_dir):
 def q_extract_pages(spark, sf_dir):
     """The per-file extractor chain (Python plug-ins inside tasks) over
     every page's bytes; failures would be rows with ``error`` set."""
-    p = table(spark, sf_dir, "pages").select(F.col("url").alias("source_file"),
-                                             F.col("html").cast("binary").alias("content"))
-    pages = pg.extract_pages(p, [("html", pg.html_extractor), ("text", pg.text_extractor)])
-    return pages.select("source_file", "page_number", F.length("page_text").alias("n_chars"), "extractor", "error")
+    p = pages_table(spark, sf_dir).select(F.col("url").alias("source_file"), F.col("html").cast("binary").alias("content"))
+    broken = spark.createDataFrame([("broken.bin", b"\xff\xfe\xfa"), ("two pages.txt", b"one\ftwo")],
+                                   "source_file string, content binary")
+    pages = pg.extract_pages(p.unionByName(broken), [("html", pg.html_only), ("text", pg.text_extractor)])
+    return pages.select("source_file", "page_number", "page_text", "extractor", F.col("error").isNotNull().alias("failed"))
 
 
 def q_translation_messages(spark, sf_dir):

@@ -817,3 +817,22 @@ FROM exact e LEFT JOIN lsh l USING (query_vec_id, vec_id)
 """
 
 ORACLE.update({"knn_lsh": KNN_LSH, "lsh_recall": LSH_RECALL})
+
+
+# ---------------------------------------------------------------------------
+# Pages through the extractor chain, line by line; a file that no extractor reads
+# is a row without text
+# ---------------------------------------------------------------------------
+
+_EXTRACTED = f"replace(replace({html_lines('html')}, '&copy;', '©'), '&middot;', '·')"
+_EXTRACTED_LINES = (f"array_to_string(list_filter(list_transform(string_split({_EXTRACTED}, chr(10)), lambda x: {clean('x')}), "
+                    f"lambda x: x <> ''), chr(10))")
+EXTRACT_PAGES = f"""
+SELECT url AS source_file, CAST(1 AS INTEGER) AS page_number, {_EXTRACTED_LINES} AS page_text, 'html' AS extractor,
+       false AS failed
+FROM {PAGES_ALL} AS pages
+UNION ALL SELECT * FROM (VALUES ('broken.bin', NULL, NULL, NULL, true), ('two pages.txt', 1, 'one', 'text', false),
+                                ('two pages.txt', 2, 'two', 'text', false))
+"""
+
+ORACLE["extract_pages"] = EXTRACT_PAGES

@@ -109,6 +109,11 @@ def html_extractor(content: bytes, name: str) -> list[str]:
     return ["\n".join(x for x in lines if x)]
 
 
+def html_only(content: bytes, name: str) -> list[str]:
+    """:func:`html_extractor` for content that has a tag; others are not its kind."""
+    return html_extractor(content, name) if b"<" in content and b">" in content else []
+
+
 def text_extractor(content: bytes, name: str) -> list[str]:
     """Plain text; form feeds separate pages."""
     return content.decode("utf-8").split("\f")
