@@ -145,7 +145,7 @@ def drop_noise_lines(c, sep: str = "\n", keywords=NOISE_KEYWORDS) -> Column:
 
 
 def _all_labels_alt(field_labels=FIELD_LABELS) -> str:
-    labels = sorted({lab for labs in field_labels.values() for lab in labs}, key=len, reverse=True)
+    labels = sorted({lab for labs in field_labels.values() for lab in labs}, key=lambda x: (-len(x), x))
     return "|".join(lab.replace(" ", r"\s+") for lab in labels)
 
 

@@ -8,9 +8,9 @@ repeated-symbol step runs once per ASCII symbol.
 from __future__ import annotations
 
 from quire.plans import fixtures as fx
-from quire.functions.language import LANGUAGE_NAMES, SCRIPT_RANGES
-from quire.functions.text import BOILERPLATE_RE, NON_WS, RED_FLAG_PATTERNS, WS
-from quire.operators.rules import DEFAULT_RULE, RULES
+from quire.plans.oracle_values import (BOILERPLATE_RE, DEFAULT_RULE, FIELD_LABELS, LABELS_ALT, LANGUAGE_NAMES, LINE_BREAK,
+                                       NOISE_KEYWORDS, NON_WS, PROMPT_TAIL, RED_FLAG_PATTERNS, RULES, SCRIPT_RANGES,
+                                       TRANSLATE_SYSTEM, WS, WS_CHARS)
 
 
 def _q(s: str) -> str:
@@ -425,8 +425,6 @@ ORACLE.update({
 })
 
 
-from quire.operators.answer import PROMPT_TAIL  # noqa: E402
-
 PROMPTS = f"""
 WITH {_chunks_cte()},
 {bm25_ctes(5)},
@@ -614,10 +612,6 @@ ORACLE["retrieve"] = retrieve_sql()
 # T5 structured page text (staged CTEs: useful lines -> T2 -> fields -> parts)
 # ---------------------------------------------------------------------------
 
-from quire.functions.text import FIELD_LABELS, LINE_BREAK, NOISE_KEYWORDS, WS_CHARS  # noqa: E402
-from quire.functions.text import _all_labels_alt  # noqa: E402
-
-
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, {_q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
 
@@ -630,7 +624,7 @@ def _noise(ln: str) -> str:
 
 
 def _field(x: str, labels) -> str:
-    stop = f"(?i){WS}+\\b(?:{_all_labels_alt()})\\b{WS}*[:\\-].*$"
+    stop = f"(?i){WS}+\\b(?:{LABELS_ALT})\\b{WS}*[:\\-].*$"
     picks = []
     for lab in labels:
         pat = f"(?i)\\b{lab.replace(' ', WS + '+')}\\b{WS}*[:\\-]{WS}*(.*)$"
@@ -675,8 +669,6 @@ SELECT * FROM tx WHERE length(trim(raw_text)) > 0
 ORACLE["page_structured"] = PAGE_STRUCTURED
 
 
-from quire.functions.language import TRANSLATE_SYSTEM  # noqa: E402
-
 _SYS_HEAD, _rest = TRANSLATE_SYSTEM.split("{src}")
 _SYS_MID, _SYS_TAIL = _rest.split("{dst}")
 TRANSLATION_MESSAGES = f"""
