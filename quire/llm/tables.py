@@ -25,12 +25,13 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
 def bounded_sample(rows: DataFrame, n: int) -> list[Row]:
     """At most ``n`` distinct rows, those of the smallest hash, in a fixed order.
 
-    The rows are counted first and filtered by a hash bound that about ``n`` of them
-    pass, so what reaches the driver does not grow with the rows or with the tasks (a
-    sorted limit would send ``n`` rows from each task)."""
-    total = rows.count()
+    The distinct rows are counted first (by their hashes, so that only those are
+    shuffled) and filtered by a hash bound that about ``n`` of them pass. What reaches
+    the driver does not grow with the rows or with the tasks (a sorted limit would send
+    ``n`` rows from each task), and copies of a row change nothing."""
     key = F.xxhash64(*rows.columns)
-    if total > 1.2 * n:     # some rows may be equal
+    total = rows.select(key.alias("_key")).distinct().count()
+    if total > 1.2 * n:
         rows = rows.where(key < F.lit(int(-(1 << 63) + 1.2 * n / total * (1 << 64))))
     got = rows.distinct().withColumn("_key", key).collect()
     got.sort(key=lambda r: (r["_key"], [str(x) for x in r]))
