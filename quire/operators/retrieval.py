@@ -23,6 +23,8 @@ from quire.operators.topk import FILTER_COL, TYPE_COL, _merge, _out_schema, bm25
 BM25_K1, BM25_B = 1.2, 0.75
 RRF_K = 60
 TOP_K, FETCH_K, MMR_LAMBDA = 5, 20, 0.5
+# LSH: least and most tables, expected recall, queries whose neighbours are measured.
+LSH_TABLES, LSH_MAX_TABLES, LSH_RECALL, LSH_SAMPLE = 24, 128, 0.92, 128
 
 
 def fetch_k_for(top_k: int) -> int:
@@ -59,6 +61,28 @@ def lsh_bits(n_items: int, target_bucket: int) -> int:
     return max(1, math.floor(math.log2(max(n_items, 1) / target_bucket) + 0.5))
 
 
+def collision(p: np.ndarray, bits: int, flips: bool) -> np.ndarray:
+    """Chance that two vectors which share each sign with chance ``p`` meet in a table."""
+    return p ** bits + (bits * p ** (bits - 1) * (1 - p) if flips else 0)
+
+
+def lsh_shape(cosines: np.ndarray, n_items: int, target_bucket: int, flips: bool = True) -> tuple[int, int]:
+    """(tables, bits) so that pairs of these cosines are found with a mean chance of
+    LSH_RECALL: the bits of :func:`lsh_bits`, or as many fewer as it takes to need at
+    most LSH_MAX_TABLES tables; never fewer than LSH_TABLES."""
+    most = lsh_bits(n_items, target_bucket)
+    c = cosines[np.isfinite(cosines)]
+    if not len(c):
+        return LSH_TABLES, most
+    p = 1 - np.arccos(np.clip(c, -1, 1)) / np.pi
+    for bits in range(most, 0, -1):
+        missed = 1 - collision(p, bits, flips)
+        for tables in range(LSH_TABLES, LSH_MAX_TABLES + 1):
+            if 1 - (missed ** tables).mean() >= LSH_RECALL:
+                return tables, bits
+    return LSH_MAX_TABLES, 1
+
+
 def _lists(col) -> np.ndarray:
     """An Arrow list column of equal lengths as a matrix of doubles."""
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -86,13 +110,23 @@ def lsh_buckets(df: DataFrame, id_col: str, vec: str, alias: str, planes: np.nda
 
 
 def lsh_pairs(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, qvec: str = "qvec",
-              vec: str = "embedding", tables: int = 24, target_bucket: int = 8, exclude_self: bool = False,
-              probe_flips: bool = True) -> DataFrame:
+              vec: str = "embedding", tables: int | None = None, target_bucket: int = 8, exclude_self: bool = False,
+              probe_flips: bool = True, k: int = 5) -> DataFrame:
     """J2 candidates: distinct (qid, iid) that share a bucket in some table. Only bucket
     numbers and ids are joined, never vectors; a hot bucket is a skewed join key, which
-    adaptive execution splits."""
-    dim = len(items.select(vec).first()[0])
-    planes = lsh_planes(dim, tables, lsh_bits(items.count(), target_bucket))
+    adaptive execution splits. Without ``tables``, tables and bits follow from the
+    measured cosines of the exact ``k`` nearest of about LSH_SAMPLE queries."""
+    dim, n_items = len(items.select(vec).first()[0]), items.count()
+    if tables is None:
+        few, n = queries.where(F.size(qvec) == dim), queries.count()
+        if n > LSH_SAMPLE:
+            few = few.where(F.xxhash64(query_id) < F.lit(LSH_SAMPLE * (1 << 64) // n - (1 << 63)))
+        near = knn(few, items.where(F.size(vec) == dim), k, query_id, item_id, qvec, vec, exclude_self=exclude_self)
+        cosines = np.array([r.score for r in near.select("score").collect()], float)    # about k * LSH_SAMPLE rows
+        tables, bits = lsh_shape(cosines, n_items, target_bucket, probe_flips)
+    else:
+        bits = lsh_bits(n_items, target_bucket)
+    planes = lsh_planes(dim, tables, bits)
     index = lsh_buckets(items, item_id, vec, "iid", planes, False)
     probes = lsh_buckets(queries, query_id, qvec, "qid", planes, probe_flips)
     pairs = probes.join(index, ["t", "b"]).select("qid", "iid")
@@ -125,7 +159,7 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id
             vec: str = "embedding", **how) -> DataFrame:
     """Approximate top-k by cosine: candidates of :func:`lsh_pairs` (``how`` goes
     there), each scored exactly once."""
-    pairs = lsh_pairs(queries, items, query_id, item_id, qvec, vec, **how)
+    pairs = lsh_pairs(queries, items, query_id, item_id, qvec, vec, k=k, **how)
     return _merge(score_pairs(pairs, queries, items, query_id, item_id, qvec, vec), k)
 
 

@@ -115,3 +115,27 @@ def test_lsh_recall_and_shape(spark):
 def test_lsh_bits_grow_with_the_items():
     assert [rt.lsh_bits(n, 8) for n in (0, 8, 500, 2000, 10**9)] == [1, 1, 6, 8, 27]
     assert (rt.lsh_planes(64, 2, 3) == rt.lsh_planes(64, 3, 5)[:2, :3]).all()
+
+
+def test_lsh_recall_holds_as_items_grow(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(20000, 64)).round(4)
+    e = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    for n in (2000, 20000):
+        items = e.where(F.col("vec_id") < n)
+        q = items.where("vec_id < 60").select("vec_id", F.col("embedding").alias("qvec"))
+        approx = rt.knn_lsh(q, items, 5, "vec_id", "vec_id", exclude_self=True)
+        exact = rt.knn(q, items, 5, "vec_id", "vec_id", exclude_self=True)
+        assert rt.recall_at_k(approx, exact).first()["recall"] >= 0.9
+
+
+def test_lsh_shape_follows_the_collision_rate():
+    import numpy as np
+    for cosine in (0.3, 0.6, 0.9):
+        for n in (500, 20000, 2 * 10**6, 10**9):
+            tables, bits = rt.lsh_shape(np.full(10, cosine), n, 8)
+            p = 1 - np.arccos(cosine) / np.pi
+            assert rt.LSH_TABLES <= tables <= rt.LSH_MAX_TABLES and bits <= rt.lsh_bits(n, 8)
+            assert 1 - (1 - rt.collision(p, bits, True)) ** tables >= 0.92
+    assert rt.lsh_shape(np.full(10, 0.3), 500, 8) == (24, 6)
