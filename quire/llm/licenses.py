@@ -6,6 +6,10 @@ whole, and hash-joined to the digests of known licences. The units looked up are
 each whole document and each of its whole lines, so a notice that stands on a
 line of its own is found too. Nothing is matched by prefix or by parts.
 
+The known licences are the notices below and the whole texts in ``license_texts``,
+each as published and with every paragraph on one line, with and without its title and
+what follows its terms.
+
 Defined results: null or empty texts, or texts of nothing but copyright lines and
 punctuation, match nothing; a licence named by several lines is listed once;
 repeated rows give a row each; an empty table gives an empty result.
@@ -13,6 +17,9 @@ repeated rows give a row each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +48,18 @@ EQUIVALENT = [
     ("organisation", "organization"), ("favour", "favor"), ("fulfil ", "fulfill "), ("per cent", "percent"),
     ("http://", "https://"),
 ]
-COPYRIGHT_LINE = "(?md)^[^a-z0-9\\n]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+# The whole texts in ``license_texts``; two wordings of one licence.
+TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause-UC", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC",
+         "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+SAME = {"BSD-3-Clause-UC": "BSD-3-Clause"}
+# A copyright statement: the word with a symbol, year or holder behind it. Words of prose
+# behind it (a line of a wrapped text may begin with "copyright notice and") and items "(c)"
+# of a list are no statement.
+COPYRIGHT_LINE = (
+    "(?md)^[^a-z0-9\\n]*(?:copyright(?![a-z-])(?![ \\t]*[.,;)]|[ \\t]+(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?"
+    "|interests?|and|or|in|is|on|of|to|for|that|which|disclaimers?|statements?|doctrines?|treat(?:y|ies)|protection"
+    "|permission|patents?|line|terms?|the[ \\t]+(?:software|library|program))(?![a-z]))"
+    "|\\(c\\)[^a-z0-9\\n]*(?:copyright|[0-9]{4}|year)|©|all rights reserved)[^\\n]*$")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,9 +72,35 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
+def unwrapped(text: str) -> str:
+    """``text`` with every paragraph on one line."""
+    return "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text.strip()))
+
+
+def variants(text: str) -> list[str]:
+    """A text as published and unwrapped, with and without a title above its copyright
+    statement and what follows its terms."""
+    out = {text}
+    end = re.search(r"END OF TERMS AND CONDITIONS", text)
+    if end:
+        out.add(text[:end.end()])
+    title = re.match(r"(?:MIT|ISC|BSD [23]-Clause) License\n", text)
+    if title:
+        out.add(text[title.end():])
+    return sorted(out | {unwrapped(t) for t in out})
+
+
+def license_text(name: str) -> str:
+    """One of TEXTS, as published."""
+    return pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license_id, digest) of known texts; a fixed list of a few rows."""
-    rows = spark.createDataFrame(sorted((texts or KNOWN).items()), "license_id string, text string")
+    rows = sorted((texts or KNOWN).items())
+    if texts is None:
+        rows += [(SAME.get(name, name), t) for name in TEXTS for t in variants(license_text(name))]
+    rows = spark.createDataFrame(rows, "license_id string, text string")
     return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
 
 
