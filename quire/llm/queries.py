@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.llm import alignment
 from quire.llm import decontaminate as dec
 from quire.llm import jaccard, licenses, main_text, mixing, pii, quality, repeats, secret_scan
 from quire.llm import sentencepiece_bpe as spb
@@ -55,6 +56,11 @@ def op10_remove_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op13_align_tokens(spark, sf_dir, a_path: str | None = None, b_path: str | None = None):
+    return alignment.align_tokens(read(spark, sf_dir, "documents"), a_path or tokenizer_path("byte_bpe_50k.json"),
+                                  b_path or tokenizer_path())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_host_quality, op2_ngram_jaccard, op3_main_text, op4_secret_scan, op5_pii_scan, op6_sentencepiece, op7_lm_score,
-    op8_decontaminate, op9_license_scan, op10_remove_repeats)}
+    op8_decontaminate, op9_license_scan, op10_remove_repeats, op13_align_tokens)}
