@@ -111,5 +111,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM s),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+q AS (SELECT b, item_id, t, count(*)::BIGINT AS times FROM (
+        SELECT row_number() OVER () AS b, item_id,
+          unnest([x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']) AS t FROM benchmark) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY t, big_n),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * n * big_n) // big_l AS m FROM s, c),
+sc AS (SELECT b, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+       FROM q JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score,
+        row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
 ORACLE = {"op1_host_quality": OP1, "op2_ngram_jaccard": OP2, "op8_decontaminate": OP8, "op9_license_scan": OP9,
-          "op10_remove_repeats": OP10}
+          "op10_remove_repeats": OP10, "op11_ranked_search": OP11}

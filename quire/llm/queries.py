@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quire.llm import alignment
 from quire.llm import decontaminate as dec
-from quire.llm import jaccard, language_id, licenses, main_text, mixing, pii, quality, repeats, secret_scan
+from quire.llm import jaccard, language_id, lexical_search, licenses, main_text, mixing, pii, quality, repeats, secret_scan
 from quire.llm import sentencepiece_bpe as spb
 from quire.llm.oracle import ORACLE
 from quire.llm.tables import read
@@ -56,6 +56,10 @@ def op10_remove_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return lexical_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_language_id(spark, sf_dir):
     return language_id.identify_language(read(spark, sf_dir, "documents"))
 
@@ -67,4 +71,5 @@ def op13_align_tokens(spark, sf_dir, a_path: str | None = None, b_path: str | No
 
 QUERIES = {f.__name__: f for f in (
     op1_host_quality, op2_ngram_jaccard, op3_main_text, op4_secret_scan, op5_pii_scan, op6_sentencepiece, op7_lm_score,
-    op8_decontaminate, op9_license_scan, op10_remove_repeats, op12_language_id, op13_align_tokens)}
+    op8_decontaminate, op9_license_scan, op10_remove_repeats, op11_ranked_search, op12_language_id,
+    op13_align_tokens)}
