@@ -139,20 +139,26 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
                       bad.alias("host_bad"))
 
 
-
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source",
               max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with their own columns.
 
-    Each row is judged where it stands: no key is assumed. Only the bad hosts
-    are joined to the texts; Spark broadcasts them while they are below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it.
+    Each row is judged where it stands: no key is assumed. Every text is measured once:
+    the rows that pass the base rules are written with their verdicts, of the others
+    only the host. Only the bad hosts are joined to the texts; Spark broadcasts them
+    while they are below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(host).alias("host"), measures(F.col(text)).alias("m"))
-    m = {k: F.col(f"m.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    failed = rows.select("host", base_failed(m).alias("base_failed"))
-    bad = write_once(host_verdicts(failed, max_rate=max_rate).where("host_bad").select("host", "host_bad"),
+    names = [f"c{i}" for i in range(len(docs.columns))]        # whatever the own names are
+    renamed = docs.toDF(*names)
+    text, host = (F.col(names[docs.columns.index(c)]) for c in (text, host))
+    m = {k: F.col("m")[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    judged = renamed.withColumn("m", measures(text)).select(
+        *names, host.alias("host"), base_failed(m).alias("base_failed"), strict_failed(m).alias("strict_failed"))
+    judged = judged.select("host", "base_failed", "strict_failed",
+                           *[F.when(~F.col("base_failed"), F.col(c)).alias(c) for c in names])
+    judged = write_once(judged, "quality-judged")
+    bad = write_once(host_verdicts(judged, max_rate=max_rate).where("host_bad").select("host", "host_bad"),
                      "quality-bad-hosts")
-    kept = rows.where(~base_failed(m)).join(bad, "host", "left")
-    return kept.where(~(F.coalesce(F.col("host_bad"), F.lit(False)) & strict_failed(m))).select("row.*")
+    kept = judged.where(~F.col("base_failed")).join(bad, "host", "left")
+    kept = kept.where(~(F.coalesce(F.col("host_bad"), F.lit(False)) & F.col("strict_failed")))
+    return kept.select(*names).toDF(*docs.columns)

@@ -11,8 +11,9 @@ the two pieces' text alone and remembered.
 *Segments.* No piece holds a space mark after another character, nor a newline or
 tab, so merges never cross these places. Texts are cut there with numpy, equal
 segments of a block are encoded once (:mod:`quire.llm.words` hashes them), and ids
-are gathered back by position. Segments and pair tests are remembered per Python
-worker up to a fixed number of entries, then forgotten; this only saves time.
+are gathered back by position. Segments are remembered within a task and pair tests
+per Python worker, up to a fixed number of entries; this only saves time, and an idle
+worker holds no segment.
 
 Only models that these rules hold for are accepted (identity normaliser, dummy
 prefix, byte fallback, no piece that crosses a cut): :class:`Model` checks them.
@@ -36,8 +37,8 @@ from quire.llm import words as W
 from quire.session import ship_package
 
 MARK = "▁"
-REMEMBER = 400_000          # segments, twice
-REMEMBER_PAIRS = 1_000_000
+REMEMBER = 150_000          # segments, twice
+REMEMBER_PAIRS = 200_000
 CUTS = b"\n\t"
 _EVER = float("inf")
 
@@ -142,6 +143,10 @@ class Coder:
             else:
                 j += 1
 
+    def forget(self) -> None:
+        """Give the memory of segments back, at the end of a task."""
+        self.memory, self.older = {}, {}
+
     def _run(self, text: str) -> list[int]:
         """Ids of a text of known characters, by the prefix table."""
         many = len(self.model.pieces)
@@ -263,25 +268,28 @@ def token_digests(model: Model):
     def run(batches):
         c = coder(model)
         ends = [np.array([i], "<u4").tobytes() for i in (model.begin, model.end)]
-        for batch in batches:
-            for first, data, offsets in W.string_blocks(batch.column(1), 2 * W.BLOCK_BYTES):
-                if len(data):
-                    ids, at = c.encode_block(data, offsets)
-                    raw, raw_ends = c.decode_bytes(ids)
-                    raw_at = np.concatenate([[0], raw_ends])[at]
-                else:
-                    ids, raw = np.zeros(0, "<u4"), np.zeros(0, np.uint8)
-                    at = raw_at = np.zeros(len(offsets), np.int64)
-                n, coded, decoded = [], [], []
-                for j in range(len(offsets) - 1):
-                    own = ids[at[j]:at[j + 1]]
-                    n.append(len(own) + 2)
-                    coded.append(hashlib.sha256(ends[0] + own.tobytes() + ends[1]).hexdigest())
-                    decoded.append(hashlib.sha256(
-                        _plain(raw[raw_at[j]:raw_at[j + 1]].tobytes()).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                for first, data, offsets in W.string_blocks(batch.column(1), 2 * W.BLOCK_BYTES):
+                    if len(data):
+                        ids, at = c.encode_block(data, offsets)
+                        raw, raw_ends = c.decode_bytes(ids)
+                        raw_at = np.concatenate([[0], raw_ends])[at]
+                    else:
+                        ids, raw = np.zeros(0, "<u4"), np.zeros(0, np.uint8)
+                        at = raw_at = np.zeros(len(offsets), np.int64)
+                    n, coded, decoded = [], [], []
+                    for j in range(len(offsets) - 1):
+                        own = ids[at[j]:at[j + 1]]
+                        n.append(len(own) + 2)
+                        coded.append(hashlib.sha256(ends[0] + own.tobytes() + ends[1]).hexdigest())
+                        decoded.append(hashlib.sha256(
+                            _plain(raw[raw_at[j]:raw_at[j + 1]].tobytes()).encode()).hexdigest())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            c.forget()
     return run
 
 
