@@ -33,9 +33,11 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import words as W
 from quire.llm.mixing import _least_count
 from quire.llm.sentencepiece_bpe import MARK, _gather
 from quire.llm.tables import write_once
@@ -44,6 +46,7 @@ from quire.session import ship_package
 PIECE = 256              # merge steps of a piece
 FREQUENT = 1 << 18       # id pairs that travel to the tasks
 BLOCK_BYTES = 1_500_000
+LOOK_UP = 500_000        # links that are looked up at once, and at least one text
 HELD_PAIRS = 1_000_000   # distinct pairs that a task holds before it emits their counts
 # Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -267,13 +270,10 @@ def align_texts(a: ByteLevel, b: Pieces, code: str, groups: bool):
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            size = np.cumsum([len(t) for t in texts])
-            start = 0
-            while start < len(texts):
-                stop = int(np.searchsorted(size, (size[start - 1] if start else 0) + BLOCK_BYTES, "right"))
-                stop = max(stop, start + 1)
-                x = Block(texts[start:stop], encode_a, encode_b, pool_a, pool_b)
+            for start, data, offsets in W.string_blocks(batch.column(1), BLOCK_BYTES):
+                whole, bounds = data.tobytes(), offsets.tolist()
+                stop = start + len(bounds) - 1
+                x = Block([whole[i:j].decode() for i, j in zip(bounds, bounds[1:])], encode_a, encode_b, pool_a, pool_b)
                 codes = x.a.ids[x.in_a] * many_b + x.b.ids[x.in_b]
                 links = codes.astype(code).tobytes()
                 width = np.dtype(code).itemsize
@@ -295,7 +295,6 @@ def align_texts(a: ByteLevel, b: Pieces, code: str, groups: bool):
                     if n_held > HELD_PAIRS:
                         yield counted(*held[0])
                         held, n_held = [], 0
-                start = stop
         if n_held:
             yield counted(*merged())
     return run
@@ -306,21 +305,25 @@ def look_up(known: np.ndarray, counts: np.ndarray, best: np.ndarray, code: str):
     the other links' pairs."""
     def run(batches):
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
             step = np.dtype(code).itemsize
-            n = np.array([len(x) // step for x in blobs], np.int64)
-            ends = np.append(0, np.cumsum(n))
-            codes = np.frombuffer(b"".join(blobs), code).astype(np.int64)
-            at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
-            hit = known[at] == codes if len(known) else np.zeros(len(codes), bool)
-            times = np.where(hit, counts[at], 0) if len(known) else np.zeros(len(codes), np.int64)
-            most = hit & best[at] if len(known) else hit
-            rare = np.append(0, np.cumsum(~hit))[ends]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(np.append(0, np.cumsum(most))[ends]).astype(np.int64)),
-                 pa.array(np.diff(np.append(0, np.cumsum(times))[ends])),
-                 pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(codes[~hit]))],
-                ["row", "n_best", "count_sum", "rare"])
+            size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            upto = np.append(0, np.cumsum(size))
+            lo = 0
+            while lo < len(size):
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + step * LOOK_UP, "right")) - 1)
+                codes = np.frombuffer(b"".join(batch.column(1).slice(lo, hi - lo).to_pylist()), code).astype(np.int64)
+                ends = (upto[lo:hi + 1] - upto[lo]) // step
+                at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
+                hit = known[at] == codes if len(known) else np.zeros(len(codes), bool)
+                times = np.where(hit, counts[at], 0) if len(known) else np.zeros(len(codes), np.int64)
+                most = hit & best[at] if len(known) else hit
+                rare = np.append(0, np.cumsum(~hit))[ends]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(np.append(0, np.cumsum(most))[ends]).astype(np.int64)),
+                     pa.array(np.diff(np.append(0, np.cumsum(times))[ends])),
+                     pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(codes[~hit]))],
+                    ["row", "n_best", "count_sum", "rare"])
+                lo = hi
     return run
 
 
