@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import word_array
+from quire.functions.text import let, word_array
 from quire.functions.vectors import terms
 from quire.operators.topk import FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k, cosine_scorer, measured_size
 
@@ -255,51 +255,73 @@ def mmr(cands: DataFrame, top_k: int = TOP_K, lam: float = MMR_LAMBDA, text_col:
     is the largest bag-of-words cosine with a candidate already taken; equal values
     keep the earlier candidate. With no more than top_k candidates the order stays.
 
-    All in the JVM: word counts join on (query, word) into cosines of candidate pairs,
-    and a fold over 1..top_k picks. A query has at most fetch_k candidates.
+    All in the JVM: word counts join on (query, word) into the dot products of candidate
+    pairs, which become one flat array of n * n cosines per query, so a cosine is one
+    array access. A fold over 1..top_k keeps, for each open candidate, its largest cosine
+    with a taken one: a pick costs n steps. A query has at most fetch_k candidates.
     """
     w = Window.partitionBy("qid").orderBy("rank", "iid")
     at = cands.withColumn("_i", F.row_number().over(w) - 1)
     words = at.select("qid", "_i", F.explode(word_array(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("_w"))
     counts = words.groupBy("qid", "_i", "_w").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     other = counts.select("qid", F.col("_i").alias("_j"), "_w", F.col("_n").alias("_m"))
-    dots = counts.join(other, ["qid", "_w"]).where("_i <= _j").groupBy("qid", "_i", "_j").agg(
+    dots = counts.join(other, ["qid", "_w"]).where("_i < _j").groupBy("qid", "_i", "_j").agg(
         F.sum(F.col("_n") * F.col("_m")).alias("_d"))
-    pairs = dots.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.struct(F.col("_i").alias("i"), F.col("_j").alias("j")), F.col("_d")))).alias("_dots"))
+    pairs = dots.groupBy("qid").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_j").alias("j"),
+                                                            F.col("_d").alias("d"))).alias("_pairs"))
+    norms = counts.groupBy("qid", "_i").agg(F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm"))
     k = F.max(top_k_col) if top_k_col else F.lit(top_k)
     score = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0))
-    groups = at.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_i", score.alias("s")))).alias("_s"),
-                                   k.cast("int").alias("_k"))
-    groups = groups.join(pairs, "qid", "left").withColumn("_r", F.transform("_s", lambda x: x.s))
+    groups = at.join(norms, ["qid", "_i"], "left").groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("_i", score.alias("s"), F.coalesce("_norm", F.lit(0.0)).alias("norm")))).alias("_s"),
+        k.cast("int").alias("_k"))
+    groups = groups.join(pairs, "qid", "left").select(
+        "qid", "_k", F.size("_s").alias("_n"), F.transform("_s", lambda x: x.s).alias("_r"),
+        F.transform("_s", lambda x: x.norm).alias("_norms"), "_pairs")
     best = F.array_max("_r")
     groups = groups.withColumn("_r", F.transform("_r", lambda x: F.when(best > 0, x / best).otherwise(x)))
+    n = F.col("_n")
+    kind = "struct<taken:array<int>,worst:array<double>>"
+
+    def fold(m):                                 # m.r: relevances, m.g: cosines, both evaluated once
+        def pick(state):
+            value = F.transform(state["worst"], lambda x, i: F.struct(
+                F.when(x.isNull(), F.lit(float("-inf"))).otherwise(lam * F.get(m.r, i) - (1.0 - lam) * x).alias("v"),
+                (-i).alias("at")))
+            return -F.array_max(value)["at"]
+
+        def take(b):
+            row = b.p * n
+            return F.struct(
+                F.concat(b.a["taken"], F.array(b.p)).alias("taken"),
+                F.transform(b.a["worst"], lambda x, i: F.when(x.isNotNull() & (i != b.p), F.greatest(x, F.get(m.g, row + i))))
+                .alias("worst"))
+
+        start = F.struct(F.array().alias("taken"), F.transform(m.r, lambda _: F.lit(0.0)).alias("worst"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_k"), F.lit(1))), start.cast(kind),
+                           lambda acc, _step: let(take, a=acc, p=pick(acc)).cast(kind), lambda acc: acc["taken"])
+
+    folded = let(fold, r=F.col("_r"), g=_dense_cosines(n, F.col("_norms"), F.col("_pairs")))
+    taken = F.when(n <= F.col("_k"), F.sequence(F.lit(0), n - 1)).otherwise(F.slice(folded, 1, F.col("_k")))
+    order = groups.select("qid", F.posexplode(taken).alias("_at", "_i"))
+    return (at.join(order, ["qid", "_i"]).withColumn("mmr_rank", (F.col("_at") + 1).cast("int"))
+            .select(*cands.columns, "mmr_rank"))
 
-    def dot(i, j):
-        key = F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
-        return F.coalesce(F.try_element_at(F.col("_dots"), key), F.lit(0.0))
-
-    def cosine(i, j):
-        norm = F.sqrt(dot(i, i)) * F.sqrt(dot(j, j))
-        return F.when(norm == 0, F.lit(0.0)).otherwise(dot(i, j) / norm)
-
-    def value(i, taken):
-        worst = F.coalesce(F.array_max(F.transform(taken, lambda j: cosine(i, j))), F.lit(0.0))
-        return lam * F.get("_r", i) - (1.0 - lam) * worst
 
-    n = F.size("_r")
-    places = F.sequence(F.lit(0), n - 1)
+def _dense_cosines(n, norms, pairs):
+    """The n * n cosines of (i, j, d) pairs with i < j as one flat array; pairs that are
+    not listed share no word: 0. A candidate's cosine with itself is not needed: 0."""
+    both = F.flatten(F.transform(F.coalesce(pairs, F.array().cast("array<struct<i:int,j:int,d:double>>")), lambda p: let(
+        lambda b: F.array(F.struct((p.i * n + p.j).alias("at"), b.c.alias("c")), F.struct((p.j * n + p.i).alias("at"), b.c.alias("c"))),
+        c=p.d / (F.get(norms, p.i) * F.get(norms, p.j)))))
 
-    def pick(taken, _step):
-        open_ = F.filter(places, lambda i: ~F.array_contains(taken, i))
-        top = F.array_max(F.transform(open_, lambda i: F.struct(value(i, taken).alias("v"), (-i).alias("at"))))
-        return F.concat(taken, F.array(-top.at))
+    def filled(b):
+        runs = F.transform(b.e, lambda x, k: F.concat(
+            F.array_repeat(F.lit(0.0), x["at"] - F.coalesce(F.get(b.e, k - 1)["at"], F.lit(-1)) - 1), F.array(x["c"])))
+        rest = F.array_repeat(F.lit(0.0), n * n - F.coalesce(F.get(b.e, F.size(b.e) - 1)["at"], F.lit(-1)) - 1)
+        return F.concat(F.flatten(runs), rest)
 
-    taken = F.when(n <= F.col("_k"), places).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.col("_k")), F.array().cast("array<int>"), pick))
-    order = groups.select("qid", F.posexplode(taken).alias("_at", "_i"))
-    return (at.join(order, ["qid", "_i"]).withColumn("mmr_rank", (F.col("_at") + 1).cast("int"))
-            .select(*cands.columns, "mmr_rank"))
+    return let(filled, e=F.array_sort(both))
 
 
 # ---------------------------------------------------------------------------

@@ -139,3 +139,38 @@ def test_lsh_shape_follows_the_collision_rate():
             assert rt.LSH_TABLES <= tables <= rt.LSH_MAX_TABLES and bits <= rt.lsh_bits(n, 8)
             assert 1 - (1 - rt.collision(p, bits, True)) ** tables >= 0.92
     assert rt.lsh_shape(np.full(10, 0.3), 500, 8) == (24, 6)
+
+
+def _mmr_plain(cands, k, lam):
+    """Greedy re-rank of [(score, text)] with dense numpy cosines."""
+    from collections import Counter
+    bags = [Counter((t or "").lower().split()) for _, t in cands]
+    words = sorted({w for b in bags for w in b})
+    m = np.array([[b[w] for w in words] for b in bags], float).reshape(len(bags), -1)
+    norm = np.sqrt((m * m).sum(1))
+    g = np.divide(m @ m.T, np.outer(norm, norm), out=np.zeros((len(m), len(m))), where=np.outer(norm, norm) > 0)
+    r = np.array([s or 0.0 for s, _ in cands])
+    r = r / r.max() if r.max() > 0 else r
+    if len(r) <= k:
+        return list(range(len(r)))
+    taken = []
+    while len(taken) < k:
+        value = [(-1e9 if i in taken else lam * r[i] - (1 - lam) * max((g[i, j] for j in taken), default=0.0)) for i in range(len(r))]
+        taken.append(int(np.argmax(value)))
+    return taken
+
+
+def test_mmr_of_many_candidates(spark):
+    """80 candidates and 20 picks a question, against numpy."""
+    import time
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    questions = {q: [(round(1 - i / 100, 3), " ".join(rng.choice(vocabulary, 120))) for i in range(80)] for q in range(40)}
+    rows = [(q, i, s, i + 1, t) for q, c in questions.items() for i, (s, t) in enumerate(c)]
+    cands = spark.createDataFrame(rows, "qid int, iid int, score double, rank int, chunk_text string")
+    t0 = time.time()
+    got = {}
+    for r in rt.mmr(cands, 20).orderBy("qid", "mmr_rank").collect():
+        got.setdefault(r["qid"], []).append(r["iid"])
+    assert time.time() - t0 < 60
+    assert got == {q: _mmr_plain(c, 20, rt.MMR_LAMBDA) for q, c in questions.items()}
