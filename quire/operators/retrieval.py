@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import let, word_array
 from quire.functions.vectors import terms
+from quire.operators.postings import Postings, build_postings
+from quire.operators.postings import search as postings_search
 from quire.operators.topk import FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k, cosine_scorer, measured_size
 
 # BM25 parameters, reciprocal-rank-fusion constant, MMR
@@ -197,15 +199,21 @@ def keyword_index(docs: DataFrame, doc_id: str, text: str, item_type: str | None
     return KeywordIndex(toks, materialize(df, "term-frequencies"), float(n), float(total or 0) / n if n else 0.0)
 
 
-def bm25(queries: DataFrame, docs: DataFrame | KeywordIndex, k: int, query_id: str, query_text: str,
+def bm25(queries: DataFrame, docs: DataFrame | KeywordIndex | Postings, k: int, query_id: str, query_text: str,
          doc_id: str, doc_text: str, k1: float = BM25_K1, b: float = BM25_B,
          query_filter: str | None = None, item_type: str | None = None, **kw) -> DataFrame:
     """Exact BM25 top-k.
 
     Terms are ``[\\p{L}\\p{N}']+`` of the lower-cased text; each distinct query term
     counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``docs`` is the corpus, or
-    its :func:`keyword_index`, which many batches can share.
+    its :func:`quire.operators.postings.build_postings`, which many batches can share: a
+    batch reads the lists of its terms only. With ``mode`` (see :mod:`quire.operators.topk`)
+    or a :func:`keyword_index` all items are scored in cells instead, which suits a batch
+    of very many questions over a small corpus. Both ways give the same rows.
     """
+    if not isinstance(docs, KeywordIndex) and "mode" not in kw:
+        index = docs if isinstance(docs, Postings) else build_postings(docs, doc_id, doc_text, item_type)
+        return postings_search(index, queries, k, query_id, query_text, k1, b, query_filter)
     index = docs if isinstance(docs, KeywordIndex) else keyword_index(docs, doc_id, doc_text, item_type)
     qterms = queries.select(F.col(query_id), *_opt(query_filter, FILTER_COL),
                             F.explode(F.array_distinct(terms(query_text))).alias("term"))

@@ -3,15 +3,16 @@
 ``stream_sync`` reads new Parquet files with Structured Streaming
 (``Trigger.AvailableNow``: process what is there, then stop; the checkpoint
 makes a re-run resume after the last committed batch). Each micro-batch is
-deduplicated on the key and upserted into a target folder that is
-hash-partitioned into buckets on the key, so a batch rewrites only the
-buckets it touches (dynamic partition overwrite). Re-running a batch after a
-failure writes the same buckets again: the upsert is idempotent.
+upserted into a target folder that is hash-partitioned into buckets on the key,
+so a batch rewrites only the buckets it touches (dynamic partition overwrite).
+Each stored row keeps its order value, and a deleted key stays as a marker, so the
+newest row of a key wins whichever batch brings it: late and repeated files change
+nothing, and re-running a batch after a failure writes the same buckets again.
+:func:`read_target` leaves the markers out.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from quire.operators.index import row_hash
 from quire.session import materialize
 
-BUCKET = "_bucket"
+BUCKET, ORDER, GONE = "_bucket", "_order", "_gone"     # _order may be missing in a target that a batch build wrote
 
 
 def bucket_of(key: list[str], buckets: int):
@@ -38,43 +39,50 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def stored_schema(schema: T.StructType, key: list[str], values: list[str], order_col: str | None) -> T.StructType:
+    """What the target's files hold: key, values, order, deletion marker, bucket."""
+    order = schema[order_col].dataType if order_col else T.LongType()
+    return T.StructType([*(T.StructField(c, schema[c].dataType) for c in key + values), T.StructField(ORDER, order),
+                         T.StructField(GONE, T.BooleanType()), T.StructField(BUCKET, T.IntegerType())])
+
+
+def read_target(spark: SparkSession, path: str, schema: T.StructType, key: list[str], values: list[str]) -> DataFrame:
+    """The target table (key + values)."""
+    known = T.StructType([*(schema[c] for c in key + values), T.StructField(GONE, T.BooleanType())])
+    return spark.read.schema(known).parquet(path).where(~F.coalesce(F.col(GONE), F.lit(False))).select(*key, *values)
+
+
 def upsert(batch: DataFrame, target_path: str, key: list[str], values: list[str], buckets: int,
            deleted_col: str | None = None, order_col: str | None = None) -> None:
-    """Upsert one batch into the bucketed target (J6 restricted to the batch's keys).
+    """Merge one batch into the bucketed target (J6 restricted to the batch's buckets).
 
-    Of several rows of one key in a batch the one with the largest ``order_col``
-    wins; equal or missing order falls back to the largest content hash. Rows with
-    ``deleted_col`` true remove the key; a bucket whose last key goes is removed
-    as a folder, as an overwrite of partitions can't empty one."""
+    Of all rows of one key, stored or new, the one of the largest ``order_col`` stays
+    (without it: of the latest batch); a missing order is the smallest, equal ones
+    fall back to the largest content hash. Rows with ``deleted_col`` true leave a
+    marker. Null keys are keys like others."""
     spark = batch.sparkSession
-    payload = values + ([deleted_col] if deleted_col else [])
-    order = F.struct(*([F.col(order_col)] if order_col else []), row_hash(payload))
-    latest = (batch.groupBy(*key)
-              .agg(F.max_by(F.struct(*payload), order).alias("_v"))
-              .select(*key, "_v.*")
-              .withColumn(BUCKET, bucket_of(key, buckets)))
-    # read twice (touched buckets, merge): keep it for the batch; a lost block
-    # is recomputed from the batch's source files, which do not change
-    latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # touched buckets: at most ``buckets`` values
-        touched = [r[0] for r in latest.select(BUCKET).distinct().collect()]
-        if not touched:
-            return
-        schema = T.StructType([batch.schema[c] for c in key + values] + [T.StructField(BUCKET, T.IntegerType())])
-        old = spark.read.schema(schema).parquet(target_path).filter(F.col(BUCKET).isin(touched))
-        keep = old.join(latest.select(*key), key, "left_anti")
-        fresh = latest.filter(~F.col(deleted_col)) if deleted_col else latest
-        merged = keep.unionByName(fresh.select(*key, *values, BUCKET))
-        staged = materialize(merged, "upsert")  # never overwrite a path the same plan reads
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BUCKET).parquet(target_path))
-        left = {r[0] for r in staged.select(BUCKET).distinct().collect()}
-        fs, _ = _path(spark, target_path)
-        for b in set(touched) - left:
-            fs.delete(_path(spark, f"{target_path}/{BUCKET}={b}")[1], True)
-    finally:
-        latest.unpersist()
+    schema = stored_schema(batch.schema, key, values, order_col)
+    gone = F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False)
+    order = F.col(order_col) if order_col else F.lit(0).cast("long")
+    fresh = batch.select(*key, *values, order.alias(ORDER), gone.alias(GONE)).withColumn(BUCKET, bucket_of(key, buckets))
+    # one row a key, written once: read for the touched buckets and for the merge
+    fresh = materialize(_latest(fresh, key, values), "upsert-batch")
+    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]      # at most ``buckets`` values
+    if not touched:
+        return
+    old = spark.read.schema(schema).parquet(target_path).where(F.col(BUCKET).isin(touched))
+    if not order_col:
+        fresh = fresh.withColumn(ORDER, F.lit((old.agg(F.max(ORDER)).first()[0] or 0) + 1).cast("long"))
+    merged = _latest(old.select(*fresh.columns).unionByName(fresh), key, values)
+    staged = materialize(merged, "upsert")  # never overwrite a path the same plan reads
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(target_path)
+
+
+def _latest(rows: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """The row of the largest order of each key; grouping keeps null keys together."""
+    payload = [*values, ORDER, GONE]
+    newest = F.struct(F.col(ORDER).isNotNull(), F.col(ORDER), row_hash([*values, GONE]))
+    return rows.groupBy(*key, BUCKET).agg(F.max_by(F.struct(*payload), newest).alias("_v")).select(*key, "_v.*", BUCKET)
 
 
 def stream_sync(spark: SparkSession, source_path: str, target_path: str, schema: T.StructType,
@@ -96,4 +104,4 @@ def stream_sync(spark: SparkSession, source_path: str, target_path: str, schema:
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
-    return spark.read.schema(T.StructType([schema[c] for c in key + values])).parquet(target_path).select(*key, *values)
+    return read_target(spark, target_path, schema, key, values)

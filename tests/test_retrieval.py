@@ -36,6 +36,50 @@ def test_bm25_grid_equals_broadcast(spark):
     b = rt.bm25(bench, docs, 10, "item_id", "text", "doc_id", "text", mode="grid", item_blocks=3)
     assert _rows(a, "qid", "iid", "score", "rank") == _rows(b, "qid", "iid", "score", "rank")
     assert a.count() == bench.count() * 10
+    c = rt.bm25(bench, docs, 10, "item_id", "text", "doc_id", "text")
+    assert _rows(a, "qid", "iid", "score", "rank") == _rows(c, "qid", "iid", "score", "rank")
+
+
+def test_postings_search_equals_cells(spark):
+    """Common words, ties, filters, blank questions and items, several sizes of k; one
+    index for two batches."""
+    from quire.operators.postings import build_postings
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(300)])
+    p = 1 / np.arange(1, 301)
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60)), p=p / p.sum())), ["csv", "pdf", None][i % 3]) for i in range(600)]
+    items = spark.createDataFrame(rows + [(600, None, "csv"), (601, "w0 w0 w1", "pdf"), (602, "w0 w0 w1", "pdf")],
+                                  "chunk_id int, chunk_text string, source_type string")
+    asked = [(i, " ".join(rng.choice(words, 8, p=p / p.sum())), [None, "csv", "pdf", "none"][i % 4]) for i in range(40)]
+    asked += [(100, "", None), (101, None, None), (102, "absent", None), (103, "w0 w1", "pdf")]
+    index = build_postings(items, "chunk_id", "chunk_text", "source_type", buckets=8)
+    for qs, query_filter, k in ((asked, "f", 7), ([a for a in asked if a[2]], "f", 1), (asked, None, 50)):
+        q = spark.createDataFrame(qs, "qid int, q string, f string")
+        how = dict(query_filter=query_filter, item_type="source_type")
+        a = rt.bm25(q, index, k, "qid", "q", "chunk_id", "chunk_text", **how)
+        b = rt.bm25(q, items, k, "qid", "q", "chunk_id", "chunk_text", mode="broadcast", **how)
+        assert _rows(a, "qid", "iid", "score", "rank") == _rows(b, "qid", "iid", "score", "rank")
+
+
+def test_postings_read_only_the_batch(spark):
+    """Partition filters on bucket and type; common words make no row for each item."""
+    from quire.operators import postings as po
+    rows = [(i, "the common words " + ("rare" if i < 30 else f"other{i % 50}"), "csv" if i % 2 else "pdf") for i in range(2000)]
+    items = spark.createDataFrame(rows, "chunk_id int, chunk_text string, source_type string")
+    index = po.build_postings(items, "chunk_id", "chunk_text", "source_type", buckets=32)
+    q = spark.createDataFrame([(1, "the common rare words", "csv")], "qid int, q string, f string")
+    _, lists = po.search_plans(index, q, "qid", "q", rt.BM25_K1, rt.BM25_B, "f")
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters")[1] and "type#" in plan.split("PartitionFilters")[1]
+    assert "Python" not in plan and {r["_source_type"] for r in lists.select("_source_type").distinct().collect()} == {"csv"}
+    made = []
+    kept, po.materialize = po.materialize, lambda df, label: (made.append((label, (x := kept(df, label)).count())), x)[1]
+    try:
+        got = rt.bm25(q, index, 5, "qid", "q", "chunk_id", "chunk_text", query_filter="f")
+        assert [r["iid"] for r in got.orderBy("rank").collect()] == [1, 3, 5, 7, 9]
+    finally:
+        po.materialize = kept
+    assert dict(made)["candidates"] == 15
 
 
 def test_source_filter_applies_per_query(spark):
