@@ -171,7 +171,7 @@ def generate_column(df: DataFrame, prompt: str, out: str, generate: Generate, er
 def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id", question: str = "question",
               top_k: int | str = rt.TOP_K, language: str | None = None, source_filter: str | None = None,
               encoder=None, translate: Translate | None = None, generate: Generate | None = None,
-              lam: float = rt.MMR_LAMBDA, texts: dict | None = None,
+              lam: float = rt.MMR_LAMBDA, texts: dict | None = None, keywords: rt.KeywordIndex | rt.Postings | None = None,
               on_rejected: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Answer every question of ``questions`` against ``chunks`` (central
     schema). Returns one row per row of ``questions`` (ids may repeat): qid, answer,
@@ -183,7 +183,9 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     prompt_tail. Without ``translate`` texts stay as they are; without ``generate``
     the answer is extractive; both defaults stay in the JVM. ``on_rejected`` is
     given the chunks whose stored vector is unusable (they are still found by
-    keywords)."""
+    keywords). ``keywords`` is an index of the chunks that batches share (``keyword_index``
+    or ``build_postings``, with the chunks' ``source_type``); without it the batch's
+    questions, which are many, are scored in cells over the chunks' terms."""
     encoder = encoder or HashingEncoder()
     tx_ = {"disclaimer": MEDICAL_DISCLAIMER, "system_prompt": SYSTEM_PROMPT, "red_flag": RED_FLAG_MESSAGE,
            "no_context": NO_CONTEXT_MESSAGE, "prompt_tail": PROMPT_TAIL, **(texts or {})}
@@ -234,7 +236,9 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     # a question without a term has no direction: no vector hits
     qv = embed(asked, "english_question", encoder, "qvec").where(F.exists("qvec", lambda x: x != 0))
     vec_hits = rt.knn(qv, cvec, fetch_k, "_row", "chunk_id", query_filter="source_filter", item_type="source_type")
-    kw_hits = rt.bm25(asked, ch, fetch_k, "_row", "english_question",
+    if keywords is None:
+        keywords = rt.keyword_index(ch, "chunk_id", "chunk_text", "source_type")
+    kw_hits = rt.bm25(asked, keywords, fetch_k, "_row", "english_question",
                       "chunk_id", "chunk_text", query_filter="source_filter", item_type="source_type")
     depths = clear.select(F.col("_row").alias("qid"), "top_k", depth.alias("_depth"))
     vec_hits, kw_hits = (h.join(depths, "qid").where("rank <= _depth").drop("_depth", "top_k") for h in (vec_hits, kw_hits))

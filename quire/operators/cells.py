@@ -30,6 +30,7 @@ from quire.session import checkpoint_dir
 
 MAX_CELLS = 4096
 ROUNDS = 2
+FILE_ROWS = 50_000      # a cell is written in files of about so many vectors
 UNIT = 1_000_000
 SAMPLE, RECALL = 128, 0.92
 
@@ -100,7 +101,8 @@ def fit_centroids(items: DataFrame, item_id: str, vec: str, cells: int, rounds:
     return c
 
 
-def _cell_of(kind: str, centroids, probes: int, name: str):
+def _cell_of(centroids, probes: int, name: str):
+    """Kernel over (id, vector): each row once for every of its ``probes`` nearest cells."""
     def run(batches):
         c = centroids.value
         for batch in batches:
@@ -108,8 +110,7 @@ def _cell_of(kind: str, centroids, probes: int, name: str):
             at = _nearest(v, c, probes) if len(v) else np.zeros((0, probes), np.int64)
             rows = pa.array(np.repeat(np.arange(len(v)), at.shape[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows),
-                                              pa.array(at.ravel().astype(np.int32))], kind)
-    kind = [name, "v", "cell"]
+                                              pa.array(at.ravel().astype(np.int32))], [name, "v", "cell"])
     return run
 
 
@@ -119,12 +120,14 @@ def build_cells(items: DataFrame, item_id: str, vec: str = "embedding", cells: i
     spark = items.sparkSession
     path = path or f"{checkpoint_dir(spark)}/tables/cells-{uuid.uuid4().hex}"
     some = items.where(F.size(vec) > 0).select(F.size(vec)).first()
-    good = _usable(items.select(F.col(item_id).alias("iid"), F.col(vec).alias("embedding")), "embedding", some[0] if some else 0)
+    vectors = items.select(F.col(item_id).alias("iid"), F.col(vec).cast("array<double>").alias("embedding"))
+    good = _usable(vectors, "embedding", some[0] if some else 0)
     kind = items.schema[item_id].dataType.simpleString()
     n = good.count()
     c = fit_centroids(good, "iid", "embedding", cells or n_cells(n), rounds) if n else np.zeros((1, 0))
-    put = good.mapInArrow(_cell_of("", spark.sparkContext.broadcast(c), 1, "iid"), f"iid {kind}, v array<double>, cell int")
-    put.withColumnRenamed("v", "embedding").repartition("cell", F.pmod(F.xxhash64("iid"), F.lit(8))).write.mode(
+    put = good.mapInArrow(_cell_of(spark.sparkContext.broadcast(c), 1, "iid"), f"iid {kind}, v array<double>, cell int")
+    spread = -(-n // (len(c) * FILE_ROWS)) or 1
+    put.withColumnRenamed("v", "embedding").repartition("cell", F.pmod(F.xxhash64("iid"), F.lit(spread))).write.mode(
         "overwrite").partitionBy("cell").parquet(path)
     table = spark.read.schema(f"iid {kind}, embedding array<double>, cell int").parquet(path)
     sizes = {r.cell: r.n for r in table.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row a cell
@@ -136,11 +139,11 @@ def search_cells(index: Cells, queries: DataFrame, k: int, query_id: str, qvec:
     """Approximate top ``k``: (qid, iid, score, rank), every score exact."""
     spark, dim = queries.sparkSession, index.centroids.shape[1]
     kind = queries.schema[query_id].dataType
-    good = _usable(queries.select(F.col(query_id).alias("qid"), F.col(qvec).alias("qvec")), "qvec", dim)
+    good = _usable(queries.select(F.col(query_id).alias("qid"), F.col(qvec).cast("array<double>").alias("qvec")), "qvec", dim)
     if probes is None:
         probes = measured_probes(index, good, k, exclude_self)
     probes = max(1, min(probes, len(index.centroids)))
-    sent = good.mapInArrow(_cell_of("", spark.sparkContext.broadcast(index.centroids), probes, "qid"),
+    sent = good.mapInArrow(_cell_of(spark.sparkContext.broadcast(index.centroids), probes, "qid"),
                            f"qid {kind.simpleString()}, v array<double>, cell int").withColumnRenamed("v", "qvec")
     probed = sorted(r[0] for r in sent.select("cell").distinct().collect())            # a cell count at most
     blocks = {c: math.ceil(n / topk.GRID_ITEMS) for c, n in index.sizes.items() if n > topk.GRID_ITEMS}
@@ -163,7 +166,7 @@ def measured_probes(index: Cells, queries: DataFrame, k: int, exclude_self: bool
     near = topk.cell_top_k(index.table.select("iid", "embedding"), few.select("qid", "qvec"),
                            topk.cosine_scorer(k, exclude_self=exclude_self), k, "iid", "qid")
     own = near.select("qid", "iid").join(index.table.select("iid", "cell"), "iid").select("qid", "cell")
-    order = few.mapInArrow(_cell_of("", spark.sparkContext.broadcast(index.centroids), len(index.centroids), "qid"),
+    order = few.mapInArrow(_cell_of(spark.sparkContext.broadcast(index.centroids), len(index.centroids), "qid"),
                            f"qid {queries.schema['qid'].dataType.simpleString()}, v array<double>, cell int")
     order = order.groupBy("qid").agg(F.collect_list("cell").alias("order"))            # a cell count a query
     place = [r[0] for r in own.join(order, "qid").select(F.array_position("order", F.col("cell"))).collect()]

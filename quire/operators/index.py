@@ -71,7 +71,7 @@ def index_status(source: DataFrame, target: DataFrame, key: list[str], values: l
 # a stored index: buckets, digest tree, change log
 # ---------------------------------------------------------------------------
 
-BUCKETS, GROUP = 256, 16        # buckets of an index; buckets in a node above them
+BUCKETS, GROUP = 64, 8        # buckets of an index; buckets in a node above them
 _BUCKET, _VERSION = "_bucket", "_version"
 
 

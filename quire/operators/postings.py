@@ -10,8 +10,9 @@ bound its share of any score.
 *Search.* 1. Each query's rarest terms give partial scores; the k-th best partial is a
 lower limit of the k-th best score. 2. The query's most common terms whose bounds
 together stay below that limit can't bring an item in; only the other, essential terms
-make candidates. 3. Candidates that can't reach the limit with all remaining bounds go;
-the rest look up the common terms by (term, item). So a word that stands in every item
+make candidates. 3. The k-th best score by essential terms is a closer limit;
+candidates that can't reach it with all remaining bounds go, the rest look up the
+common terms by (term, item). So a word that stands in every item
 makes no rows for every item, and no score is approximate.
 
 Everything is DataFrame expressions; the query side is broadcast only after it was
@@ -23,6 +24,7 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ from quire.functions.vectors import terms
 from quire.operators.topk import FILTER_COL, TYPE_COL, measured_size
 from quire.session import checkpoint_dir, materialize
 
-BUCKETS = 64
-SPREAD = 8                  # a bucket is written by so many tasks, by item
+BUCKETS = 8, 4096           # least and most buckets; one for each ITEMS items between
+ITEMS = 1000
+FILE_ITEMS = 20_000         # a bucket is written in files of about so many items' terms
 SEED_ITEMS = 20             # items a result place that the rarest terms should give
 EPSILON = 1e-5              # scores are rounded to six digits
 BROADCAST_BYTES = 64 << 20
@@ -67,16 +70,19 @@ def _bucket(term, buckets: int) -> Column:
 
 
 def build_postings(docs: DataFrame, doc_id: str, text: str, item_type: str | None = None, path: str | None = None,
-                   buckets: int = BUCKETS) -> Postings:
+                   buckets: int | None = None) -> Postings:
     """Write the lists below ``path`` (the checkpoint folder if none is given)."""
     spark = docs.sparkSession
+    n = docs.count()
+    buckets = buckets or int(np.clip(1 << int(np.log2(max(n / ITEMS, 1))), *BUCKETS))
+    spread = -(-n // (buckets * FILE_ITEMS)) or 1
     path = path or f"{checkpoint_dir(spark)}/tables/postings-{uuid.uuid4().hex}"
     kind = F.coalesce(F.col(item_type).cast("string"), F.lit(NO_TYPE)) if item_type else F.lit(NO_TYPE)
     rows = docs.select(F.col(doc_id).alias("iid"), kind.alias("type"), terms(text).alias("toks"))
     rows = rows.select("iid", "type", F.size("toks").alias("dl"), F.explode(term_runs(F.col("toks"))).alias("p"))
     rows = rows.select("iid", "type", "dl", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
     rows = rows.withColumn("bucket", _bucket("term", buckets))
-    (rows.repartition("bucket", F.pmod(F.xxhash64("iid"), F.lit(SPREAD)))
+    (rows.repartition("bucket", F.pmod(F.xxhash64("iid"), F.lit(spread)))
      .write.mode("overwrite").partitionBy("type", "bucket").parquet(f"{path}/lists"))
     lists = spark.read.schema("term string, iid {}, tf int, dl int, type string, bucket int".format(
         docs.schema[doc_id].dataType.simpleString())).parquet(f"{path}/lists")
@@ -85,7 +91,7 @@ def build_postings(docs: DataFrame, doc_id: str, text: str, item_type: str | Non
                                                F.min("dl").alias("min_dl"))
     told.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     told = spark.read.schema("term string, df long, max_tf int, min_dl int, bucket int").parquet(f"{path}/terms")
-    n, total = docs.count(), lists.agg(F.sum("tf")).first()[0]
+    total = lists.agg(F.sum("tf")).first()[0]
     return Postings(lists, told, float(n), float(total or 0) / n if n else 0.0, buckets)
 
 
@@ -146,8 +152,11 @@ def search(index: Postings, queries: DataFrame, k: int, query_id: str, query_tex
                         "query-split")
     common = split.where(~F.col("essential"))
     rest = common.groupBy("qid").agg(F.sum("bound").alias("rest"), F.first("limit").alias("limit"))
-    found = materialize(partial(split.where("essential")), "candidates").join(rest, "qid", "left")
-    open_ = found.where(F.col("rest").isNull() | (F.col("score") + F.col("rest") >= F.col("limit") - EPSILON))
+    found = materialize(partial(split.where("essential")), "candidates")
+    least = _ranked(found, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))   # a limit as well
+    found = found.join(rest.join(least, "qid", "left"), "qid", "left")
+    open_ = found.where(F.col("rest").isNull() | (F.col("score") + F.col("rest") >= F.greatest("limit", "least") - EPSILON))
+    open_ = materialize(open_.select("qid", "iid", "score", "rest"), "open-candidates")
     look = open_.where("rest is not null").join(common.select("qid", "term", "bucket", "idf"), "qid").select(
         "qid", "iid", "term", "bucket", "idf")
     # the lists of common terms meet the candidates by (term, item): no row for other items

@@ -11,10 +11,12 @@ import math
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.functions.text import let, word_array
+from quire.functions.text import word_array
 from quire.functions.vectors import terms
 from quire.operators.postings import Postings, build_postings
 from quire.operators.postings import search as postings_search
@@ -205,15 +207,17 @@ def bm25(queries: DataFrame, docs: DataFrame | KeywordIndex | Postings, k: int,
     """Exact BM25 top-k.
 
     Terms are ``[\\p{L}\\p{N}']+`` of the lower-cased text; each distinct query term
-    counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``docs`` is the corpus, or
-    its :func:`quire.operators.postings.build_postings`, which many batches can share: a
-    batch reads the lists of its terms only. With ``mode`` (see :mod:`quire.operators.topk`)
-    or a :func:`keyword_index` all items are scored in cells instead, which suits a batch
-    of very many questions over a small corpus. Both ways give the same rows.
+    counts once; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``docs`` is one of
+
+    * stored inverted lists (:func:`quire.operators.postings.build_postings`): a batch
+      reads the lists of its terms only, without Python; for a corpus that many batches search;
+    * the corpus, or its terms (:func:`keyword_index`): all items are scored in cells (see
+      :mod:`quire.operators.topk`), which costs less than lists for a single batch.
+
+    All give the same rows.
     """
-    if not isinstance(docs, KeywordIndex) and "mode" not in kw:
-        index = docs if isinstance(docs, Postings) else build_postings(docs, doc_id, doc_text, item_type)
-        return postings_search(index, queries, k, query_id, query_text, k1, b, query_filter)
+    if isinstance(docs, Postings):
+        return postings_search(docs, queries, k, query_id, query_text, k1, b, query_filter)
     index = docs if isinstance(docs, KeywordIndex) else keyword_index(docs, doc_id, doc_text, item_type)
     qterms = queries.select(F.col(query_id), *_opt(query_filter, FILTER_COL),
                             F.explode(F.array_distinct(terms(query_text))).alias("term"))
@@ -263,73 +267,50 @@ def mmr(cands: DataFrame, top_k: int = TOP_K, lam: float = MMR_LAMBDA, text_col:
     is the largest bag-of-words cosine with a candidate already taken; equal values
     keep the earlier candidate. With no more than top_k candidates the order stays.
 
-    All in the JVM: word counts join on (query, word) into the dot products of candidate
-    pairs, which become one flat array of n * n cosines per query, so a cosine is one
-    array access. A fold over 1..top_k keeps, for each open candidate, its largest cosine
-    with a taken one: a pick costs n steps. A query has at most fetch_k candidates.
+    Words are hashed in the JVM (64 bits); a query's candidates, at most fetch_k, meet in
+    one group, where numpy counts words into a matrix, its Gram array gives all cosines,
+    and each pick updates one running maximum per candidate.
     """
     w = Window.partitionBy("qid").orderBy("rank", "iid")
     at = cands.withColumn("_i", F.row_number().over(w) - 1)
-    words = at.select("qid", "_i", F.explode(word_array(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("_w"))
-    counts = words.groupBy("qid", "_i", "_w").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    other = counts.select("qid", F.col("_i").alias("_j"), "_w", F.col("_n").alias("_m"))
-    dots = counts.join(other, ["qid", "_w"]).where("_i < _j").groupBy("qid", "_i", "_j").agg(
-        F.sum(F.col("_n") * F.col("_m")).alias("_d"))
-    pairs = dots.groupBy("qid").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_j").alias("j"),
-                                                            F.col("_d").alias("d"))).alias("_pairs"))
-    norms = counts.groupBy("qid", "_i").agg(F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm"))
-    k = F.max(top_k_col) if top_k_col else F.lit(top_k)
     score = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0))
-    groups = at.join(norms, ["qid", "_i"], "left").groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("_i", score.alias("s"), F.coalesce("_norm", F.lit(0.0)).alias("norm")))).alias("_s"),
-        k.cast("int").alias("_k"))
-    groups = groups.join(pairs, "qid", "left").select(
-        "qid", "_k", F.size("_s").alias("_n"), F.transform("_s", lambda x: x.s).alias("_r"),
-        F.transform("_s", lambda x: x.norm).alias("_norms"), "_pairs")
-    best = F.array_max("_r")
-    groups = groups.withColumn("_r", F.transform("_r", lambda x: F.when(best > 0, x / best).otherwise(x)))
-    n = F.col("_n")
-    kind = "struct<taken:array<int>,worst:array<double>>"
-
-    def fold(m):                                 # m.r: relevances, m.g: cosines, both evaluated once
-        def pick(state):
-            value = F.transform(state["worst"], lambda x, i: F.struct(
-                F.when(x.isNull(), F.lit(float("-inf"))).otherwise(lam * F.get(m.r, i) - (1.0 - lam) * x).alias("v"),
-                (-i).alias("at")))
-            return -F.array_max(value)["at"]
-
-        def take(b):
-            row = b.p * n
-            return F.struct(
-                F.concat(b.a["taken"], F.array(b.p)).alias("taken"),
-                F.transform(b.a["worst"], lambda x, i: F.when(x.isNotNull() & (i != b.p), F.greatest(x, F.get(m.g, row + i))))
-                .alias("worst"))
-
-        start = F.struct(F.array().alias("taken"), F.transform(m.r, lambda _: F.lit(0.0)).alias("worst"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_k"), F.lit(1))), start.cast(kind),
-                           lambda acc, _step: let(take, a=acc, p=pick(acc)).cast(kind), lambda acc: acc["taken"])
-
-    folded = let(fold, r=F.col("_r"), g=_dense_cosines(n, F.col("_norms"), F.col("_pairs")))
-    taken = F.when(n <= F.col("_k"), F.sequence(F.lit(0), n - 1)).otherwise(F.slice(folded, 1, F.col("_k")))
-    order = groups.select("qid", F.posexplode(taken).alias("_at", "_i"))
+    words = F.transform(word_array(F.lower(F.coalesce(F.col(text_col), F.lit("")))), lambda x: F.xxhash64(x))
+    own = at.select("qid", "_i", score.alias("_s"), words.alias("_w"),
+                    (F.col(top_k_col) if top_k_col else F.lit(top_k)).cast("int").alias("_k"))
+
+    def picks(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_i")
+        taken = marginal_order(group["_s"].to_numpy(float), group["_w"].tolist(), int(group["_k"].max()), lam)
+        return pd.DataFrame({"qid": group["qid"].iloc[:len(taken)].to_numpy(), "_i": taken, "_at": np.arange(len(taken))})
+
+    schema = T.StructType([T.StructField("qid", cands.schema["qid"].dataType), T.StructField("_i", T.IntegerType()),
+                           T.StructField("_at", T.IntegerType())])
+    order = own.groupBy("qid").applyInPandas(picks, schema)
     return (at.join(order, ["qid", "_i"]).withColumn("mmr_rank", (F.col("_at") + 1).cast("int"))
             .select(*cands.columns, "mmr_rank"))
 
 
-def _dense_cosines(n, norms, pairs):
-    """The n * n cosines of (i, j, d) pairs with i < j as one flat array; pairs that are
-    not listed share no word: 0. A candidate's cosine with itself is not needed: 0."""
-    both = F.flatten(F.transform(F.coalesce(pairs, F.array().cast("array<struct<i:int,j:int,d:double>>")), lambda p: let(
-        lambda b: F.array(F.struct((p.i * n + p.j).alias("at"), b.c.alias("c")), F.struct((p.j * n + p.i).alias("at"), b.c.alias("c"))),
-        c=p.d / (F.get(norms, p.i) * F.get(norms, p.j)))))
-
-    def filled(b):
-        runs = F.transform(b.e, lambda x, k: F.concat(
-            F.array_repeat(F.lit(0.0), x["at"] - F.coalesce(F.get(b.e, k - 1)["at"], F.lit(-1)) - 1), F.array(x["c"])))
-        rest = F.array_repeat(F.lit(0.0), n * n - F.coalesce(F.get(b.e, F.size(b.e) - 1)["at"], F.lit(-1)) - 1)
-        return F.concat(F.flatten(runs), rest)
-
-    return let(filled, e=F.array_sort(both))
+def marginal_order(scores: np.ndarray, words: list[np.ndarray], k: int, lam: float) -> np.ndarray:
+    """Places of the ``k`` candidates of largest marginal relevance, in the order taken."""
+    n = len(scores)
+    if n <= k:
+        return np.arange(n)
+    relevance = scores / scores.max() if scores.max() > 0 else scores
+    size = np.array([len(x) for x in words])
+    vocabulary, word = np.unique(np.concatenate([np.asarray(x, np.int64) for x in words]), return_inverse=True)
+    counts = np.bincount(np.repeat(np.arange(n), size) * len(vocabulary) + word, minlength=n * len(vocabulary)).reshape(n, -1)
+    gram = counts.astype(float) @ counts.T
+    norm = np.sqrt(np.diag(gram))
+    both = np.outer(norm, norm)
+    cosine = np.divide(gram, both, out=np.zeros_like(gram), where=both > 0)
+    worst, open_, taken = np.zeros(n), np.ones(n, bool), []
+    for _ in range(k):
+        value = np.where(open_, lam * relevance - (1.0 - lam) * worst, -np.inf)
+        best = int(value.argmax())                      # of equal values the earliest
+        taken.append(best)
+        open_[best] = False
+        worst = np.maximum(worst, cosine[best])
+    return np.array(taken)
 
 
 # ---------------------------------------------------------------------------

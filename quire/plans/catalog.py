@@ -440,3 +440,128 @@ def q_file_build(spark, sf_dir):
     return materialize(out.unionByName(failed.select(
         F.lit("failed").alias("source_type"), F.lit(None).cast("int").alias("page_number"),
         F.lit(None).cast("int").alias("chunk_index"), F.col("error").alias("chunk_text"))), "file_build")
+
+
+# ---------------------------------------------------------------------------
+# stored indexes: cells, filtered lists, versions, late files, sketches; plug-ins
+# ---------------------------------------------------------------------------
+
+CELL_SHARE = 0.4        # cells probed; the given vectors are nearly random
+
+
+def q_knn_cells(spark, sf_dir):
+    """Approximate 5 nearest neighbours of every embedding, from k-means cells."""
+    from quire.operators.cells import build_cells, search_cells
+    e = table(spark, sf_dir, "embeddings")
+    index = build_cells(e, "vec_id")
+    q = e.select("vec_id", F.col("embedding").alias("qvec"))
+    hits = search_cells(index, q, 5, "vec_id", probes=int(CELL_SHARE * len(index.centroids)), exclude_self=True)
+    return hits.select(F.col("qid").alias("query_vec_id"), F.col("iid").alias("vec_id"), "score", "rank")
+
+
+def q_bm25_postings(spark, sf_dir):
+    """As ``bm25``, from stored inverted lists."""
+    from quire.operators.postings import build_postings
+    chunks = corpus_chunks(spark, sf_dir)
+    hits = rt.bm25(table(spark, sf_dir, "benchmark"), build_postings(chunks, "chunk_id", "chunk_text"), RETRIEVAL_K, "item_id",
+                   "text", "chunk_id", "chunk_text")
+    return hits.select(F.col("qid").alias("item_id"), F.col("iid").alias("chunk_id"), "score", "rank")
+
+
+def q_bm25_filtered(spark, sf_dir):
+    """Benchmark questions that each ask for French or for German documents only;
+    the lists of other languages are not read."""
+    from quire.operators.postings import build_postings
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    asked = table(spark, sf_dir, "benchmark").withColumn("only", F.when(F.col("item_id") % 2 == 0, "fr").otherwise("de"))
+    hits = rt.bm25(asked, build_postings(docs, "doc_id", "text", "lang"), RETRIEVAL_K, "item_id", "text", "doc_id", "text",
+                   query_filter="only")
+    return hits.select(F.col("qid").alias("item_id"), F.col("iid").alias("doc_id"), "score", "rank")
+
+
+def _refreshed(spark, sf_dir):
+    """A stored index of the 350/90 chunks, refreshed from a source in which every 50th
+    document is gone and the one after it is chunked anew: (path, schema, key, values)."""
+    import uuid
+
+    from quire.session import checkpoint_dir
+    new, old = _snapshots(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/index/{uuid.uuid4().hex}"
+    key, values = ["doc_id", "chunk_index"], ["chunk_text"]
+    ix.create_index(old, path, key, values)
+    source = old.where("doc_id % 50 > 1").unionByName(new.where("doc_id % 50 = 1"))
+    ix.refresh_index(source, path, key, values)
+    return path, old.schema, key, values
+
+
+def q_index_refresh(spark, sf_dir):
+    """The new snapshot of a refreshed index."""
+    return ix.read_index(spark, *_refreshed(spark, sf_dir))
+
+
+def q_index_change_log(spark, sf_dir):
+    """What the refresh logged."""
+    path, schema, key, _ = _refreshed(spark, sf_dir)
+    return ix.change_log(spark, path, schema, key)
+
+
+def q_stream_late(spark, sf_dir):
+    """R1 with files out of order: the 400/100 chunks and deletes of order 2 arrive first,
+    the 350/90 chunks of order 1 after them, in a later run of the same stream."""
+    import uuid
+
+    from quire.session import checkpoint_dir
+    from quire.streaming.sync import stream_sync
+    new, old = _snapshots(spark, sf_dir)
+    root = f"{checkpoint_dir(spark)}/stream_late/{uuid.uuid4().hex}"
+    key, values = ["doc_id", "chunk_index"], ["chunk_text"]
+    gone = old.join(new, key, "left_anti").select(*key, F.lit(None).cast("string").alias("chunk_text"))
+    newest = new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+    newest = newest.withColumn("seq", F.lit(2))
+    late = old.withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(1))
+    for rows in (newest, late):
+        rows.repartition(2, "doc_id").write.mode("append").parquet(f"{root}/incoming")
+        schema = spark.read.parquet(f"{root}/incoming").schema
+        out = stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values, f"{root}/progress", buckets=8,
+                          deleted_col="deleted", order_col="seq")
+    return out
+
+
+def q_length_report(spark, sf_dir):
+    """A2 from stored sketches: the chunks of two snapshots' halves, merged by source."""
+    from quire.operators.stats import length_sketches, merge_length_sketches
+    from quire.session import materialize
+    chunks = q_build_chunks(spark, sf_dir).select("source_file", "chunk_index", "chunk_text")
+    half = F.col("chunk_index") % 2 == 0
+    stored = materialize(length_sketches(chunks.where(half), "source_file", "chunk_text").unionByName(
+        length_sketches(chunks.where(~half), "source_file", "chunk_text")), "sketches")
+    return merge_length_sketches(stored, "source_file")
+
+
+def q_length_report_sql(spark, sf_dir):
+    """A3: the length report of the whole chunk table as SQL text over a temp view."""
+    import uuid
+    name = f"chunks_{uuid.uuid4().hex[:8]}"
+    q_build_chunks(spark, sf_dir).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT MAX(LENGTH(chunk_text)) AS max_len, MIN(LENGTH(chunk_text)) AS min_len, "
+                     f"CAST(AVG(LENGTH(chunk_text)) AS DOUBLE) AS avg_len FROM {name}")
+
+
+def marking_translator(texts, sources, targets):
+    """A stand-in for a translation model: a mark for the target language, one known text."""
+    return ["chest pain today" if t == "سلام" else f"{t} ?" if target == "English" else f"[{target}] {t}"
+            for t, target in zip(texts, targets)]
+
+
+def hashing_generator(system, prompts):
+    """A stand-in for a language model: the digest of the prompt it was given."""
+    import hashlib
+    return [hashlib.sha256(p.encode()).hexdigest() for p in prompts]
+
+
+def q_ask_plugins(spark, sf_dir):
+    """G5 with both model plug-ins (L5, L6 on the translated question, G2)."""
+    conv = conversations(spark, sf_dir).filter(F.col("role") == "user")
+    qs = conv.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+    res = an.ask_batch(qs, corpus_chunks(spark, sf_dir), translate=marking_translator, generate=hashing_generator)
+    return res.select("question_id", "answer", "language", F.size("sources").alias("n_sources"), "reason")

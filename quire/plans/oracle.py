@@ -828,3 +828,105 @@ UNION ALL SELECT * FROM (VALUES ('broken.bin', NULL, NULL, NULL, true), ('two pa
 """
 
 ORACLE["extract_pages"] = EXTRACT_PAGES
+
+
+# ---------------------------------------------------------------------------
+# stored indexes, late files, sketches, plug-ins
+# ---------------------------------------------------------------------------
+
+def _cell_round(i: int) -> str:
+    """Centroids after one more round: integer sums over the vectors nearest to each."""
+    return f"""
+a{i} AS (SELECT vec_id, v, arg_max(cell, (round(list_cosine_similarity(v, cv), 6), -cell)) AS cell FROM e, c{i} GROUP BY vec_id, v),
+s{i} AS (SELECT cell, pos, CAST(sum(CAST(floor(x * 1000000 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 1000000.0::DOUBLE AS x
+         FROM (SELECT cell, unnest(generate_series(1, len(v))) AS pos, unnest(v) AS x FROM a{i}) GROUP BY cell, pos),
+m{i} AS (SELECT cell, list(x ORDER BY pos) AS cv FROM s{i} GROUP BY cell),
+c{i + 1} AS (SELECT c{i}.cell, coalesce(m{i}.cv, c{i}.cv) AS cv FROM c{i} LEFT JOIN m{i} USING (cell))"""
+
+
+KNN_CELLS = f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT greatest(1, least(4096, CAST(floor(2 * sqrt(count(*)) + 0.5) AS BIGINT))) AS cells FROM e),
+c0 AS (SELECT cell, v AS cv FROM (SELECT v, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS cell FROM e), n
+       WHERE cell < cells),
+{_cell_round(0)},
+{_cell_round(1)},
+p AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, cv), 6) DESC, cell) AS place
+      FROM e, c2),
+s AS (SELECT q.vec_id AS query_vec_id, i.vec_id, round(list_cosine_similarity(x.v, y.v), 6) AS score
+      FROM (SELECT vec_id, cell FROM p, n WHERE place <= CAST(floor(0.4 * cells) AS BIGINT)) q
+      JOIN (SELECT vec_id, cell FROM p WHERE place = 1) i ON q.cell = i.cell AND q.vec_id <> i.vec_id
+      JOIN e x ON x.vec_id = q.vec_id JOIN e y ON y.vec_id = i.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_vec_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+"""
+
+BM25_FILTERED = "WITH " + bm25_ctes(RETRIEVAL_K).replace("chunk_id", "doc_id").replace("chunk_text", "text").replace(
+    "FROM k)", "FROM documents)").replace(
+    "CROSS JOIN st GROUP BY ALL),\nkw", "CROSS JOIN st JOIN documents d ON d.doc_id = post.doc_id "
+    "WHERE d.lang = CASE WHEN item_id % 2 = 0 THEN 'fr' ELSE 'de' END GROUP BY ALL),\nkw") + """
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM kw
+"""
+
+_SOURCE = f"""
+b AS (SELECT doc_id, {clean('text')} AS t FROM documents),
+{_chunk_words_cte('b', 'doc_id', 350, 90, 'o')},
+{_chunk_words_cte('b', 'doc_id', 400, 100, 'n')},
+src AS (SELECT doc_id, chunk_index, chunk_text FROM oc WHERE doc_id % 50 > 1
+        UNION ALL SELECT doc_id, chunk_index, chunk_text FROM nc WHERE doc_id % 50 = 1)"""
+
+INDEX_REFRESH = f"""
+WITH {_SOURCE}
+SELECT doc_id, chunk_index, chunk_text FROM src
+"""
+
+INDEX_CHANGE_LOG = f"""
+WITH {_SOURCE}
+SELECT 1 AS version, coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.chunk_index, o.chunk_index) AS chunk_index,
+       CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' ELSE 'update' END AS op
+FROM src n FULL OUTER JOIN oc o ON n.doc_id = o.doc_id AND n.chunk_index = o.chunk_index
+WHERE n.chunk_text IS DISTINCT FROM o.chunk_text
+"""
+
+LENGTH_REPORT = f"""
+WITH k AS ({BUILD_CHUNKS})
+SELECT source_file, count(*) AS n_rows, max(length(chunk_text)) AS max_len, min(length(chunk_text)) AS min_len,
+       avg(length(chunk_text)) AS avg_len, quantile_disc(length(chunk_text), 0.5) AS median_len
+FROM k GROUP BY source_file
+"""
+
+LENGTH_REPORT_SQL = f"""
+WITH k AS ({BUILD_CHUNKS})
+SELECT CAST(max(length(chunk_text)) AS INTEGER) AS max_len, CAST(min(length(chunk_text)) AS INTEGER) AS min_len,
+       avg(length(chunk_text)) AS avg_len FROM k
+"""
+
+
+def ask_plugins_sql() -> str:
+    """ask_batch with the marking translator and the hashing generator."""
+    sql = ask_batch_sql().strip()
+    english = "CASE WHEN l.lang_code <> 'en' THEN c.text || ' ?' ELSE c.text END AS text"
+    sql = sql.replace("c.text, v.reason, l.lang_code, f.flagged", f"{english}, v.reason, l.lang_code, f.flagged OR c.text = 'سلام' AS flagged")
+    at = sql.index("src AS (SELECT pk.item_id")
+    return sql[:at] + f"""src AS (SELECT pk.item_id, count(*) AS n_sources,
+               string_agg('[Source: ' || coalesce(k.source_file, 'unknown') || ', Page: '
+                          || coalesce(CAST(k.page_number AS VARCHAR), 'None') || '] ' || k.chunk_text,
+                          chr(10) || chr(10) ORDER BY mmr_rank) AS block
+        FROM pk JOIN k USING (chunk_id) GROUP BY pk.item_id)
+SELECT a.item_id AS question_id,
+       CASE WHEN a.reason IS NULL THEN CASE WHEN a.lang_code <> 'en' THEN '[' || a.lang_name || '] ' ELSE '' END ||
+            CASE WHEN a.flagged THEN {_q(_URGENT)} WHEN src.block IS NULL THEN {_q(_NOTHING)}
+                 ELSE sha256('Context:' || chr(10) || src.block || chr(10) || chr(10) || 'Question: ' || a.text || chr(10) || chr(10)
+                             || {_q(PROMPT_TAIL)}) END END AS answer,
+       CASE WHEN a.reason IS NULL THEN a.lang_code END AS language,
+       CAST(coalesce(src.n_sources, 0) AS INTEGER) AS n_sources, a.reason
+FROM (SELECT askq.*, lang.lang_name FROM askq JOIN lang ON concat_ws('-', lang.conv_id, lang.turn) = askq.item_id) a
+LEFT JOIN src USING (item_id)
+"""
+
+
+ORACLE.update({
+    "knn_cells": KNN_CELLS, "bm25_postings": BM25, "bm25_filtered": BM25_FILTERED, "index_refresh": INDEX_REFRESH, "index_change_log": INDEX_CHANGE_LOG,
+    "stream_late": STREAM_SYNC, "length_report": LENGTH_REPORT, "length_report_sql": LENGTH_REPORT_SQL,
+    "ask_plugins": ask_plugins_sql(),
+})

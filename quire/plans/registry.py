@@ -48,6 +48,15 @@ QUERIES = {
     "score_names": c.q_score_names,
     "site_documents": c.q_site_documents,
     "file_build": c.q_file_build,
+    "knn_cells": c.q_knn_cells,
+    "bm25_postings": c.q_bm25_postings,
+    "bm25_filtered": c.q_bm25_filtered,
+    "index_refresh": c.q_index_refresh,
+    "index_change_log": c.q_index_change_log,
+    "stream_late": c.q_stream_late,
+    "length_report": c.q_length_report,
+    "length_report_sql": c.q_length_report_sql,
+    "ask_plugins": c.q_ask_plugins,
 }
 
 

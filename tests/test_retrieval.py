@@ -36,7 +36,8 @@ def test_bm25_grid_equals_broadcast(spark):
     b = rt.bm25(bench, docs, 10, "item_id", "text", "doc_id", "text", mode="grid", item_blocks=3)
     assert _rows(a, "qid", "iid", "score", "rank") == _rows(b, "qid", "iid", "score", "rank")
     assert a.count() == bench.count() * 10
-    c = rt.bm25(bench, docs, 10, "item_id", "text", "doc_id", "text")
+    from quire.operators.postings import build_postings
+    c = rt.bm25(bench, build_postings(docs, "doc_id", "text"), 10, "item_id", "text", "doc_id", "text")
     assert _rows(a, "qid", "iid", "score", "rank") == _rows(c, "qid", "iid", "score", "rank")
 
 
