@@ -2,12 +2,13 @@
 
 A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments (by element,
-role, or class and id words) are boilerplate. The others are classified:
+role, or whole class and id tokens) are boilerplate. Where that would leave nothing of a
+page, its class and id tokens are not counted. The others are classified:
 
 1. *Context-free pass*: by link density, length and stop-word density, a block is
    good, bad, or ambiguous (short, or between the bounds). Inside an ``article`` or
    ``main`` element (or, without one, outside every marked part) running text is
-   held to the weaker bounds.
+   held to the weaker bounds, and only a block that is all links is bad by its links.
 2. *Context pass*: an ambiguous block takes the label that its nearest decided
    neighbours share; where they differ, the nearer one's (headings: the next one's).
    Where nothing is decided, unlinked blocks are good.
@@ -60,16 +61,39 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OUT = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "search", "head"}
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form",
              "menu", "menubar", "toolbar", "status"}
-OUT_WORDS = re.compile(r"""(?ix)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|sponsor(?:ed|s)?|promos?
-    |promotion|side-?bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notices?
-    |newsletter|subscribe|subscription|popup|modal|overlay|shar(?:e|ing)|social|comments?|commentlist|disqus|repl(?:y|ies)
-    |respond|related|recommend(?:ed|ations?)|pagination|pager|login|signup|sign-up|search|skip-?link|toolbar|copyright
-    |disclaimer|outbrain|taboola|banner|alert)(?:$|[\s_-])""")
-HEADER_WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:site-?header|page-?header|top-?bar|header)(?:$|[\s_-])")
+# Words that name boilerplate in class and id tokens, and words that may
+# stand beside them in one token (``site-footer``); with any other word beside it
+# (``market-share``, ``related-posts-enabled``) a token names something else.
+OUT_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored sponsors
+promo promos promotion sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead
+cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay share sharing social comment
+comments commentlist disqus reply replies respond related recommend recommended recommendation recommendations pagination
+pager login signup search skiplink toolbar copyright disclaimer outbrain taboola banner alert""".split())
+HEADER_WORDS = frozenset("siteheader pageheader topbar header".split())
+BESIDE = frozenset("""site page side top bottom left right main global primary secondary bar box list lists post posts article
+articles item items block blocks container wrapper wrap area section panel unit slot button buttons link links icon icons form
+inner outer header content body text title thread count field input the and of for sign up skip to row col column module zone
+region group card js menu""".split())
+
+
+def _token_words(token: str) -> set[str]:
+    """Words of a class or id token: ``siteFooter_2`` has site and footer."""
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", token)
+    return {x.lower() for x in parts} | ({token.lower()} if token.isalpha() else set())
+
+
+def _names(token: str, kinds: frozenset) -> bool:
+    words = _token_words(token)
+    if token.isalpha() and token.lower() in kinds:
+        return True
+    words.discard(token.lower())
+    return bool(words & kinds) and words <= OUT_WORDS | HEADER_WORDS | BESIDE
+
 
 SHORT, LONG = 70, 200           # characters
 STOP_LOW, STOP_HIGH = 0.05, 0.15
 LINKS = 0.34
+ALL_LINKS = 0.9         # inside a region
 
 
 @dataclass
@@ -84,7 +108,7 @@ class Block:
         return self.linked / max(1, len(self.text))
 
 
-def _marks(name: str, attributes: str, in_region: bool) -> int:
+def _marks(name: str, attributes: str, in_region: bool, by_words: bool) -> int:
     """0: nothing, 1: boilerplate, 2: a header (whose headings stay inside a region)."""
     if name in OUT:
         return 1
@@ -103,15 +127,19 @@ def _marks(name: str, attributes: str, in_region: bool) -> int:
             hidden = True
         elif key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    if hidden or role in OUT_ROLES or words and OUT_WORDS.search(words):
+    if hidden or role in OUT_ROLES:
+        return 1
+    tokens = words.split() if by_words else []
+    if any(_names(t, OUT_WORDS) for t in tokens):
         return 1
-    if words and HEADER_WORDS.search(words):
+    if any(_names(t, HEADER_WORDS) for t in tokens):
         return 2 if in_region else 1
     return 0
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order; white space collapsed, references decoded."""
+def blocks(page: str, by_words: bool = True) -> list[Block]:
+    """Blocks of a page in order; white space collapsed, references decoded. Without
+    ``by_words`` class and id words mark nothing."""
     low = page.lower() if len(page.lower()) == len(page) else page
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
@@ -175,7 +203,7 @@ def blocks(page: str) -> list[Block]:
                         while stack and stack[-1][0] not in SIBLINGS[name] and open_[name] and \
                                 stack[-1][0] in (name, "p", "dt", "dd", "td", "th", "tr"):
                             pop()
-                    mark = _marks(name, attributes, regions > 0)
+                    mark = _marks(name, attributes, regions > 0, by_words)
                     if mark and name not in OUT and name not in SIBLINGS and name not in TEXT_ONLY \
                             and last_close(name) < at:
                         mark = 0    # never closed: it would mark the rest of the page
@@ -201,8 +229,10 @@ def first_pass(b: Block, has_region: bool) -> int:
     """Label of a block by itself."""
     if b.out or has_region and not b.region:
         return BAD
-    if b.link_density() > LINKS:
+    if b.link_density() > (ALL_LINKS if b.region else LINKS):
         return BAD
+    if b.link_density() > LINKS:
+        return OPEN                   # linked words of an article: as its neighbours
     if len(b.text) < SHORT or b.heading:
         return OPEN
     density = _stop_density(b.text)
@@ -223,7 +253,7 @@ def labels(page: list[Block]) -> list[bool]:
     keep = [x == GOOD for x in first]
     if not any(first[i] == GOOD for i in near):
         inside = set(near)
-        return [i in inside and b.link_density() <= LINKS for i, b in enumerate(page)]
+        return [i in inside and b.link_density() <= (ALL_LINKS if b.region else LINKS) for i, b in enumerate(page)]
     before, k = None, 0
     for i in near:
         if first[i] != OPEN:
@@ -246,8 +276,12 @@ def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    found = blocks(page)
-    return " ".join(b.text for b, good in zip(found, labels(found)) if good)
+    for by_words in (True, False):
+        found = blocks(page, by_words)
+        text = " ".join(b.text for b, good in zip(found, labels(found)) if good)
+        if text or not any(b.out for b in found):
+            return text
+    return text
 
 
 def _extract(batches):
