@@ -139,6 +139,7 @@ def staging_chunks(df: DataFrame, text, file_col, source_type: str, record_type:
     )
 
 
+# Fixed value: fields of the staging metadata.
 STAGING_META_DDL = "file_name string, page_count int, record_type string, chunk_index int"
 
 

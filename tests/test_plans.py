@@ -22,14 +22,14 @@ def test_topk_uses_window_group_limit(spark):
     df = c.q_knn_centroids(spark, SF_SMALL)
     df.collect()
     p = df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in p or "Window" in p
+    assert "WindowGroupLimit" in p
 
 
 def test_filter_and_pruning_reach_scan(spark):
-    df = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").filter(F.col("role") == "user").select("text")
-    p = _plan(df)
+    p = _plan(c.q_match_rules(spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in p
-    assert "ReadSchema: struct<role:string,text:string>" in p
+    assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in p
+    assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in _plan(c.q_build_chunks(spark, SF_SMALL))
 
 
 def test_source_filter_prunes_partitions(spark, tmp_path):
