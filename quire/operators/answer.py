@@ -19,6 +19,7 @@ from quire.functions.language import ENGLISH, detect_language, language_name, re
 from quire.functions.text import _c, red_flag
 from quire.functions.vectors import HashingEncoder, check_dim, embed
 from quire.operators import retrieval as rt
+from quire.operators.passages import ChunkStore
 from quire.operators.rules import MAX_TOP_K, validate_questions
 from quire.session import materialize
 
@@ -172,7 +173,8 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
               top_k: int | str = rt.TOP_K, language: str | None = None, source_filter: str | None = None,
               encoder=None, translate: Translate | None = None, generate: Generate | None = None,
               lam: float = rt.MMR_LAMBDA, texts: dict | None = None, keywords: rt.KeywordIndex | rt.Postings | None = None,
-              on_rejected: Callable[[DataFrame], None] | None = None) -> DataFrame:
+              on_rejected: Callable[[DataFrame], None] | None = None,
+              passages: ChunkStore | None = None) -> DataFrame:
     """Answer every question of ``questions`` against ``chunks`` (central
     schema). Returns one row per row of ``questions`` (ids may repeat): qid, answer,
     language, detected_language, disclaimer, sources (array of struct, MMR order),
@@ -185,7 +187,8 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     given the chunks whose stored vector is unusable (they are still found by
     keywords). ``keywords`` is an index of the chunks that batches share (``keyword_index``
     or ``build_postings``, with the chunks' ``source_type``); without it the batch's
-    questions, which are many, are scored in cells over the chunks' terms."""
+    questions, which are many, are scored in cells over the chunks' terms. ``passages`` are the
+    same chunks stored by id (``store_chunks``), from which the texts of hits are read."""
     encoder = encoder or HashingEncoder()
     tx_ = {"disclaimer": MEDICAL_DISCLAIMER, "system_prompt": SYSTEM_PROMPT, "red_flag": RED_FLAG_MESSAGE,
            "no_context": NO_CONTEXT_MESSAGE, "prompt_tail": PROMPT_TAIL, **(texts or {})}
@@ -246,7 +249,7 @@ def ask_batch(questions: DataFrame, chunks: DataFrame, qid: str = "question_id",
     # size check, the join and the MMR stage do not re-run retrieval
     fused = rt.hybrid(vec_hits, kw_hits, fetch_k).join(depths, "qid").where("rank <= _depth").drop("_depth")
     fused = materialize(fused, "hits")
-    cands = rt.attach(fused, ch, cols=("chunk_text", "source_file", "page_number"))
+    cands = rt.attach(fused, passages or ch, cols=("chunk_text", "source_file", "page_number"))
     picked = materialize(rt.mmr(cands, lam=lam, top_k_col="top_k"), "picked")
 
     # Prompt and answer for questions with context

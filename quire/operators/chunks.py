@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as tx
-from quire.functions.chunking import chunk_sentences, chunk_words
+from quire.functions.chunking import check_chunk_params, chunk_sentences, chunk_words
 
 BASE_SCHEMA = T.StructType([
     T.StructField("row_id", T.StringType(), False),
@@ -117,7 +117,9 @@ def staging_chunks(df: DataFrame, text, file_col, source_type: str, record_type:
     The text is sentence-chunked (C2); ``id = sha2(file || index || chunk)``
     with a null file written as ``unknown_file``; ``metadata`` is
     ``{"file_name", [extra...], "record_type", "chunk_index"}`` as JSON.
+    Sizes that can't work are refused (C3).
     """
+    check_chunk_params(size, overlap)
     extra_meta = extra_meta or {}
     exploded = df.select(
         _c(file_col).alias("_file"),

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from quire.functions.text import word_array
 from quire.functions.vectors import terms
+from quire.operators.passages import ChunkStore, attach_stored
 from quire.operators.postings import Postings, build_postings
 from quire.operators.postings import search as postings_search
 from quire.operators.topk import FILTER_COL, TYPE_COL, _merge, _out_schema, bm25_scorer, cell_top_k, cosine_scorer, measured_size
@@ -323,11 +324,14 @@ def bounded_broadcast(df: DataFrame, max_bytes: int) -> DataFrame:
     return F.broadcast(df) if measured_size(df)[1] <= max_bytes else df
 
 
-def attach(hits: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id",
+def attach(hits: DataFrame, chunks: DataFrame | ChunkStore, chunk_id: str = "chunk_id",
            cols=("chunk_text", "source_file", "page_number"), max_broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Hits (qid, iid, ...) + chunk fields. The hit list (queries x k) is broadcast
-    within a measured bound, so the chunk table is streamed; beyond it both sides are
-    shuffled on the chunk id."""
+    """Hits (qid, iid, ...) + chunk fields. Over a plain chunk table the hit list
+    (queries x k) is broadcast within a measured bound, so the chunk table is streamed;
+    beyond it both sides are shuffled on the chunk id. A stored table
+    (:func:`quire.operators.passages.store_chunks`) is never shuffled."""
+    if isinstance(chunks, ChunkStore):
+        return attach_stored(hits, chunks, cols)
     h = bounded_broadcast(hits, max_broadcast_bytes)
     c = chunks.select(F.col(chunk_id).alias("iid"), *cols)
     return c.join(h, "iid")

@@ -565,3 +565,63 @@ def q_ask_plugins(spark, sf_dir):
     qs = conv.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
     res = an.ask_batch(qs, corpus_chunks(spark, sf_dir), translate=marking_translator, generate=hashing_generator)
     return res.select("question_id", "answer", "language", F.size("sources").alias("n_sources"), "reason")
+
+
+# ---------------------------------------------------------------------------
+# stored tables: chunks by id, pages of split files, snapshots in a namespace
+# ---------------------------------------------------------------------------
+
+def q_hit_passages(spark, sf_dir):
+    """Keyword hits of every benchmark question with the fields of their chunks, from a
+    chunk table stored by id."""
+    from quire.operators.passages import store_chunks
+    from quire.session import materialize
+    chunks = corpus_chunks(spark, sf_dir)
+    hits = materialize(rt.bm25(table(spark, sf_dir, "benchmark"), chunks.select("chunk_id", "chunk_text"), RETRIEVAL_K,
+                               "item_id", "text", "chunk_id", "chunk_text"), "hits")
+    out = rt.attach(hits, store_chunks(chunks), cols=("chunk_text", "source_file"))
+    return out.select(F.col("qid").alias("item_id"), F.col("iid").alias("chunk_id"), "rank", "chunk_text", "source_file")
+
+
+def q_text_pages(spark, sf_dir):
+    """Documents as pages of text files below the checkpoint folder, one page in
+    their order as a row, files read in splits."""
+    import uuid
+
+    from quire.session import checkpoint_dir
+    from quire.sources.files import require_files
+    root = f"{checkpoint_dir(spark)}/text_pages/{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs = docs.withColumn("file", F.floor(F.col("doc_id") / PAGES_PER_FILE))
+    (docs.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write
+     .partitionBy("file").option("lineSep", "\f").text(root))
+    require_files(spark, root, "txt")
+    pages = pg.text_pages(spark, root)
+    name = F.regexp_extract("source_path", r"file=(\d+)", 1).cast("long")
+    return pages.select(name.alias("file"), "page_number", "page_text", F.col("error").isNotNull().alias("failed"))
+
+
+def q_stored_tables(spark, sf_dir):
+    """Two chunk tables written as snapshots into a
+    namespace, one of them without ``source_type`` and one over an older schema, checked,
+    loaded, united by name; a missing kind comes from the file name."""
+    import uuid
+
+    from quire.session import checkpoint_dir, materialize
+    from quire.sources import files as fl
+    space = f"quire_{uuid.uuid4().hex}"
+    root = f"{checkpoint_dir(spark)}/stored_tables/{space}"
+    fl.ensure_namespace(spark, space, root)
+    untyped = q_build_chunks(spark, sf_dir).drop("source_type").withColumn(
+        "source_file", F.concat(F.coalesce("source_file", F.lit("none")), F.lit(".PDF")))
+    typed = q_staging_to_processed(spark, sf_dir)
+    fl.write_snapshot(typed.select("chunk_id", F.lit(1).alias("old_column")), f"{space}.records", path=f"{root}/records")
+    fl.write_snapshot(typed, f"{space}.records", partition_by=["source_type"], path=f"{root}/records")
+    fl.write_snapshot(untyped, f"{space}.texts", path=f"{root}/texts")
+    need = ["chunk_id", "chunk_index", "chunk_text", "source_file"]
+    parts = [fl.load_checked(spark, f"{space}.texts", need), fl.load_checked(spark, f"{space}.records", need),
+             fl.table_or_fallback(spark, f"{space}.pages", lambda: typed.limit(0))]
+    kind = F.coalesce("source_type", ch.source_kind("source_file"))
+    out = materialize(ch.union_all(parts).select("chunk_id", "chunk_index", "source_file", kind.alias("source_type")), space)
+    spark.sql(f"DROP DATABASE {space} CASCADE")
+    return out

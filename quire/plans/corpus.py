@@ -17,8 +17,9 @@ from quire.sources import files as fs
 from quire.sources import pages as pg
 from quire.session import materialize
 
-# Extractor chain per file kind; a PDF parser plugs in under "pdf".
-DEFAULT_EXTRACTORS = {"html": [("html", pg.html_extractor)], "txt": [("text", pg.text_extractor)], "pdf": []}
+# Per file kind a chain of extractors, or a reader (spark, path, kind) -> page rows; a PDF
+# parser plugs in under "pdf".
+DEFAULT_EXTRACTORS = {"html": [("html", pg.html_extractor)], "txt": pg.text_pages, "pdf": []}
 
 
 def build_corpus(spark: SparkSession, path: str, size: int = 350, overlap: int = 90,
@@ -36,7 +37,9 @@ def build_corpus(spark: SparkSession, path: str, size: int = 350, overlap: int =
         if kind not in kinds:
             continue
         # pages are read by records and failures: extract once, write once
-        pages = materialize(pg.extract_pages(fs.read_binary(spark, path, kind), chain), f"pages-{kind}")
+        read = (chain(spark, path, kind) if callable(chain)
+                else pg.extract_pages(fs.read_binary(spark, path, kind), chain))
+        pages = materialize(read, f"pages-{kind}")
         failed = failed.unionByName(pages.filter(F.col("error").isNotNull()).select("source_file", "error"))
         recs = pg.page_records(pages.filter(F.col("error").isNull()), strategy)
         parts.append(ch.to_base_records(recs, "raw_text", kind, source_file="source_file",

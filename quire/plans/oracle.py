@@ -930,3 +930,30 @@ ORACLE.update({
     "stream_late": STREAM_SYNC, "length_report": LENGTH_REPORT, "length_report_sql": LENGTH_REPORT_SQL,
     "ask_plugins": ask_plugins_sql(),
 })
+
+
+# ---------------------------------------------------------------------------
+# stored tables
+# ---------------------------------------------------------------------------
+
+HIT_PASSAGES = f"""
+WITH {_chunks_cte()},
+{bm25_ctes(RETRIEVAL_K)}
+SELECT kw.item_id, kw.chunk_id, CAST(kw.rank AS INTEGER) AS rank, k.chunk_text, k.source_file
+FROM kw JOIN k USING (chunk_id)
+"""
+
+TEXT_PAGES = """
+SELECT doc_id // 100 AS file, CAST(row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS INTEGER) AS page_number,
+       coalesce(text, '') AS page_text, false AS failed
+FROM documents
+"""
+
+STORED_TABLES = f"""
+SELECT chunk_id, chunk_index, coalesce(source_file, 'none') || '.PDF' AS source_file, 'pdf' AS source_type
+FROM ({BUILD_CHUNKS.strip()})
+UNION ALL
+SELECT chunk_id, chunk_index, source_file, source_type FROM ({STAGING_TO_PROCESSED.strip()})
+"""
+
+ORACLE.update({"hit_passages": HIT_PASSAGES, "text_pages": TEXT_PAGES, "stored_tables": STORED_TABLES})

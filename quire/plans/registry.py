@@ -57,6 +57,9 @@ QUERIES = {
     "length_report": c.q_length_report,
     "length_report_sql": c.q_length_report_sql,
     "ask_plugins": c.q_ask_plugins,
+    "hit_passages": c.q_hit_passages,
+    "text_pages": c.q_text_pages,
+    "stored_tables": c.q_stored_tables,
 }
 
 

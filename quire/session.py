@@ -67,12 +67,21 @@ def materialize(df, label: str):
 
 
 _written: list[str] = []
+_named: list[str] = []
+
+
+def keep_table(name: str, path: str) -> None:
+    """Leave a catalog table and its folder to :func:`drop_tables`."""
+    _named.append(name)
+    _written.append(path)
 
 
 def drop_tables(spark) -> int:
-    """Remove the tables that :func:`materialize` wrote since the last call. Frames that
+    """Remove the tables that :func:`materialize` and :func:`keep_table` left since the last call. Frames that
     read them can't be used any more, so call it when a query's result is stored."""
-    fs, n = None, 0
+    n = 0
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

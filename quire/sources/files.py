@@ -44,6 +44,13 @@ def base_name(c) -> Column:
     return F.element_at(F.split(col, "/"), -1)
 
 
+def plain_path(c) -> Column:
+    """A path that Spark's file metadata gives as a URI, with its escapes (``%20``) decoded,
+    as the file listing gives it. A plus sign is an ordinary character of a path."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B"))), col)
+
+
 def discover_files(spark: SparkSession, path: str, exclude_suffixes=("/.placeholder",)) -> DataFrame:
     """Every file below ``path`` (recursive), directories and marker
     files skipped: (path, name, length, modificationTime). File contents
@@ -116,19 +123,23 @@ def read_csv(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     frames = []
     for files in header_groups(spark, paths).values():
         df = spark.read.options(**opts).csv(files)
-        frames.append(df.withColumn("source_path", F.col("_metadata.file_path")))
+        frames.append(df.withColumn("source_path", plain_path("_metadata.file_path")))
     out = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return out.withColumn("source_file", base_name("source_path"))
 
 
+def kind_glob(kind: str) -> str:
+    """File-name pattern of an extension in any case."""
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in kind)
+
+
 def read_binary(spark: SparkSession, paths, kind: str | None = None) -> DataFrame:
     """(path, source_file, content) for all files below the paths, nested ones
     too, in one distributed scan. With ``kind`` only files of that extension (any
     case) are opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if kind:
-        any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in kind)
-        reader = reader.option("pathGlobFilter", f"*.{any_case}")
+        reader = reader.option("pathGlobFilter", kind_glob(kind))
     return (reader.load(paths)
             .select("path", base_name("path").alias("source_file"), "content"))
 
@@ -163,6 +174,7 @@ def write_snapshot(df: DataFrame, name: str, fmt: str = "parquet", partition_by:
     w.saveAsTable(name)
 
 
-def ensure_namespace(spark: SparkSession, name: str) -> None:
-    """Create the namespace if missing."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+def ensure_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create the namespace if missing, its tables below ``location`` or the warehouse."""
+    at = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{at}")

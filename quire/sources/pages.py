@@ -3,7 +3,8 @@
 ``extract_pages`` runs pluggable per-file extractors inside executors with
 ``mapInPandas`` (one file's bytes never leave its task); failures become
 rows with an ``error`` instead of stopping the job. HTML pages also have a
-native path (``html_text``) so the common case stays in the JVM.
+native path (``html_text``) so the common case stays in the JVM, and text files
+one that splits them (``text_pages``), so a large file is never one value.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from html.parser import HTMLParser
 from typing import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as tx
+from quire.sources.files import base_name, kind_glob, plain_path
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()),
@@ -119,6 +121,41 @@ def text_extractor(content: bytes, name: str) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
+def text_pages(spark: SparkSession, paths, kind: str = "txt", page_break: str = "\f",
+               max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """S6 for text files of many pages, native: rows of PAGE_SCHEMA and ``source_path``.
+
+    Pages are what Spark's text reader splits at ``page_break``, so a file is read by as
+    many tasks as it has splits, and no value is longer than a page. A page belongs to the
+    split that it starts in; its number is the number of pages in the file's earlier splits
+    (one row a split) and its place in its own. Those rows are broadcast within a measured
+    bound and joined by shuffle beyond it.
+
+    A page that is not UTF-8 is a row with its number, null text and an ``error``; the
+    file's other pages stay. Blank pages are rows; a break at the end of a file starts no
+    page. Files without bytes are not in Spark's file listing, so they give no row.
+    """
+    from quire.operators.topk import measured_size
+
+    meta = F.col("_metadata")
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", kind_glob(kind))
+             .option("lineSep", page_break).text(paths)
+             .select(meta["file_path"].alias("source_path"), meta["file_block_start"].alias("at"), F.monotonically_increasing_id().alias("id"), "value"))
+    split = lines.groupBy("source_path", "at").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source_path").orderBy("at")
+                             .rowsBetween(Window.unboundedPreceding, -1))
+    split = split.select("source_path", "at", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    if measured_size(split)[1] <= max_broadcast_bytes:
+        split = F.broadcast(split)
+    good = F.is_valid_utf8("value")
+    path = plain_path("source_path")
+    return lines.join(split, ["source_path", "at"]).select(
+        base_name(path).alias("source_file"),
+        (F.col("before") + F.col("id") - F.col("first") + 1).cast("int").alias("page_number"),
+        F.when(good, F.col("value")).alias("page_text"), F.when(good, F.lit("text")).alias("extractor"),
+        F.when(~good, F.lit("text: page is not UTF-8")).alias("error"), path.alias("source_path"))
+
+
 def extract_pages(files: DataFrame, extractors: Iterable[tuple[str, Extractor]],
                   content_col: str = "content", name_col: str = "source_file") -> DataFrame:
     """One row per page (1-based page numbers) from the first extractor
