@@ -1,11 +1,13 @@
 """Inverted lists for keyword search (J4, A7), with exact early exclusion.
 
-*Table.* One row per (term, item): frequency and item length, stored by bucket of the
-term's hash (and by the items' type where there is one). Frequencies are counted inside
-each row, from its sorted terms, so a build shuffles each (term, item) once and a
-search reads only the buckets of its batch's terms, as partition filters. A term's
-dictionary row holds its document frequency, largest frequency and shortest item, which
-bound its share of any score.
+*Table.* One row per term and block of at most ``BLOCK`` items of one type: the items'
+places in the block, frequencies and item lengths as arrays, stored by bucket of the
+term's hash (and by the items' type where there is one). A build reads the items once;
+each task turns its blocks into such rows before the shuffle, so an entry costs a few
+bytes there and on disk, and ids, which may be long, are kept once an item, in bucket
+``IDS``. A search reads only the buckets of its batch's terms, as partition filters, and
+knows items by number until the end. A term's dictionary row holds its document
+frequency, largest frequency and shortest item, which bound its share of any score.
 
 *Search.* 1. Each query's rarest terms give partial scores; the k-th best partial is a
 lower limit of the k-th best score. 2. The query's most common terms whose bounds
@@ -15,7 +17,7 @@ candidates that can't reach it with all remaining bounds go, the rest look up th
 common terms by (term, item). So a word that stands in every item
 makes no rows for every item, and no score is approximate.
 
-Everything is DataFrame expressions; the query side is broadcast only after it was
+Terms are split and searched in DataFrame expressions; the query side is broadcast only after it was
 measured, and shuffled on the term beyond that.
 """
 
@@ -25,10 +27,11 @@ import uuid
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.functions.text import let
 from quire.functions.vectors import terms
 from quire.operators.topk import FILTER_COL, TYPE_COL, measured_size
 from quire.session import checkpoint_dir, materialize
@@ -40,29 +43,58 @@ SEED_ITEMS = 20             # items a result place that the rarest terms should
 EPSILON = 1e-5              # scores are rounded to six digits
 BROADCAST_BYTES = 64 << 20
 NO_TYPE = ""
+BLOCK = 8192                # items of a block, below the range of a 16-bit place
+IDS = -1                    # the bucket that holds the blocks' ids and lengths
 
 
 class Postings(NamedTuple):
-    """``lists``: term, iid, tf, dl, type and bucket; ``terms``: term, bucket, df, max_tf,
-    min_dl; the number of items and their mean length."""
+    """``lists``: term, base, at, tf, dl, type and bucket (item number = base + at);
+    ``terms``: term, bucket, df, max_tf, min_dl; the number of items and their mean length;
+    ``items``: number and iid; ``repeated``: number and the first number of the same id, of
+    ids that occur again, if any do."""
 
     lists: DataFrame
     terms: DataFrame
     n_docs: float
     avgdl: float
     buckets: int
-
-
-def term_runs(tokens: Column) -> Column:
-    """(term, tf) of an array of terms, by the runs of its sorted form."""
-    def of(b) -> Column:
-        n = F.size(b.t)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                          lambda i: (n > 0) & ((i == 0) | (F.get(b.t, i) != F.get(b.t, i - 1))))
-        return let(lambda c: F.transform(c.s, lambda p, k: F.struct(
-            F.get(b.t, p).alias("term"), (F.coalesce(F.get(c.s, k + 1), n) - p).alias("tf"))), s=starts)
-
-    return let(of, t=F.array_sort(tokens))
+    items: DataFrame
+    repeated: DataFrame | None
+
+
+def _blocks(kind: pa.DataType):
+    """Kernel over (number, iid, type, terms): a row per block with its ids and lengths, and
+    one per type and term of the block with places, frequencies and lengths."""
+    names = ["term", "type", "base", "at", "tf", "dl", "ids"]
+
+    def rows(block):
+        n, base = block.num_rows, block.column(0)[0].as_py()
+        toks = block.column(3)
+        dl = np.diff(toks.offsets.to_numpy()).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(1, pa.string()), pa.array([NO_TYPE]), pa.array([base], pa.int64()), pa.nulls(1, pa.list_(pa.int16())),
+            pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(dl)),
+            pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), block.column(1).cast(kind))], names)
+        words, types = toks.flatten().dictionary_encode(), block.column(2).dictionary_encode()
+        if not len(words):
+            return
+        item, v = np.repeat(np.arange(n), dl), len(words.dictionary)
+        group = types.indices.to_numpy()[item].astype(np.int64) * v + words.indices.to_numpy()
+        key, tf = np.unique(group * n + item, return_counts=True)
+        group, at = key // n, key % n
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        ends = pa.array(np.r_[starts, len(key)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int16), tf.astype(np.int32), dl[at])]
+        own = group[starts]
+        yield pa.RecordBatch.from_arrays([
+            words.dictionary.take(pa.array(own % v)), types.dictionary.take(pa.array(own // v)),
+            pa.array(np.full(len(own), base)), *lists, pa.nulls(len(own), pa.list_(kind))], names)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                yield from rows(batch.slice(start, BLOCK))
+    return run
 
 
 def _bucket(term, buckets: int) -> Column:
@@ -77,22 +109,31 @@ def build_postings(docs: DataFrame, doc_id: str, text: str, item_type: str | Non
     buckets = buckets or int(np.clip(1 << int(np.log2(max(n / ITEMS, 1))), *BUCKETS))
     spread = -(-n // (buckets * FILE_ITEMS)) or 1
     path = path or f"{checkpoint_dir(spark)}/tables/postings-{uuid.uuid4().hex}"
-    kind = F.coalesce(F.col(item_type).cast("string"), F.lit(NO_TYPE)) if item_type else F.lit(NO_TYPE)
-    rows = docs.select(F.col(doc_id).alias("iid"), kind.alias("type"), terms(text).alias("toks"))
-    rows = rows.select("iid", "type", F.size("toks").alias("dl"), F.explode(term_runs(F.col("toks"))).alias("p"))
-    rows = rows.select("iid", "type", "dl", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
-    rows = rows.withColumn("bucket", _bucket("term", buckets))
-    (rows.repartition("bucket", F.pmod(F.xxhash64("iid"), F.lit(spread)))
-     .write.mode("overwrite").partitionBy("type", "bucket").parquet(f"{path}/lists"))
-    lists = spark.read.schema("term string, iid {}, tf int, dl int, type string, bucket int".format(
-        docs.schema[doc_id].dataType.simpleString())).parquet(f"{path}/lists")
-    lists = lists.withColumn("type", F.coalesce("type", F.lit(NO_TYPE)))
-    told = lists.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"),
-                                               F.min("dl").alias("min_dl"))
+    of_type = F.coalesce(F.col(item_type).cast("string"), F.lit(NO_TYPE)) if item_type else F.lit(NO_TYPE)
+    kind = docs.schema[doc_id].dataType
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(doc_id).alias("iid"), of_type.alias("type"),
+                       terms(text).alias("toks"))
+    shape = "term string, {}base long, at array<short>, tf array<int>, dl array<int>, ids array<{}>"
+    rows = rows.mapInArrow(_blocks(to_arrow_type(kind)), shape.format("type string, ", kind.simpleString()))
+    rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), IDS).otherwise(_bucket("term", buckets)))
+    part = F.pmod(F.xxhash64("base"), F.when(F.col("bucket") == IDS, buckets).otherwise(F.lit(spread)))
+    (rows.repartition("bucket", part).write.mode("overwrite").option("compression", "zstd")
+     .partitionBy("type", "bucket").parquet(f"{path}/lists"))
+    stored = spark.read.schema(shape.format("", kind.simpleString()) + ", type string, bucket int").parquet(f"{path}/lists")
+    lists = stored.where(F.col("bucket") != IDS).drop("ids").withColumn("type", F.coalesce("type", F.lit(NO_TYPE)))
+    told = lists.groupBy("bucket", "term").agg(F.sum(F.size("at")).alias("df"), F.max(F.array_max("tf")).alias("max_tf"),
+                                               F.min(F.array_min("dl")).alias("min_dl"))
     told.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     told = spark.read.schema("term string, df long, max_tf int, min_dl int, bucket int").parquet(f"{path}/terms")
-    total = lists.agg(F.sum("tf")).first()[0]
-    return Postings(lists, told, float(n), float(total or 0) / n if n else 0.0, buckets)
+    ids = stored.where(F.col("bucket") == IDS)
+    total = ids.agg(F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]
+    items = ids.select("base", F.posexplode("ids").alias("at", "iid")).select((F.col("base") + F.col("at")).alias("number"), "iid")
+    again = items.groupBy("iid").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = None
+    if not again.isEmpty():
+        again = materialize(items.join(again, items["iid"].eqNullSafe(again["iid"])).select("number", "first"), "repeated-ids")
+        repeated = again.where(F.col("number") != F.col("first"))
+    return Postings(lists, told, float(n), float(total or 0) / n if n else 0.0, buckets, items, repeated)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -103,14 +144,14 @@ def _allowed(filter_col, type_col) -> Column:
     return F.col(filter_col).isNull() | (F.col(filter_col) == F.col(type_col))
 
 
-def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
+def _ranked(scores: DataFrame, k: int, tie: str = "number") -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(tie).asc())
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def search_plans(index: Postings, queries: DataFrame, query_id: str, query_text: str, k1: float, b: float,
                  query_filter: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(query terms with idf and bound, the lists of their buckets and types): what a
+    """(query terms with idf and bound, the stored lists of their buckets and types): what a
     search reads. Buckets and types are literal lists, so they are partition filters."""
     q = queries.select(F.col(query_id).alias("qid"),
                        (F.col(query_filter).cast("string") if query_filter else F.lit(None).cast("string")).alias(FILTER_COL),
@@ -121,17 +162,28 @@ def search_plans(index: Postings, queries: DataFrame, query_id: str, query_text:
     lists = index.lists.where(F.col("bucket").isin(buckets))
     if not open_:
         lists = lists.where(F.col("type").isin(types))
-    avgdl = index.avgdl or 1.0
 
     def value(tf, dl):
-        return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avgdl))
+        return _value(index, tf, dl, k1, b)
 
     idf = F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = index.terms.where(F.col("bucket").isin(buckets)).select("term", "bucket", "df", "max_tf", "min_dl")
     qt = known.join(_small(q), ["term", "bucket"]).select(
         "qid", FILTER_COL, "term", "bucket", "df", idf.alias("idf"), (idf * value(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
-    return materialize(qt, "query-weights"), lists.select("term", "bucket", "iid", F.col("type").alias(TYPE_COL),
-                                                          value(F.col("tf"), F.col("dl")).alias("w"))
+    return materialize(qt, "query-weights"), lists.withColumnRenamed("type", TYPE_COL)
+
+
+def _value(index: Postings, tf, dl, k1: float, b: float) -> Column:
+    return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / (index.avgdl or 1.0)))
+
+
+def _entries(index: Postings, lists: DataFrame, k1: float, b: float, *cols: str) -> DataFrame:
+    """A row per entry of ``lists``: ``cols``, the item's number and the entry's weight."""
+    one = lists.select(*cols, "base", F.explode(F.arrays_zip("at", "tf", "dl")).alias("e"))
+    one = one.select(*cols, (F.col("base") + F.col("e.at")).alias("number"), _value(index, F.col("e.tf"), F.col("e.dl"), k1, b).alias("w"))
+    if index.repeated is None:
+        return one
+    return one.join(_small(index.repeated), "number", "left").select(*cols, F.coalesce("first", "number").alias("number"), "w")
 
 
 def search(index: Postings, queries: DataFrame, k: int, query_id: str, query_text: str, k1: float, b: float,
@@ -141,7 +193,8 @@ def search(index: Postings, queries: DataFrame, k: int, query_id: str, query_tex
 
     def partial(some: DataFrame) -> DataFrame:
         hit = lists.join(_small(some.select("qid", FILTER_COL, "term", "bucket", "idf")), ["term", "bucket"])
-        return hit.where(_allowed(FILTER_COL, TYPE_COL)).groupBy("qid", "iid").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
+        hit = _entries(index, hit.where(_allowed(FILTER_COL, TYPE_COL)), k1, b, "qid", "idf")
+        return hit.groupBy("qid", "number").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
 
     rare = Window.partitionBy("qid").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     seeds = qt.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("_before") < SEED_ITEMS * k)
@@ -156,11 +209,13 @@ def search(index: Postings, queries: DataFrame, k: int, query_id: str, query_tex
     least = _ranked(found, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))   # a limit as well
     found = found.join(rest.join(least, "qid", "left"), "qid", "left")
     open_ = found.where(F.col("rest").isNull() | (F.col("score") + F.col("rest") >= F.greatest("limit", "least") - EPSILON))
-    open_ = materialize(open_.select("qid", "iid", "score", "rest"), "open-candidates")
-    look = open_.where("rest is not null").join(common.select("qid", "term", "bucket", "idf"), "qid").select(
-        "qid", "iid", "term", "bucket", "idf")
+    open_ = _small(materialize(open_.select("qid", "number", "score", "rest"), "open-numbers"))
+    open_ = materialize(index.items.join(open_, "number"), "open-candidates")
+    look = open_.where("rest is not null and iid is not null").join(common.select("qid", "term", "bucket", "idf"), "qid").select(
+        "qid", "number", "iid", "term", "bucket", "idf")
     # the lists of common terms meet the candidates by (term, item): no row for other items
-    more = lists.join(_small(materialize(look, "lookups")), ["term", "bucket", "iid"]).select(
+    asked = lists.join(_small(common.select("term", "bucket").distinct()), ["term", "bucket"], "left_semi")
+    more = _entries(index, asked, k1, b, "term", "bucket").join(_small(materialize(look, "lookups")), ["term", "bucket", "number"]).select(
         "qid", "iid", (F.col("idf") * F.col("w")).alias("score"))
     total = open_.select("qid", "iid", "score").unionByName(more).groupBy("qid", "iid").agg(F.round(F.sum("score"), 6).alias("score"))
-    return _ranked(total.where("score > 0"), k)
+    return _ranked(total.where("score > 0"), k, "iid")

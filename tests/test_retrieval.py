@@ -219,3 +219,24 @@ def test_mmr_of_many_candidates(spark):
         got.setdefault(r["qid"], []).append(r["iid"])
     assert time.time() - t0 < 60
     assert got == {q: _mmr_plain(c, 20, rt.MMR_LAMBDA) for q, c in questions.items()}
+
+
+def test_postings_store_ids_once_an_item(spark):
+    """Entries take a few bytes each on disk however long the ids are; an id that occurs again is one item."""
+    import hashlib
+    import os
+
+    from quire.operators.postings import build_postings
+    rng = np.random.default_rng(5)
+    rows = [(hashlib.sha256(str(i).encode()).hexdigest(), " ".join(f"w{x}" for x in rng.integers(0, 3000, 200))) for i in range(1500)]
+    items = spark.createDataFrame(rows, "chunk_id string, chunk_text string")
+    index = build_postings(items, "chunk_id", "chunk_text")
+    files = {f.replace("file://", "").replace("file:", "") for f in index.lists.inputFiles()}
+    entries = index.terms.agg(F.sum("df")).first()[0]
+    assert sum(os.path.getsize(f) for f in files) < 8 * entries
+    q = spark.createDataFrame([(1, rows[7][1][:60])], "qid int, q string")
+    got = rt.bm25(q, index, 5, "qid", "q", "chunk_id", "chunk_text")
+    assert _rows(got, "iid", "score", "rank") == _rows(rt.bm25(q, items, 5, "qid", "q", "chunk_id", "chunk_text"), "iid", "score", "rank")
+    twice = build_postings(items.unionByName(items.limit(8)), "chunk_id", "chunk_text")
+    got = rt.bm25(q, twice, 5, "qid", "q", "chunk_id", "chunk_text").collect()
+    assert len({r["iid"] for r in got}) == len(got) == 5
