@@ -7,8 +7,9 @@ are spread. Only sums and centroids (cells x dimensions) are ever gathered.
 
 *Table.* Vectors are stored by cell, so a search reads the probed cells by partition
 filter. *Search.* Each query goes to its ``probes`` nearest cells; a cell is scored block
-by block in numpy, a cell of many vectors in several blocks by a hash of their id, so
-no pair becomes a row and no hot cell one task.
+by block in numpy, a cell of many vectors in several blocks by a hash of their id, and
+the queries that probe it in blocks of about ``GROUP_QUERIES``, so no pair becomes a row,
+no hot cell one task, and a group's size does not grow with the queries.
 
 ``probes`` may be a number, or None: then it is the least number for which the measured
 recall on about ``SAMPLE`` queries (against exact neighbours) reaches ``RECALL``.
@@ -32,6 +33,7 @@ MAX_CELLS = 4096
 ROUNDS = 2
 FILE_ROWS = 50_000      # a cell is written in files of about so many vectors
 UNIT = 1_000_000
+GROUP_QUERIES = 8192    # queries that meet a cell in one group
 SAMPLE, RECALL = 128, 0.92
 
 
@@ -145,15 +147,20 @@ def search_cells(index: Cells, queries: DataFrame, k: int, query_id: str, qvec:
     probes = max(1, min(probes, len(index.centroids)))
     sent = good.mapInArrow(_cell_of(spark.sparkContext.broadcast(index.centroids), probes, "qid"),
                            f"qid {kind.simpleString()}, v array<double>, cell int").withColumnRenamed("v", "qvec")
-    probed = sorted(r[0] for r in sent.select("cell").distinct().collect())            # a cell count at most
+    asked = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row a cell
+    probed = sorted(asked)
+    parts = F.element_at(F.create_map(*[F.lit(x).cast("int") for c in probed for x in (c, math.ceil(asked[c] / GROUP_QUERIES))]),
+                         F.col("cell")) if probed else F.lit(1)
     blocks = {c: math.ceil(n / topk.GRID_ITEMS) for c, n in index.sizes.items() if n > topk.GRID_ITEMS}
     many = F.lit(1)
     for c, b in blocks.items():                                                        # cells of many vectors
         many = F.when(F.col("cell") == c, b).otherwise(many)
     items = index.table.where(F.col("cell").isin(probed)).withColumn("block", F.pmod(F.xxhash64("iid"), many.cast("long")))
     sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)))
+    items = items.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+    sent = sent.withColumn("part", F.pmod(F.xxhash64("qid"), parts.cast("long")))
     schema = topk._out_schema(kind, index.table.schema["iid"].dataType)
-    found = topk.keyed_partial_top_k(items, sent, ["cell", "block"], topk.cosine_scorer(k, exclude_self=exclude_self), k, schema)
+    found = topk.keyed_partial_top_k(items, sent, ["cell", "block", "part"], topk.cosine_scorer(k, exclude_self=exclude_self), k, schema)
     return topk._merge(found, k)
 
 
