@@ -240,3 +240,60 @@ def test_postings_store_ids_once_an_item(spark):
     twice = build_postings(items.unionByName(items.limit(8)), "chunk_id", "chunk_text")
     got = rt.bm25(q, twice, 5, "qid", "q", "chunk_id", "chunk_text").collect()
     assert len({r["iid"] for r in got}) == len(got) == 5
+
+
+def test_bounded_scores_equal_all_scores():
+    """Given the least score of a list so far, a block gives the same list: ties, zero, opposite and bad vectors, filters."""
+    import pandas as pd
+
+    from quire.operators import topk
+    rng = np.random.default_rng(11)
+    v = np.round(rng.normal(size=(900, 4)), 1)
+    v[::50], v[7], v[8] = 0.0, v[3], -v[3]
+    types = np.array(["csv", "pdf"])[rng.integers(0, 2, 900)]
+    items = pd.DataFrame({"iid": rng.permutation(900), "embedding": list(v), topk.TYPE_COL: types})
+    asked = pd.DataFrame({"qid": np.arange(60), "qvec": list(v[:60]), topk.FILTER_COL: [None, "csv", "pdf"] * 20})
+    for exclude_self in (False, True):
+        for part in (items, pd.concat([items, items.head(1).assign(iid=5000, embedding=[np.array([np.nan] * 4)])], ignore_index=True)):
+            bound = topk.cosine_scorer(5, exclude_self=exclude_self)
+            used = []
+            real = bound._reaching
+            bound._reaching = lambda *a: used.append(1) or real(*a)
+            plain = topk.cosine_scorer(5, exclude_self=exclude_self)
+            plain.bounded = False
+            a, b = (topk._score_items(part, [asked], s, 5, 100, {})[0].reset_index(drop=True) for s in (bound, plain))
+            assert a.equals(b) and len(a) == 300 and used
+
+
+def test_grid_query_blocks_follow_bytes(spark, monkeypatch):
+    """Items are shuffled once for a block of queries of some megabytes, not for every 16,384 rows."""
+    from quire.operators import topk
+    shuffled = []
+    real = topk.keyed_partial_top_k
+    monkeypatch.setattr(topk, "keyed_partial_top_k", lambda i, *a: shuffled.append(i.count()) or real(i, *a))
+    items = spark.createDataFrame([(i, f"w{i % 7} common") for i in range(40)], "iid long, t string")
+    q = spark.range(20_000).select(F.col("id").alias("qid"), F.concat(F.lit("w"), F.col("id") % 7).alias("q"))
+    hits = rt.bm25(q, items, 3, "qid", "q", "iid", "t", mode="grid")
+    assert hits.count() == 60_000 and shuffled == [40]
+
+
+def test_cell_groups_are_bounded(spark, monkeypatch):
+    """A cell's queries meet it in blocks; the hits are those of whole groups."""
+    from quire.operators import cells, topk
+    rng = np.random.default_rng(2)
+    e = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)], "vec_id int, embedding array<double>")
+    index = cells.build_cells(e, "vec_id", cells=4)
+    q = e.select("vec_id", F.col("embedding").alias("qvec"))
+    keys, sizes = [], []
+    real = topk.keyed_partial_top_k
+
+    def seen(items, queries, by, *a):
+        keys.append(by)
+        sizes.append(queries.groupBy(*by).count().agg(F.max("count")).first()[0])
+        return real(items, queries, by, *a)
+
+    monkeypatch.setattr(topk, "keyed_partial_top_k", seen)
+    whole = _rows(cells.search_cells(index, q, 5, "vec_id", probes=4, exclude_self=True), "qid", "iid", "score", "rank")
+    monkeypatch.setattr(cells, "GROUP_QUERIES", 50, raising=False)
+    parts = _rows(cells.search_cells(index, q, 5, "vec_id", probes=4, exclude_self=True), "qid", "iid", "score", "rank")
+    assert parts == whole and sizes[0] == 400 and sizes[1] < 100
