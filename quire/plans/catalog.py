@@ -190,8 +190,17 @@ from quire.operators import index as ix  # noqa: E402
 from quire.sources import pages as pg  # noqa: E402
 
 
+def _stored_pieces(spark, sf_dir, name, piece_bytes) -> int:
+    from quire.sources.files import pieces
+    return pieces(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), piece_bytes)
+
+
+PAGE_BYTES = 4 << 20        # stored pages a task takes: their expressions are heavy
+
+
 def page_rows(spark, sf_dir, text=pg.html_text):
-    p = pages_table(spark, sf_dir)
+    from quire.sources.files import finer
+    p = finer(pages_table(spark, sf_dir), ["page_id", "url"], _stored_pieces(spark, sf_dir, "pages", PAGE_BYTES))
     return p.select(pg.url_document("url").alias("doc_url"), pg.url_page_number("url").alias("page_number"),
                     text("html").alias("page_text"))
 

@@ -38,6 +38,18 @@ def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | N
     return df.repartition(want, *cols)
 
 
+def pieces(df: DataFrame, piece_bytes: int) -> int:
+    """Into how many pieces of about ``piece_bytes`` the input of ``df`` goes."""
+    return -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // piece_bytes) or 1
+
+
+def finer(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``df`` in ``n`` pieces by a hash of ``keys``, for work that is heavy per byte: a
+    file's row groups may be so large that splits of it have no rows, and then the tasks
+    grow with the input. No more pieces than cores: unchanged."""
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def base_name(c) -> Column:
     """Last path segment of a URI or path."""
     col = F.col(c) if isinstance(c, str) else c
