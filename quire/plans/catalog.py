@@ -268,6 +268,9 @@ def q_ask_batch(spark, sf_dir):
 # streaming sync
 # ---------------------------------------------------------------------------
 
+ARRIVING_BYTES = 32 << 20     # documents in an arriving file or a bucket, beyond the least numbers
+
+
 def q_stream_sync(spark, sf_dir):
     """Index built from the 350/90 chunking; then the 400/100 chunking arrives as
     files, with a delete for each old key it lacks, and is applied batch by batch."""
@@ -278,14 +281,16 @@ def q_stream_sync(spark, sf_dir):
     new, old = _snapshots(spark, sf_dir)
     root = f"{checkpoint_dir(spark)}/stream_sync/{uuid.uuid4().hex}"
     key, values = ["doc_id", "chunk_index"], ["chunk_text"]
-    write_bucketed(old, f"{root}/target", key, 8)
+    pieces = _stored_pieces(spark, sf_dir, "documents", ARRIVING_BYTES)
+    files, buckets = max(4, pieces), max(8, pieces)
+    write_bucketed(old, f"{root}/target", key, buckets)
     gone = old.join(new, key, "left_anti").select(*key, F.lit(None).cast("string").alias("chunk_text"),
                                                   F.lit(True).alias("deleted"))
     arriving = new.withColumn("deleted", F.lit(False)).unionByName(gone)
-    arriving.repartition(4, "doc_id").write.parquet(f"{root}/incoming")
+    arriving.repartition(files, "doc_id").write.parquet(f"{root}/incoming")
     schema = spark.read.parquet(f"{root}/incoming").schema
     return stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values,
-                       f"{root}/progress", buckets=8, max_files_per_trigger=2, deleted_col="deleted")
+                       f"{root}/progress", buckets=buckets, max_files_per_trigger=-(-files // 2), deleted_col="deleted")
 
 
 def q_knn_lsh(spark, sf_dir):
@@ -528,10 +533,11 @@ def q_stream_late(spark, sf_dir):
     newest = new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
     newest = newest.withColumn("seq", F.lit(2))
     late = old.withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(1))
+    pieces = _stored_pieces(spark, sf_dir, "documents", ARRIVING_BYTES)
     for rows in (newest, late):
-        rows.repartition(2, "doc_id").write.mode("append").parquet(f"{root}/incoming")
+        rows.repartition(max(2, pieces), "doc_id").write.mode("append").parquet(f"{root}/incoming")
         schema = spark.read.parquet(f"{root}/incoming").schema
-        out = stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values, f"{root}/progress", buckets=8,
+        out = stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values, f"{root}/progress", buckets=max(8, pieces),
                           deleted_col="deleted", order_col="seq")
     return out
 

@@ -75,7 +75,8 @@ def upsert(batch: DataFrame, target_path: str, key: list[str], values: list[str]
         fresh = fresh.withColumn(ORDER, F.lit((old.agg(F.max(ORDER)).first()[0] or 0) + 1).cast("long"))
     merged = _latest(old.select(*fresh.columns).unionByName(fresh), key, values)
     staged = materialize(merged, "upsert")  # never overwrite a path the same plan reads
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(target_path)
+    # by bucket, so that a bucket is one file: tasks times buckets would grow with the square of the input
+    staged.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(target_path)
 
 
 def _latest(rows: DataFrame, key: list[str], values: list[str]) -> DataFrame:

@@ -139,3 +139,21 @@ def test_line_filter_sees_lines_of_html(spark):
     pages = df.select(pg.html_lines("h").alias("page_text"), F.lit("f").alias("source_file"), F.lit(1).alias("page_number"))
     assert "warm root" in pg.page_records(pages, "structured").first()["raw_text"]
     assert pg.html_extractor(b"<p>a b</p><p>c</p>", "f") == ["a b\nc"]
+
+
+def test_pages_and_arriving_files_in_pieces(spark, monkeypatch):
+    """Tasks and files are pieces of a fixed size, so none grows with the input; the rows stay."""
+    from quire.plans import catalog
+    from quire.sources.files import finer
+    sf = "/root/testdata/sf0.001"
+    df = catalog.pages_table(spark, sf)
+    assert finer(df, ["page_id"], 1).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    whole = sorted(map(tuple, catalog.q_page_structured(spark, sf).collect()), key=str)
+    monkeypatch.setattr(catalog, "PAGE_BYTES", 4096)
+    assert catalog.page_rows(spark, sf).rdd.getNumPartitions() > 10
+    assert sorted(map(tuple, catalog.q_page_structured(spark, sf).collect()), key=str) == whole
+    monkeypatch.setattr(catalog, "ARRIVING_BYTES", 32 << 10)
+    assert catalog._stored_pieces(spark, sf, "documents", 32 << 10) > 8
+    target = sorted(map(tuple, catalog.q_stream_late(spark, sf).collect()))
+    assert target == sorted(map(tuple, catalog.q_stream_sync(spark, sf).collect()))
+    assert target == sorted(map(tuple, catalog._snapshots(spark, sf)[0].collect()))
