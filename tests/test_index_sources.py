@@ -141,19 +141,25 @@ def test_line_filter_sees_lines_of_html(spark):
     assert pg.html_extractor(b"<p>a b</p><p>c</p>", "f") == ["a b\nc"]
 
 
-def test_pages_and_arriving_files_in_pieces(spark, monkeypatch):
+def test_pages_and_arriving_files_in_pieces(spark, monkeypatch, tmp_path):
     """Tasks and files are pieces of a fixed size, so none grows with the input; the rows stay."""
     from quire.plans import catalog
     from quire.sources.files import finer
-    sf = "/root/testdata/sf0.001"
+    sf = str(tmp_path)
+    rows = [(i, f"https://h.example/p{i // 3}?page={i % 3}", f"<p>Ginger {i}</p><p>Used for: cough and cold, {'tea ' * (i % 7)}</p>")
+            for i in range(900)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{sf}/pages.parquet")
+    texts = [(i, " ".join(f"w{i * 31 + j * j}" for j in range(120 + 9 * i)), "s", "en", 0) for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string, lang string, n_chars long").coalesce(1).write.parquet(
+        f"{sf}/documents.parquet")
     df = catalog.pages_table(spark, sf)
     assert finer(df, ["page_id"], 1).rdd.getNumPartitions() == df.rdd.getNumPartitions()
     whole = sorted(map(tuple, catalog.q_page_structured(spark, sf).collect()), key=str)
-    monkeypatch.setattr(catalog, "PAGE_BYTES", 4096)
+    monkeypatch.setattr(catalog, "PAGE_BYTES", 512)
     assert catalog.page_rows(spark, sf).rdd.getNumPartitions() > 10
     assert sorted(map(tuple, catalog.q_page_structured(spark, sf).collect()), key=str) == whole
-    monkeypatch.setattr(catalog, "ARRIVING_BYTES", 32 << 10)
-    assert catalog._stored_pieces(spark, sf, "documents", 32 << 10) > 8
+    monkeypatch.setattr(catalog, "ARRIVING_BYTES", 8 << 10)
+    assert catalog._stored_pieces(spark, sf, "documents", 8 << 10) > 8
     target = sorted(map(tuple, catalog.q_stream_late(spark, sf).collect()))
     assert target == sorted(map(tuple, catalog.q_stream_sync(spark, sf).collect()))
     assert target == sorted(map(tuple, catalog._snapshots(spark, sf)[0].collect()))
