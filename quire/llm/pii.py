@@ -8,9 +8,10 @@
    their own type too, and base spans.
 3. *Boosted trees* over format and context features of a candidate. Labels: a
    candidate that is a base span, or the end of a base phone, is personal; a digit run
-   that fails the card check, a date or a plain decimal is not. At most ``SAMPLE`` of
-   each label, those of the smallest hash, are fitted on the driver; one in four
-   calibrates the threshold. The trees travel back as a column expression.
+   that fails the card check, a date or a plain decimal is not. All distinct ones
+   count: Spark counts them by feature vector, and the trees are fitted on the vectors
+   with their counts. One in four calibrates the threshold. The trees travel back as a
+   column expression.
 4. Candidates without a label, among them those that base spans cover only in part, are
    scored. Of overlapping ones whose score passes, a spaced IBAN goes first, then
    another type's own format, then what swallows no date or base span, then the higher
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import let
 from quire.llm import boosting
-from quire.llm.tables import bounded_sample, write_once
+from quire.llm.tables import write_once
 
 KINDS = ("email", "ip", "card", "phone", "other")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -58,7 +59,7 @@ OTHERS = [(BEGIN + IBAN + END, 0), (BEGIN + LETTERED + END, RANK_LOOSE),
           *[(f"{BEGIN}{GROUPS}{{{k}}}{END if k == 4 else WHOLE}", RANK_LOOSE) for k in (1, 2, 3, 4)]]
 CONTEXT = r"(?i)phone|tel\b|tel:|call|mobile|fax|ssn|social|iban|account|card|visa|passport|contact|mail|address|born"
 LEFT, RIGHT = 24, 8
-SAMPLE, PRECISION, ENOUGH = 3000, 0.97, 20
+PRECISION, ENOUGH = 0.97, 20
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -206,22 +207,26 @@ def features(c) -> list[Column]:
         c["left"].rlike(r"\+[0-9]{1,3} ?$").cast("int"), c["right"].rlike(r"^ ?[0-9.,:%$€£]").cast("int"))]
 
 
-def train(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[list, float] | None:
-    """Trees and threshold from the labelled candidates, or None without enough."""
-    c = found.select(F.explode("cands").alias("c")).select("c.*")
-    xs, ys, held = [], [], []
-    for y in (0, 1):
-        rows = bounded_sample(c.where(F.col("label") == y).select(
-            "body", "left", "right", F.array(*features(c)).alias("x"),
-            (F.pmod(F.xxhash64("body"), F.lit(4)) == 0).alias("h")), sample)
-        xs += [r.x for r in rows]
-        ys += [y] * len(rows)
-        held += [r.h for r in rows]
-    x, y, h = np.array(xs, float), np.array(ys, float), np.array(held, bool)
-    if any((y[h == k] == v).sum() < ENOUGH for k in (False, True) for v in (0, 1)):
+def tallies(found: DataFrame) -> DataFrame:
+    """label, h (held out), x (features), n: how many distinct labelled candidates (body
+    and what is around it) have these. A candidate has 50 code points at most and the
+    features count in it, so the vectors' number is bounded whatever the corpus."""
+    c = found.select(F.explode("cands").alias("c")).select("c.*").where("label in (0, 1)")
+    return c.select("label", (F.pmod(F.xxhash64("body"), F.lit(4)) == 0).alias("h"),
+                    F.array(*features(c)).cast("array<short>").alias("x"),
+                    F.xxhash64("body", "left", "right").alias("key")).distinct() \
+        .groupBy("label", "h", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(found: DataFrame, precision: float = PRECISION) -> tuple[list, float] | None:
+    """Trees and threshold from all labelled candidates, or None without enough."""
+    rows = sorted(tallies(found).collect())
+    x, y = np.array([r.x for r in rows], float), np.array([r.label for r in rows], float)
+    h, w = np.array([r.h for r in rows], bool), np.array([r.n for r in rows], float)
+    if any(w[(h == k) & (y == v)].sum() < ENOUGH for k in (False, True) for v in (0, 1)):
         return None
-    model = boosting.train(x[~h], y[~h])
-    at = boosting.threshold(model, x[h], y[h], precision)
+    model = boosting.train(x[~h], y[~h], w[~h])
+    at = boosting.threshold(model, x[h], y[h], w[h], precision)
     return None if at is None else (model, at)
 
 

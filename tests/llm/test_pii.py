@@ -89,3 +89,28 @@ def test_apart(spark):
         (2, -9, 0, 20), (1, -3, 5, 12), (1, -4, 10, 15), (2, -1, 15, 18), (1, -1, 30, 40))) + ")"
     got = spark.range(1).select(P.apart(F.expr(array)).alias("x")).first().x
     assert sorted((r.start, r.end) for r in got) == [(10, 15), (15, 18), (30, 40)]
+
+
+def test_all_labelled_candidates_are_learnt_from(spark):
+    texts = [f"born 19{i % 100:02d}-{i % 12 + 1:02d}-{i % 28 + 1:02d} no {i} and {10 ** 14 + i * 7919} units" for i in range(4000)]
+    docs = documents(spark, texts + texts[:500])        # copies of a candidate and what is around it count once
+    body = F.col("text")
+    found = docs.select(P.candidates(body, P.base_spans(body)).alias("cands")).cache()
+    labelled = {(c.label, c.body, c.left, c.right) for r in found.collect() for c in r.cands if c.label in (0, 1)}
+    assert sum(c[0] == 0 for c in labelled) > 7000
+    got = P.tallies(found).collect()
+    assert [sum(r.n for r in got if r.label == y) for y in (0, 1)] == [sum(c[0] == y for c in labelled) for y in (0, 1)]
+    assert len(got) < 100
+
+
+def test_counted_vectors_give_the_trees_of_single_examples():
+    import numpy as np
+    from quire.llm import boosting
+    rng = np.random.default_rng(5)
+    x, w = rng.integers(0, 9, (200, 4)).astype(float), rng.integers(1, 6, 200).astype(float)
+    y = (x[:, 0] + x[:, 1] > 8).astype(float)
+    many = np.repeat(np.arange(200), w.astype(int))
+    one = np.ones(len(many))
+    a, b = boosting.train(x, y, w), boosting.train(x[many], y[many], one)
+    assert np.allclose(boosting.log_odds(a, x), boosting.log_odds(b, x))
+    assert np.isclose(boosting.threshold(a, x, y, w, 0.9), boosting.threshold(b, x[many], y[many], one, 0.9))
