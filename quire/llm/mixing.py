@@ -7,18 +7,23 @@ looks, for the first ``LEAD`` bytes of a segment, at the last ``TAIL`` bytes of
 before and all of this one so far. Each hashed slot counts zeros and
 ones over all training documents. A slot's log odds are weighted by a gate (its
 predictor and how much it has seen), the weighted log odds are summed, and the sum is
-refined by an adaptive probability map over (bits so far, quantised sum). Gate weights
-and map are learnt online, by one pass of small steps over a bounded sample of training
-documents, each example without its own count. The score of a text is the sum of the
-log10 probabilities of its bits; it does not depend on how the documents are spread over
-tasks, and it does depend on the order of the words.
+refined by a probability map over (bits so far, quantised sum). Gate weights and map
+are learnt from all training documents, each example without its own count. A byte's
+example is fixed by the bytes before it that predictors look at, so Spark counts the
+distinct ones (units). They are dealt by hash into groups of about ``GROUP``; each group
+learns weights by small steps in the order of the hash, every unit by how often it
+occurs, and the weights of the groups are averaged. The map then counts all units under
+these weights. The score of a text is the sum of the log10 probabilities of its bits; it
+does not depend on how the documents are spread over tasks, and it does depend on the
+order of the words.
 
 The bytes past a segment's first are predicted once for each distinct segment of a
 block, its first ones once for each distinct pair of them and the end before, in slices
 that stay in the cache; both are gathered to all places.
 
 *Tables.* Slot counts have a fixed size (``SLOTS`` per predictor, 2 to ``PAIR_BITS`` for
-the fifth) and are summed task by task. Word counts grow with the corpus and stay in
+the fifth) and are summed task by task; a task of few texts hands on only what is not 0.
+Word counts grow with the corpus and stay in
 Spark; the ``FREQUENT`` most frequent words (a bounded number, most of all tokens) travel
 to the tasks, all others are joined, so no word is left out and no frequent word makes a
 hot key.
@@ -39,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
-from quire.llm.tables import bounded_sample, write_once
+from quire.llm.tables import write_once
 from quire.session import ship_package
 
 PREDICTORS, SLOT_BITS, CHUNK = 4, 18, 1 << 8
@@ -49,7 +54,8 @@ LEAD, TAIL = 4, 2                      # bytes of a segment that are predicted a
 PAIR_BITS = 20                         # log2 of the fifth predictor's slots
 SLICE = 1 << 16                        # bytes of pairs mixed at once
 GATES, STEPS, MAP = 14, 4096, 64       # confidence classes, decisions a step, classes of the map
-SAMPLE_DOCS = 400                      # training documents that gates and map are learnt from
+GROUP, ROUNDS = 1 << 20, 256           # units of a group; pieces of STEPS units it learns from, at least
+LATE = -3 - LEAD                       # table of units past a segment's first bytes; before it, those of place 0, 1, ...
 FREQUENT = 1 << 17
 BLOCK_BYTES = 2_000_000
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -198,9 +204,56 @@ def decisions(text: np.ndarray, ctx: list[np.ndarray]):
 
 def gather_counts(bits: int):
     """Kernel over training documents: word counts (table -1), their number and that
-    of texts (table -2), and chunks of slot counts (the last table: pairs), each as one
-    row of bytes or numbers."""
-    return lambda batches: _gather_counts(batches, bits)
+    of texts (table -2), units (tables -3 to ``LATE``), and chunks of slot counts (the last
+    table: pairs), each as one row of bytes or numbers. A chunk of mostly zeros is its
+    places and their counts, whose number is ``c``."""
+    return lambda batches: packed(_gather_counts(batches, bits))
+
+
+def packed(batches):
+    for batch in batches:
+        if not len(batch) or batch.column(3).null_count:
+            yield batch
+            continue
+        sizes, blobs = [], []
+        for t, blob in zip(batch.column(0).to_pylist(), batch.column(3)):
+            x = np.frombuffer(blob.as_buffer(), _kind(t))
+            at = np.flatnonzero(x)
+            few = len(at) < CHUNK
+            sizes.append(len(at) if few else 0)
+            blobs.append(at.astype("<u2").tobytes() + x[at].tobytes() if few else blob.as_py())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
+                                         batch.schema.names)
+
+
+def unit_keys(p: Pairs, ctx: list[np.ndarray]):
+    """Table, keys and times of the block's examples. The low byte of a key is the byte, the
+    next ones the bytes before it in its segment; its upper half is the hash of the
+    segment before, or past the first ``LEAD`` bytes that of the whole segment so far."""
+    text, late = p.text.astype(np.uint64), p.places()[1]
+    def joined(upper, at, n):
+        key = upper.astype(np.uint64) << np.uint64(32)
+        for b in range(n):
+            key |= text[at - b] << np.uint64(8 * b)
+        return key
+
+    yield LATE, joined(ctx[3][late], late, 4), np.repeat(p.times, np.diff(p.bounds))[late]
+    for _, _, at, before, times, edges in p.slices():
+        place = np.arange(len(at)) - np.repeat(edges[:-1], np.diff(edges))
+        for j in range(LEAD):
+            some = np.flatnonzero(place == j)
+            yield -3 - j, joined(before[some], at[some], j + 1), times[some]
+
+
+def unit_contexts(table: int, keys: np.ndarray):
+    """The bytes of units of one table, and their predictors' contexts."""
+    n = min(-2 - table, LEAD)
+    upper = (keys >> np.uint64(32)).astype(np.uint32)
+    text = np.stack([(keys >> np.uint64(8 * b)).astype(np.uint8) for b in range(n - 1, -1, -1)], 1).ravel()
+    ctx = [c[n - 1::n] for c in contexts(text, np.arange(len(keys) + 1) * n)]
+    if table == LATE:
+        return text[n - 1::n], [*ctx[:3], upper]
+    return text[n - 1::n], [*ctx, _after(ctx[3], upper)]
 
 
 def _gather_counts(batches, bits: int):
@@ -209,6 +262,7 @@ def _gather_counts(batches, bits: int):
     slots = np.zeros((PREDICTORS, 2 * SLOTS), np.int64)
     couples = np.zeros(512 * 256, np.int64)             # of a byte and the one before: the first predictor's counts
     words: list[tuple[np.ndarray, np.ndarray]] = []
+    units: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     held = n_texts = n_words = 0
 
     def merged():
@@ -230,6 +284,19 @@ def _gather_counts(batches, bits: int):
             some = used[lo:lo + 1024]
             yield rows(k, some, np.zeros(len(some), np.int64), [chunks[i].tobytes() for i in some])
 
+    def distinct(held_units):
+        key, which = np.unique(np.concatenate([x[0] for x in held_units]), return_inverse=True)
+        return key, np.bincount(which, np.concatenate([x[1] for x in held_units]), len(key)).astype(np.int64)
+
+    def add_unit(table, keys, times):
+        held_units = units.setdefault(table, [])
+        held_units.append((keys, times))
+        if sum(len(x[0]) for x in held_units) > 500_000:
+            held_units[:] = [distinct(held_units)]
+            if len(held_units[0][0]) > 250_000:
+                yield rows(table, held_units[0][0].view(np.int64), held_units[0][1])
+                held_units.clear()
+
     for batch in batches:
         for block in W.word_blocks(batch.column(0), block_bytes=BLOCK_BYTES):
             n_texts += block.n_texts
@@ -263,12 +330,18 @@ def _gather_counts(batches, bits: int):
                 after = _after(ctx[3][at], before)
                 for bit, so_far in _bits(p.text[at]):
                     _count(pairs, _slot(after, so_far, bits), bit, times)
+            for table, keys, times in unit_keys(p, ctx):
+                yield from add_unit(table, keys, times)
     met = np.flatnonzero(couples)
     for bit, _, at in decisions((met & 255).astype(np.uint8), [(met >> 8).astype(np.uint32) * _MULT[0]]):
         _count(slots[0], at[0], bit, couples[met])
     if held:
         h, c = merged()
         yield rows(-1, h.view(np.int64), c)
+    for table, held_units in units.items():
+        if held_units:
+            keys, times = distinct(held_units)
+            yield rows(table, keys.view(np.int64), times)
     yield rows(-2, np.array([0, 1]), np.array([n_texts, n_words]))
     for k in range(PREDICTORS):
         yield from tables(k, slots[k])
@@ -284,12 +357,12 @@ def sum_blobs(batches):
     """Kernel over rows dealt by (t, k): running sums of each chunk."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for t, k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            x = np.frombuffer(blob.as_buffer(), _kind(t))
-            if (t, k) in sums:
-                sums[t, k] += x
-            else:
-                sums[t, k] = x.astype(np.int64)
+        for t, k, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            at = np.frombuffer(blob.as_buffer(), "<u2", n) if n else slice(None)
+            x = np.frombuffer(blob.as_buffer(), _kind(t), offset=2 * n)
+            if (t, k) not in sums:
+                sums[t, k] = np.zeros(2 * CHUNK, np.int64)
+            sums[t, k][at] += x
     if sums:
         yield pa.RecordBatch.from_arrays(
             [pa.array([t for t, _ in sums], pa.int32()), pa.array([k for _, k in sums], pa.int64()),
@@ -361,49 +434,106 @@ def _gate(n0, n1):
     return np.minimum(np.log2(n0 + n1 + 1), GATES - 1).astype(np.int64)
 
 
-def learn(counts: np.ndarray, texts: list[str], pairs: np.ndarray | None = None) -> Mixer:
-    """Gate weights and map, online over the sample's distinct pairs by text. ``pairs``
-    are the fifth predictor's counts (zeros and ones of each slot in turn)."""
-    pairs = np.zeros(2 * SLOTS, np.int64) if pairs is None else pairs
-    tables = [*counts, pairs]
-    size = int(len(pairs) // 2 - 1).bit_length()
-    stages = [(tables, np.full((len(tables), GATES), 0.3)), (tables[:-1], np.full((len(tables) - 1, GATES), 0.3))]
-    refined = np.tile(_sigmoid((np.arange(MAP) + 0.5) * 16 / MAP - 8), (2, 256, 1))
-    seen = np.full((2, 256, MAP), 2.0)
-    step = [0, 0]
-    for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        if not len(data):
-            continue
-        units = Pairs.of(data, np.array([0, len(data)]))
-        ctx = contexts(units.text, units.bounds)
-        parts = [(0, at, before) for _, _, at, before, _, _ in units.slices()] + [(1, units.places()[1], None)]
-        for stage, at, before in parts:
-            known, weights = stages[stage]
-            inside = [c[at] for c in ctx]
-            for bit, so_far, slots in decisions(units.text[at], inside):
-                if stage == 0:
-                    slots.append(_slot(_after(inside[3], before), so_far, size))
-                for lo in range(0, len(bit), STEPS):
-                    b, s = bit[lo:lo + STEPS].astype(float), so_far[lo:lo + STEPS]
-                    x, g = [], []
-                    for j, table in zip(slots, known):
-                        j = j[lo:lo + STEPS].astype(np.int64) * 2
-                        a0, a1 = np.maximum(table[j] - (1 - b), 0), np.maximum(table[j + 1] - b, 0)   # without its own
-                        x.append(_odds(a0, a1))
-                        g.append(_gate(a0, a1))
-                    z = sum(w[gate] * odds for w, gate, odds in zip(weights, g, x))
-                    p = _sigmoid(z)
+class Examples:
+    """Units as examples: log odds and gates of their slots without their own count, from
+    tables of all slots and both bits."""
+
+    def __init__(self, counts: np.ndarray, pairs: np.ndarray):
+        self.odds, self.gates = [], []
+        for table in (*counts, pairs):
+            n0, n1 = table[::2], table[1::2]
+            self.odds.append(np.stack([_odds(np.maximum(n0 - 1, 0), n1), _odds(n0, np.maximum(n1 - 1, 0))], 1)
+                             .astype(np.float32).ravel())
+            self.gates.append(_gate(np.maximum(n0 + n1 - 1, 0), 0).astype(np.uint8))
+        self.size = int(len(pairs) // 2 - 1).bit_length()
+
+    def of(self, t: np.ndarray, k: np.ndarray, c: np.ndarray):
+        """For both stages and each bit: stage, bit, bits before it, gates, odds, times."""
+        for stage in (0, 1):
+            some = [np.flatnonzero(t == x) for x in ((LATE,) if stage else range(-3, LATE, -1))]
+            parts = [unit_contexts(int(t[i[0]]), k[i]) for i in some if len(i)]
+            if not parts:
+                continue
+            text = np.concatenate([x[0] for x in parts])
+            ctx = [np.concatenate(x) for x in zip(*(x[1] for x in parts))]
+            times = c[np.concatenate(some)].astype(float)
+            for bit, so_far in _bits(text):
+                spread = so_far * _SO_FAR
+                slots = [_slot_of(x, spread, self.size if j == PREDICTORS else SLOT_BITS).astype(np.int64)
+                         for j, x in enumerate(ctx)]
+                yield (stage, bit.astype(np.int64), so_far.astype(np.int64), [g[j] for g, j in zip(self.gates, slots)],
+                       [o[2 * j + bit] for o, j in zip(self.odds, slots)], times)
+
+    def weights(self, t: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Gate weights of both stages, learnt from units in their order, over and over until
+        ``ROUNDS`` pieces of them have been."""
+        out, step = np.full((2, PREDICTORS + 1, GATES), 0.3), [0, 0]
+        pieces = -(-len(t) // STEPS)
+        for _ in range(-(-ROUNDS // pieces) if pieces else 0):
+            for lo in range(0, len(t), STEPS):
+                part = slice(lo, lo + STEPS)
+                for stage, bit, _, gates, odds, times in self.of(t[part], k[part], c[part]):
+                    miss = times * (_sigmoid(sum(w[g] * o for w, g, o in zip(out[stage], gates, odds))) - bit)
                     step[stage] += 1
-                    rate = 0.5 / (1 + step[stage] / 400)
-                    for w, gate, odds in zip(weights, g, x):
-                        w -= rate * np.bincount(gate, (p - b) * odds, GATES) / len(b)
-                    cell = s.astype(np.int64) * MAP + _class(z)
-                    n = np.bincount(cell, minlength=256 * MAP).reshape(256, MAP)
-                    ones = np.bincount(cell, b, 256 * MAP).reshape(256, MAP)
-                    seen[stage] = np.minimum(seen[stage] + n, 4000)
-                    refined[stage] += np.where(n > 0, (ones - n * refined[stage]) / np.maximum(seen[stage], n), 0)
+                    rate = 0.5 / (1 + step[stage] / 400) / times.sum()
+                    for w, g, o in zip(out[stage], gates, odds):
+                        w -= rate * np.bincount(g, miss * o, GATES)
+        return out
+
+    def cells(self, weights: np.ndarray, t: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Zeros and ones of the map's classes: (2, 256, MAP, 2)."""
+        out = np.zeros((2, 256 * MAP * 2), np.int64)
+        for lo in range(0, len(t), SLICE):
+            part = slice(lo, lo + SLICE)
+            for stage, bit, so_far, gates, odds, times in self.of(t[part], k[part], c[part]):
+                z = sum(w[g] * o for w, g, o in zip(weights[stage], gates, odds))
+                cell = ((so_far * MAP + _class(z)) << 1) + bit
+                out[stage] += np.bincount(cell, times, 256 * MAP * 2).astype(np.int64)
+        return out.reshape(2, 256, MAP, 2)
+
+
+def _unit_arrays(batch):
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+
 
+def learn_groups(examples: Examples):
+    """Kernel over units (t, k, c, g), those of a group after one another: each group's weights."""
+    def learnt(group, held):
+        w = examples.weights(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["g", "w"])
+
+    def run(batches):
+        group, held = None, []
+        for batch in batches:
+            g, arrays = batch.column(3).to_numpy(), _unit_arrays(batch)
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1), len(g)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and g[lo] != group:
+                        yield learnt(group, held)
+                        held = []
+                    group = int(g[lo])
+                    held.append([x[lo:hi] for x in arrays])
+        if held:
+            yield learnt(group, held)
+    return run
+
+
+def map_cells(examples: Examples, weights: np.ndarray):
+    """Kernel over units: the task's counts of the map's classes, in chunks for :func:`sum_blobs`."""
+    def run(batches):
+        out = np.zeros((2, 256, MAP, 2), np.int64)
+        for batch in batches:
+            out += examples.cells(weights, *_unit_arrays(batch))
+        chunks = out.reshape(-1, 2 * CHUNK)
+        used = np.flatnonzero(chunks.any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(len(used), np.int32)), pa.array(used), pa.array(np.zeros(len(used), np.int64)),
+             pa.array([chunks[i].tobytes() for i in used], pa.binary())], ["t", "k", "c", "blob"])
+    return run
+
+
+def mix_of(counts: np.ndarray, pairs: np.ndarray, weights: np.ndarray, cells: np.ndarray) -> Mixer:
     def weighted(weights, table):
         out = np.empty(len(table) // 2, np.float32)
         for lo in range(0, len(out), SLOTS):
@@ -411,11 +541,45 @@ def learn(counts: np.ndarray, texts: list[str], pairs: np.ndarray | None = None)
             out[lo:lo + SLOTS] = weights[_gate(n0, n1)] * _odds(n0, n1)
         return out
 
+    refined = (2 * _sigmoid((np.arange(MAP) + 0.5) * 16 / MAP - 8) + cells[..., 1]) / (2 + cells.sum(-1))
     centre = (np.arange(FINE) + 0.5) * SPAN / FINE - SPAN / 2
     one = 0.5 * _sigmoid(centre) + 0.5 * np.clip(refined, 1e-4, 1 - 1e-4)[:, :, _class(centre)]
     logs = np.log10(np.stack([1 - one, one], axis=-1)).astype(np.float32).reshape(2, -1)
-    odds = np.stack([[weighted(w[k], t) for k, t in enumerate(counts)] for _, w in stages])
-    return Mixer(odds, weighted(stages[0][1][-1], pairs), logs)
+    odds = np.stack([[weighted(w[k], t) for k, t in enumerate(counts)] for w in weights])
+    return Mixer(odds, weighted(weights[0][-1], pairs), logs)
+
+
+def learn(counts: np.ndarray, texts: list[str], pairs: np.ndarray | None = None) -> Mixer:
+    """Gate weights and map from a few texts. ``pairs`` are the fifth predictor's counts
+    (zeros and ones of each slot in turn)."""
+    pairs = np.zeros(2 * SLOTS, np.int64) if pairs is None else pairs
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    p = Pairs.of(data, np.cumsum([0] + [len(t.encode()) for t in texts]))
+    found = list(unit_keys(p, contexts(p.text, p.bounds)))
+    t = np.concatenate([np.full(len(k), t) for t, k, _ in found])
+    k, c = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+    examples = Examples(counts, pairs)
+    weights = examples.weights(t, k, c)
+    return mix_of(counts, pairs, weights, examples.cells(weights, t, k, c))
+
+
+def learn_units(units: DataFrame, counts: np.ndarray, pairs: np.ndarray, group: int = GROUP) -> Mixer:
+    """Gate weights and map from all units (t, k, c)."""
+    examples = Examples(counts, pairs)
+    groups = max(1, -(-units.count() // group))
+    h = F.xxhash64("t", "k")
+    dealt = units.select("t", "k", "c", F.pmod(h, F.lit(groups)).alias("g"), h.alias("h")).repartition(groups, "g") \
+        .sortWithinPartitions("g", "h", "t", "k").drop("h")
+    got = sorted(dealt.mapInArrow(learn_groups(examples), "g long, w binary").collect())     # a KB for a group
+    weights = np.full((2, PREDICTORS + 1, GATES), 0.3)
+    if got:
+        weights = np.mean([np.frombuffer(r.w).reshape(weights.shape) for r in got], axis=0)
+    cells = np.zeros((256 * MAP * 4 // (2 * CHUNK), 2 * CHUNK), np.int64)
+    shape = "t int, k long, c long, blob binary"
+    for r in units.mapInArrow(map_cells(examples, weights), shape).repartition(len(cells), "k") \
+            .mapInArrow(sum_blobs, "t int, k long, blob binary").toLocalIterator():      # a row a chunk: a fixed size
+        cells[r.k] = np.frombuffer(r.blob, "<i8")
+    return mix_of(counts, pairs, weights, cells.reshape(2, 256, MAP, 2))
 
 
 # --- scoring -----------------------------------------------------------------
@@ -477,7 +641,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT,
-             sample: int = SAMPLE_DOCS) -> DataFrame:
+             group: int = GROUP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte of every row."""
     ship_package(docs.sparkSession)
@@ -495,15 +659,15 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", freque
     n, v = n_words + n_docs, counts.count() + (n_docs > 0)
     z = n + 0.1 * (v + 1)
 
-    blobs = gathered.where("t >= 0").select("t", "k", "blob")
+    blobs = gathered.where("t >= 0").select("t", "k", "c", "blob")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     summed = blobs.repartition(parts, "t", "k").mapInArrow(sum_blobs, "t int, k long, blob binary")
     slots, pairs = np.zeros((PREDICTORS, SLOTS * 2), np.int64), np.zeros(2 << PAIR_BITS, np.int64)
     for r in summed.toLocalIterator():      # (PREDICTORS * SLOTS + 2 ** PAIR_BITS) / CHUNK rows at most: a fixed size
         table = pairs if r.t == PREDICTORS else slots[r.t]
         table[r.k * 2 * CHUNK:(r.k + 1) * 2 * CHUNK] = np.frombuffer(r.blob, "<i8")
-    texts = [r.text for r in bounded_sample(training.select("text"), sample)]
-    mixer = learn(slots, texts, pairs)
+    units = write_once(gathered.where("t < -2").groupBy("t", "k").agg(F.sum("c").alias("c")), "mixing-units")
+    mixer = learn_units(units, slots, pairs, group)
 
     top = counts.where(F.col("c") >= _least_count(counts, frequent)).toArrow()      # at most `frequent` rows
     known = top.column(0).to_numpy().view(np.uint64)

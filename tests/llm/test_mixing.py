@@ -120,3 +120,60 @@ def test_counts_of_pairs_equal_plain_counts():
                     want[int(M._slot(after, so_far, bits)[0]) * 2 + ((int(byte) >> j) & 1)] += 1
             before = int(M.W.rolling(M.W._BYTE_VALUES[part], np.array([max(0, len(part) - M.TAIL)]), np.array([len(part)]))[0]) >> 32
     assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(want)
+
+
+def test_units_are_all_examples_of_the_texts():
+    """Units and their counts, against a walk over every byte; their contexts against those of the bytes."""
+    import pyarrow as pa
+    texts = ["one two three", "two  threefold one two", None, "", "one two", "Ünï threefold"]
+    got = Counter()
+    for out in M._gather_counts([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], 18):
+        for t, k, c in zip(out[0].to_pylist(), out[1].to_pylist(), out[2].to_pylist()):
+            if t < -2:
+                byte, ctx = M.unit_contexts(t, np.array([k]).view(np.uint64))
+                got[int(t == M.LATE), int(byte[0]), *(int(x[0]) for x in ctx)] += c
+    want = Counter()
+    for text in texts:
+        before = 0
+        for seg in re.findall(r" *[^ ]+", text or ""):
+            part = np.frombuffer(seg.encode(), np.uint8)
+            ctx = M.contexts(part, np.array([0, len(part)]))
+            for i, byte in enumerate(part):
+                own = [int(x[i]) for x in ctx]
+                after = [int(M._after(ctx[3][i:i + 1], np.array([before], np.uint32))[0])] if i < M.LEAD else []
+                want[int(i >= M.LEAD), int(byte), *own, *after] += 1
+            before = int(M.W.rolling(M.W._BYTE_VALUES[part], np.array([max(0, len(part) - M.TAIL)]), np.array([len(part)]))[0]) >> 32
+    assert got == want
+
+
+def test_packed_counts_add_up():
+    import pyarrow as pa
+    texts = [f"some text {i} with words {i * i}" for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    sums, plain, size = {}, {}, [0, 0]
+    for out in M.gather_counts(18)([batch]):
+        some = pa.compute.greater_equal(out[0], 0)
+        for r in M.sum_blobs([out.filter(some)]):
+            for t, k, blob in zip(*(r[i].to_pylist() for i in range(3))):
+                sums[t, k] = sums.get((t, k), 0) + np.frombuffer(blob, "<i8")
+        size[0] += sum(len(b) for b in out[3].to_pylist() if b)
+    for out in M._gather_counts([batch], 18):
+        for t, k, blob in zip(out[0].to_pylist(), out[1].to_pylist(), out[3].to_pylist()):
+            if t >= 0:
+                plain[t, k] = plain.get((t, k), 0) + np.frombuffer(blob, M._kind(t)).astype(np.int64)
+                size[1] += len(blob)
+    assert sums.keys() == plain.keys() and all((sums[x] == plain[x]).all() for x in sums)
+    assert size[0] < size[1] / 20          # a task of few texts hands on few bytes
+
+
+def test_every_training_text_is_learnt_from(spark, monkeypatch):
+    seen = []
+    whole = M.learn_units
+    monkeypatch.setattr(M, "learn_units", lambda units, *a: seen.append(units.groupBy(
+        (units.t == M.LATE).alias("late")).sum("c").collect()) or whole(units, *a))
+    texts = [f"text {i} of some words like {i * 7919}" for i in range(900)]        # more than 400 training texts
+    a = rows(M.lm_score(documents(spark, texts), group=500))
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    assert sum(r[1] for r in seen[0]) == sum(len(t) for t in train)
+    b = rows(M.lm_score(documents(spark, texts).repartition(7), group=500))         # several groups
+    assert [r["score"] for r in a] == [r["score"] for r in b]
