@@ -105,10 +105,12 @@ def changed_buckets(a: DataFrame, b: DataFrame) -> list[int]:
 
 
 def create_index(source: DataFrame, path: str, key: list[str], values: list[str], buckets: int = BUCKETS) -> None:
-    """Store ``source`` as version 0."""
+    """Store ``source``, which is read once, as version 0; its digests are those of the stored rows."""
     rows = _bucketed(source.select(*key, *values), key, buckets)
     rows.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/base")
-    digest_tree(source, key, values, buckets).coalesce(1).write.mode("overwrite").parquet(f"{path}/tree/{_VERSION}=0")
+    known = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in key + values)
+    stored = source.sparkSession.read.schema(known).parquet(f"{path}/base")
+    digest_tree(stored, key, values, buckets).coalesce(1).write.mode("overwrite").parquet(f"{path}/tree/{_VERSION}=0")
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -153,9 +155,11 @@ def refresh_index(source: DataFrame, path: str, key: list[str], values: list[str
     """Log what changed between the stored index and ``source`` as the next version
     and return its number. The version's tree is written last, so a refresh that stops
     midway is no version and the next one writes it anew. Applying the same source twice
-    logs nothing the second time."""
+    logs nothing the second time. The source is read once and kept for the tree, the
+    comparison and the log."""
     spark = source.sparkSession
     version = _versions(spark, path)[-1]
+    source = materialize(source.select(*key, *values), "index-source")
     mine = materialize(digest_tree(source, key, values, buckets), "source-tree")
     changed = changed_buckets(mine, _tree(spark, path, version))
     new = _bucketed(source.select(*key, *values), key, buckets).where(F.col(_BUCKET).isin(changed))

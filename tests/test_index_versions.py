@@ -97,3 +97,21 @@ def test_cells_of_many_vectors_ties_and_bad_vectors(spark, monkeypatch):
     got = _rows(ce.search_cells(index, q, 3, "qid", probes=3).select("qid", "rank", "iid"))
     assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 100), (2, 2, 101), (2, 3, 102)]
     assert ce.search_cells(ce.build_cells(e.limit(0), "vec_id"), q, 3, "qid").collect() == []
+
+
+def test_index_reads_its_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = f"{checkpoint_dir(spark)}/ix-{uuid.uuid4().hex}"
+    rows = spark.range(300).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    ix.create_index(rows.mapInArrow(count, rows.schema), path, KEY, VALUES, 8)
+    assert seen.value == 300
+    two = rows.where("k <> 7").unionByName(spark.createDataFrame([(7, "new"), (None, None)], "k int, v string"))
+    ix.refresh_index(two.mapInArrow(count, two.schema), path, KEY, VALUES, 8)
+    assert seen.value == 601
+    assert _rows(ix.read_index(spark, path, two.schema, KEY, VALUES)) == _rows(two)
