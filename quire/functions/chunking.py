@@ -59,8 +59,9 @@ def chunk_words(c, size: int = 350, overlap: int = 90, cleaned: bool = False) ->
                 .when(n <= size, F.array(b["norm"]))
                 .otherwise(windows))
 
+    # the text is bound before it is split: an expression of two fields would be cleaned twice
     norm = F.coalesce(_c(c), F.lit("")) if cleaned else clean_text(c)
-    return let(body, norm=norm, words=F.split(norm, " "))
+    return let(lambda t: let(body, norm=t["norm"], words=F.split(t["norm"], " ")), norm=norm)
 
 
 def _unit_word_counts(c) -> Column:
