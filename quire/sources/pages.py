@@ -219,5 +219,5 @@ def page_records(pages: DataFrame, strategy: str = "raw", doc_col: str = "source
         raw = tx.structure_text(F.col(text_col), F.col(doc_col), F.col(page_col))
     else:
         raise ValueError("strategy must be 'raw' or 'structured'")
-    recs = pages.select(doc_col, page_col, raw.alias("raw_text"))
-    return tx.keep_where(recs, F.length(F.trim("raw_text")) > 0)
+    # a generator makes each text once; as a projection it would be made anew wherever it is read
+    return pages.select(doc_col, page_col, F.explode(F.filter(F.array(raw), lambda t: F.length(F.trim(t)) > 0)).alias("raw_text"))

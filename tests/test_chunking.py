@@ -100,3 +100,27 @@ def test_chunk_properties(spark, toks, size, overlap):
     words = _chunks(spark, [text], chunk_words, size, overlap)[0]
     if text.split():
         assert words[0].split()[0] == text.split()[0] and words[-1].split()[-1] == text.split()[-1]
+
+
+def test_words_and_pages_are_cleaned_once(spark):
+    """One cleaning expression in the plan of a chunker or of a build from pages, so a text is cleaned once."""
+    from pyspark.sql import functions as F
+
+    from quire.functions.chunking import chunk_words
+    from quire.functions.text import WS, clean_text
+    from quire.operators.chunks import build_chunks, to_base_records
+    from quire.sources.pages import page_records
+
+    def cleanings(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count(f"{WS}+,")
+
+    d = spark.range(3).select("id", F.concat(F.lit(" a  b\n"), F.col("id").cast("string")).alias("t"))
+    assert cleanings(d.select(clean_text("t").alias("c"))) == 1
+    one = d.select(chunk_words("t", 2, 1).alias("c"))
+    assert cleanings(one) == 1 and [r.c for r in one.collect()] == [["a b", f"b {i}"] for i in range(3)]
+    pages = d.select(F.lit("f").alias("source_file"), F.col("id").cast("int").alias("page_number"), F.col("t").alias("page_text"))
+    recs = page_records(pages)
+    made = cleanings(recs)
+    chunks = build_chunks(to_base_records(recs, "raw_text", "txt", source_file="source_file", page_number="page_number"), min_words=1, min_alpha=0.0)
+    assert cleanings(chunks) == made + 1      # the record's own and the chunker's
+    assert chunks.count() == 3
