@@ -297,3 +297,23 @@ def test_cell_groups_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(cells, "GROUP_QUERIES", 50, raising=False)
     parts = _rows(cells.search_cells(index, q, 5, "vec_id", probes=4, exclude_self=True), "qid", "iid", "score", "rank")
     assert parts == whole and sizes[0] == 400 and sizes[1] < 100
+
+
+def test_items_of_a_batch_become_objects_few_at_a_time():
+    """However many rows an Arrow batch has, a frame has at most the rows asked for and keeps
+    the terms in Arrow; the scorer gives the same from both forms."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from quire.operators import topk
+    lists = [["a", "b", "a"], [], ["b"], ["c", None], ["a"]] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(15), pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["iid", "toks"])
+    frames = list(topk._item_frames(batch, 4))
+    assert [len(f) for f in frames] == [4, 4, 4, 3] and all(isinstance(f["toks"].dtype, pd.ArrowDtype) for f in frames)
+    asked = pd.DataFrame({"qid": [1, 1, 2], "term": ["a", "b", "c"], "idf": [1.0, 0.5, 2.0]})
+    plain = pd.DataFrame({"iid": range(15), "toks": [np.array(x, dtype=object) for x in lists]})
+    scorer, got, want = topk.bm25_scorer(3, avgdl=1.4), {}, {}
+    for f in frames:
+        got = topk._score_items(f, [asked], scorer, 3, 4, got)
+    want = topk._score_items(plain, [asked], scorer, 3, 4, want)
+    assert got[0].reset_index(drop=True).astype({"iid": int}).equals(want[0].reset_index(drop=True).astype({"iid": int})) and len(got[0]) == 6
