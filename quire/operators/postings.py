@@ -1,10 +1,11 @@
 """Inverted lists for keyword search (J4, A7), with exact early exclusion.
 
-*Table.* One row per term and block of at most ``BLOCK`` items of one type: the items'
-places in the block, frequencies and item lengths as arrays, stored by bucket of the
-term's hash (and by the items' type where there is one). A build reads the items once;
-each task turns its blocks into such rows before the shuffle, so an entry costs a few
-bytes there and on disk, and ids, which may be long, are kept once an item, in bucket
+*Table.* Items are taken in blocks of at most ``BLOCK``. A list has a term's items of a block
+and type: their places in the block, frequencies and lengths as arrays. One row holds the
+lists of a block's terms of one type and bucket, by the term's hash, and is stored by
+both. A build reads the items once; each task makes such rows before the shuffle, so
+neither a term nor an entry is a row there, and an entry costs a few
+bytes there and on disk; ids, which may be long, are kept once an item, in bucket
 ``IDS``. A search reads only the buckets of its batch's terms, as partition filters, and
 knows items by number until the end. A term's dictionary row holds its document
 frequency, largest frequency and shortest item, which bound its share of any score.
@@ -24,6 +25,7 @@ measured, and shuffled on the term beyond that.
 from __future__ import annotations
 
 import uuid
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -37,13 +39,14 @@ from quire.operators.topk import FILTER_COL, TYPE_COL, measured_size
 from quire.session import checkpoint_dir, materialize
 
 BUCKETS = 8, 4096           # least and most buckets; one for each ITEMS items between
-ITEMS = 1000
-FILE_ITEMS = 20_000         # a bucket is written in files of about so many items' terms
+ITEMS = 4000
+FILE_ITEMS = 4000           # a bucket is written in files of about so many items' terms
 SEED_ITEMS = 20             # items a result place that the rarest terms should give
 EPSILON = 1e-5              # scores are rounded to six digits
 BROADCAST_BYTES = 64 << 20
 NO_TYPE = ""
-BLOCK = 8192                # items of a block, below the range of a 16-bit place
+BLOCK = 1 << 15             # most items of a block: their places are 16-bit
+BLOCK_TERMS = 1 << 23       # most terms of a block of several items, with repeats
 IDS = -1                    # the bucket that holds the blocks' ids and lengths
 
 
@@ -62,43 +65,81 @@ class Postings(NamedTuple):
     repeated: DataFrame | None
 
 
-def _blocks(kind: pa.DataType):
+def _blocks(kind: pa.DataType, buckets: int):
     """Kernel over (number, iid, type, terms): a row per block with its ids and lengths, and
-    one per type and term of the block with places, frequencies and lengths."""
-    names = ["term", "type", "base", "at", "tf", "dl", "ids"]
-
-    def rows(block):
-        n, base = block.num_rows, block.column(0)[0].as_py()
-        toks = block.column(3)
-        dl = np.diff(toks.offsets.to_numpy()).astype(np.int32)
+    one per type and bucket of the block with its terms' places, frequencies and lengths."""
+    names = ["bucket", "type", "base", "lists", "dl", "ids"]
+    entry = pa.struct([("term", pa.string()), ("at", pa.list_(pa.int16())), ("tf", pa.list_(pa.int32())), ("dl", pa.list_(pa.int32()))])
+
+    def rows(held):
+        base, (ids, sizes, types, words) = held[0][0], (list(x) for x in zip(*(h[1:] for h in held)))
+        dl = np.concatenate(sizes)
+        n = len(dl)
         yield pa.RecordBatch.from_arrays([
-            pa.nulls(1, pa.string()), pa.array([NO_TYPE]), pa.array([base], pa.int64()), pa.nulls(1, pa.list_(pa.int16())),
-            pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(dl)),
-            pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), block.column(1).cast(kind))], names)
-        words, types = toks.flatten().dictionary_encode(), block.column(2).dictionary_encode()
-        if not len(words):
+            pa.array([IDS], pa.int32()), pa.array([NO_TYPE]), pa.array([base], pa.int64()), pa.nulls(1, pa.list_(entry)),
+            pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(dl)),
+            pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays(ids).cast(kind))], names)
+        if not dl.any():
             return
-        item, v = np.repeat(np.arange(n), dl), len(words.dictionary)
-        group = types.indices.to_numpy()[item].astype(np.int64) * v + words.indices.to_numpy()
-        key, tf = np.unique(group * n + item, return_counts=True)
-        group, at = key // n, key % n
+        words, types = (pa.chunked_array(x).unify_dictionaries().chunks for x in (words, types))
+        vocabulary, kinds = words[0].dictionary, types[0].dictionary
+        v = len(vocabulary)
+        bucket = np.fromiter((zlib.crc32(w) for w in vocabulary.cast(pa.binary()).to_pylist()), np.int64, v) % buckets
+        order = np.argsort(bucket, kind="stable")       # words of a bucket next to each other
+        place = np.empty(v, np.int64)
+        place[order] = np.arange(v)
+        key = np.repeat(np.concatenate([x.indices.to_numpy() for x in types]).astype(np.int64), dl)
+        key *= v
+        key += place[np.concatenate([x.indices.to_numpy() for x in words])]
+        key *= n
+        key += np.repeat(np.arange(n, dtype=np.int32), dl)
+        key.sort()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        tf = np.diff(np.append(first, len(key))).astype(np.int32)
+        group, at = np.divmod(key[first], n)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        ends = pa.array(np.r_[starts, len(key)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int16), tf.astype(np.int32), dl[at])]
-        own = group[starts]
+        ends = pa.array(np.append(starts, len(group)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int16), tf, dl[at])]
+        of_type, word = np.divmod(group[starts], v)
+        word = order[word]
+        lists = pa.StructArray.from_arrays([vocabulary.take(pa.array(word)), *lists], fields=list(entry))
+        bucket = bucket[word]
+        new = np.flatnonzero(np.r_[True, (of_type[1:] != of_type[:-1]) | (bucket[1:] != bucket[:-1])])
+        m = len(new)
         yield pa.RecordBatch.from_arrays([
-            words.dictionary.take(pa.array(own % v)), types.dictionary.take(pa.array(own // v)),
-            pa.array(np.full(len(own), base)), *lists, pa.nulls(len(own), pa.list_(kind))], names)
+            pa.array(bucket[new].astype(np.int32)), kinds.take(pa.array(of_type[new])), pa.array(np.full(m, base)),
+            pa.ListArray.from_arrays(pa.array(np.append(new, len(word)).astype(np.int32)), lists),
+            pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(kind))], names)
+
+    def pieces(batch):
+        """The batch in runs of items within both bounds, their words and types as codes."""
+        ends = batch.column(3).offsets.to_numpy().astype(np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_TERMS, "right")) - 1)
+            hi = min(hi, lo + BLOCK, batch.num_rows)
+            part = batch.slice(lo, hi - lo)
+            yield (part.column(0)[0].as_py(), part.column(1), np.diff(ends[lo:hi + 1]).astype(np.int32),
+                   part.column(2).dictionary_encode(), part.column(3).flatten().dictionary_encode())
+            lo = hi
 
     def run(batches):
+        held, n, size = [], 0, 0
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                yield from rows(batch.slice(start, BLOCK))
+            for piece in pieces(batch):
+                more, longer = len(piece[2]), len(piece[4])
+                if held and (n + more > BLOCK or size + longer > BLOCK_TERMS or piece[0] != held[0][0] + n):
+                    yield from rows(held)
+                    held, n, size = [], 0, 0
+                held.append(piece)
+                n, size = n + more, size + longer
+        if held:
+            yield from rows(held)
     return run
 
 
 def _bucket(term, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
 
 
 def build_postings(docs: DataFrame, doc_id: str, text: str, item_type: str | None = None, path: str | None = None,
@@ -113,17 +154,18 @@ def build_postings(docs: DataFrame, doc_id: str, text: str, item_type: str | Non
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(doc_id).alias("iid"), of_type.alias("type"),
                        terms(text).alias("toks"))
-    shape = "term string, {}base long, at array<short>, tf array<int>, dl array<int>, ids array<{}>"
-    rows = rows.mapInArrow(_blocks(to_arrow_type(kind)), shape.format("type string, ", kind.simpleString()))
-    rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), IDS).otherwise(_bucket("term", buckets)))
+    shape = f"""base long, lists array<struct<term: string, at: array<short>, tf: array<int>, dl: array<int>>>,
+        dl array<int>, ids array<{kind.simpleString()}>"""
+    rows = rows.mapInArrow(_blocks(to_arrow_type(kind), buckets), f"bucket int, type string, {shape}")
     part = F.pmod(F.xxhash64("base"), F.when(F.col("bucket") == IDS, buckets).otherwise(F.lit(spread)))
     (rows.repartition("bucket", part).write.mode("overwrite").option("compression", "zstd")
      .partitionBy("type", "bucket").parquet(f"{path}/lists"))
-    stored = spark.read.schema(shape.format("", kind.simpleString()) + ", type string, bucket int").parquet(f"{path}/lists")
-    lists = stored.where(F.col("bucket") != IDS).drop("ids").withColumn("type", F.coalesce("type", F.lit(NO_TYPE)))
+    stored = spark.read.schema(f"{shape}, type string, bucket int").parquet(f"{path}/lists")
+    lists = stored.where(F.col("bucket") != IDS).select("base", F.coalesce("type", F.lit(NO_TYPE)).alias("type"), "bucket", F.inline("lists"))
     told = lists.groupBy("bucket", "term").agg(F.sum(F.size("at")).alias("df"), F.max(F.array_max("tf")).alias("max_tf"),
                                                F.min(F.array_min("dl")).alias("min_dl"))
-    told.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    # dealt by bucket, so that one task writes a bucket: a file each, not one for every task and bucket
+    told.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     told = spark.read.schema("term string, df long, max_tf int, min_dl int, bucket int").parquet(f"{path}/terms")
     ids = stored.where(F.col("bucket") == IDS)
     total = ids.agg(F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]

@@ -317,3 +317,48 @@ def test_items_of_a_batch_become_objects_few_at_a_time():
         got = topk._score_items(f, [asked], scorer, 3, 4, got)
     want = topk._score_items(plain, [asked], scorer, 3, 4, want)
     assert got[0].reset_index(drop=True).astype({"iid": int}).equals(want[0].reset_index(drop=True).astype({"iid": int})) and len(got[0]) == 6
+
+
+def test_postings_of_a_bucket_are_few_files_and_rows(spark):
+    """A bucket's terms are one file, and its lists of a block and type one row, however many tasks and terms there are."""
+    from quire.operators import postings as po
+    rows = [(i, " ".join(f"t{(i * 7 + j) % 4000}" for j in range(40)), ["csv", None][i % 2]) for i in range(1200)]
+    items = spark.createDataFrame(rows, "chunk_id int, chunk_text string, source_type string").repartition(4, "chunk_id")
+    index = po.build_postings(items, "chunk_id", "chunk_text", "source_type", buckets=8)
+    assert len(index.terms.inputFiles()) == index.terms.select("bucket").distinct().count() == 8
+    stored = spark.read.parquet(index.lists.inputFiles()[0].split("/lists/")[0] + "/lists")
+    assert stored.where("bucket >= 0").count() == 4 * 2 * 8
+    terms = index.lists.groupBy("term").agg(F.sum(F.size("at")).alias("n")).orderBy("term").collect()
+    want = {}
+    for _, text, _ in rows:
+        for t in set(text.split()):
+            want[t] = want.get(t, 0) + 1
+    assert {r["term"]: r["n"] for r in terms} == want == {r["term"]: r["df"] for r in index.terms.collect()}
+
+
+def test_blocks_are_bounded_by_items_and_terms(monkeypatch):
+    """Blocks run over batches up to both bounds and give every entry; numbers that don't follow begin a block."""
+    import pyarrow as pa
+
+    from quire.operators import postings as po
+    monkeypatch.setattr(po, "BLOCK", 7)
+    monkeypatch.setattr(po, "BLOCK_TERMS", 12)
+    words = [[f"w{j % 5}" for j in range(i % 6)] for i in range(30)]
+    words[11] = ["long"] * 40
+    numbers = [*range(20), *range(100, 110)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(numbers[a:b]), pa.array([str(n) for n in numbers[a:b]]), pa.array(["x", "y", ""] * 10)[a:b],
+                                           pa.array(words[a:b], pa.list_(pa.string()))], ["number", "iid", "type", "toks"])
+               for a, b in ((0, 4), (4, 20), (20, 30))]
+    got, ids, sizes = {}, {}, []
+    for r in pa.Table.from_batches(list(po._blocks(pa.string(), 4)(iter(batches)))).to_pylist():
+        if r["bucket"] == po.IDS:
+            assert len(r["ids"]) <= 7 and (len(r["ids"]) == 1 or sum(r["dl"]) <= 12)
+            sizes.append(len(r["ids"]))
+            ids |= {r["base"] + i: (x, n) for i, (x, n) in enumerate(zip(r["ids"], r["dl"]))}
+            continue
+        for e in r["lists"]:
+            for at, tf, dl in zip(e["at"], e["tf"], e["dl"]):
+                assert (key := (e["term"], r["base"] + at)) not in got
+                got[key] = tf, dl, r["type"]
+    assert len(sizes) < 30 and ids == {n: (str(n), len(w)) for n, w in zip(numbers, words)}
+    assert got == {(t, n): (w.count(t), len(w), ["x", "y", ""][i % 3]) for i, (n, w) in enumerate(zip(numbers, words)) for t in w}
