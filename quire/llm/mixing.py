@@ -22,7 +22,7 @@ block, its first ones once for each distinct pair of them and the end before, in
 that stay in the cache; both are gathered to all places.
 
 *Tables.* Slot counts have a fixed size (``SLOTS`` per predictor, 2 to ``PAIR_BITS`` for
-the fifth) and are summed task by task; a task of few texts hands on only what is not 0.
+the fifth), are counted from a task's distinct units and summed task by task; a task of few texts hands on only what is not 0.
 Word counts grow with the corpus and stay in
 Spark; the ``FREQUENT`` most frequent words (a bounded number, most of all tokens) travel
 to the tasks, all others are joined, so no word is left out and no frequent word makes a
@@ -56,6 +56,8 @@ SLICE = 1 << 16                        # bytes of pairs mixed at once
 GATES, STEPS, MAP = 14, 4096, 64       # confidence classes, decisions a step, classes of the map
 GROUP, ROUNDS = 1 << 20, 256           # units of a group; pieces of STEPS units it learns from, at least
 LATE = -3 - LEAD                       # table of units past a segment's first bytes; before it, those of place 0, 1, ...
+HELD = 1 << 20                         # a task's units of a table that are held before they are made distinct
+MET = 1 << 19                          # segments whose bytes past the first are scored once a task
 FREQUENT = 1 << 17
 BLOCK_BYTES = 2_000_000
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -65,9 +67,23 @@ _SO_FAR = np.uint32(0x9E3779B1)         # spreads the bits before a bit over the
 # --- bits of distinct segments -------------------------------------------------
 
 
+def coded(x: np.ndarray):
+    """Distinct values of ``x`` by first occurrence, and each value's place among them; by hash, unsorted."""
+    codes = pa.array(x).dictionary_encode()
+    return codes.dictionary.to_numpy(), codes.indices.to_numpy()
+
+
+def _first(which: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` codes occurs first."""
+    at = np.empty(n, np.int64)
+    at[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return at
+
+
 def segments(data: np.ndarray, offsets: np.ndarray):
     """Distinct segments of a block: their bytes end to end, their bounds, which
-    distinct segment each segment of the block is, and the texts' segment bounds."""
+    distinct segment each segment of the block is, the texts' segment bounds, and
+    the distinct segments' hashes."""
     space = W.SPACE_BREAKS[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -75,11 +91,12 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     start[1:] |= space[1:] & ~space[:-1]
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(data))
-    _, first, which = np.unique(W.rolling(W._BYTE_VALUES[data], starts, ends), return_index=True, return_inverse=True)
+    hashes, which = coded(W.rolling(W._BYTE_VALUES[data], starts, ends))
+    first = _first(which, len(hashes))
     size = ends[first] - starts[first]
     stops = np.cumsum(size)
     at = np.repeat(starts[first] - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)
-    return data[at], np.append(0, stops), which, np.searchsorted(starts, offsets)
+    return data[at], np.append(0, stops), which, np.searchsorted(starts, offsets), hashes
 
 
 @dataclass
@@ -96,23 +113,24 @@ class Pairs:
     which: np.ndarray      # pair of each segment of the block
     segment: np.ndarray    # distinct segment of each segment of the block
     ends: np.ndarray       # the texts' segment bounds
+    hashes: np.ndarray     # of the distinct segments (uint64)
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Pairs:
-        text, bounds, which, ends = segments(data, offsets)
+        text, bounds, which, ends, own = segments(data, offsets)
         n, first = len(bounds) - 1, bounds[:-1]
         lead = W.rolling(W._BYTE_VALUES[text], first, np.minimum(first + LEAD, bounds[1:]))
-        _, at, inverse = np.unique(lead, return_index=True, return_inverse=True)
-        same = at[inverse]                               # the first segment of the same first bytes
-        tails, tail = np.unique(W.rolling(W._BYTE_VALUES[text], np.maximum(first, bounds[1:] - TAIL), bounds[1:]),
-                                return_inverse=True)
+        leads, inverse = coded(lead)
+        same = _first(inverse, len(leads))[inverse]      # the first segment of the same first bytes
+        tails, tail = coded(W.rolling(W._BYTE_VALUES[text], np.maximum(first, bounds[1:] - TAIL), bounds[1:]))
         number = np.zeros(len(which), np.int64)          # 1 + the end of the segment before
         number[1:] = tail[which[:-1]] + 1
         number[ends[:-1][ends[:-1] < len(which)]] = 0
-        pair, at, times = np.unique(number * np.int64(n + 1) + same[which], return_inverse=True, return_counts=True)
+        pair, at = coded(number * np.int64(n + 1) + same[which])
+        times = np.bincount(at, minlength=len(pair))
         before, start = np.divmod(pair, n + 1)
         hashes = np.append(np.uint64(0), tails >> np.uint64(32)).astype(np.uint32)
-        return cls(text, bounds, np.bincount(which, minlength=n), start, hashes[before], times, at, which, ends)
+        return cls(text, bounds, np.bincount(which, minlength=n), start, hashes[before], times, at, which, ends, own)
 
     def places(self):
         """Places of the first ``LEAD`` bytes of the pairs' segments, and of all bytes past
@@ -139,14 +157,6 @@ class Pairs:
             lo = hi
 
 
-def byte_before(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """256 + the byte before every byte, 0 at the start of a segment (uint32)."""
-    b = np.zeros(len(text), np.uint32)
-    b[1:] = text[:-1].astype(np.uint32) + np.uint32(256)
-    b[bounds[:-1][bounds[:-1] < len(text)]] = 0
-    return b
-
-
 def contexts(text: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Hash of each predictor's context before every byte (uint32)."""
     size = np.diff(bounds)
@@ -160,8 +170,13 @@ def contexts(text: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     one = before[0]
     two = one * np.uint32(0x1003F) + before[1]
     three = two * np.uint32(0x1003F) + before[2]
-    whole = W.rolling(W._BYTE_VALUES[text], np.repeat(bounds[:-1], size), np.arange(len(text)))
-    return [one * _MULT[0], two * _MULT[1], three * _MULT[2], (whole >> np.uint64(32)).astype(np.uint32)]
+    return [one * _MULT[0], two * _MULT[1], three * _MULT[2], so_far_hash(text, bounds)]
+
+
+def so_far_hash(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hash of the segment before every byte (uint32): the fourth predictor's context."""
+    whole = W.rolling(W._BYTE_VALUES[text], np.repeat(bounds[:-1], np.diff(bounds)), np.arange(len(text)))
+    return (whole >> np.uint64(32)).astype(np.uint32)
 
 
 def _slot(ctx: np.ndarray, so_far: np.ndarray, bits: int) -> np.ndarray:
@@ -226,7 +241,7 @@ def packed(batches):
                                          batch.schema.names)
 
 
-def unit_keys(p: Pairs, ctx: list[np.ndarray]):
+def unit_keys(p: Pairs, so_far: np.ndarray):
     """Table, keys and times of the block's examples. The low byte of a key is the byte, the
     next ones the bytes before it in its segment; its upper half is the hash of the
     segment before, or past the first ``LEAD`` bytes that of the whole segment so far."""
@@ -237,7 +252,7 @@ def unit_keys(p: Pairs, ctx: list[np.ndarray]):
             key |= text[at - b] << np.uint64(8 * b)
         return key
 
-    yield LATE, joined(ctx[3][late], late, 4), np.repeat(p.times, np.diff(p.bounds))[late]
+    yield LATE, joined(so_far[late], late, 4), np.repeat(p.times, np.diff(p.bounds))[late]
     for _, _, at, before, times, edges in p.slices():
         place = np.arange(len(at)) - np.repeat(edges[:-1], np.diff(edges))
         for j in range(LEAD):
@@ -257,10 +272,7 @@ def unit_contexts(table: int, keys: np.ndarray):
 
 
 def _gather_counts(batches, bits: int):
-    pairs = np.zeros(2 << bits, np.int32)
-    since = 0
-    slots = np.zeros((PREDICTORS, 2 * SLOTS), np.int64)
-    couples = np.zeros(512 * 256, np.int64)             # of a byte and the one before: the first predictor's counts
+    slots = [*np.zeros((PREDICTORS, 2 * SLOTS), np.int64), np.zeros(2 << bits, np.int64)]
     words: list[tuple[np.ndarray, np.ndarray]] = []
     units: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     held = n_texts = n_words = 0
@@ -268,7 +280,7 @@ def _gather_counts(batches, bits: int):
     def merged():
         h = np.concatenate([x[0] for x in words])
         c = np.concatenate([x[1] for x in words])
-        distinct, which = np.unique(h, return_inverse=True)
+        distinct, which = coded(h)
         return distinct, np.bincount(which, c, len(distinct)).astype(np.int64)
 
     def rows(table, keys, values, blobs=None):
@@ -285,24 +297,34 @@ def _gather_counts(batches, bits: int):
             yield rows(k, some, np.zeros(len(some), np.int64), [chunks[i].tobytes() for i in some])
 
     def distinct(held_units):
-        key, which = np.unique(np.concatenate([x[0] for x in held_units]), return_inverse=True)
+        key, which = coded(np.concatenate([x[0] for x in held_units]))
         return key, np.bincount(which, np.concatenate([x[1] for x in held_units]), len(key)).astype(np.int64)
 
+    def emitted(table, keys, times):
+        """Units as rows; their bits are counted here, once for each distinct unit held, not in every block."""
+        for lo in range(0, len(keys), SLICE):
+            text, ctx = unit_contexts(table, keys[lo:lo + SLICE])
+            for bit, so_far in _bits(text):
+                spread = so_far * _SO_FAR
+                for k, c in enumerate(ctx):
+                    _count(slots[k], _slot_of(c, spread, bits if k == PREDICTORS else SLOT_BITS), bit, times[lo:lo + SLICE])
+        yield rows(table, keys.view(np.int64), times)
+
     def add_unit(table, keys, times):
         held_units = units.setdefault(table, [])
         held_units.append((keys, times))
-        if sum(len(x[0]) for x in held_units) > 500_000:
+        if sum(len(x[0]) for x in held_units) > HELD:
             held_units[:] = [distinct(held_units)]
-            if len(held_units[0][0]) > 250_000:
-                yield rows(table, held_units[0][0].view(np.int64), held_units[0][1])
+            if len(held_units[0][0]) > HELD // 2:
+                yield from emitted(table, *held_units[0])
                 held_units.clear()
 
     for batch in batches:
         for block in W.word_blocks(batch.column(0), block_bytes=BLOCK_BYTES):
             n_texts += block.n_texts
             n_words += len(block.starts)
-            h, c = np.unique(block.word_hashes(), return_counts=True)
-            words.append((h, c))
+            h, which = coded(block.word_hashes())
+            words.append((h, np.bincount(which, minlength=len(h))))
             held += len(h)
             if held > 1_000_000:
                 words = [merged()]
@@ -313,44 +335,22 @@ def _gather_counts(batches, bits: int):
             if not len(block.data):
                 continue
             p = Pairs.of(block.data, block.offsets)
-            ctx = contexts(p.text, p.bounds)
-            times = np.repeat(p.times, np.diff(p.bounds))
-            np.add.at(couples, (byte_before(p.text, p.bounds) * np.uint32(256) + p.text).astype(np.int64), times)
-            for lo in range(0, len(p.text), SLICE):
-                part = slice(lo, lo + SLICE)
-                for bit, _, at in decisions(p.text[part], [c[part] for c in ctx[1:]]):
-                    for k in range(1, PREDICTORS):
-                        _count(slots[k], at[k - 1], bit, times[part])
-            if since + len(p.which) > 1 << 30:            # a slot's count stays below 2^31
-                yield from tables(PREDICTORS, pairs)
-                pairs[:], since = 0, 0
-            since += len(p.which)
-            for _, _, at, before, times, _ in p.slices():
-                times = times.astype(np.int32)
-                after = _after(ctx[3][at], before)
-                for bit, so_far in _bits(p.text[at]):
-                    _count(pairs, _slot(after, so_far, bits), bit, times)
-            for table, keys, times in unit_keys(p, ctx):
+            for table, keys, times in unit_keys(p, so_far_hash(p.text, p.bounds)):
                 yield from add_unit(table, keys, times)
-    met = np.flatnonzero(couples)
-    for bit, _, at in decisions((met & 255).astype(np.uint8), [(met >> 8).astype(np.uint32) * _MULT[0]]):
-        _count(slots[0], at[0], bit, couples[met])
     if held:
         h, c = merged()
         yield rows(-1, h.view(np.int64), c)
     for table, held_units in units.items():
         if held_units:
-            keys, times = distinct(held_units)
-            yield rows(table, keys.view(np.int64), times)
+            yield from emitted(table, *distinct(held_units))
     yield rows(-2, np.array([0, 1]), np.array([n_texts, n_words]))
-    for k in range(PREDICTORS):
-        yield from tables(k, slots[k])
-    yield from tables(PREDICTORS, pairs)
+    for k, table in enumerate(slots):
+        yield from tables(k, table)
 
 
 def _kind(table: int) -> str:
-    """A task's counts of pairs are 32-bit, all others 64-bit."""
-    return "<i4" if table == PREDICTORS else "<i8"
+    """The counts of every table are 64-bit."""
+    return "<i8"
 
 
 def sum_blobs(batches):
@@ -383,12 +383,16 @@ class Mixer:
         n = len(bounds) - 1
         once = np.ones(n, np.int64)
         all_ = np.arange(n)
-        return self.score(Pairs(text, bounds, once, all_, np.zeros(n, np.uint32), once, all_, all_, np.array([0, n])))
+        hashes = W.rolling(W._BYTE_VALUES[text], bounds[:-1], bounds[1:])
+        return self.score(Pairs(text, bounds, once, all_, np.zeros(n, np.uint32), once, all_, all_, np.array([0, n]), hashes))
 
-    def score(self, p: Pairs) -> np.ndarray:
-        """log10 probability of each segment of the block."""
+    def score(self, p: Pairs, met: Met | None = None) -> np.ndarray:
+        """log10 probability of each segment of the block. ``met``: what earlier blocks found of
+        the bytes past the segments' first ones, which depend on nothing else."""
         ctx = contexts(p.text, p.bounds)
         early, late = p.places()
+        known, value = met.find(p.hashes) if met else (np.zeros(len(p.hashes), bool), 0.0)
+        late = late[~np.repeat(known, np.diff(p.bounds))[late]]
         inside = np.empty((8, len(p.text)), np.float32)
         rest = np.zeros(len(p.text))
         for stage, places in enumerate((early, late)):
@@ -402,6 +406,10 @@ class Mixer:
                         rest[at] += self.logs[1][_cell(so_far, z, bit)]
                     else:
                         inside[i, at] = z
+        rest = np.where(known, value, _sums(rest, p.bounds))
+        if met:
+            new = ~known & (np.diff(p.bounds) > LEAD)
+            met.add(p.hashes[new], rest[new])
         out = np.zeros(len(p.start))
         size = int(len(self.pairs) - 1).bit_length()
         for lo, hi, at, before, _, edges in p.slices():
@@ -410,7 +418,28 @@ class Mixer:
             for i, (bit, so_far) in enumerate(_bits(p.text[at])):
                 sums += self.logs[0][_cell(so_far, inside[i][at] + self.pairs[_slot(after, so_far, size)], bit)]
             out[lo:hi] = _sums(sums, edges)
-        return out[p.which] + _sums(rest, p.bounds)[p.segment]
+        return out[p.which] + rest[p.segment]
+
+
+class Met:
+    """A value for each hash met so far, of a bounded number of hashes."""
+
+    def __init__(self):
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def find(self, hashes: np.ndarray):
+        """Which of ``hashes`` have a value, and the values (others: any)."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, self.values[at]
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Keep values of hashes that have none; past ``MET`` of them all earlier ones go."""
+        if len(self.hashes) + len(hashes) <= MET:
+            hashes, values = np.concatenate([self.hashes, hashes]), np.concatenate([self.values, values])
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order]
 
 
 def _sigmoid(z):
@@ -555,7 +584,7 @@ def learn(counts: np.ndarray, texts: list[str], pairs: np.ndarray | None = None)
     pairs = np.zeros(2 * SLOTS, np.int64) if pairs is None else pairs
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     p = Pairs.of(data, np.cumsum([0] + [len(t.encode()) for t in texts]))
-    found = list(unit_keys(p, contexts(p.text, p.bounds)))
+    found = list(unit_keys(p, so_far_hash(p.text, p.bounds)))
     t = np.concatenate([np.full(len(k), t) for t, k, _ in found])
     k, c = (np.concatenate([x[i] for x in found]) for i in (1, 2))
     examples = Examples(counts, pairs)
@@ -589,10 +618,11 @@ def score_texts(mixer: Mixer, known: np.ndarray, logs: np.ndarray):
     """Kernel: per text its words, the sum of ``logs`` over its frequent words and
     their number, its other words' hashes, its score and bytes."""
     def run(batches):
+        met = Met()
         for batch in batches:
             for block in W.word_blocks(batch.column(2), block_bytes=BLOCK_BYTES):
                 h = block.word_hashes()
-                distinct, which = np.unique(h, return_inverse=True)
+                distinct, which = coded(h)
                 at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
                 hit = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
                 value = np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(distinct))
@@ -602,7 +632,7 @@ def score_texts(mixer: Mixer, known: np.ndarray, logs: np.ndarray):
                 rare = ~hit[which]
                 rare_n = np.diff(np.append(0, np.cumsum(rare))[ends])
                 p = Pairs.of(block.data, block.offsets)
-                score = _sums(mixer.score(p), p.ends)
+                score = _sums(mixer.score(p, met), p.ends)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.n_texts), batch.column(1).slice(block.first, block.n_texts),
                      pa.array(np.diff(ends).astype(np.int64)), pa.array(base), pa.array(sums.astype(np.int64)),

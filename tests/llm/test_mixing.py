@@ -177,3 +177,41 @@ def test_every_training_text_is_learnt_from(spark, monkeypatch):
     assert sum(r[1] for r in seen[0]) == sum(len(t) for t in train)
     b = rows(M.lm_score(documents(spark, texts).repartition(7), group=500))         # several groups
     assert [r["score"] for r in a] == [r["score"] for r in b]
+
+
+def test_late_bytes_met_before_are_scored_once_and_alike():
+    """A segment that an earlier block held gets the same score without its late bytes being mixed
+    again, also after the bounded store was emptied."""
+    rng = np.random.default_rng(4)
+    mixer = M.Mixer(rng.normal(size=(2, M.PREDICTORS, M.SLOTS)).astype(np.float32),
+                    rng.normal(size=M.SLOTS * 2).astype(np.float32),
+                    np.log10(rng.uniform(0.01, 0.99, (2, 256 * M.FINE * 2))).astype(np.float32))
+    met = M.Met()
+    for text in ("everything short a everything", "", "a everything longer-words", "longer-words"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        p = M.Pairs.of(data, np.array([0, len(data)]))
+        assert np.array_equal(mixer.score(p, met), mixer.score(p))
+    assert len(met.hashes) == len(set(met.hashes.tolist())) == 5   # with and without a space before: other segments
+    assert met.find(p.hashes)[0].all()
+    kept, M.MET = M.MET, 2
+    try:
+        met.add(np.array([1], np.uint64), np.array([0.5]))
+    finally:
+        M.MET = kept
+    assert met.hashes.tolist() == [1] and met.find(np.array([1, 2], np.uint64))[0].tolist() == [True, False]
+
+
+def test_bits_of_a_repeated_unit_are_counted_once(monkeypatch):
+    """Counting bits follows the distinct units of a task, not its blocks."""
+    import pyarrow as pa
+    met = []
+    count = M._count
+    monkeypatch.setattr(M, "_count", lambda table, slots, *a: met.append(len(slots)) or count(table, slots, *a))
+    monkeypatch.setattr(M, "BLOCK_BYTES", 40)
+    text = "some words that every block holds "
+    made = []
+    for n in (1, 30):
+        met.clear()
+        list(M._gather_counts([pa.RecordBatch.from_arrays([pa.array([text] * n)], ["text"])], 18))
+        made.append(sum(met))
+    assert made[0] == made[1] > 0
