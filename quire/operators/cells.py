@@ -6,10 +6,11 @@ Coordinates are summed as integers (millionths), so a fit does not depend on how
 are spread. Only sums and centroids (cells x dimensions) are ever gathered.
 
 *Table.* Vectors are stored by cell, so a search reads the probed cells by partition
-filter. *Search.* Each query goes to its ``probes`` nearest cells; a cell is scored block
-by block in numpy, a cell of many vectors in several blocks by a hash of their id, and
-the queries that probe it in blocks of about ``GROUP_QUERIES``, so no pair becomes a row,
-no hot cell one task, and a group's size does not grow with the queries.
+filter. *Search.* Cells are dealt to blocks of a bounded number of vectors, a cell of many
+vectors to several by a hash of their id. A query goes once to each block that holds one
+of its ``probes`` nearest cells, with a bit for each cell it probes, and meets those cells there, one
+after the other (:mod:`quire.operators.blocks`). So no pair becomes a row, no vector is
+sent once a cell, no hot cell is one task, and a task's memory does not grow.
 
 ``probes`` may be a number, or None: then it is the least number for which the measured
 recall on about ``SAMPLE`` queries (against exact neighbours) reaches ``RECALL``.
@@ -25,15 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.operators import topk
+from quire.operators import blocks, topk
 from quire.session import checkpoint_dir
 
 MAX_CELLS = 4096
 ROUNDS = 2
 FILE_ROWS = 50_000      # a cell is written in files of about so many vectors
 UNIT = 1_000_000
-GROUP_QUERIES = 8192    # queries that meet a cell in one group
+GROUP_QUERIES = 1 << 16 # most queries that meet a block of cells
+SLICE = 1024            # vectors whose cosines with all centroids are held at once
 SAMPLE, RECALL = 128, 0.92
 
 
@@ -71,12 +74,18 @@ def _nearest(v: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-cosines(v, centroids), axis=1, kind="stable")[:, :probes]
 
 
+def _slices(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def _sums(centroids):
     """Kernel over (embedding): the task's integer sums and counts by nearest centroid."""
     def run(batches):
         c = centroids.value
         total, n = np.zeros(c.shape, np.int64), np.zeros(len(c), np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             v = _matrix(batch.column(0))
             if len(v):
                 at = _nearest(v, c, 1)[:, 0]
@@ -107,15 +116,95 @@ def _cell_of(centroids, probes: int, name: str):
     """Kernel over (id, vector): each row once for every of its ``probes`` nearest cells."""
     def run(batches):
         c = centroids.value
-        for batch in batches:
+        for batch in _slices(batches):
             v = _matrix(batch.column(1))
-            at = _nearest(v, c, probes) if len(v) else np.zeros((0, probes), np.int64)
+            at = _nearest(v, c, probes)
             rows = pa.array(np.repeat(np.arange(len(v)), at.shape[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows),
                                               pa.array(at.ravel().astype(np.int32))], [name, "v", "cell"])
     return run
 
 
+def _probed(centroids, probes: int):
+    """Kernel over (id, vector): both, and as bytes a bit for each of the ``probes`` nearest cells."""
+    def run(batches):
+        c = centroids.value
+        for batch in _slices(batches):
+            v = _matrix(batch.column(1))
+            bits = np.zeros((len(v), len(c)), bool)
+            np.put_along_axis(bits, _nearest(v, c, probes), True, axis=1)
+            packed = np.packbits(bits, axis=1)
+            ends = pa.py_buffer(np.arange(len(v) + 1, dtype=np.int32) * packed.shape[1])
+            packed = pa.Array.from_buffers(pa.binary(), len(v), [None, ends, pa.py_buffer(packed.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["qid", "qvec", "probed"])
+    return run
+
+
+def _bits(packed, cells: int) -> np.ndarray:
+    """(rows, cells) of the bytes that :func:`_probed` makes."""
+    rows = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+    return np.unpackbits(rows, axis=1, count=cells).astype(bool)
+
+
+def _asked(cells: int):
+    """Kernel over (probed): which cells the task's queries probe, a row."""
+    def run(batches):
+        some = np.zeros(cells, bool)
+        for batch in _slices(batches):
+            some |= _bits(batch.column(0), cells).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(some).astype(np.int32))], ["cell"])
+    return run
+
+
+def _with_blocks(members: np.ndarray):
+    """Kernel that adds the blocks that hold a cell which the query probes."""
+    def run(batches):
+        for batch in _slices(batches):
+            hit = (_bits(batch.column(2), len(members)).astype(np.float32) @ members.astype(np.float32)) > 0
+            at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hit.sum(axis=1))].astype(np.int32)),
+                                          pa.array(np.nonzero(hit)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, at], ["qid", "qvec", "probed", "qb", "ibs"])
+    return run
+
+
+def _deal(sizes: dict[int, int], n: int) -> dict[int, list[int]]:
+    """Blocks of each cell: the largest cells first, each to the block that has least; a cell
+    beyond a block's share to several."""
+    share = max(1, math.ceil(sum(sizes.values()) / n))
+    load, at = [0] * n, {}
+    for cell in sorted(sizes, key=lambda c: (-sizes[c], c)):
+        parts = min(n, math.ceil(sizes[cell] / share)) or 1
+        at[cell] = sorted(range(n), key=lambda b: (load[b], b))[:parts]
+        for b in at[cell]:
+            load[b] += sizes[cell] / parts
+    return at
+
+
+class CellScorer:
+    """Every query of a block against the cells that it probes, for :func:`quire.operators.topk.keyed_partial_top_k`."""
+
+    def __init__(self, k: int, cells: int, exclude_self: bool, out):
+        self.k, self.cells, self.exclude_self, self.out = k, cells, exclude_self, out
+
+    def tables(self, items, queries):
+        if not len(items) or not len(queries):
+            return self.out.empty_table()
+        items = blocks.by_id(items, "iid")
+        iids = items.column("iid")
+        best = blocks.Best(blocks.matrix(items.column("embedding")), blocks.matrix(queries.column("qvec")), self.k)
+        own = (blocks.codes(queries.column("qid"), iids), blocks.codes(iids, iids)) if self.exclude_self else None
+        bits = _bits(queries.column("probed"), self.cells)
+        cell = items.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        for places in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            rows = np.flatnonzero(bits[:, cell[places[0]]])
+            step = max(1, blocks.TILE // len(places))
+            for s in range(0, len(rows), step):
+                best.offer(rows[s:s + step], places, own=own)
+        qi, at, score = best.found()
+        return pa.table([queries.column("qid").take(pa.array(qi)), iids.take(pa.array(at)), pa.array(score)], schema=self.out)
+
+
 def build_cells(items: DataFrame, item_id: str, vec: str = "embedding", cells: int | None = None, path: str | None = None,
                 rounds: int = ROUNDS) -> Cells:
     """Fit, assign and store below ``path`` (the checkpoint folder if none is given)."""
@@ -145,22 +234,31 @@ def search_cells(index: Cells, queries: DataFrame, k: int, query_id: str, qvec:
     if probes is None:
         probes = measured_probes(index, good, k, exclude_self)
     probes = max(1, min(probes, len(index.centroids)))
-    sent = good.mapInArrow(_cell_of(spark.sparkContext.broadcast(index.centroids), probes, "qid"),
-                           f"qid {kind.simpleString()}, v array<double>, cell int").withColumnRenamed("v", "qvec")
-    asked = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row a cell
-    probed = sorted(asked)
-    parts = F.element_at(F.create_map(*[F.lit(x).cast("int") for c in probed for x in (c, math.ceil(asked[c] / GROUP_QUERIES))]),
-                         F.col("cell")) if probed else F.lit(1)
-    blocks = {c: math.ceil(n / topk.GRID_ITEMS) for c, n in index.sizes.items() if n > topk.GRID_ITEMS}
-    many = F.lit(1)
-    for c, b in blocks.items():                                                        # cells of many vectors
-        many = F.when(F.col("cell") == c, b).otherwise(many)
-    items = index.table.where(F.col("cell").isin(probed)).withColumn("block", F.pmod(F.xxhash64("iid"), many.cast("long")))
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)))
-    items = items.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
-    sent = sent.withColumn("part", F.pmod(F.xxhash64("qid"), parts.cast("long")))
+    cells = len(index.centroids)
+    sent = good.mapInArrow(_probed(spark.sparkContext.broadcast(index.centroids), probes),
+                           f"qid {kind.simpleString()}, qvec array<double>, probed binary")
+    told = sent.select("probed").mapInArrow(_asked(cells), "cell int").distinct().collect()             # a row a cell
+    probed = sorted(r.cell for r in told if index.sizes.get(r.cell))
     schema = topk._out_schema(kind, index.table.schema["iid"].dataType)
-    found = topk.keyed_partial_top_k(items, sent, ["cell", "block", "part"], topk.cosine_scorer(k, exclude_self=exclude_self), k, schema)
+    if not probed:
+        return topk._merge(spark.createDataFrame([], schema), k)
+    n_items = blocks.n_blocks(sum(index.sizes[c] for c in probed), dim)
+    n = sent.count()
+    n_queries = max(blocks.n_blocks(n, dim), math.ceil(n / GROUP_QUERIES))
+    at = _deal({c: index.sizes[c] for c in probed}, n_items)
+    of_cell = F.lit([at.get(c, []) for c in range(cells)]).cast("array<array<int>>")
+    members = np.zeros((cells, n_items), bool)
+    for c, some in at.items():
+        members[c, some] = True
+
+    own = F.element_at(of_cell, F.col("cell") + 1)
+    items = index.table.where(F.col("cell").isin(probed)).withColumn(
+        "ib", F.element_at(own, F.pmod(F.xxhash64("iid"), F.size(own)).cast("int") + 1))
+    sent = sent.withColumn("qb", blocks.block_of("qid", n_queries)).mapInArrow(
+        _with_blocks(members), f"qid {kind.simpleString()}, qvec array<double>, probed binary, qb int, ibs array<int>")
+    items, sent = blocks.deal(items, sent, n_items, n_queries)
+    scorer = CellScorer(k, cells, exclude_self, to_arrow_schema(schema))
+    found = topk.keyed_partial_top_k(items, sent, blocks.KEYS, scorer, k, schema)
     return topk._merge(found, k)
 
 

@@ -179,7 +179,9 @@ def keyed_partial_top_k(items: DataFrame, queries: DataFrame, keys: list[str], s
                         batch_rows: int = 2048) -> DataFrame:
     """Cogroup items and queries on ``keys``; each group emits at most k
     rows per query (qid, iid, score). Callers size the key space so that
-    every group is bounded."""
+    every group is bounded. A scorer with ``tables`` gets a group's two Arrow tables as a whole."""
+    if hasattr(scorer, "tables"):
+        return items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(lambda left, right: scorer.tables(left, right), schema)
 
     def per_cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         best: dict[int, pd.DataFrame] = {}

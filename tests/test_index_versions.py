@@ -115,3 +115,31 @@ def test_index_reads_its_source_once(spark):
     ix.refresh_index(two.mapInArrow(count, two.schema), path, KEY, VALUES, 8)
     assert seen.value == 601
     assert _rows(ix.read_index(spark, path, two.schema, KEY, VALUES)) == _rows(two)
+
+
+def test_cell_search_sends_a_query_once_a_block(spark, monkeypatch):
+    """A vector goes to blocks, not to every cell it probes; the rows are those of the probed cells."""
+    import numpy as np
+
+    from quire.operators import blocks, cells
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(900, 6)).round(3)
+    v[13] = v[14]
+    v[20] = 0.0
+    e = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    index = cells.build_cells(e, "vec_id")
+    probes = int(0.4 * len(index.centroids))
+    sent, dealt = [], blocks.deal
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 300 * 6 * 8)
+    monkeypatch.setattr(blocks, "TILE", 1000)
+    monkeypatch.setattr(blocks, "deal", lambda items, queries, *a: (sent.append((queries, a)), dealt(items, queries, *a))[1])
+    hits = cells.search_cells(index, e.select("vec_id", e.embedding.alias("qvec")), 5, "vec_id", probes=probes, exclude_self=True)
+    got = {(r.qid, r["rank"]): (r.iid, r.score) for r in hits.collect()}
+    queries, n = sent[0]
+    assert n == (3, 3) and queries.count() == 900 and max(len(r.ibs) for r in queries.select("ibs").collect()) <= 3 < probes
+    near = cells._nearest(v, index.centroids, probes)
+    s = np.round(cells.cosines(v, v), 6)
+    for q in range(900):
+        items = [i for i in range(900) if i != q and near[i, 0] in near[q]]
+        want = sorted(items, key=lambda i: (-s[q, i], i))[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, s[q, i]) for i in want]
