@@ -150,3 +150,25 @@ def test_rejected_vectors_are_reported(spark):
     qs = spark.createDataFrame([("q", "sore throat with honey")], "question_id string, question string")
     r = an.ask_batch(qs, broken, on_rejected=lambda df: seen.extend(df.collect())).first()
     assert [x["chunk_id"] for x in seen] == ["c1"] and any("honey" in s["chunk_text"] for s in r["sources"])
+
+
+def test_rounds_of_hits_give_the_same_answers_and_leave_few_tables(spark, monkeypatch):
+    """Texts of hits are looked up some questions at a time; tables of the steps go when they have been read."""
+    import os
+
+    from quire.session import checkpoint_dir
+    tables = f"{checkpoint_dir(spark).replace('file://', '')}/tables"
+    names = lambda: {x.rsplit("-", 1)[0] if len(x) > 32 else x for x in os.listdir(tables)}
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    chunks = _chunks(spark)
+    chunks = chunks.unionByName(chunks.limit(1))          # a chunk id that occurs again
+    qs = spark.createDataFrame([(i, f"what about ginger tea and root {i % 3}") for i in range(12)], "question_id int, question string")
+    rounds = []
+    got = []
+    for size in (an.ROUND_BYTES, 500):
+        monkeypatch.setattr(an, "ROUND_BYTES", size)
+        monkeypatch.setattr(an, "_rounds", (lambda real: lambda hits: (rounds.append(len(x := real(hits))), x)[1])(an._rounds))
+        got.append(sorted(map(str, an.ask_batch(qs, chunks).collect())))
+    assert got[0] == got[1] and rounds[0] == 1 and rounds[-1] > 1
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(tables)) - before}
+    assert left <= {"asked", "questions", "answered"}

@@ -362,3 +362,36 @@ def test_blocks_are_bounded_by_items_and_terms(monkeypatch):
                 got[key] = tf, dl, r["type"]
     assert len(sizes) < 30 and ids == {n: (str(n), len(w)) for n, w in zip(numbers, words)}
     assert got == {(t, n): (w.count(t), len(w), ["x", "y", ""][i % 3]) for i, (n, w) in enumerate(zip(numbers, words)) for t in w}
+
+
+def test_bounded_bm25_equals_all_scores(monkeypatch):
+    """Common terms by a product, others entry by entry, pairs below a list left out: the same lists, with filters and ties."""
+    import pandas as pd
+
+    from quire.operators import topk
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(60)])
+    docs = [list(words[np.minimum(rng.geometric(0.08, size=rng.integers(0, 40)) - 1, 59)]) for _ in range(700)]
+    docs[5] = docs[6] = docs[400]
+    items = pd.DataFrame({"iid": [f"d{i:03d}" for i in rng.permutation(700)], "toks": [np.array(d, dtype=object) for d in docs],
+                          topk.TYPE_COL: np.array(["csv", "pdf", None], dtype=object)[rng.integers(0, 3, 700)]})
+    asked = pd.DataFrame([(q, t, 1.0 + 0.1 * int(t[1:]), [None, "csv", "pdf"][q % 3]) for q in range(50) for t in set(rng.choice(words, 9))],
+                         columns=["qid", "term", "idf", topk.FILTER_COL])
+    avgdl, k1, b = 12.0, 1.2, 0.75
+    want = {}
+    for q, rows in asked.groupby("qid"):
+        scores = []
+        for iid, d, kind in zip(items["iid"], docs, items[topk.TYPE_COL]):
+            s = sum(w * d.count(t) * (k1 + 1) / (d.count(t) + k1 * (1 - b + b * len(d) / avgdl)) for t, w in zip(rows["term"], rows["idf"]) if t in d)
+            if s > 0 and rows[topk.FILTER_COL].iloc[0] in (None, kind):
+                scores.append((-round(s, 6), iid))
+        want[q] = sorted(scores)[:5]
+    for common, looked, queries in ((0.015, 1 << 15, 1024), (0.3, 7, 16), (2.0, 100, 7)):
+        monkeypatch.setattr(topk.BM25Scorer, "COMMON", common)
+        monkeypatch.setattr(topk.BM25Scorer, "LOOKED", looked)
+        monkeypatch.setattr(topk.BM25Scorer, "QUERIES", queries)
+        scorer = topk.bm25_scorer(5, avgdl=avgdl)
+        lists = topk._fold(items, scorer.pack(asked), scorer, 5, 100, {})
+        got = pd.concat([x.frame() for x in lists.values()])
+        assert {q: [(-s, i) for s, i in zip(g["score"], g["iid"])] for q, g in got.groupby("qid")} == {
+            q: [(s, i) for s, i in w] for q, w in want.items() if w}
