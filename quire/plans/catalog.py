@@ -219,8 +219,8 @@ def q_page_structured(spark, sf_dir):
     return recs.select(F.col("doc_url").alias("source_file"), "page_number", "raw_text")
 
 
-def _snapshots(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+def _snapshots(spark, sf_dir, d=None):
+    d = table(spark, sf_dir, "documents") if d is None else d
     old = d.select("doc_id", F.posexplode(chunk_words("text", 350, 90)).alias("chunk_index", "chunk_text"))
     new = d.select("doc_id", F.posexplode(chunk_words("text", 400, 100)).alias("chunk_index", "chunk_text"))
     return new, old
@@ -524,18 +524,23 @@ def q_stream_late(spark, sf_dir):
     the 350/90 chunks of order 1 after them, in a later run of the same stream."""
     import uuid
 
-    from quire.session import checkpoint_dir
+    from quire.session import checkpoint_dir, shuffles_dropped
     from quire.streaming.sync import stream_sync
     new, old = _snapshots(spark, sf_dir)
     root = f"{checkpoint_dir(spark)}/stream_late/{uuid.uuid4().hex}"
     key, values = ["doc_id", "chunk_index"], ["chunk_text"]
+    pieces = _stored_pieces(spark, sf_dir, "documents", ARRIVING_BYTES)
+    files = max(2, pieces)
     gone = old.join(new, key, "left_anti").select(*key, F.lit(None).cast("string").alias("chunk_text"))
-    newest = new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+    # dealt as documents, which are smaller than their overlapping chunks
+    dealt = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text").repartition(files, "doc_id")
+    new, old = _snapshots(spark, sf_dir, dealt)
+    newest = new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)).repartition(files, "doc_id"))
     newest = newest.withColumn("seq", F.lit(2))
     late = old.withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(1))
-    pieces = _stored_pieces(spark, sf_dir, "documents", ARRIVING_BYTES)
     for rows in (newest, late):
-        rows.repartition(max(2, pieces), "doc_id").write.mode("append").parquet(f"{root}/incoming")
+        with shuffles_dropped(spark):
+            rows.write.mode("append").option("compression", "zstd").parquet(f"{root}/incoming")
         schema = spark.read.parquet(f"{root}/incoming").schema
         out = stream_sync(spark, f"{root}/incoming", f"{root}/target", schema, key, values, f"{root}/progress", buckets=max(8, pieces),
                           deleted_col="deleted", order_col="seq")

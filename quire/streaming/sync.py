@@ -4,7 +4,9 @@
 (``Trigger.AvailableNow``: process what is there, then stop; the checkpoint
 makes a re-run resume after the last committed batch). Each micro-batch is
 upserted into a target folder that is hash-partitioned into buckets on the key,
-so a batch rewrites only the buckets it touches (dynamic partition overwrite).
+so a batch rewrites only the buckets it touches (dynamic partition overwrite), some of
+them at a time: what a merge shuffles and stages is a share of the target and goes before
+the next share, so the disk needed besides source and target does not grow with a batch.
 Each stored row keeps its order value, and a deleted key stays as a marker, so the
 newest row of a key wins whichever batch brings it: late and repeated files change
 nothing, and re-running a batch after a failure writes the same buckets again.
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.index import row_hash
-from quire.session import materialize
+from quire.session import forget, shuffles_dropped, store
 
 BUCKET, ORDER, GONE = "_bucket", "_order", "_gone"     # _order may be missing in a target that a batch build wrote
 
+SHARE = 4, 8        # buckets merged at a time: so many at least, and this part of all
+
 
 def bucket_of(key: list[str], buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
@@ -65,18 +69,23 @@ def upsert(batch: DataFrame, target_path: str, key: list[str], values: list[str]
     gone = F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False)
     order = F.col(order_col) if order_col else F.lit(0).cast("long")
     fresh = batch.select(*key, *values, order.alias(ORDER), gone.alias(GONE)).withColumn(BUCKET, bucket_of(key, buckets))
-    # one row a key, written once: read for the touched buckets and for the merge
-    fresh = materialize(_latest(fresh, key, values), "upsert-batch")
-    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]      # at most ``buckets`` values
+    touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())      # at most ``buckets`` values
     if not touched:
         return
-    old = spark.read.schema(schema).parquet(target_path).where(F.col(BUCKET).isin(touched))
     if not order_col:
+        old = spark.read.schema(schema).parquet(target_path).where(F.col(BUCKET).isin(touched))
         fresh = fresh.withColumn(ORDER, F.lit((old.agg(F.max(ORDER)).first()[0] or 0) + 1).cast("long"))
-    merged = _latest(old.select(*fresh.columns).unionByName(fresh), key, values)
-    staged = materialize(merged, "upsert")  # never overwrite a path the same plan reads
-    # by bucket, so that a bucket is one file: tasks times buckets would grow with the square of the input
-    staged.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(target_path)
+    share = max(SHARE[0], buckets // SHARE[1])
+    for at in range(0, len(touched), share):
+        some = F.col(BUCKET).isin(touched[at:at + share])
+        old = spark.read.schema(schema).parquet(target_path).where(some)
+        merged = _latest(old.select(*fresh.columns).unionByName(fresh.where(some)), key, values)
+        staged = store(merged, "upsert")  # never overwrite a path the same plan reads
+        # by bucket, so that a bucket is one file: tasks times buckets would grow with the square of the input
+        with shuffles_dropped(spark):
+            (staged.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .option("compression", "zstd").partitionBy(BUCKET).parquet(target_path))
+        forget(staged)
 
 
 def _latest(rows: DataFrame, key: list[str], values: list[str]) -> DataFrame:

@@ -143,3 +143,25 @@ def test_cell_search_sends_a_query_once_a_block(spark, monkeypatch):
         items = [i for i in range(900) if i != q and near[i, 0] in near[q]]
         want = sorted(items, key=lambda i: (-s[q, i], i))[:5]
         assert [got[q, r + 1] for r in range(5)] == [(i, s[q, i]) for i in want]
+
+
+def test_upsert_merges_a_share_of_the_buckets_at_a_time(spark, monkeypatch, tmp_path):
+    """Shares give the rows of one merge, and no table of a merge stays behind."""
+    import os
+
+    from quire.session import checkpoint_dir
+    from quire.streaming import sync
+    staged, kept = [], sync.store
+    monkeypatch.setattr(sync, "store", lambda df, label: (staged.append(x := kept(df, label)), x)[1])
+    tables = f"{checkpoint_dir(spark).replace('file://', '')}/tables"
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    rows = [(i, f"v{i}", False, 2) for i in range(200)] + [(i, None, True, 2) for i in range(200, 230)]
+    late = [(i, f"old{i}", False, 1) for i in range(260)] + [(None, "null key", False, 1)]
+    for n, some in enumerate((rows, late)):
+        spark.createDataFrame(some, "id long, v string, gone boolean, seq int").write.mode("append").parquet(f"{tmp_path}/in")
+        schema = spark.read.parquet(f"{tmp_path}/in").schema
+        out = sync.stream_sync(spark, f"{tmp_path}/in", f"{tmp_path}/to", schema, ["id"], ["v"], f"{tmp_path}/progress", buckets=12,
+                               deleted_col="gone", order_col="seq")
+    want = {(i, f"v{i}") for i in range(200)} | {(i, f"old{i}") for i in range(230, 260)} | {(None, "null key")}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert len(staged) == 6 and set(os.listdir(tables)) <= before
