@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 KEYS = ["ib", "qb"]     # numbers of an item block and a query block
 BLOCK_BYTES = 32 << 20
 LEAST, LEAST_ROWS = 6, 2048
-TILE = 4 << 20          # pairs a kernel looks at together
+TILE = 2 << 20          # pairs a kernel looks at together
+HEAD = 1024             # items that give a query's list its first limit
 MARGIN = 2e-6           # scores are rounded to six digits
 EXACT = 1 << 17         # pairs scored together
 
@@ -77,22 +78,23 @@ class Best:
         # norms whose products overflow or vanish, and bad vectors: a product of unit vectors says nothing there
         self.odd_a, self.odd_q = (~((n == 0) | (n > 1e-100) & (n < 1e100)) for n in (self.an, self.qn))
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.ua, self.uq = (np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] > 0)
+            self.ua, self.uq = (np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] > 0).astype(np.float32)
                                 for v, n in ((items, self.an), (queries, self.qn)))
+        self.margin = MARGIN + (items.shape[1] if items.ndim > 1 else 0) * 1.2e-7     # of a product in single precision
         self.score = np.full((len(queries), k), -np.inf)
         self.place = np.full((len(queries), k), -1, np.int64)
 
     def offer(self, rows: np.ndarray, places: np.ndarray, keep: np.ndarray | None = None, own: np.ndarray | None = None) -> None:
         """Queries ``rows`` x items ``places``, all pairs or those of the matrix ``keep``; ``own``
         is each query's mark, each item's mark its other half, and pairs of equal marks are left out.
-        One product of unit vectors, which differs from the score by rounding only, tells which
+        One product of unit vectors in single precision, which differs from the score by rounding only, tells which
         pairs may reach a list; they alone are scored."""
         with np.errstate(invalid="ignore", over="ignore"):
             near = self.uq[rows] @ self.ua[places].T
         near[self.odd_q[rows]] = np.inf
         near[:, self.odd_a[places]] = np.inf
         if keep is not None:
-            near[~keep] = -np.inf
+            near = np.where(keep, near, np.float32(-np.inf))
         if own is not None:
             qm, im = own
             near[qm[rows][:, None] == im[places][None, :]] = -np.inf
@@ -102,7 +104,8 @@ class Best:
             known = near[new]
             known[np.isposinf(known)] = -np.inf
             least[new] = np.partition(known, -self.k, axis=1)[:, -self.k]
-        ri, pi = np.nonzero((near >= (least - MARGIN)[:, None]) & (near > -np.inf))
+        limit = np.maximum((least - self.margin).astype(np.float32), np.finfo(np.float32).min)
+        ri, pi = np.divmod(np.flatnonzero(near >= limit[:, None]), near.shape[1])
         for s in range(0, len(ri), EXACT):
             self.take(rows[ri[s:s + EXACT]], places[pi[s:s + EXACT]])
 

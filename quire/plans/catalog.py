@@ -303,14 +303,15 @@ def q_knn_lsh(spark, sf_dir):
 
 def q_lsh_recall(spark, sf_dir):
     """J2 recall@5 against the exact J1 neighbours, and the pairs scored for it."""
-    from quire.session import materialize
+    from quire.session import store
     e = table(spark, sf_dir, "embeddings")
     q = e.select("vec_id", F.col("embedding").alias("qvec"))
-    pairs = materialize(rt.lsh_pairs(q, e, "vec_id", "vec_id", exclude_self=True), "lsh_pairs")
-    approx = rt._merge(rt.score_pairs(pairs, q, e, "vec_id", "vec_id"), 5)
+    pairs = rt.lsh_pairs(q, e, "vec_id", "vec_id", exclude_self=True, as_rows=False)
+    scored = store(rt.score_pairs(pairs, q, e, "vec_id", "vec_id", k=5), "lsh_scored")
+    approx = rt._merge(scored.where("pairs is null").drop("pairs"), 5)
     exact = rt.knn(q, e, 5, "vec_id", "vec_id", exclude_self=True)
     n = e.agg(F.count(F.lit(1)).alias("n")).scalar()
-    pairs_scored = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    pairs_scored = scored.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).scalar()
     return rt.recall_at_k(approx, exact).withColumn("pairs_scored", pairs_scored).withColumn(
         "share_of_all_pairs", F.round(pairs_scored / (n * (n - 1)), 6))
 

@@ -395,3 +395,36 @@ def test_bounded_bm25_equals_all_scores(monkeypatch):
         got = pd.concat([x.frame() for x in lists.values()])
         assert {q: [(-s, i) for s, i in zip(g["score"], g["iid"])] for q, g in got.groupby("qid")} == {
             q: [(s, i) for s, i in w] for q, w in want.items() if w}
+
+
+def test_lsh_blocks_equal_joined_buckets(spark, monkeypatch):
+    """Candidates are found block by block, none is shuffled as a row: pairs, scores and their number are those of
+    a join of buckets, with ids that occur again, zero vectors and null ids; few tables of many bits too."""
+    from quire.operators import blocks
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=(600, 8)), 2)
+    v[3], v[9] = 0.0, v[8]
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(5, v[5].tolist()), (7, v[7].tolist()), (None, v[20].tolist())]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.select("vec_id", F.col("embedding").alias("qvec"))
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 150 * 8 * 8)
+    monkeypatch.setattr(blocks, "TILE", 2000)
+    monkeypatch.setattr(blocks, "HEAD", 20)
+    ids, all_v = np.array([r[0] for r in rows[:-1]]), np.array([r[1] for r in rows[:-1]])
+    for tables, target in ((6, 30), (3, 0.02)):
+        bits = rt.lsh_bits(len(rows), target)
+        planes = rt.lsh_planes(8, tables, bits)
+        code = (np.einsum("tbd,nd->ntb", planes, all_v) > 0) @ (1 << np.arange(bits))
+        apart = code[:, None, :] ^ code[None, :, :]
+        near = ((apart & (apart - 1)) == 0).any(axis=2) & (ids[:, None] != ids)
+        want = {(int(a), int(b)) for a, b in zip(*(ids[x] for x in np.nonzero(near)))}
+        how = dict(exclude_self=True, tables=tables, target_bucket=target)
+        got = [tuple(r) for r in rt.lsh_pairs(q, e, "vec_id", "vec_id", **how).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        cells = rt.lsh_pairs(q, e, "vec_id", "vec_id", as_rows=False, **how)
+        assert min(cells.blocks) >= 4
+        told = rt.score_pairs(cells, q, e, "vec_id", "vec_id", k=4)
+        assert told.agg(F.sum("pairs")).first()[0] == len(want) and told.where("pairs is null").count() <= 4 * len(rows) * cells.blocks[0]
+        plain = rt._merge(rt.score_pairs(rt.lsh_pairs(q, e, "vec_id", "vec_id", **how), q, e, "vec_id", "vec_id"), 4)
+        best = rt.knn_lsh(q, e, 4, "vec_id", "vec_id", **how)
+        assert _rows(best, "qid", "iid", "score", "rank") == _rows(plain, "qid", "iid", "score", "rank")
